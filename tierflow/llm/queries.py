@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, sharding, url_filter
 from .embedding_dedup import near_vectors
+from .minhash_dedup import near_documents
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+
+
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_nn_descent": op1_nn_descent}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_chosen_path, op3_extendible_hashing, op6_pfair_mixing, op9_url_filter)}
+ORACLES = {"op3_extendible_hashing": sharding.ORACLE, "op6_pfair_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE}
