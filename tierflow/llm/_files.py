@@ -22,7 +22,7 @@ class Whole:
         self.fs, base = open_fs(folder)
         self.fs.create_dir(base, recursive=True)
         self.path, self.part = f"{base}/{name}", f"{base}/.{name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.part)
+        self.out = self.fs.open_output_stream(self.part, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> int:

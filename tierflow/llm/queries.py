@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, url_filter
+from . import mixing, sharding, url_filter, warc
 from .embedding_dedup import near_vectors
 from .minhash_dedup import near_documents
+from .quality_classifier import score_quality
+from .quality_rules import judge_quality
+from .token_files import token_digest
+
+
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file; the folder is a parameter of the environment."""
+    import os
+
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +35,35 @@ def op3_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op4_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(_table(spark, sf_dir, "pages"))
+
+
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_chosen_path, op3_extendible_hashing, op6_pfair_mixing, op9_url_filter)}
-ORACLES = {"op3_extendible_hashing": sharding.ORACLE, "op6_pfair_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE}
+def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_nn_descent, op2_chosen_path, op3_extendible_hashing, op4_seekable_tokens, op5_warc_segments,
+    op6_pfair_mixing, op8_isolation_forest, op9_url_filter, op10_factorisation_machine,
+)}
+ORACLES = {
+    "op3_extendible_hashing": sharding.ORACLE, "op5_warc_segments": warc.ORACLE,
+    "op6_pfair_mixing": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE,
+}
