@@ -9,6 +9,7 @@ from .embedding_dedup import near_vectors
 from .minhash_dedup import near_documents
 from .quality_classifier import score_quality
 from .quality_rules import judge_quality
+from .sentencepiece_lattice import encode_documents
 from .token_files import token_digest
 
 
@@ -47,6 +48,10 @@ def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op8_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -61,7 +66,7 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_nn_descent, op2_chosen_path, op3_extendible_hashing, op4_seekable_tokens, op5_warc_segments,
-    op6_pfair_mixing, op8_isolation_forest, op9_url_filter, op10_factorisation_machine,
+    op6_pfair_mixing, op7_sentencepiece_lattice, op8_isolation_forest, op9_url_filter, op10_factorisation_machine,
 )}
 ORACLES = {
     "op3_extendible_hashing": sharding.ORACLE, "op5_warc_segments": warc.ORACLE,
