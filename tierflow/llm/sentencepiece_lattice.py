@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._common import stored
 
@@ -76,10 +77,23 @@ class Pieces:
         return out
 
     def late(self) -> set[str]:
-        """Pieces that can come together from a part that ranks behind the whole."""
-        rank = {p: r for p, _, r in self.rows}
-        of = lambda p: -1 if len(p) == 1 else rank.get(p)
-        return {p for p, r in rank.items() if any(None not in (a := (of(p[:i]), of(p[i:]))) and max(a) >= r for i in range(1, len(p)))}
+        """Pieces whose own merges don't come in rank order, or don't end in the piece.
+
+        Merges inside a span that no merge crosses go as they go in the span alone,
+        so words without such pieces are merged in rank order.
+        """
+        rank, out = {p: r for p, _, r in self.rows}, set()
+        for p, r in rank.items():
+            parts, last = list(p), -1
+            while len(parts) > 1:
+                best = min(((rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank), default=None)
+                if best is None or best[0] < last:
+                    break
+                last, i = best
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if len(parts) > 1 or last > r:
+                out.add(p)
+        return out
 
     def decode(self, ids) -> str:
         text = b"".join([self.table[i] for i in ids]).decode("utf-8", "replace")
@@ -102,58 +116,59 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(a, i, r, a in late) for a, i, r in p.rows], "piece string, id int, rank int, late boolean")
 
 
-def _bit(at: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+# An edge as one long, so that edges sort by rank and place: rank, start, length, id + 1.
+_START, _LENGTH, _ID = "(c >> 26) & 63", "(c >> 20) & 63", "c & 1048575"
+_EDGE = f"""named_struct('ends', (1L << cast({_START} as int)) | (1L << cast(({_START}) + ({_LENGTH}) as int)),
+ 'inner', (1L << cast(({_START}) + ({_LENGTH}) as int)) - (1L << cast(({_START}) + 1 as int)), 's', {_START}, 'id', {_ID})"""
 
 
 def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     """``(uid, unit, edges, late)``: for every word its substrings that are pieces, and all its characters.
 
     ``units`` are hash-partitioned by uid, so the substrings of a word meet again
-    without a shuffle. An edge holds its piece's rank and id (-1: a character that is
-    no piece), its start, and its ends and inner boundaries as bits.
+    without a shuffle. An edge holds its piece's rank, start, length and id
+    (none: a character that is no piece).
     """
-    at = F.explode(F.expr(f"flatten(transform(sequence(0, length(unit) - 1), s -> transform(sequence(1, least({longest}, length(unit) - s)), l -> struct(s, l))))"))
-    sub = units.select("uid", "unit", at.alias("x")).select("uid", "unit", "x.s", "x.l", F.expr("substring(unit, x.s + 1, x.l)").alias("piece"))
-    hit = sub.join(F.broadcast(table), "piece", "left").where("id is not null or l = 1")  # a vocabulary has a fixed size
-    end = F.col("s") + F.col("l")
-    edge = F.struct(
-        F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "s", (_bit(F.col("s")) + _bit(end)).alias("ends"),
-        (_bit(end) - _bit(F.col("s") + 1)).alias("inner"), F.coalesce("id", F.lit(-1)).alias("id"),
-    )
-    return hit.groupBy("uid", "unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.max(F.coalesce("late", F.lit(False))).alias("late"))
+    at = units.select("uid", "unit", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
+    sub = at.select("uid", "unit", "s", F.explode(F.expr(f"sequence(1, least({longest}, length(unit) - s))")).alias("l"))
+    sub = sub.withColumn("part", F.expr("substring(unit, s + 1, l)"))
+    known = table.withColumn("key", F.xxhash64("piece"))
+    # a vocabulary has a fixed size; the hash is the join's key, equal text is checked too
+    hit = sub.join(F.broadcast(known), (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")), "left").where("id is not null or l = 1")
+    code = F.expr("(cast(coalesce(rank, 1048575) as bigint) << 32) | (cast(s as bigint) << 26) | (cast(l as bigint) << 20) | coalesce(id + 1, 0)")
+    return hit.groupBy("uid").agg(F.first("unit").alias("unit"), F.sort_array(F.collect_list(code)).alias("edges"), F.max(F.coalesce("late", F.lit(False))).alias("late"))
 
 
 def fold_merges(edges: DataFrame, byte0: int) -> DataFrame:
-    """``(unit, ids)``: boundaries folded away in the order of the merges' ranks.
+    """``(uid, ids)``: boundaries folded away in the order of the merges' ranks.
 
     An edge applies if its ends are boundaries and one boundary lies between.
-    Where no piece ranks before one of its parts, merges come in rank order and
-    one fold over the sorted edges is exact. Else every step of the fold looks
-    for the first edge that applies.
+    Where merges come in rank order one fold over the sorted edges is exact.
+    Else every step of the fold looks for the first edge that applies.
     """
-    start = "shiftleft(1L, length(unit) + 1) - 1"
+    start = "(1L << (length(unit) + 1)) - 1"
     fits = "(m & x.ends) = x.ends and bit_count(m & x.inner) = 1"
-    once = f"aggregate(edges, {start}, (m, x) -> if({fits}, m & ~x.inner, m))"
-    again = f"aggregate(sequence(1, length(unit)), {start}, (m, i) -> coalesce(m & ~get(filter(edges, x -> {fits}), 0).inner, m))"
-    out = edges.select("unit", "edges", F.expr(f"if(late, {again}, {once})").alias("m"))
-    part = "array_sort(transform(filter(edges, x -> (m & x.ends) = x.ends and (m & x.inner) = 0), x -> struct(x.s as s, x.id as id)))"
-    raw = "encode(substring(unit, x.s + 1, 1), 'utf-8')"
-    ids = f"flatten(transform({part}, x -> if(x.id >= 0, array(x.id), transform(sequence(1, octet_length({raw})), k -> cast(conv(hex(substring({raw}, k, 1)), 16, 10) as int) + {byte0}))))"
-    return out.select("unit", F.expr(ids).alias("ids"))
+    once = f"aggregate(e, {start}, (m, x) -> if({fits}, m & ~x.inner, m))"
+    again = f"aggregate(sequence(1, length(unit)), {start}, (m, i) -> coalesce(m & ~get(filter(e, x -> {fits}), 0).inner, m))"
+    out = edges.select("uid", "unit", "late", F.expr(f"transform(edges, c -> {_EDGE})").alias("e")).select("uid", "unit", "e", F.expr(f"if(late, {again}, {once})").alias("m"))
+    part = out.select("uid", "unit", F.expr("array_sort(transform(filter(e, x -> (m & x.ends) = x.ends and (m & x.inner) = 0), x -> (x.s << 20) | x.id))").alias("t"))
+    raw = "encode(substring(unit, cast(shiftright(x, 20) as int) + 1, 1), 'utf-8')"
+    split = f"flatten(transform(t, x -> if((x & 1048575) > 0, array(cast((x & 1048575) - 1 as int)), transform(sequence(1, octet_length({raw})), k -> cast(conv(hex(substring({raw}, k, 1)), 16, 10) as int) + {byte0}))))"
+    ids = F.expr(f"if(exists(t, x -> (x & 1048575) = 0), {split}, transform(t, x -> cast((x & 1048575) - 1 as int)))")
+    return part.select("uid", ids.alias("ids"))
 
 
 def fold_viterbi(edges: DataFrame, scores: dict[int, float], unknown: float = -100.0) -> DataFrame:
-    """``(unit, ids)`` of the path with the highest sum of scores, for unigram models.
+    """``(uid, ids)`` of the path with the highest sum of scores, for unigram models.
 
     The fold goes over edges by their end and keeps, per boundary, the best
     score and the path to it; a character that is no piece has id -1.
     """
     score = F.create_map(*[F.lit(x) for kv in {**scores, -1: unknown}.items() for x in kv])
-    e = edges.select("unit", F.expr("array_sort(transform(edges, x -> struct(cast(log2(x.ends - shiftleft(1L, x.s)) as int) as e, x.s as s, x.id as id)))").alias("edges"))
+    e = edges.select("uid", F.expr(f"array_sort(transform(edges, c -> struct(cast(({_START}) + ({_LENGTH}) as int) as e, cast({_START} as int) as s, cast(({_ID}) - 1 as int) as id)))").alias("edges"))
     e = e.withColumn("edges", F.transform("edges", lambda x: F.struct(x.e.alias("e"), x.s.alias("s"), x.id.alias("id"), score[x.id].cast("double").alias("w"))))
     best = "aggregate(edges, array(struct(0D as w, cast(array() as array<int>) as path)), (a, x) -> if(size(a) <= x.e, concat(a, array(struct(a[x.s].w + x.w as w, concat(a[x.s].path, array(x.id)) as path))), if(a[x.e].w < a[x.s].w + x.w, transform(a, (v, i) -> if(i = x.e, struct(a[x.s].w + x.w as w, concat(a[x.s].path, array(x.id)) as path), v)), a)))"
-    return e.select("unit", F.expr(f"element_at({best}, -1).path").alias("ids"))
+    return e.select("uid", F.expr(f"element_at({best}, -1).path").alias("ids"))
 
 
 def merge_long(unit: str, rank: dict[str, tuple[int, int]], byte0: int) -> list[int]:
@@ -184,47 +199,89 @@ def merge_long(unit: str, rank: dict[str, tuple[int, int]], byte0: int) -> list[
     return [x for t in text if t for x in ([rank[t][1]] if t in rank else [b + byte0 for b in t.encode("utf-8", "replace")])]
 
 
-def encode_units(spark: SparkSession, units: DataFrame, path: str, per_task: int = 20_000) -> DataFrame:
-    """``(unit, n, ids)`` of distinct words."""
+def encode_units(units: DataFrame, path: str, per_task: int = 20_000) -> DataFrame:
+    """``(uid, ids)`` of distinct words ``(uid, unit)``."""
     p = pieces(path)
-    keyed = stored(units.withColumn("uid", F.xxhash64("unit")), "units")
-    tasks = max(8, keyed.count() // per_task)
-    short = keyed.where(F.length("unit") <= BITS).select("uid", "unit").repartition(tasks, "uid")
-    ids = fold_merges(lattice(short, piece_table(spark, path), p.longest), p.byte0)
+    tasks = max(8, units.count() // per_task)
+    short = units.where(F.length("unit") <= BITS).select("uid", "unit").repartition(tasks, "uid")
+    ids = fold_merges(lattice(short, piece_table(units.sparkSession, path), p.longest), p.byte0)
 
     def heap(batches):
         q = pieces(path)
         rank = {a: (r, i) for a, i, r in q.rows}
         for b in batches:
-            yield pa.record_batch([b.column("unit"), pa.array([merge_long(u, rank, q.byte0) for u in b.column("unit").to_pylist()], pa.list_(pa.int32()))], names=["unit", "ids"])
+            yield pa.record_batch([b.column("uid"), pa.array([merge_long(u, rank, q.byte0) for u in b.column("unit").to_pylist()], pa.list_(pa.int32()))], names=["uid", "ids"])
 
-    long = keyed.where(F.length("unit") > BITS).select("unit").mapInArrow(heap, "unit string, ids array<int>")
+    long = units.where(F.length("unit") > BITS).select("uid", "unit").mapInArrow(heap, "uid bigint, ids array<int>")
     return ids.unionByName(long)
 
 
-class _Known:
-    """Words and their ids as one flat array."""
-
-    def __init__(self, units: list[str], ids: list):
-        self.at = {u: i for i, u in enumerate(units)}
-        self.size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.begin = np.cumsum(self.size) - self.size
-        self.flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if len(ids) else np.empty(0, np.int32)
+def _uid(unit: str) -> int:
+    """What ``xxhash64`` gives for the word."""
+    return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), seed=42)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", known_units: int = 500_000, per_flush: int = 400_000) -> DataFrame:
+class _Known:
+    """Ids of words as flat arrays, by the words' sorted hashes; ``at`` remembers recent words."""
+
+    def __init__(self, uid: np.ndarray, ids: pa.Array, most: int = 300_000):
+        order = np.argsort(uid.view(np.uint64))
+        begin = ids.offsets.to_numpy()
+        self.uid, self.begin, self.size = uid.view(np.uint64)[order], begin[:-1][order].astype(np.int64), np.diff(begin)[order].astype(np.int64)
+        self.flat, self.at, self.most = ids.values.to_numpy(), {}, most
+
+    def places(self, units: list[str]) -> list[int]:
+        """Each word's place, -1 where it is not known."""
+        new = [u for u in set(units) if u not in self.at]
+        if new:
+            if len(self.at) + len(new) > self.most:
+                self.at.clear()
+                new = list(set(units))
+            h = np.fromiter(map(_uid, new), np.uint64, len(new))
+            i = np.minimum(np.searchsorted(self.uid, h), max(0, len(self.uid) - 1))
+            i = np.where(self.uid[i] == h, i, -1) if len(self.uid) else np.full(len(h), -1)
+            self.at.update(zip(new, i.tolist()))
+        return list(map(self.at.__getitem__, units))
+
+
+def _gather(known: _Known, units: list[str], extra: list | None) -> np.ndarray:
+    if not units:
+        return np.empty(0, np.int32)
+    k = np.array(known.places(units), np.int64)
+    size, begin = (x[k] if len(x) else np.zeros(len(k), np.int64) for x in (known.size, known.begin))
+    miss = np.flatnonzero(k < 0)
+    more = np.empty(0, np.int32)
+    if len(miss):
+        at = {e["uid"]: i for i, e in enumerate(extra)}
+        ids = [np.asarray(e["ids"], np.int32) for e in extra]
+        own = np.fromiter(map(len, ids), np.int64, len(ids))
+        own_begin = np.cumsum(own) - own
+        i = np.array([at[np.uint64(_uid(units[m])).astype(np.int64).item()] for m in miss])
+        size[miss], begin[miss], more = own[i], own_begin[i], np.concatenate(ids)
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
+    if not len(miss):
+        return known.flat[place]
+    other = np.repeat(k < 0, size)
+    out = np.empty(len(place), np.int32)
+    out[~other], out[other] = known.flat[place[~other]], more[place[other]]
+    return out
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", known_units: int = 1_000_000, per_flush: int = 400_000) -> DataFrame:
     """``(id, n_tokens, ids, round_trip)``, one row per row of ``docs``.
 
     The distinct words of all texts are encoded once by the lattice. Every task
-    gets the ``known_units`` most frequent of them (a fixed bound); the others
-    come to the documents that have them by a join. ``round_trip`` says
-    whether decoding the ids gives the text back.
+    gets the ``known_units`` most frequent of them (a fixed bound, about 30 bytes
+    each); the others come to the documents that have them by a join.
+    ``round_trip`` says whether decoding the ids gives the text back.
 
     Null and empty texts have no ids (and a round trip to the empty text). Rows
     with one id are encoded row by row. An empty table gives no rows.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = src.schema["id"].dataType.simpleString()
 
     def count(batches):
         p, seen = pieces(path), Counter()
@@ -238,53 +295,34 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         yield flush()
 
     words = src.select("text").mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
-    words = stored(words, "words")
-    ids = stored(encode_units(spark, words, path), "encoded")
-    both = words.join(ids, "unit")
-    top = both.orderBy(F.desc("n"), "unit").limit(known_units).select("unit", "ids").toPandas()
-    shared = spark.sparkContext.broadcast((top["unit"].tolist(), top["ids"].tolist()))
-    all_known = len(top) < known_units
-    full = src.withColumn("extra", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
-
-    if not all_known:
-        def rare(batches):
-            p, known = pieces(path), set(shared.value[0])
-            for b in batches:
-                rows = [(i, u) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()) for u in set(p.units(t)).difference(known)]
-                yield pa.record_batch([pa.array([r[0] for r in rows], b.schema.field("id").type), pa.array([r[1] for r in rows], pa.string())], names=["id", "unit"])
-
-        kind = src.schema["id"].dataType.simpleString()
-        extra = src.mapInArrow(rare, f"id {kind}, unit string").join(ids, "unit")
-        extra = extra.groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
-        full = src.join(extra, src.id.eqNullSafe(F.col("_of")), "left").select("id", "text", "extra")
+    words = stored(words.withColumn("uid", F.xxhash64("unit")), "words")
+    ids = stored(encode_units(words, path), "encoded")
+    top = words.orderBy(F.desc("n"), "uid").limit(known_units).select("uid").join(ids, "uid").toArrow().combine_chunks()
+    shared = spark.sparkContext.broadcast((top["uid"].to_numpy(), top["ids"].combine_chunks() if top.num_rows else pa.array([], pa.list_(pa.int32()))))
+
+    def rare(batches):
+        p, known = pieces(path), _Known(*shared.value)
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+                units = list(set(p.units(t)))
+                rows += [(i, u) for u, k in zip(units, known.places(units)) if k < 0]
+            uid = np.fromiter((_uid(r[1]) for r in rows), np.uint64, len(rows)).view(np.int64)
+            yield pa.record_batch([pa.array([r[0] for r in rows], b.schema.field("id").type), pa.array(uid)], names=["id", "uid"])
+
+    extra = src.mapInArrow(rare, f"id {kind}, uid bigint").distinct().join(ids, "uid")
+    extra = extra.groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("uid", "ids")).alias("extra"))
+    full = src.join(extra, src.id.eqNullSafe(F.col("_of")), "left").select("id", "text", "extra")
 
     def encode(batches):
         p, known = pieces(path), _Known(*shared.value)
         for b in batches:
-            n, out, same = [], [], []
-            extras = b.column("extra").to_pylist()
-            for text, extra in zip(b.column("text").to_pylist(), extras):
-                units = p.units(text)
-                if extra:
-                    more = {e["unit"]: e["ids"] for e in extra}
-                    got = []
-                    for u in units:
-                        i = known.at.get(u)
-                        got.append(more[u] if i is None else known.flat[known.begin[i] : known.begin[i] + known.size[i]])
-                    ids = np.concatenate([np.asarray(g, np.int32) for g in got])
-                elif units:
-                    k = np.fromiter(map(known.at.__getitem__, units), np.int64, len(units))
-                    size = known.size[k]
-                    ends = np.cumsum(size)
-                    ids = known.flat[np.arange(ends[-1]) + np.repeat(known.begin[k] - (ends - size), size)]
-                else:
-                    ids = np.empty(0, np.int32)
-                n.append(len(ids))
-                out.append(ids)
-                same.append(p.decode(ids.tolist()) == (text or ""))
-            offsets = np.r_[0, np.cumsum(n, dtype=np.int64)].astype(np.int32)
+            texts, extras = b.column("text").to_pylist(), b.column("extra").to_pylist()
+            out = [_gather(known, p.units(t), e) for t, e in zip(texts, extras)]
+            n = np.fromiter(map(len, out), np.int64, len(out))
+            same = [p.decode(x.tolist()) == (t or "") for x, t in zip(out, texts)]
+            offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
             flat = np.concatenate(out) if out else np.empty(0, np.int32)
-            yield pa.record_batch([b.column("id"), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids", "round_trip"])
+            yield pa.record_batch([b.column("id"), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids", "round_trip"])
 
-    kind = src.schema["id"].dataType.simpleString()
     return full.mapInArrow(encode, f"id {kind}, n_tokens bigint, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
