@@ -58,7 +58,7 @@ def forward_url(endpoint: Column, container: Column, key: Column, put: bool = Tr
     base = F.when(endpoint.startswith("http://") | endpoint.startswith("https://"), endpoint).otherwise(F.concat(F.lit("http://"), endpoint))
     path = F.replace(F.url_encode(key), F.lit("%2F"), F.lit("/"))
     path = F.replace(path, F.lit("+"), F.lit("%20")) if put else path
-    return F.concat(F.regexp_replace(base, "/?$", "/"), F.url_encode(container), F.when(key.startswith("/"), "").otherwise("/"), path)
+    return F.concat(F.regexp_replace(base, "/$", ""), F.lit("/"), F.url_encode(container), F.when(key.startswith("/"), "").otherwise("/"), path)
 
 
 def rename(key: Column, rules: list[tuple[str, str]]) -> Column:

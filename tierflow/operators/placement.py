@@ -81,7 +81,7 @@ def route_plan(chunks: DataFrame, pol: DataFrame, workers: DataFrame, nodes: lis
     decision = F.when(F.col("kind").isNull(), "STORE").when(away, "REROUTE").when(F.col("kind") == "STORE", "STORE").when(F.col("endpoint").isNull(), "NO_SUITABLE_WORKER").otherwise(F.col("kind"))
     out = out.withColumn("decision", decision)
     to = F.when(F.col("decision") == "REROUTE", F.col("owner")).when(F.col("decision").isin("INTER_REGION", "INTRA_REGION"), F.col("endpoint"))
-    out = out.withColumn("next", F.regexp_replace(to, "/?$", "/")).withColumn("unprocessed", F.coalesce((F.col("decision") == "STORE") & ~F.col("empty") & ~F.col("can_execute"), F.lit(False)))
+    out = out.withColumn("next", F.concat(F.regexp_replace(to, "/$", ""), F.lit("/"))).withColumn("unprocessed", F.coalesce((F.col("decision") == "STORE") & ~F.col("empty") & ~F.col("can_execute"), F.lit(False)))
     return out.select(*chunks.columns, "decision", "next", "unprocessed")
 
 
