@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,13 +17,14 @@ def _hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def assign_shards(df: DataFrame, key_col: str = "doc_id", size_col: Column | None = None, limit: int = 256 << 10, step: int = 10) -> DataFrame:
+def assign_shards(df: DataFrame, key_col: str = "doc_id", size_col: Column | None = None, limit: int = 256 << 10, step: int = 3) -> DataFrame:
     """``(key, n_bytes, shard, depth, shard_bytes, shard_rows)``, one row per row of ``df``.
 
     The directory is indexed by prefix bits of a hash of the key. A bucket of
     more than ``limit`` bytes and more than one row splits on the next bit, and
-    no other bucket does. Bytes are summed by prefixes of ``step`` more bits at
-    a time; only rows of buckets still too large take part in the next time.
+    no other bucket does. Bytes are summed by prefixes of as many bits as equal
+    shards would need and two more; only rows of buckets still too large take
+    part in the next turns, of ``step`` bits each.
     ``shard`` is the prefix as a bit string, with ``limit``-sized pieces
     ``+<partition>.<piece>`` where one key alone is over the limit. A single row
     over the limit has a shard of its own. Null keys are one key, null texts
@@ -30,16 +32,18 @@ def assign_shards(df: DataFrame, key_col: str = "doc_id", size_col: Column | Non
     """
     size = F.octet_length(F.col("text")) if size_col is None else size_col
     rows = stored(df.select(F.col(key_col).alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes")).withColumn("h", _hash(F.col("key"))), "sizes")
-    done, open_, depth = [], rows, 0
+    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    done, open_, depth, more = [], rows, 0, math.ceil(math.log2(max(1.0, total / limit))) + 2
     while depth < BITS:
-        deep = min(depth + step, BITS)
+        deep, more = min(depth + more, BITS), step
         cells = cut(open_.withColumn("cell", F.shiftright("h", BITS - deep)).groupBy("cell").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")))
         above = cells.withColumn("depth", F.explode(F.sequence(F.lit(depth), F.lit(deep)))).withColumn("p", F.expr(f"shiftright(cell, {deep} - depth)"))
         sums = above.groupBy("depth", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
-        fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
-        leaf = above.select("cell", "depth", "p").join(fits, ["depth", "p"])
-        leaf = leaf.groupBy("cell").agg(F.min_by(F.struct("depth", "p", "shard_bytes", "shard_rows"), "depth").alias("leaf"))
-        leaf = cut(leaf.select("cell", "leaf.*"))
+        sums = cut(sums.withColumn("fits", (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)))
+        split = sums.where("not fits").select((F.col("depth") + 1).alias("depth"), F.col("p").alias("half"))
+        first = sums.where(F.col("fits") & (F.col("depth") == depth))
+        fits = sums.where("fits").withColumn("half", F.shiftright("p", 1)).join(split, ["depth", "half"], "left_semi").drop("half").unionByName(first)
+        leaf = cut(above.select("cell", "depth", "p").join(fits.drop("fits"), ["depth", "p"]))  # one bucket a cell
         at = open_.withColumn("cell", F.shiftright("h", BITS - deep))
         done.append(at.join(leaf, "cell").select("key", "n_bytes", "depth", "p", F.lit("").alias("piece"), "shard_bytes", "shard_rows"))
         large = cut(cells.join(leaf.select("cell"), "cell", "left_anti").select("cell"))
