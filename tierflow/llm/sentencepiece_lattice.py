@@ -117,7 +117,7 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 # An edge as one long, so that edges sort by rank and place: rank, start, length, id + 1.
-_START, _LENGTH, _ID = "(c >> 26) & 63", "(c >> 20) & 63", "c & 1048575"
+_START, _LENGTH, _ID = "shiftright(c, 26) & 63", "shiftright(c, 20) & 63", "c & 1048575"
 _EDGE = f"""named_struct('ends', (1L << cast({_START} as int)) | (1L << cast(({_START}) + ({_LENGTH}) as int)),
  'inner', (1L << cast(({_START}) + ({_LENGTH}) as int)) - (1L << cast(({_START}) + 1 as int)), 's', {_START}, 'id', {_ID})"""
 
