@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +98,7 @@ class CachedEncoder:
     and as many words are remembered.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
@@ -107,35 +109,30 @@ class CachedEncoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.flat, self.begin, self.size, self.used = np.empty(1 << 16, _U32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.words: dict[str, bytes] = {}
+        self.flat, self.begin, self.size = bytearray(), array("q"), array("q")
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            ids = self.words[word] = [t.id for t in self.model.tokenize(text)]
+            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return ids
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def _chunk(self, chunk: str) -> bytes:
         m = self.simple(chunk)
         if not m:
-            return self.tok.encode(chunk, add_special_tokens=False).ids
+            return array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
         word, marks = m.groups()
         return self._word(word.lower()) + self._word(marks) if marks else self._word(word.lower())
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > self.most:
-            self._clear()
+    def _learn(self, chunks) -> None:
         for c in chunks:
-            ids, k = self._chunk(c), len(self.known)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.r_[self.flat, np.empty_like(self.flat)]
-            if k == len(self.begin):
-                self.begin, self.size = np.r_[self.begin, self.begin], np.r_[self.size, self.size]
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[k], self.size[k], self.known[c] = self.used, len(ids), k
-            self.used += len(ids)
+            ids = self._chunk(c)
+            self.known[c] = len(self.begin)
+            self.begin.append(len(self.flat) // 4)
+            self.size.append(len(ids) // 4)
+            self.flat += ids
 
     def ids(self, text: str | None) -> np.ndarray:
         if text and self.odd(text):  # white space to Python, not to the tokenizer
@@ -143,16 +140,19 @@ class CachedEncoder:
         chunks = (text or "").split()
         if not chunks:
             return np.empty(0, _U32)
-        distinct = set(chunks)
-        for _ in range(2):  # a second time if making room forgot some
-            new = distinct.difference(self.known)
-            if not new:
-                break
-            self._learn(list(new))
-        k = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[k]
+        k = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        miss = np.flatnonzero(k < 0)
+        if len(miss):
+            new = {chunks[i] for i in miss.tolist()}
+            if len(self.known) + len(new) > self.most:
+                self._clear()
+                new, miss = set(chunks), np.arange(len(chunks))
+            self._learn(new)
+            k[miss] = [self.known[chunks[i]] for i in miss.tolist()]
+        begin, all_sizes = np.frombuffer(self.begin, np.int64), np.frombuffer(self.size, np.int64)
+        size = all_sizes[k]
         ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.begin[k] - (ends - size), size)]
+        return np.frombuffer(self.flat, _U32)[np.arange(ends[-1]) + np.repeat(begin[k] - (ends - size), size)]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
