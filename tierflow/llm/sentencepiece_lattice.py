@@ -118,8 +118,16 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 # An edge as one long, so that edges sort by rank and place: rank, start, length, id + 1.
 _START, _LENGTH, _ID = "shiftright(c, 26) & 63", "shiftright(c, 20) & 63", "c & 1048575"
-_EDGE = f"""named_struct('ends', (1L << cast({_START} as int)) | (1L << cast(({_START}) + ({_LENGTH}) as int)),
- 'inner', (1L << cast(({_START}) + ({_LENGTH}) as int)) - (1L << cast(({_START}) + 1 as int)), 's', {_START}, 'id', {_ID})"""
+
+
+def _spans() -> tuple[list[int], list[int]]:
+    """By an edge's place (start * 64 + length): the bits of its two ends, and of the boundaries between."""
+    ends, inner = [0] * 4096, [0] * 4096
+    for s in range(BITS):
+        for n in range(1, BITS - s + 1):
+            ends[s * 64 + n] = (1 << s) | (1 << (s + n))
+            inner[s * 64 + n] = (1 << (s + n)) - (1 << (s + 1))
+    return ends, inner
 
 
 def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
@@ -132,10 +140,14 @@ def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     at = units.select("uid", "unit", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
     sub = at.select("uid", "unit", "s", F.explode(F.expr(f"sequence(1, least({longest}, length(unit) - s))")).alias("l"))
     sub = sub.withColumn("part", F.expr("substring(unit, s + 1, l)"))
-    known = table.withColumn("key", F.xxhash64("piece"))
-    # a vocabulary has a fixed size; the hash is the join's key, equal text is checked too
-    hit = sub.join(F.broadcast(known), (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")), "left").where("id is not null or l = 1")
-    code = F.expr("(cast(coalesce(rank, 1048575) as bigint) << 32) | (cast(s as bigint) << 26) | (cast(l as bigint) << 20) | coalesce(id + 1, 0)")
+    known = table.select(
+        F.xxhash64("piece").alias("key"), "piece", F.octet_length("piece").alias("bytes"), "late",
+        F.expr("(cast(rank as bigint) << 32) | (cast(id as bigint) + 1)").alias("entry"),
+    )
+    # A vocabulary has a fixed size. The join's key is one long; equal text is checked beside it.
+    same = F.expr("startswith(part, piece) and bytes >= octet_length(part)")
+    hit = sub.join(F.broadcast(known), (F.xxhash64("part") == F.col("key")) & same, "left").where("entry is not null or l = 1")
+    code = F.expr("coalesce(entry, 1048575L << 32) | (cast(s as bigint) << 26) | (cast(l as bigint) << 20)")
     return hit.groupBy("uid").agg(F.first("unit").alias("unit"), F.sort_array(F.collect_list(code)).alias("edges"), F.max(F.coalesce("late", F.lit(False))).alias("late"))
 
 
@@ -146,13 +158,17 @@ def fold_merges(edges: DataFrame, byte0: int) -> DataFrame:
     Where merges come in rank order one fold over the sorted edges is exact.
     Else every step of the fold looks for the first edge that applies.
     """
+    ends, inner = map(F.lit, _spans())
+    place = lambda c: F.shiftright(c, 20).bitwiseAND(4095).cast("int")
+    e = edges.withColumn("e", F.transform("edges", lambda c: F.struct(c.alias("c"), ends[place(c)].alias("ends"), inner[place(c)].alias("inner"))))
     start = "(1L << (length(unit) + 1)) - 1"
     fits = "(m & x.ends) = x.ends and bit_count(m & x.inner) = 1"
     once = f"aggregate(e, {start}, (m, x) -> if({fits}, m & ~x.inner, m))"
     again = f"aggregate(sequence(1, length(unit)), {start}, (m, i) -> coalesce(m & ~get(filter(e, x -> {fits}), 0).inner, m))"
-    out = edges.select("uid", "unit", "late", F.expr(f"transform(edges, c -> {_EDGE})").alias("e")).select("uid", "unit", "e", F.expr(f"if(late, {again}, {once})").alias("m"))
-    part = out.select("uid", "unit", F.expr("array_sort(transform(filter(e, x -> (m & x.ends) = x.ends and (m & x.inner) = 0), x -> (x.s << 20) | x.id))").alias("t"))
-    raw = "encode(substring(unit, cast(shiftright(x, 20) as int) + 1, 1), 'utf-8')"
+    out = e.select("uid", "unit", "e", F.expr(f"if(late, {again}, {once})").alias("m"))
+    # what is left of an edge sorts by its start
+    part = out.select("uid", "unit", F.expr("sort_array(transform(filter(e, x -> (m & x.ends) = x.ends and (m & x.inner) = 0), x -> x.c & 4294967295))").alias("t"))
+    raw = "encode(substring(unit, cast(shiftright(x, 26) as int) + 1, 1), 'utf-8')"
     split = f"flatten(transform(t, x -> if((x & 1048575) > 0, array(cast((x & 1048575) - 1 as int)), transform(sequence(1, octet_length({raw})), k -> cast(conv(hex(substring({raw}, k, 1)), 16, 10) as int) + {byte0}))))"
     ids = F.expr(f"if(exists(t, x -> (x & 1048575) = 0), {split}, transform(t, x -> cast((x & 1048575) - 1 as int)))")
     return part.select("uid", ids.alias("ids"))
