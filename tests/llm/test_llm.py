@@ -194,3 +194,29 @@ def test_urls_with_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "no host"), (3, "http://WWW.Example.org/es/x?y"), (4, "a://h.com#f"), (5, "http://b.com/de/")], "page_id long, url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
     assert got == {1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 3: ("www.example.org", "/es/x", "example.org/es/", "block"), 4: ("h.com", "", None, "allow"), 5: ("b.com", "/de/", "com/de/", "block")}
+
+
+def _pairs(rng, n, size, label, cosine):
+    """n lone vectors of one label, and size pairs at one cosine."""
+    x = rng.normal(size=(n + 2 * size, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(n, n + size):
+        y = x[i + size] - (x[i + size] @ x[i]) * x[i]
+        x[i + size] = cosine * x[i] + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)
+    return [(v.tolist(), label) for v in x]
+
+
+def test_sparse_links_are_found_beside_a_hot_group(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=32)
+    rows = [((centre + 0.01 * rng.normal(size=32)).tolist(), 0) for _ in range(600)]
+    rows += _pairs(rng, 3000, 0, 0, 0.0) + _pairs(rng, 200, 150, 1, 0.94)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = near_vectors(df, tables=1, rounds=1, cell=8, tries=1).toPandas().set_index("vec_id").sort_index()
+    x = np.array([r[0] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lab = np.array([r[1] for r in rows])
+    link = (x @ x.T >= 0.93) & (lab[:, None] == lab[None, :])
+    np.fill_diagonal(link, False)
+    assert got.n_links.tolist() == link.sum(1).tolist()
+    assert got.component_id.to_dict() == components(range(len(rows)), zip(*np.nonzero(link)))

@@ -13,6 +13,7 @@ from ._common import cut, stored
 from .components import components
 
 _EDGES = "a bigint, b bigint, sim double"
+_BITS = 24  # the most hyperplanes of a table
 
 
 def _unit(col: pa.Array) -> np.ndarray:
@@ -62,7 +63,7 @@ def _top(ids: np.ndarray, other: np.ndarray, sims: np.ndarray, k: int, low: np.n
     return np.repeat(ids, k)[keep.ravel()], other[top][keep], val[keep]
 
 
-def _start(nodes: DataFrame, tables: int, bits: int, k: int, floor: float, seed: int, most: int) -> DataFrame:
+def _start(nodes: DataFrame, tables: int, k: int, floor: float, seed: int, most: int) -> DataFrame:
     """First lists: exhaustive comparison inside cells of random hyperplanes, several times over."""
 
     def cells(batches):
@@ -70,13 +71,14 @@ def _start(nodes: DataFrame, tables: int, bits: int, k: int, floor: float, seed:
             if not b.num_rows:
                 continue
             x = _unit(b.column("vec"))
-            part = b.column("part").to_numpy(zero_copy_only=False)
+            part, bits = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "bits"))
+            most_bits, mask = int(bits.max()), (np.int64(1) << bits) - 1
             for t in range(tables):
-                planes = np.random.default_rng((seed, t, x.shape[1])).standard_normal((x.shape[1], bits + 1))
-                y = x @ planes
-                code = ((y[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                cell = (part.astype(np.int64) * np.int64(tables) + t) * np.int64(1 << bits) + code
-                yield pa.record_batch([pa.array(cell), pa.array(y[:, bits]), b.column("rid"), b.column("vec")], names=["cell", "along", "rid", "vec"])
+                planes = np.random.default_rng((seed, t, x.shape[1])).standard_normal((_BITS + 1, x.shape[1]))
+                code = ((x @ planes[1 : most_bits + 1].T > 0) @ (1 << np.arange(most_bits, dtype=np.int64))).astype(np.int64) & mask
+                cell = pa.array(((part * np.int64(tables) + t) << np.int64(_BITS)) + code)
+                out = pa.record_batch([cell, pa.array(x @ planes[0]), b.column("rid"), b.column("vec")], names=["cell", "along", "rid", "vec"])
+                yield out.filter(pa.array(bits > 0)) if t else out  # a part of one cell is compared whole once
 
     def compare(batches):
         ids0, x0 = None, None
@@ -90,7 +92,7 @@ def _start(nodes: DataFrame, tables: int, bits: int, k: int, floor: float, seed:
             ids0, x0 = ids0[-most // 4 :], x0[-most // 4 :]  # a cell in several pieces overlaps
 
     vec = nodes.schema["vec"].dataType.simpleString()
-    by_cell = nodes.select("part", "rid", "vec").mapInArrow(cells, f"cell bigint, along double, rid bigint, vec {vec}")
+    by_cell = nodes.select("part", "bits", "rid", "vec").mapInArrow(cells, f"cell bigint, along double, rid bigint, vec {vec}")
     return by_cell.repartition("cell").sortWithinPartitions("cell", "along").select("cell", "rid", "vec").mapInArrow(compare, _EDGES)
 
 
@@ -219,26 +221,85 @@ def _saturated(nodes: DataFrame, lists: DataFrame, full: DataFrame, threshold: f
     return blocks.repartition("key").sortWithinPartitions("key").select("key", "q", "rid", "vec", "mult", "own").mapInArrow(compare, "kind string, a bigint, b bigint")
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the true links of a bounded sample of vectors that ``links`` (rid, n) counts."""
-    q = nodes.orderBy(F.xxhash64("rid", F.lit(11))).limit(sample).select("rid", "part", "vec").toPandas()
-    if q.empty:
-        return 1.0
+def _exact(nodes: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """All links within the parts of ``nodes``, block by block.
+
+    Rows: kind n (a: vector, b: how many rows it links with), e (an edge of a
+    block's spanning forest), so no list of a dense group's pairs is built.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    rows = nodes.select("part", "rid", "vec", "mult", blocks.alias("nb"), F.pmod(F.xxhash64("rid", F.lit(13)), blocks).cast("int").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.withColumn("key", F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other")))
+
+    def compare(batches):
+        for t, _ in _runs(batches, "key", 1 << 30):
+            own, ids, mult, x = t["own"].to_numpy(), t["rid"].to_numpy(), t["mult"].to_numpy(), _unit(t["vec"].combine_chunks())
+            one = own == own.min()
+            two = ~one if own.min() != own.max() else one
+            if own.min() == own.max() and (t["other"].to_numpy() != own).any():
+                continue  # the other block is empty
+            link = (x[one] @ x[two].T >= threshold) & (ids[one][:, None] != ids[two][None, :])
+            f = _forest(link, ids[one], ids[two])
+            n = [(ids[one], link @ mult[two])] + ([(ids[two], mult[one] @ link)] if own.min() != own.max() else [])
+            kinds = ["e"] * len(f) + ["n"] * sum(len(i) for i, _ in n)
+            a = np.concatenate([np.array([e[0] for e in f], np.int64), *[i for i, _ in n]])
+            b = np.concatenate([np.array([e[1] for e in f], np.int64), *[c for _, c in n]])
+            yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "own", "other", "rid", "vec", "mult").mapInArrow(compare, "kind string, a bigint, b bigint")
+
+
+def audit(nodes: DataFrame, links: DataFrame, full: DataFrame, threshold: float, sample: int) -> dict[tuple[int, bool], float]:
+    """Mean share of its true links that ``links`` (rid, n) counts for a vector, by (bits, saturated).
+
+    Parts with one number of bits have cells of one kind. Of each number of
+    bits, up to ``sample`` vectors without links found, with one or two, with
+    more, and of the saturated ones (``full``) are compared with their whole
+    part; strata are weighted by their sizes. Parts of no bits are compared
+    whole anyway and not sampled.
+    """
+    of = nodes.where("bits > 0").join(links, "rid", "left").join(full.select("rid", F.lit(True).alias("sat")), "rid", "left")
+    n = F.coalesce("n", F.lit(0))
+    kind = F.when(F.col("sat"), 3).when(n == 0, 0).when(n <= 2, 1).otherwise(2)
+    of = of.select("rid", "bits", kind.alias("kind"), n.alias("n"))
+    sizes = {(r.bits, r.kind): r["count"] for r in of.groupBy("bits", "kind").count().collect()}  # at most 4 a number of bits
+    if not sizes:
+        return {}
+    picked = None
+    for (bits, k), size in sizes.items():
+        share = min(1.0, 1.5 * sample / size + 50 / size)
+        some = of.where((F.col("bits") == bits) & (F.col("kind") == k) & (F.pmod(F.xxhash64("rid", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).limit(sample)
+        picked = some if picked is None else picked.unionByName(some)
+    q = picked.join(nodes.select("rid", "part", "vec"), "rid").toPandas()
     by_part = {p: (g["rid"].to_numpy(), _unit(pa.array([np.asarray(v) for v in g["vec"]]))) for p, g in q.groupby("part")}
+    shared = nodes.sparkSession.sparkContext.broadcast(by_part)
 
     def count(batches):
         for b in batches:
             part, mult, rid = (b.column(c).to_numpy() for c in ("part", "mult", "rid"))
             for p in np.unique(part):
-                if p in by_part:
+                if p in shared.value:
                     at = np.flatnonzero(part == p)
-                    ids, y = by_part[p]
+                    ids, y = shared.value[p]
                     link = (_unit(b.column("vec").take(pa.array(at))) @ y.T >= threshold) & (rid[at][:, None] != ids[None, :])
                     yield pa.record_batch([pa.array(ids), pa.array((mult[at][:, None] * link).sum(0))], names=["rid", "true"])
 
-    true = nodes.select("rid", "part", "vec", "mult").mapInArrow(count, "rid bigint, true bigint").groupBy("rid").agg(F.sum("true").alias("true"))
-    r = true.join(links, "rid", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+    true = nodes.where("bits > 0").select("rid", "part", "vec", "mult").mapInArrow(count, "rid bigint, true bigint").groupBy("rid").agg(F.sum("true").alias("true"))
+    q = q.drop(columns=["vec"]).merge(true.toPandas(), on="rid")
+    out = {}
+    for bits in {b for b, _ in sizes}:
+        for sat in (False, True):
+            got, all_ = 0.0, 0.0
+            for k in [3] if sat else [0, 1, 2]:
+                s = q[(q.bits == bits) & (q.kind == k)]
+                linked = s[s.true > 0]
+                if len(linked):
+                    weight = sizes[bits, k] / len(s)
+                    all_ += weight * len(linked)
+                    got += weight * float((np.minimum(linked.n, linked.true) / linked.true).sum())
+            out[bits, sat] = got / all_ if all_ else 1.0
+    return out
 
 
 def near_vectors(
@@ -261,8 +322,11 @@ def near_vectors(
     Vectors are compared within one group only. A neighbour graph starts from
     cells of random hyperplanes and is refined ``rounds`` times by comparing the
     neighbours of each vector with each other; a list that is full of links is
-    enlarged to all of its links (see ``_saturated``). The recall of a bounded
-    sample is audited against brute force, and too low a value adds more cells.
+    enlarged to all of its links (see ``_saturated``). Cells are as fine as the
+    vector's own group asks for. Recall is audited against brute force (see
+    ``audit``), and where it is below ``recall`` more cells are added. Groups
+    that still fail after ``tries`` are compared block by block; those too large
+    to be cheaper that way get up to four times as many tries before it.
     Lists leave out neighbours below ``floor``, which lead to no link.
 
     Null vectors, zero vectors, null or non-finite components, a null group and
@@ -278,11 +342,12 @@ def near_vectors(
     reps = keyed.where("_ok").groupBy("_k1", "_k2").agg(F.min("_id").alias("rid"), F.count("*").alias("mult"), F.first("_g").alias("_g"), F.first("_v").alias("vec"))
     reps = reps.withColumn("part", F.pmod(F.xxhash64("_g", F.size("vec")), F.lit(1 << 30)))
     nodes = stored(reps.select("_k1", "_k2", "rid", "mult", "part", "vec"), "vectors")
-    largest = nodes.groupBy("part").count().agg(F.max("count")).first()[0] or 0
-    bits = max(0, min(24, math.ceil(math.log2(max(1, largest / cell)))))
-    edges = None
-    for attempt in range(tries):
-        new = _start(nodes, tables, bits, k, floor, 17 + attempt, 4 * cell)
+    sizes = nodes.groupBy("part").agg(F.count("*").alias("size"))
+    sizes = stored(sizes.withColumn("bits", F.least(F.lit(_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / cell)))).cast("int")), "sizes")
+    nodes = nodes.join(sizes, "part")
+    edges, todo, exact = None, None, set()
+    for attempt in range(4 * tries):
+        new = _start(nodes if todo is None else nodes.where(F.col("bits").isin(todo)), tables, k, floor, 17 + attempt, 4 * cell)
         lists = stored(_lists(new if edges is None else new.unionByName(edges), k), "lists")
         for _ in range(rounds):
             lists = stored(_lists(lists.unionByName(_descend(nodes, lists, k, floor)), k), "lists")
@@ -299,10 +364,20 @@ def near_vectors(
         if some:
             n = n.unionByName(whole.where("kind = 'n'").groupBy("a").agg(F.sum("b").alias("n")))
         n = cut(n.withColumnRenamed("a", "rid"))
-        if attempt == tries - 1 or audit(nodes, n, threshold, audit_sample) >= recall:
+        todo = sorted({bits for (bits, _), share in audit(nodes, n, full, threshold, audit_sample).items() if share < recall})
+        if attempt >= tries - 1:  # blocks of 2048 cost less than more tables, or nothing else helped
+            cheap = [bits for bits in todo if (cell << bits) <= 2048 * tables * tries or attempt == 4 * tries - 1]
+            exact |= set(cheap)
+        todo = [bits for bits in todo if bits not in exact]
+        if not todo:
             break
     if some:
         loose = loose.unionByName(whole.where("kind = 'e'").select("a", "b"))
+    if exact:
+        part = nodes.where(F.col("bits").isin(sorted(exact)))
+        all_ = stored(_exact(part, threshold), "exact")
+        loose = loose.unionByName(all_.where("kind = 'e'").select("a", "b"))
+        n = n.join(part.select("rid"), "rid", "left_anti").unionByName(all_.where("kind = 'n'").groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("n")))
     comp = components(loose, "a", "b")
     of = nodes.select("_k1", "_k2", "rid", "mult").join(n, "rid", "left").join(comp, F.col("rid") == F.col("node"), "left")
     of = of.select("_k1", "_k2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("_n"), F.coalesce("component", "rid").alias("_c"))
