@@ -220,3 +220,28 @@ def test_sparse_links_are_found_beside_a_hot_group(spark):
     np.fill_diagonal(link, False)
     assert got.n_links.tolist() == link.sum(1).tolist()
     assert got.component_id.to_dict() == components(range(len(rows)), zip(*np.nonzero(link)))
+
+
+def test_null_and_repeated_ids_have_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENS)
+    rows = [(None, "no id"), (None, None), (-3, "minus three"), (5, "five of one"), (5, "five of two"), (None, "no id either")]
+    got = token_digest(spark.createDataFrame(rows, "doc_id long, text string"), TOKENS, per_file=2).collect()
+    encode = lambda t: np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.ids_crc32) for r in got), key=key) == sorted(((i, zlib.crc32(encode(t))) for i, t in rows), key=key)
+    by_place = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in by_place] == [None, None, None, -3, 5, 5]
+    assert [r.start for r in by_place] == np.cumsum([0, *[r.n_tokens for r in by_place]])[:-1].tolist()
+
+
+def test_null_and_repeated_ids_have_archives(spark):
+    import hashlib
+
+    rows = [(None, "u", "q" * 5000), (None, "u", "q" * 5000), (None, None, None), (1, "u", "q" * 5000), (2, "u", "q" * 5000), (1, "u", "r" * 9000), (4, "u", "s" * 9000), (4, "u", "s" * 9000)]
+    got = warc.archive_digest(spark.createDataFrame(rows, "page_id long, url string, html string"), segment=1024).collect()
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    want = [(i, len(t or ""), sha(t), "response", None) for i, _, t in rows]
+    want[3] = (1, 5000, sha("q" * 5000), "revisit", 2)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

@@ -2,7 +2,8 @@
 
 Format (public "seekable" layout): one frame per document holding its ids as
 little-endian unsigned 32-bit integers; a frame with the documents' ids as
-64-bit integers; a skippable frame with, for every frame, compressed size, size
+64-bit integers and, if any id is null, a bit per document that says which are
+not; a skippable frame with, for every frame, compressed size, size
 and the low 32 bits of the XXH64 of its content; a footer of frame count, a
 descriptor byte (checksums present) and the magic number.
 """
@@ -38,12 +39,14 @@ class FrameWriter:
         self.file.write(frame)
         self.table.append(struct.pack("<III", len(frame), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
 
-    def add(self, doc: int, ids: np.ndarray) -> None:
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
         self.ids.append(doc)
         self._frame(ids.astype(_U32).tobytes())
 
     def close(self) -> None:
-        self._frame(np.array(self.ids, "<i8").tobytes())
+        valid = np.array([i is not None for i in self.ids], bool)
+        marks = b"" if valid.all() else np.packbits(valid, bitorder="little").tobytes()
+        self._frame(np.array([i or 0 for i in self.ids], "<i8").tobytes() + marks)
         table = b"".join(self.table)
         self.file.write(struct.pack("<II", SKIPPABLE, len(table) + 9) + table + struct.pack("<IBI", len(self.table), 0x80, SEEKABLE))
         self.file.close()
@@ -65,7 +68,9 @@ class FrameReader:
         self.sums = raw[:, 2] if wide == 12 else None
         self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
         self.unpack = zstandard.ZstdDecompressor()
-        self.ids = np.frombuffer(self.frame(n - 1), "<i8")
+        ids = self.frame(n - 1)
+        self.ids, marks = np.frombuffer(ids, "<i8", n - 1), np.frombuffer(ids, np.uint8, offset=8 * (n - 1))
+        self.null = ~np.unpackbits(marks, count=n - 1, bitorder="little").astype(bool) if len(marks) else np.zeros(n - 1, bool)
 
     def _at(self, start: int, size: int) -> bytes:
         self.file.seek(start)
@@ -168,13 +173,14 @@ def encoder(path: str) -> CachedEncoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", per_file: int = 8192) -> DataFrame:
     """Encode every text, write files in ascending id order and return ``(file, doc, n)`` of what was written.
 
-    Rows are dealt by ranges of ids, so file ``i`` holds smaller ids than file
-    ``i + 1``, and sorted within; a null text is empty, a null id is left out with
-    an error, rows with one id follow each other. An empty table writes no file.
+    Rows are dealt by ranges of ids, so file ``i`` holds no larger ids than file
+    ``i + 1``, and sorted within; a null text is empty, null ids come first, rows
+    with one id follow each other in the order of a hash of their texts, and may
+    lie in several files. An empty table writes no file.
     """
     from pyspark import TaskContext
 
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("a document has no id")).cast("long")).alias("doc"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     def run(batches):
         out, part, seen, number = None, TaskContext.get().partitionId(), 0, 0
@@ -196,7 +202,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         if out is not None:
             out.close()
 
-    return src.repartitionByRange("doc").sortWithinPartitions("doc").mapInArrow(run, "file string, doc bigint, n bigint")
+    src = src.withColumn("mark", F.xxhash64("text"))  # so that rows of one id, or none, are dealt out too
+    return src.repartitionByRange("doc", "mark").sortWithinPartitions("doc", "mark").mapInArrow(run, "file string, doc bigint, n bigint")
 
 
 def read_tokens(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
@@ -210,7 +217,7 @@ def read_tokens(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
                     some = range(at, min(at + 1000, len(r.ids)))
                     data = [r.frame(i) for i in some]
                     yield pa.record_batch([
-                        pa.array([name] * len(data)), pa.array(some, pa.int64()), pa.array(r.ids[at : at + 1000]),
+                        pa.array([name] * len(data)), pa.array(some, pa.int64()), pa.array(r.ids[at : at + 1000], mask=r.null[at : at + 1000]),
                         pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([zlib.crc32(d) for d in data], pa.int64()),
                     ], names=["file", "frame", "doc", "n_tokens", "ids_crc32"])
 

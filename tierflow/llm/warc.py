@@ -19,8 +19,9 @@ _FIELDS = ["page_id", "kind", "refers", "digest", "origin", "segment", "total",
 _READ = "page_id bigint, kind string, refers bigint, digest string, payload_bytes bigint, payload binary"
 
 
-def _name(page: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page/{page}')}>"
+def _name(page: int, digest: str) -> str:
+    """Rows that share an id but not the payload have names of their own."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page/{page}/{digest}')}>"
 
 
 def chunked(data: bytes, size: int = 8192) -> bytes:
@@ -49,13 +50,18 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return pack.compress(b"WARC/1.1\r\n" + lines.encode("utf-8") + b"\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def records(page: int, url: str | None, payload: bytes, refers: int | None, digest: str, segment: int) -> Iterator[bytes]:
-    """The records of one page: a revisit, a response, or a first segment and its continuations."""
-    name, target = _name(page), (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    common = [("WARC-Record-ID", name), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("Page-ID", str(page)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+def records(page: int | None, url: str | None, payload: bytes, refers: int | None, digest: str, segment: int, row: str | None = None) -> Iterator[bytes]:
+    """The records of one page: a revisit, a response, or a first segment and its continuations.
+
+    A row without an id, or one that repeats another whole, is named by its place ``row``.
+    """
+    name = _name(page, digest) if row is None else f"<urn:uuid:{uuid.uuid5(_SPACE, row)}>"
+    number = [] if page is None else [("Page-ID", str(page))]
+    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    common = [("WARC-Record-ID", name), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Target-URI", target), *number, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html;charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers is not None:
-        yield _record([("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _name(refers)), ("Refers-To-Page-ID", str(refers)), *common], head)
+        yield _record([("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _name(refers, digest)), ("Refers-To-Page-ID", str(refers)), *common], head)
         return
     block = head + chunked(payload)
     pieces = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -65,7 +71,7 @@ def records(page: int, url: str | None, payload: bytes, refers: int | None, dige
     yield _record([("WARC-Type", "response"), ("WARC-Segment-Number", "1"), *common], pieces[0])
     for i, piece in enumerate(pieces[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if i == len(pieces) else []
-        own = f"<urn:uuid:{uuid.uuid5(_SPACE, f'page/{page}/{i}')}>"
+        own = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{name}/{i}')}>"
         yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", own), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(i)), ("WARC-Date", "2020-01-01T00:00:00Z"), *last], piece)
 
 
@@ -92,11 +98,11 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def find_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = 1000) -> DataFrame:
-    """``(id, refers_to)`` of pages whose payload of at least ``least`` bytes a page with a larger id has too."""
+    """``(id, sha, refers_to)`` of pages whose payload of at least ``least`` bytes a page with a larger id has too."""
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8")
     narrow = pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_sha"), F.octet_length(payload).alias("_n")).where(F.col("_n") >= least)
     first = narrow.groupBy("_sha").agg(F.max("_id").alias("_first"), F.count("*").alias("_c")).where("_c > 1")
-    return narrow.join(first, "_sha").where("_id < _first").groupBy(F.col("_id").alias(id_col)).agg(F.max("_first").alias("refers_to"))
+    return narrow.join(first, "_sha").where("_id < _first").groupBy(F.col("_id").alias(id_col), F.col("_sha").alias("sha")).agg(F.max("_first").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = 16 << 10, per_file: int = 4096) -> DataFrame:
@@ -104,21 +110,25 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Equal payloads of at least 1000 bytes are stored with the largest id only.
     Rows are dealt to tasks as they come; a task run again writes the same names.
-    Null payloads are empty, null urls too; a null id raises an error.
+    Null payloads are empty, null urls too; a page without an id has records
+    without Page-ID. Rows that repeat an id and a payload have records of their own.
     """
     from pyspark import TaskContext
 
-    of = find_revisits(pages, id_col, payload_col).withColumnRenamed(id_col, "_of")
-    src = pages.join(of, F.col(id_col) == F.col("_of"), "left").select(
-        F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("a page has no id")).cast("long")).alias("id"),
-        F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8").alias("payload"), "refers_to")
+    src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8").alias("payload"))
+    src = src.withColumn("_sha", F.sha1("payload"))
+    of = find_revisits(pages, id_col, payload_col).select(F.col(id_col).cast("long").alias("_of"), F.col("sha").alias("_of_sha"), "refers_to")
+    src = src.join(of, (F.col("id") == F.col("_of")) & (F.col("_sha") == F.col("_of_sha")), "left").drop("_of", "_of_sha")
+    again = src.where("id is not null").groupBy(F.col("id").alias("_of"), F.col("_sha").alias("_of_sha")).agg(F.count("*").alias("_c")).where("_c > 1")
+    src = src.join(again, (F.col("id") == F.col("_of")) & (F.col("_sha") == F.col("_of_sha")), "left").select("id", "url", "payload", "refers_to", (F.col("id").isNull() | F.col("_c").isNotNull()).alias("own"))
 
     def run(batches):
         part, out, n, number, done = TaskContext.get().partitionId(), None, 0, 0, []
+        run_id = uuid.uuid4().hex  # a task run again writes its files anew, so names of one file are of one run
         for b in batches:
-            for page, url, payload, refers in zip(*(b.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to"))):
+            for page, url, payload, refers, own in zip(*(b.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to", "own"))):
                 out = out or Whole(path, f"pages-{part:06d}-{number:06d}.warc.gz")
-                for r in records(page, url, payload, refers, hashlib.sha1(payload).hexdigest(), segment):
+                for r in records(page, url, payload, refers, hashlib.sha1(payload).hexdigest(), segment, f"row/{run_id}/{number}/{n}" if own else None):
                     out.write(r)
                 n += 1
                 if n == per_file:
