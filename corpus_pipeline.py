@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tierflow.llm._common import stored
+from tierflow.llm._common import numbered, stored
 from tierflow.llm.minhash_dedup import keep_one
 from tierflow.llm.mixing import mixed
 from tierflow.llm.quality_classifier import score_quality
@@ -42,7 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, tokenizer("piece_bpe_32k.model"))
+    """Tokens of every row with its ``position``: its place in the files that the mix has written."""
+    return encode_documents(numbered(docs, "position"), tokenizer("piece_bpe_32k.model"), keep=("position",))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import corpus_pipeline
 
 
@@ -12,3 +15,38 @@ def test_stages_keep_columns_and_drop_rows(spark, sf):
         docs, n = spark.createDataFrame(rows, docs.schema), len(rows)
     last = corpus_pipeline.STAGES[4][1](spark, docs, sf).toPandas()
     assert len(last) == n and last.round_trip.all()
+
+
+def _pfair(rows, block=64 << 10, period=1000):
+    """Ids in the order of the mix, slot by slot."""
+    total, n = {}, {}
+    for r in rows:
+        s = r.source or ""
+        total[s] = total.get(s, 0) + len((r.text or "").encode())
+    m = len(total)
+    d, weight = max(period, 4 * m), {s: math.sqrt(b) for s, b in sorted(total.items())}
+    exact = {s: (d - m) * w / sum(weight.values()) for s, w in weight.items()}
+    left = d - m - sum(int(e) for e in exact.values())
+    for i, s in enumerate(sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))):
+        n[s] = 1 + int(exact[s]) + (i < left)
+    done, at = dict.fromkeys(sorted(total), 0), {}
+    for t in range(d):
+        s = min((-(-(done[s] + 1) * d // n[s]), s) for s in done if done[s] * d // n[s] <= t)[1]
+        at[s, done[s]], done[s] = t, done[s] + 1
+    run, order = {}, []
+    for mark, r in sorted((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r) for r in rows):
+        s = r.source or ""
+        b = run.get(s, 0) // block
+        run[s] = run.get(s, 0) + len((r.text or "").encode())
+        order.append((b // n[s] * d + at[s, b % n[s]], mark, r.doc_id))
+    return [i for _, _, i in sorted(order)]
+
+
+def test_the_mix_reaches_the_tokens(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.stored(stage(spark, docs, sf), "test")
+    got = corpus_pipeline.run(spark, sf).select("doc_id", "position").collect()
+    got.sort(key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(len(got)))
+    assert [r.doc_id for r in got] == _pfair(docs.collect())

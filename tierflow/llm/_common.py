@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: ASCII white space, the only separators between words.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -45,6 +45,30 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _of_files(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is one row of a Parquet file and no row of the files is missing."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") and "parquet" in plan.toString().split("\n")[0]
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the place of every row, from 0 without gaps: files by name, and the rows in each.
+
+    The numbers depend on the files alone, so every evaluation gives the same.
+    Rows that do not come from Parquet files as they are get written first.
+    """
+    if not _of_files(df):
+        df = stored(df, "rows")
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = stored(rows.groupBy("_file").count(), "places")
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    base = files.select(F.col("_file").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    rows = rows.join(F.broadcast(base), F.col("_file") == F.col("_of"))
+    return rows.withColumn(name, F.col("_base") + F.col("_at")).drop("_file", "_at", "_of", "_base")
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z (bytes methods see ASCII only)."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

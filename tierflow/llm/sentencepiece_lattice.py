@@ -284,8 +284,8 @@ def _gather(known: _Known, units: list[str], extra: list | None) -> np.ndarray:
     return out
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", known_units: int = 1_000_000, per_flush: int = 400_000) -> DataFrame:
-    """``(id, n_tokens, ids, round_trip)``, one row per row of ``docs``.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", known_units: int = 1_000_000, per_flush: int = 400_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, n_tokens, ids, round_trip)`` and the columns ``keep``, one row per row of ``docs``.
 
     The distinct words of all texts are encoded once by the lattice. Every task
     gets the ``known_units`` most frequent of them (a fixed bound, about 30 bytes
@@ -296,8 +296,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     with one id are encoded row by row. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    kind, more = src.schema["id"].dataType.simpleString(), [f"_keep_{c}" for c in keep]
 
     def count(batches):
         p, seen = pieces(path), Counter()
@@ -326,9 +326,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             uid = np.fromiter((_uid(r[1]) for r in rows), np.uint64, len(rows)).view(np.int64)
             yield pa.record_batch([pa.array([r[0] for r in rows], b.schema.field("id").type), pa.array(uid)], names=["id", "uid"])
 
-    extra = src.mapInArrow(rare, f"id {kind}, uid bigint").distinct().join(ids, "uid")
+    extra = src.select("id", "text").mapInArrow(rare, f"id {kind}, uid bigint").distinct().join(ids, "uid")
     extra = extra.groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("uid", "ids")).alias("extra"))
-    full = src.join(extra, src.id.eqNullSafe(F.col("_of")), "left").select("id", "text", "extra")
+    full = src.join(extra, src.id.eqNullSafe(F.col("_of")), "left").select("id", "text", "extra", *more)
 
     def encode(batches):
         p, known = pieces(path), _Known(*shared.value)
@@ -339,6 +339,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             same = [p.decode(x.tolist()) == (t or "") for x, t in zip(out, texts)]
             offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
             flat = np.concatenate(out) if out else np.empty(0, np.int32)
-            yield pa.record_batch([b.column("id"), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids", "round_trip"])
+            cols = [b.column("id"), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), pa.array(same, pa.bool_())]
+            yield pa.record_batch([*cols, *[b.column(c) for c in more]], names=["id", "n_tokens", "ids", "round_trip", *more])
 
-    return full.mapInArrow(encode, f"id {kind}, n_tokens bigint, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    own = "".join(f", `{c}` {src.schema[c].dataType.simpleString()}" for c in more)
+    out = full.mapInArrow(encode, f"id {kind}, n_tokens bigint, ids array<int>, round_trip boolean{own}")
+    return out.withColumnsRenamed({"id": id_col} | dict(zip(more, keep)))
