@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tierflow.llm._common import numbered, stored
 from tierflow.llm.minhash_dedup import keep_one
 from tierflow.llm.mixing import mixed
-from tierflow.llm.quality_classifier import score_quality
-from tierflow.llm.quality_rules import judge_quality
+from tierflow.llm.quality_classifier import keep_quality
+from tierflow.llm.quality_rules import keep_judged
 from tierflow.llm.queries import tokenizer
 from tierflow.llm.sentencepiece_lattice import encode_documents
 
@@ -19,18 +19,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents whose every row was kept; null ids are compared as equals."""
-    good = verdicts.groupBy(F.col("doc_id").alias("_id")).agg(F.min("ok").alias("_ok")).where("_ok").select("_id")
-    return docs.join(good, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, score_quality(docs, _labels(spark, sf_dir)).select("doc_id", (F.col("predicted") == 1).alias("ok")))
+    return keep_quality(docs, _labels(spark, sf_dir))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, judge_quality(docs, _labels(spark, sf_dir)).select("doc_id", F.col("kept").alias("ok")))
+    return keep_judged(docs, _labels(spark, sf_dir))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,19 @@ def test_the_mix_reaches_the_tokens(spark, sf):
     got.sort(key=lambda r: r.position)
     assert [r.position for r in got] == list(range(len(got)))
     assert [r.doc_id for r in got] == _pfair(docs.collect())
+
+
+def test_rows_are_judged_by_themselves(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = corpus_pipeline.rules(spark, corpus_pipeline.classify(spark, docs, sf), sf)
+    good = [r.text for r in corpus_pipeline.dedup(spark, clean, sf).orderBy("doc_id").limit(6).collect()]
+    ids = [None, None, 7, 7, 7, 8]
+    rows = [(i, t, "en", "a", len(t)) for i, t in zip(ids, good)] + [(i, "bad bad", "en", "a", 7) for i in (None, 7)]
+    rows += [(None, good[0], "en", "a", len(good[0])), (9, good[5], "en", "a", len(good[5]))]  # copies
+    some = spark.createDataFrame(rows, docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        some = corpus_pipeline.stored(stage(spark, some, sf), "test")
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in some.collect()), key=key) == sorted(zip(ids, good), key=key)
+    empty = spark.createDataFrame([(1, None), (1, None), (None, " "), (None, " "), (None, "")], "doc_id long, text string")
+    assert sorted(map(str, map(tuple, corpus_pipeline.dedup(spark, empty, sf).collect()))) == ["(1, None)", "(None, ' ')", "(None, '')"]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import cut, mix, shingles, stored
+from ._common import cut, mix, numbered, shingles, stored
 from .components import components
 
 _LEVELS = 4
@@ -193,6 +193,16 @@ def near_documents(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that ``near_documents`` keeps, with their own columns. Rows repeated whole are kept once."""
-    kept = near_documents(docs, id_col, **how).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    """One row of every component of ``near_documents``, with its own columns.
+
+    Rows are compared by themselves, also where ids repeat or are null: of a
+    component the row with the least id is kept, null ids last. A row without
+    words links with nothing and is kept; such rows repeated whole are kept once.
+    """
+    rows = numbered(docs, "_row")
+    of = near_documents(rows, "_row", **how).select("_row", "n_shingles", "component_id")
+    of = stored(of.join(rows.select("_row", F.col(id_col).alias("_id")), "_row"), "components")
+    best = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    kept = of.where("n_shingles > 0").groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias("_row"))
+    empty = rows.join(of.where("n_shingles = 0").select("_row"), "_row", "left_semi").drop("_row")
+    return rows.join(kept, "_row", "left_semi").drop("_row").unionByName(empty.dropDuplicates())

@@ -99,6 +99,29 @@ def held_out(id_col):
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+def _score(model, text: str | None) -> float:
+    if not model:
+        return 0.5
+    machine, centre = model
+    i, v, s = _row(text)
+    z = _structure(np.array(s), centre).astype(np.float32)
+    x, at = np.r_[v.astype(np.float32), z], np.r_[i, np.arange(WORDS, WORDS + len(NAMES))]
+    w, f = machine.w[at], machine.v[at]
+    raw = machine.w0 + x @ w + 0.5 * ((x @ f) ** 2 - (x * x) @ (f * f)).sum()
+    return 1 / (1 + np.exp(-np.clip(float(raw), -30, 30)))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, **how) -> DataFrame:
+    """The rows of ``docs`` that ``score_quality`` predicts to be good, each judged by itself, with their own columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **how))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([_score(shared.value, t) >= cut for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, **how) -> DataFrame:
     """``(id, held_out, score, predicted)``, one row per row of ``docs``.
 
@@ -112,16 +135,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches):
         for b in batches:
-            score = np.full(b.num_rows, 0.5)
-            if shared.value:
-                machine, centre = shared.value
-                for r, text in enumerate(b.column("text").to_pylist()):
-                    i, v, s = _row(text)
-                    z = _structure(np.array(s), centre).astype(np.float32)
-                    x, at = np.r_[v.astype(np.float32), z], np.r_[i, np.arange(WORDS, WORDS + len(NAMES))]
-                    w, f = machine.w[at], machine.v[at]
-                    raw = machine.w0 + x @ w + 0.5 * ((x @ f) ** 2 - (x * x) @ (f * f)).sum()
-                    score[r] = 1 / (1 + np.exp(-np.clip(float(raw), -30, 30)))
+            score = np.fromiter((_score(shared.value, t) for t in b.column("text").to_pylist()), float, b.num_rows)
             yield pa.record_batch([b.column("id"), b.column("held_out"), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
     kind = src.schema["id"].dataType.simpleString()
