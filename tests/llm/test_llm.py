@@ -245,3 +245,19 @@ def test_null_and_repeated_ids_have_archives(spark):
     want = [(i, len(t or ""), sha(t), "response", None) for i, _, t in rows]
     want[3] = (1, 5000, sha("q" * 5000), "revisit", 2)
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_written_shards_stay_within_the_limit(spark, tmp_path):
+    sizes = [900, *[3000] * 7, *[1] * 40, *[1500, 2047, 2049] * 20, 9000]
+    rows = [(7, "y" * n) for n in sizes] + [(None, "n" * 3000)] * 5 + [(i, "z" * 500) for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.sharded(docs, limit=4096).toPandas()
+    assert sorted(zip(got.doc_id.fillna(-1), got.n_bytes)) == sorted((-1 if i is None else i, len(t)) for i, t in rows)
+    per = got.groupby("shard").n_bytes.agg(["sum", "count"])
+    assert ((per["sum"] <= 4096) | (per["count"] == 1)).all()
+    assert (got.shard_bytes == got.shard.map(per["sum"])).all() and (got.shard_rows == got.shard.map(per["count"])).all()
+    sharding.write_shards(docs, str(tmp_path / "shards"), limit=4096)
+    written = sharding.read_shards(spark, str(tmp_path / "shards"), docs.schema)
+    files = written.groupBy("_shard").agg(F.sum(F.length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert {r._shard: (r.b, r.n) for r in files} == {s: (r["sum"], r["count"]) for s, r in per.iterrows()}
+    assert sharding.sharded(docs.where("false")).count() == 0

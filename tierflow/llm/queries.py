@@ -33,7 +33,7 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
 
 
 def op4_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

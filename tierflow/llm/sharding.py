@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ._common import cut, stored
+from ._common import cut, new_folder, numbered, stored
 
 BITS = 60
 
@@ -25,13 +26,18 @@ def assign_shards(df: DataFrame, key_col: str = "doc_id", size_col: Column | Non
     no other bucket does. Bytes are summed by prefixes of as many bits as equal
     shards would need and two more; only rows of buckets still too large take
     part in the next turns, of ``step`` bits each.
-    ``shard`` is the prefix as a bit string, with ``limit``-sized pieces
-    ``+<partition>.<piece>`` where one key alone is over the limit. A single row
-    over the limit has a shard of its own. Null keys are one key, null texts
-    have no bytes; an empty table gives no rows.
+    ``shard`` is the prefix as a bit string, with pieces of at most ``limit``
+    bytes ``+<range of rows>.<piece>`` where one key alone is over the limit. A
+    single row over the limit has a shard of its own. Null keys are one key, null
+    texts have no bytes; an empty table gives no rows.
     """
+    return _assigned(numbered(df, "_row"), key_col, size_col, limit, step).drop("_row")
+
+
+def _assigned(df: DataFrame, key_col: str, size_col: Column | None, limit: int, step: int = 3) -> DataFrame:
+    """``assign_shards`` of rows that have a ``_row``."""
     size = F.octet_length(F.col("text")) if size_col is None else size_col
-    rows = stored(df.select(F.col(key_col).alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes")).withColumn("h", _hash(F.col("key"))), "sizes")
+    rows = stored(df.select("_row", F.col(key_col).alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes")).withColumn("h", _hash(F.col("key"))), "sizes")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     done, open_, depth, more = [], rows, 0, math.ceil(math.log2(max(1.0, total / limit))) + 2
     while depth < BITS:
@@ -45,28 +51,50 @@ def assign_shards(df: DataFrame, key_col: str = "doc_id", size_col: Column | Non
         fits = sums.where("fits").withColumn("half", F.shiftright("p", 1)).join(split, ["depth", "half"], "left_semi").drop("half").unionByName(first)
         leaf = cut(above.select("cell", "depth", "p").join(fits.drop("fits"), ["depth", "p"]))  # one bucket a cell
         at = open_.withColumn("cell", F.shiftright("h", BITS - deep))
-        done.append(at.join(leaf, "cell").select("key", "n_bytes", "depth", "p", F.lit("").alias("piece"), "shard_bytes", "shard_rows"))
+        done.append(at.join(leaf, "cell").select("_row", "key", "n_bytes", "depth", "p", F.lit("").alias("piece"), "shard_bytes", "shard_rows"))
         large = cut(cells.join(leaf.select("cell"), "cell", "left_anti").select("cell"))
         if large.isEmpty():
             break
-        open_, depth = at.join(large, "cell", "left_semi").select("key", "n_bytes", "h"), deep
-    else:  # one key over the limit: pieces by place of origin, each counted within its own partition
-        w = Window.partitionBy("h", "origin").orderBy("n_bytes")
+        open_, depth = at.join(large, "cell", "left_semi").select("_row", "key", "n_bytes", "h"), deep
+    else:  # one key over the limit: pieces by ranges of rows; rows of more than half the limit stay alone
+        half = max(1, limit // 2)
+        w = Window.partitionBy("h", "origin").orderBy("n_bytes", "_row")
         run = F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        piece = open_.withColumn("origin", F.spark_partition_id()).withColumn("q", F.floor(F.coalesce(run, F.lit(0)) / max(1, limit // 2)))
+        piece = open_.withColumn("origin", F.expr("_row div 65536")).withColumn("q", F.floor(F.coalesce(run, F.lit(0)) / half).cast("string"))
+        piece = piece.withColumn("q", F.when(F.col("n_bytes") > half, F.concat(F.lit("r"), "_row")).otherwise(F.col("q")))
         piece = piece.withColumn("piece", F.concat(F.lit("+"), "origin", F.lit("."), "q"))
-        piece = piece.select("key", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("p"), "piece")
+        piece = piece.select("_row", "key", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("p"), "piece")
         total = piece.groupBy("p", "piece").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-        done.append(piece.join(total, ["p", "piece"]).select("key", "n_bytes", "depth", "p", "piece", "shard_bytes", "shard_rows"))
+        done.append(piece.join(total, ["p", "piece"]).select("_row", "key", "n_bytes", "depth", "p", "piece", "shard_bytes", "shard_rows"))
     out = reduce(DataFrame.unionByName, done)
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(p), depth, '0')"))
-    return out.select(F.col("key").alias(key_col), "n_bytes", F.concat(bits, "piece").alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
+    return out.select("_row", F.col("key").alias(key_col), "n_bytes", F.concat(bits, "piece").alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
+
+
+def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", size_col: Column | None = None, limit: int = 256 << 10) -> None:
+    """Write ``df`` with one folder ``_shard=s<shard>`` and one file per shard; every row goes to its own shard."""
+    rows = numbered(df, "_row")
+    of = _assigned(rows, key_col, size_col, limit).select("_row", F.concat(F.lit("s"), "shard").alias("_shard"))
+    rows.join(of, "_row").drop("_row").repartition("_shard").write.partitionBy("_shard").parquet(path)
 
 
-def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", **how) -> None:
-    """Write ``df`` with one folder per shard. Rows with one key go to one shard of that key."""
-    of = assign_shards(df, key_col, **how).groupBy(F.col(key_col).alias("_key")).agg(F.min("shard").alias("shard"))
-    df.join(of, df[key_col].eqNullSafe(F.col("_key"))).drop("_key").write.partitionBy("shard").parquet(path)
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of written shards, with the column ``_shard``."""
+    found = spark.read.schema(StructType([*schema, StructField("_shard", StringType())])).parquet(path)
+    return found.withColumn("_shard", F.substring("_shard", 2, 1 << 30))
+
+
+def sharded(df: DataFrame, key_col: str = "doc_id", size_col: Column | None = None, limit: int = 256 << 10) -> DataFrame:
+    """``(key, n_bytes, shard, depth, shard_bytes, shard_rows)`` of every row, measured on the shards as written."""
+    path = new_folder(df.sparkSession, "shards")
+    write_shards(df, path, key_col, size_col, limit)
+    size = F.octet_length(F.col("text")) if size_col is None else size_col
+    rows = read_shards(df.sparkSession, path, df.schema)
+    rows = rows.select(F.col(key_col).alias("_key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes"), F.col("_shard").alias("shard"))
+    rows = stored(rows, "written")
+    sums = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    depth = F.length(F.substring_index("shard", "+", 1)).cast("int")
+    return rows.join(sums, "shard").select(F.col("_key").alias(key_col), "n_bytes", "shard", depth.alias("depth"), "shard_bytes", "shard_rows")
 
 
 ORACLE = """
