@@ -12,6 +12,8 @@ from ._common import cut, mix, numbered, shingles, stored
 from .components import components
 
 _LEVELS = 4
+_BLOCK = 512  # documents of a block of a large node
+_MOST_ROUNDS = 34
 
 
 def _signatures(trees: int, size: int):
@@ -89,6 +91,57 @@ def _compare(buffer: int, trees: int, least: float, likely: float, merge_likely:
     return run
 
 
+def _cross(trees: int, least: float):
+    """All candidates of two blocks of one node (or of one block with itself) whose components differ."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side, ids, comp = (t.column(c).to_numpy() for c in ("side", "id", "comp"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(len(ids), trees * _LEVELS)
+        one, two = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)  # side 0: a block with itself
+        out_a, out_b = [], []
+        for i in range(0, len(one), 256):
+            some = one[i : i + 256]
+            same = np.zeros((len(some), len(two)), np.uint16)
+            for j in range(sig.shape[1]):
+                same += sig[some, j][:, None] == sig[two, j][None, :]
+            a, b = np.nonzero((same >= least * sig.shape[1]) & (comp[some][:, None] != comp[two][None, :]) & (ids[some][:, None] != ids[two][None, :]))
+            out_a.append(np.minimum(ids[some[a]], ids[two[b]]))
+            out_b.append(np.maximum(ids[some[a]], ids[two[b]]))
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(none + out_a), pa.int64()), "b": pa.array(np.concatenate(none + out_b), pa.int64())})
+
+    return run
+
+
+def _large_pairs(rows: DataFrame, block: int, trees: int, least: float) -> DataFrame:
+    """Candidates ``(a, b)`` of large nodes, every two documents of different components compared.
+
+    A component as large as a block has blocks of its own, which are not
+    compared with each other; the others share blocks.
+    """
+    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("n"))
+    sizes = stored(sizes.withColumn("alone", F.col("n") >= block), "sizes")
+    rest = sizes.where("not alone").groupBy("node").agg(F.sum("n").alias("rest"))
+    of = sizes.join(rest, "node", "left").select(
+        "node", "comp", "alone", F.when(F.col("alone"), F.col("comp")).alias("own"),
+        F.ceil(F.when(F.col("alone"), F.col("n")).otherwise(F.col("rest")) / block).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.col("parts"))
+    placed = rows.join(of, ["node", "comp"]).withColumn("blk", F.xxhash64("own", part("id")))
+    placed = stored(placed.select("node", "id", "comp", "own", "blk"), "placed")
+    blocks = stored(placed.select("node", "own", "blk").distinct(), "blocks")
+    x = blocks.select("node", F.col("own").alias("o1"), F.col("blk").alias("b1"))
+    y = blocks.select("node", F.col("own").alias("o2"), F.col("blk").alias("b2"))
+    # of a node's blocks every two, but not two of one component
+    pairs = x.join(y, "node").where("b1 <= b2 and (o1 is null or o2 is null or o1 <> o2)").withColumn("key", F.xxhash64("node", "b1", "b2"))
+    sides = pairs.select("node", "key", F.explode(F.array(
+        F.struct(F.col("b1").alias("blk"), F.when(F.col("b1") == F.col("b2"), 0).otherwise(1).alias("side")),
+        F.struct(F.when(F.col("b1") < F.col("b2"), F.col("b2")).alias("blk"), F.lit(2).alias("side")),
+    )).alias("x")).select("node", "key", "x.blk", "x.side").where("blk is not null")
+    sig = rows.select("node", "id", "sig")
+    work = placed.join(sides, ["node", "blk"]).join(sig, ["node", "id"]).select("key", "side", "id", "comp", "sig")
+    return work.groupBy("key").applyInArrow(_cross(trees, least), "a bigint, b bigint")
+
+
 def _verify(size: int, percent: int):
     def run(batches):
         last, mine = None, None
@@ -124,11 +177,13 @@ def near_documents(
     Every tree sends a document down the branch of its least token under that
     tree's hash; a node of more than ``node_size`` documents branches again by
     the next hash, four levels deep, and a small node is compared exhaustively
-    on signatures. A node that stays large is read in the order of its
-    remaining tokens, every document against the ``node_size`` before it and the
-    node's first. Candidates are confirmed on full shingle sets. Later rounds
-    compare only documents whose components still differ, until no new link
-    is found, so a group of copies costs a forest and not all its pairs.
+    on signatures. A node that stays large is first read in the order of other
+    trees' tokens, every document against the ``node_size`` before it and the
+    node's first, for at most ``rounds`` rounds. Candidates are confirmed on full
+    shingle sets. Later rounds compare only documents whose components still
+    differ, so a group of copies costs a forest and not all its pairs. Once such
+    a round finds no new link, all documents of different components in large
+    nodes are compared, block by block, until no candidate is new.
 
     Documents with equal sets are grouped first. Null or wordless texts have an
     empty set and link with nothing; fewer words than ``size`` are one shingle.
@@ -144,46 +199,62 @@ def near_documents(
     level = reps.select(
         F.col("rep").alias("id"),
         F.explode(F.array(*[
-            F.struct(*[F.xxhash64(F.lit(t), *[token(t * _LEVELS + j) for j in range(d + 1)]).alias(f"p{d}") for d in range(_LEVELS)])
+            F.struct(F.lit(t).alias("t"), *[F.xxhash64(F.lit(t), *[token(t * _LEVELS + j) for j in range(d + 1)]).alias(f"p{d}") for d in range(_LEVELS)])
             for t in range(trees)
         ])).alias("x"),
-    ).select("id", *[F.col(f"x.p{d}") for d in range(_LEVELS)])
+    ).select("id", "x.t", *[F.col(f"x.p{d}") for d in range(_LEVELS)])
     level = stored(level.join(level.groupBy("p0").count().where("count > 1").select("p0", F.col("count").alias("c0")), "p0"), "branches")
     leaves, rest = [], level.withColumnRenamed("c0", "c")
     for d in range(_LEVELS):
         deep = d == _LEVELS - 1
         small = rest if deep else rest.where(F.col("c") <= node_size)
-        leaves.append(small.where("c > 1").select(F.col(f"p{d}").alias("node"), "id"))
+        leaves.append(small.where("c > 1").select(F.col(f"p{d}").alias("node"), "id", "t", (F.col("c") > node_size).alias("large")))
         if not deep:
             rest = rest.where(F.col("c") > node_size).drop("c")
             rest = rest.join(rest.groupBy(f"p{d + 1}").agg(F.count("*").alias("c")), f"p{d + 1}")
     member = stored(reduce(DataFrame.unionByName, leaves), "nodes")
 
-    comp, tested, good = None, None, None
-    for r in range(rounds):
+    has_large = not member.where("large").isEmpty()
+    comp, tested, good, blocks = None, None, None, False
+    for r in range(rounds + _MOST_ROUNDS):
         rows = member.join(reps.select(F.col("rep").alias("id"), "sig"), "id")
         if comp is not None:
-            rows = rows.join(comp, rows.id == comp.node_id, "left").select("node", "id", "sig", F.coalesce("component", "id").alias("comp"))
+            rows = rows.join(comp, rows.id == comp.node_id, "left").select("node", "id", "t", "large", "sig", F.coalesce("component", "id").alias("comp"))
             # a node whose documents are all in one component has nothing left to compare
             open_ = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
             rows = rows.join(open_, "node", "left_semi")
         else:
             rows = rows.withColumn("comp", F.col("id"))
-        rows = rows.withColumn("tail", F.xxhash64("node", F.expr(f"substring(sig, {4 * r + 1}, 4)")))
+        large = rows.where("large").select("node", "id", "sig", "comp")
+        rows = rows.where("not large") if blocks else rows
+        other = F.expr(f"substring(sig, {4 * _LEVELS} * ((t + 1 + {r}) % {trees}) + 1, 4)")  # a token that the node's path does not hold
+        rows = rows.withColumn("tail", F.xxhash64("node", other))
         rows = rows.repartition("node").sortWithinPartitions("node", "tail", "id").select("node", "id", "sig", "comp")
-        pairs = rows.mapInArrow(_compare(node_size, trees, least, likely, r == 0), "a bigint, b bigint").distinct()
+        pairs = rows.mapInArrow(_compare(node_size, trees, least, likely, r == 0), "a bigint, b bigint")
+        if blocks:
+            pairs = pairs.unionByName(_large_pairs(large, _BLOCK, trees, least))
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if not pairs.count():
-            break
+            if blocks or not has_large:
+                break
+            blocks = True
+            continue
         both = pairs.join(src.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         both = both.join(src.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         found = stored(both.mapInArrow(_verify(size, percent), "a bigint, b bigint, ok boolean"), "verified")
         links = found.where("ok").select("a", "b")
         good = links if good is None else good.unionByName(links)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        comp = cut(components(good, "a", "b").withColumnRenamed("node", "node_id"))
+        if links.isEmpty():
+            blocks = blocks or (r > 0 and has_large)
+        else:
+            comp = cut(components(good, "a", "b").withColumnRenamed("node", "node_id"))
+        blocks = blocks or (has_large and r + 1 >= rounds)
+    else:
+        raise RuntimeError(f"near-duplicates still had new candidates after {rounds + _MOST_ROUNDS} rounds")
     by_set = reps.select("n", "m1", "m2", "rep")
     if comp is not None:
         by_set = by_set.join(comp, by_set.rep == comp.node_id, "left").select("n", "m1", "m2", F.coalesce("component", "rep").alias("rep"))
