@@ -264,18 +264,18 @@ def test_written_shards_stay_within_the_limit(spark, tmp_path):
 
 
 def test_pairs_in_large_nodes_are_found(spark):
-    """Documents around one long passage, 0.67 alike, with pairs among them of 0.77 and more."""
+    """Documents around one long passage, 0.735 alike, with pairs among them of 0.76."""
     rng = np.random.default_rng(5)
-    passage, rows = " ".join(f"p{i}" for i in range(400)), []
-    for i in range(500):
-        own = [f"d{i}_{j}" for j in range(96)]
+    passage, rows = " ".join(f"p{i}" for i in range(404)), []
+    for i in range(200):
+        own = [f"d{i}_{j}" for j in range(72)]
         rows.append(" ".join([passage, *own]))
         if i < 60:
-            rows.append(" ".join([passage, *own[:40], *[f"e{i}_{j}" for j in range(56)]]))
+            rows.append(" ".join([passage, *own[:8], *[f"e{i}_{j}" for j in range(64)]]))
     order = rng.permutation(len(rows))
     docs = [(n, rows[i]) for n, i in enumerate(order)]
     sets = {n: set(shingles(t).tolist()) for n, t in docs}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     assert len(links) == 60
-    got = near_documents(spark.createDataFrame(docs, "doc_id long, text string"), node_size=4, rounds=1, least=0.5).toPandas().set_index("doc_id")
+    got = near_documents(spark.createDataFrame(docs, "doc_id long, text string"), node_size=4, rounds=1, likely=1.0).toPandas().set_index("doc_id")
     assert got.component_id.to_dict() == components(sets, links)
