@@ -141,15 +141,15 @@ def test_lattice_equals_the_library(spark, sf, odd):
     sp, p = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces(MODEL)
     for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd):
         want = {r.doc_id: sp.encode(r.text or "") for r in docs.collect()}
-        got = encode_documents(docs, MODEL, known_units=500).toPandas()
+        got = encode_documents(docs, MODEL, per_chunk=64).toPandas()
         assert all(list(r.ids) == want[r.doc_id] for r in got.itertuples()) and got.round_trip.all()
     rank = {a: (r, i) for a, i, r in p.rows}
     for word in ("▁" + "abcde" * 30, "▁" + "x" * 999):
         assert merge_long(word, rank, p.byte0) == sp.encode(word[1:])
     table = spark.createDataFrame([("a", 0, 0, False), ("b", 1, 1, False), ("ab", 2, 2, False), ("ba", 3, 3, False)], "piece string, id int, rank int, late boolean")
-    edges = lattice(spark.createDataFrame([(1, "abab"), (2, "bab")], "uid long, unit string").repartition(2, "uid"), table, 2)
-    ids = {r.uid: r.ids for r in fold_viterbi(edges, {0: -2.0, 1: -3.0, 2: -1.0, 3: -4.0}).collect()}
-    assert ids == {1: [2, 2], 2: [1, 2]}
+    edges = lattice(spark.createDataFrame([("abab",), ("bab",)], "unit string").repartition(2, "unit"), table)
+    ids = {r.unit: r.ids for r in fold_viterbi(edges, {0: -2.0, 1: -3.0, 2: -1.0, 3: -4.0}).collect()}
+    assert ids == {"abab": [2, 2], "bab": [1, 2]}
 
 
 def test_rules_on_small_texts():

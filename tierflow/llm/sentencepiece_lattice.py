@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._common import stored
+from ._common import new_folder, numbered
+from ._files import open_fs
 
 SPACE = "▁"
 #: Longest word whose boundaries fit the bits of a long.
 BITS = 62
+#: Characters below this code have their ids in a small array, the others are edges of the lattice.
+LOW = 0x250
 
 
 @dataclass
@@ -24,6 +27,7 @@ class Pieces:
 
     path: str
     rows: list[tuple[str, int, int]] = field(default_factory=list)  # piece, id, rank
+    scores: dict[int, float] = field(default_factory=dict)
     table: list[bytes] = field(default_factory=list)
     byte0: int = 3
 
@@ -32,49 +36,34 @@ class Pieces:
 
         m = sentencepiece.SentencePieceProcessor(model_file=self.path)
         n = m.get_piece_size()
-        scores = sorted({m.get_score(i) for i in range(n)}, reverse=True)
-        rank = {s: r for r, s in enumerate(scores)}
         self.byte0 = next(i for i in range(n) if m.is_byte(i))
+        normal = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
+        self.scores = {i: m.get_score(i) for i in normal}
+        order = sorted(set(self.scores.values()), reverse=True)
+        rank = {s: r for r, s in enumerate(order)}
+        #: Whole numbers as scores, which only order the merges, belong to a BPE model, others to a unigram model.
+        self.merges = all(s == int(s) for s in order)
         for i in range(n):
             p = m.id_to_piece(i)
             if m.is_byte(i):
                 self.table.append(bytes([int(p[3:5], 16)]))
-            elif m.is_control(i) or m.is_unknown(i):
-                self.table.append(b"")
-            else:
+            elif i in self.scores:
                 self.table.append(p.replace(SPACE, " ").encode())
-                self.rows.append((p, i, rank[m.get_score(i)]))
+                self.rows.append((p, i, rank[self.scores[i]]))
+            else:
+                self.table.append(b"")
         self.longest = max(len(p) for p, _, _ in self.rows)
-        self.pairs = {p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
-        if any(b == SPACE and a != SPACE for a, b in self.pairs):
+        pairs = {p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
+        if any(b == SPACE and a != SPACE for a, b in pairs):
             raise ValueError("pieces go over word ends")
-        inside = {c for p in self.pairs for c in p}
-        before = {b for a, b in self.pairs if a not in (SPACE, b)}
+        inside = {c for p in pairs for c in p}
+        before = {b for a, b in pairs if a not in (SPACE, b)}
         marks = "".join(re.escape(c) for c in "!#$%&*+,-./:;=?@|~" if c not in before)
-        self.alone = "".join(re.escape(c) for c in "\n\r\t" if c not in inside)
-        stop = SPACE + self.alone + marks
-        mark = f"|{SPACE}*[{marks}][^{SPACE}{self.alone}]*" if marks else ""
-        self.words = re.compile(f"{SPACE}*[^{stop}]+{mark}|{SPACE}+" + (f"|[{self.alone}]" if self.alone else ""))
-
-    def units(self, text: str | None) -> list[str]:
-        """Consecutive parts of a text that no piece goes across."""
-        if not text:
-            return []
-        units = self.words.findall(SPACE + text.replace(" ", SPACE))
-        if max(map(len, units)) <= BITS:
-            return units
-        out = []
-        for u in units:
-            if len(u) <= BITS:
-                out.append(u)
-                continue
-            at = 0
-            for i in range(1, len(u)):
-                if u[i - 1 : i + 1] not in self.pairs:
-                    out.append(u[at:i])
-                    at = i
-            out.append(u[at:])
-        return out
+        alone = "".join(re.escape(c) for c in "\n\r\t" if c not in inside)
+        stop = SPACE + alone + marks
+        mark = f"|{SPACE}*[{marks}][^{SPACE}{alone}]*" if marks else ""
+        #: Consecutive parts of a text that no piece goes across.
+        self.units = f"{SPACE}*[^{stop}]+{mark}|{SPACE}+" + (f"|[{alone}]" if alone else "")
 
     def late(self) -> set[str]:
         """Pieces whose own merges don't come in rank order, or don't end in the piece.
@@ -95,10 +84,6 @@ class Pieces:
                 out.add(p)
         return out
 
-    def decode(self, ids) -> str:
-        text = b"".join([self.table[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
 
 _PIECES: dict[str, Pieces] = {}
 
@@ -110,14 +95,19 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    p = pieces(path)
-    late = p.late()
-    return spark.createDataFrame([(a, i, r, a in late) for a, i, r in p.rows], "piece string, id int, rank int, late boolean")
+def units_of(text: Column, pattern: str) -> Column:
+    """The words of a text as the model sees them; none of a null or empty one."""
+    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
+    found = F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
+    return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<string>"))
 
 
-# An edge as one long, so that edges sort by rank and place: rank, start, length, id + 1.
-_START, _LENGTH, _ID = "shiftright(c, 26) & 63", "shiftright(c, 20) & 63", "c & 1048575"
+def piece_table(spark: SparkSession, rows: list[tuple[str, int, int]], late: set[str] = frozenset()) -> DataFrame:
+    return spark.createDataFrame([(a, i, r, a in late) for a, i, r in rows], "piece string, id int, rank int, late boolean")
+
+
+# An edge as one long that sorts by rank and place: rank, id + 1, start, length.
+_PLACE, _ID = "cast(x & 4095 as int)", "(shiftright(x, 12) & 1048575)"
 
 
 def _spans() -> tuple[list[int], list[int]]:
@@ -130,61 +120,87 @@ def _spans() -> tuple[list[int], list[int]]:
     return ends, inner
 
 
-def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """``(uid, unit, edges, late)``: for every word its substrings that are pieces, and all its characters.
+def lattice(units: DataFrame, table: DataFrame, singles: int = 0) -> DataFrame:
+    """``(unit, edges, late)``: for every distinct word its substrings that are pieces.
 
-    ``units`` are hash-partitioned by uid, so the substrings of a word meet again
-    without a shuffle. An edge holds its piece's rank, start, length and id
-    (none: a character that is no piece).
+    The substrings from each place are as long as the longest piece that starts
+    with the same three characters, and are joined to the piece table. Of single
+    characters only those of code ``singles`` and above are edges, with id 0 if
+    they are no pieces. ``units`` are spread by ``unit``, so the substrings of a
+    word meet again without a shuffle.
     """
-    at = units.select("uid", "unit", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("s"))
-    sub = at.select("uid", "unit", "s", F.explode(F.expr(f"sequence(1, least({longest}, length(unit) - s))")).alias("l"))
+    three = table.where("length(piece) > 2").groupBy(F.xxhash64(F.substring("piece", 1, 3)).alias("start")).agg(F.max(F.length("piece")).alias("most"))
+    at = units.select("unit", F.explode(F.expr("sequence(0, greatest(0, length(unit) - 1))")).alias("s"))
+    # a vocabulary has a fixed size
+    at = at.join(F.broadcast(three), F.xxhash64(F.expr("substring(unit, s + 1, 3)")) == F.col("start"), "left")
+    first = f"if(ascii(substring(unit, s + 1, 1)) >= {singles}, 1, 2)" if singles else "1"
+    sub = at.select("unit", "s", F.explode(F.expr(f"sequence({first}, greatest(2, least(coalesce(most, 2), length(unit) - s)))")).alias("l"))
     sub = sub.withColumn("part", F.expr("substring(unit, s + 1, l)"))
     known = table.select(
-        F.xxhash64("piece").alias("key"), "piece", F.octet_length("piece").alias("bytes"), "late",
-        F.expr("(cast(rank as bigint) << 32) | (cast(id as bigint) + 1)").alias("entry"),
+        F.xxhash64("piece").alias("key"), "piece", F.octet_length("piece").alias("bytes"), F.length("piece").alias("chars"), "late",
+        F.expr("(cast(rank as bigint) << 32) | ((cast(id as bigint) + 1) << 12)").alias("entry"),
     )
-    # A vocabulary has a fixed size. The join's key is one long; equal text is checked beside it.
-    same = F.expr("startswith(part, piece) and bytes >= octet_length(part)")
-    hit = sub.join(F.broadcast(known), (F.xxhash64("part") == F.col("key")) & same, "left").where("entry is not null or l = 1")
-    code = F.expr("coalesce(entry, 1048575L << 32) | (cast(s as bigint) << 26) | (cast(l as bigint) << 20)")
-    return hit.groupBy("uid").agg(F.first("unit").alias("unit"), F.sort_array(F.collect_list(code)).alias("edges"), F.max(F.coalesce("late", F.lit(False))).alias("late"))
+    # The join's key is one long; equal text is checked beside it.
+    same = F.expr("l = chars and startswith(part, piece) and bytes = octet_length(part)")
+    hit = sub.join(F.broadcast(known), (F.xxhash64("part") == F.col("key")) & same, "left").where("entry is not null or l = 1 or (s = 0 and l = 2)")
+    code = F.expr("case when entry is not null then entry | (s * 64 + l) when l = 1 then (1048575L << 32) | (s * 64 + l) end")
+    late = F.max(F.coalesce("late", F.lit(False))).alias("late")
+    return hit.groupBy("unit").agg(F.sort_array(F.collect_list(code)).alias("edges"), late)
 
 
-def fold_merges(edges: DataFrame, byte0: int) -> DataFrame:
-    """``(uid, ids)``: boundaries folded away in the order of the merges' ranks.
+def fold_merges(edges: DataFrame, byte0: int, low: list[int] = (), late: bool = True) -> DataFrame:
+    """``(unit, ids)``: boundaries folded away in the order of the merges' ranks.
 
     An edge applies if its ends are boundaries and one boundary lies between.
     Where merges come in rank order one fold over the sorted edges is exact.
-    Else every step of the fold looks for the first edge that applies.
+    Else (``late``) every step of the fold looks for the first edge that applies.
+    ``low`` has id + 1 of single characters that are no edges, by their code; what
+    is no piece becomes bytes.
     """
+    at = F.col("edges")
     ends, inner = map(F.lit, _spans())
-    place = lambda c: F.shiftright(c, 20).bitwiseAND(4095).cast("int")
-    e = edges.withColumn("e", F.transform("edges", lambda c: F.struct(c.alias("c"), ends[place(c)].alias("ends"), inner[place(c)].alias("inner"))))
-    start = "(1L << (length(unit) + 1)) - 1"
-    fits = "(m & x.ends) = x.ends and bit_count(m & x.inner) = 1"
-    once = f"aggregate(e, {start}, (m, x) -> if({fits}, m & ~x.inner, m))"
-    again = f"aggregate(sequence(1, length(unit)), {start}, (m, i) -> coalesce(m & ~get(filter(e, x -> {fits}), 0).inner, m))"
-    out = e.select("uid", "unit", "e", F.expr(f"if(late, {again}, {once})").alias("m"))
-    # what is left of an edge sorts by its start
-    part = out.select("uid", "unit", F.expr("sort_array(transform(filter(e, x -> (m & x.ends) = x.ends and (m & x.inner) = 0), x -> x.c & 4294967295))").alias("t"))
+
+    def place(x):
+        return x.bitwiseAND(4095).cast("int")
+
+    def fits(m, x):
+        e, i = ends[place(x)], inner[place(x)]
+        return (m.bitwiseAND(e) == e) & (F.bit_count(m.bitwiseAND(i)) == 1)
+
+    start = F.expr("shiftleft(1L, length(unit) + 1) - 1")
+    once = F.aggregate(at, start, lambda m, x: F.when(fits(m, x), m.bitwiseAND(F.bitwise_not(inner[place(x)]))).otherwise(m))
+    if late:
+        step = lambda m, _: F.coalesce(m.bitwiseAND(F.bitwise_not(inner[place(F.get(F.filter(at, lambda x: fits(m, x)), F.lit(0)))])), m)
+        once = F.when(F.col("late"), F.aggregate(F.sequence(F.lit(1), F.length("unit")), start, step)).otherwise(once)
+    out = edges.withColumn("m", once)
+    m = F.col("m")
+    left = F.filter(at, lambda x: (m.bitwiseAND(ends[place(x)]) == ends[place(x)]) & (m.bitwiseAND(inner[place(x)]) == 0))
+    left = F.transform(left, lambda x: F.shiftleft(x.bitwiseAND(4095), 20).bitwiseOR(F.shiftright(x, 12).bitwiseAND(1048575)))
+    if len(low):
+        table = F.lit(list(low))
+        char = lambda p: F.ascii(F.substring(F.col("unit"), p + 1, F.lit(1)))
+        alone = F.filter(F.expr("sequence(0, length(unit) - 1)"), lambda p: (F.call_function("shiftright", m, p).bitwiseAND(3) == 3) & (char(p) < len(low)))
+        alone = F.transform(alone, lambda p: F.shiftleft((p * 64 + 1).cast("long"), 20).bitwiseOR(table[char(p)].cast("long")))
+        left = F.when(m.bitwiseAND(F.shiftright(m, 1)) == 0, left).otherwise(F.concat(left, alone))
+    part = out.select("unit", F.sort_array(left).alias("t"))  # what is left of an edge sorts by its start
     raw = "encode(substring(unit, cast(shiftright(x, 26) as int) + 1, 1), 'utf-8')"
     split = f"flatten(transform(t, x -> if((x & 1048575) > 0, array(cast((x & 1048575) - 1 as int)), transform(sequence(1, octet_length({raw})), k -> cast(conv(hex(substring({raw}, k, 1)), 16, 10) as int) + {byte0}))))"
     ids = F.expr(f"if(exists(t, x -> (x & 1048575) = 0), {split}, transform(t, x -> cast((x & 1048575) - 1 as int)))")
-    return part.select("uid", ids.alias("ids"))
+    return part.select("unit", ids.alias("ids"))
 
 
 def fold_viterbi(edges: DataFrame, scores: dict[int, float], unknown: float = -100.0) -> DataFrame:
-    """``(uid, ids)`` of the path with the highest sum of scores, for unigram models.
+    """``(unit, ids)`` of the path with the highest sum of scores, for unigram models.
 
     The fold goes over edges by their end and keeps, per boundary, the best
     score and the path to it; a character that is no piece has id -1.
     """
     score = F.create_map(*[F.lit(x) for kv in {**scores, -1: unknown}.items() for x in kv])
-    e = edges.select("uid", F.expr(f"array_sort(transform(edges, c -> struct(cast(({_START}) + ({_LENGTH}) as int) as e, cast({_START} as int) as s, cast(({_ID}) - 1 as int) as id)))").alias("edges"))
+    start = "cast(shiftright(x & 4095, 6) as int)"
+    e = edges.select("unit", F.expr(f"array_sort(transform(edges, x -> struct({start} + cast(x & 63 as int) as e, {start} as s, cast({_ID} - 1 as int) as id)))").alias("edges"))
     e = e.withColumn("edges", F.transform("edges", lambda x: F.struct(x.e.alias("e"), x.s.alias("s"), x.id.alias("id"), score[x.id].cast("double").alias("w"))))
     best = "aggregate(edges, array(struct(0D as w, cast(array() as array<int>) as path)), (a, x) -> if(size(a) <= x.e, concat(a, array(struct(a[x.s].w + x.w as w, concat(a[x.s].path, array(x.id)) as path))), if(a[x.e].w < a[x.s].w + x.w, transform(a, (v, i) -> if(i = x.e, struct(a[x.s].w + x.w as w, concat(a[x.s].path, array(x.id)) as path), v)), a)))"
-    return e.select("uid", F.expr(f"element_at({best}, -1).path").alias("ids"))
+    return e.select("unit", F.expr(f"element_at({best}, -1).path").alias("ids"))
 
 
 def merge_long(unit: str, rank: dict[str, tuple[int, int]], byte0: int) -> list[int]:
@@ -215,133 +231,157 @@ def merge_long(unit: str, rank: dict[str, tuple[int, int]], byte0: int) -> list[
     return [x for t in text if t for x in ([rank[t][1]] if t in rank else [b + byte0 for b in t.encode("utf-8", "replace")])]
 
 
-def encode_units(units: DataFrame, path: str, per_task: int = 20_000) -> DataFrame:
-    """``(uid, ids)`` of distinct words ``(uid, unit)``."""
+def encode_units(units: DataFrame, path: str) -> DataFrame:
+    """``(unit, ids)`` of distinct words of at most 62 characters, which are spread by ``unit``."""
     p = pieces(path)
-    tasks = max(8, units.count() // per_task)
-    short = units.where(F.length("unit") <= BITS).select("uid", "unit").repartition(tasks, "uid")
-    ids = fold_merges(lattice(short, piece_table(units.sparkSession, path), p.longest), p.byte0)
-
-    def heap(batches):
-        q = pieces(path)
-        rank = {a: (r, i) for a, i, r in q.rows}
+    if not p.merges:
+        return fold_viterbi(lattice(units, piece_table(units.sparkSession, p.rows)), p.scores)
+    late, low = p.late(), [0] * LOW
+    for a, i, _ in p.rows:
+        if len(a) == 1 and ord(a) < LOW:
+            low[ord(a)] = i + 1
+    table = piece_table(units.sparkSession, p.rows, late)
+    return fold_merges(lattice(units, table, LOW), p.byte0, low, bool(late))
+
+
+def _encode_long(path: str):
+    def run(batches):
+        p = pieces(path)
+        rank = {a: (r, i) for a, i, r in p.rows}
         for b in batches:
-            yield pa.record_batch([b.column("uid"), pa.array([merge_long(u, rank, q.byte0) for u in b.column("unit").to_pylist()], pa.list_(pa.int32()))], names=["uid", "ids"])
-
-    long = units.where(F.length("unit") > BITS).select("uid", "unit").mapInArrow(heap, "uid bigint, ids array<int>")
-    return ids.unionByName(long)
-
-
-def _uid(unit: str) -> int:
-    """What ``xxhash64`` gives for the word."""
-    return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), seed=42)
-
-
-class _Known:
-    """Ids of words as flat arrays, by the words' sorted hashes; ``at`` remembers recent words."""
-
-    def __init__(self, uid: np.ndarray, ids: pa.Array, most: int = 300_000):
-        order = np.argsort(uid.view(np.uint64))
-        begin = ids.offsets.to_numpy()
-        self.uid, self.begin, self.size = uid.view(np.uint64)[order], begin[:-1][order].astype(np.int64), np.diff(begin)[order].astype(np.int64)
-        self.flat, self.at, self.most = ids.values.to_numpy(), {}, most
-
-    def places(self, units: list[str]) -> list[int]:
-        """Each word's place, -1 where it is not known."""
-        new = [u for u in set(units) if u not in self.at]
-        if new:
-            if len(self.at) + len(new) > self.most:
-                self.at.clear()
-                new = list(set(units))
-            h = np.fromiter(map(_uid, new), np.uint64, len(new))
-            i = np.minimum(np.searchsorted(self.uid, h), max(0, len(self.uid) - 1))
-            i = np.where(self.uid[i] == h, i, -1) if len(self.uid) else np.full(len(h), -1)
-            self.at.update(zip(new, i.tolist()))
-        return list(map(self.at.__getitem__, units))
-
-
-def _gather(known: _Known, units: list[str], extra: list | None) -> np.ndarray:
-    if not units:
-        return np.empty(0, np.int32)
-    k = np.array(known.places(units), np.int64)
-    size, begin = (x[k] if len(x) else np.zeros(len(k), np.int64) for x in (known.size, known.begin))
-    miss = np.flatnonzero(k < 0)
-    more = np.empty(0, np.int32)
-    if len(miss):
-        at = {e["uid"]: i for i, e in enumerate(extra)}
-        ids = [np.asarray(e["ids"], np.int32) for e in extra]
-        own = np.fromiter(map(len, ids), np.int64, len(ids))
-        own_begin = np.cumsum(own) - own
-        i = np.array([at[np.uint64(_uid(units[m])).astype(np.int64).item()] for m in miss])
-        size[miss], begin[miss], more = own[i], own_begin[i], np.concatenate(ids)
-    ends = np.cumsum(size)
-    place = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
-    if not len(miss):
-        return known.flat[place]
-    other = np.repeat(k < 0, size)
-    out = np.empty(len(place), np.int32)
-    out[~other], out[other] = known.flat[place[~other]], more[place[other]]
-    return out
-
-
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", known_units: int = 1_000_000, per_flush: int = 400_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(id, n_tokens, ids, round_trip)`` and the columns ``keep``, one row per row of ``docs``.
-
-    The distinct words of all texts are encoded once by the lattice. Every task
-    gets the ``known_units`` most frequent of them (a fixed bound, about 30 bytes
-    each); the others come to the documents that have them by a join.
-    ``round_trip`` says whether decoding the ids gives the text back.
+            ids = [merge_long(u, rank, p.byte0) for u in b.column("unit").to_pylist()]
+            yield pa.record_batch([b.column("chunk"), b.column("unit"), pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "unit", "ids"])
 
-    Null and empty texts have no ids (and a round trip to the empty text). Rows
-    with one id are encoded row by row. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    kind, more = src.schema["id"].dataType.simpleString(), [f"_keep_{c}" for c in keep]
+    return run
 
-    def count(batches):
-        p, seen = pieces(path), Counter()
-        flush = lambda: pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                seen.update(p.units(t))
-                if len(seen) > per_flush:
-                    yield flush()
-                    seen.clear()
+
+def _distinct(batches):
+    """Distinct words of consecutive rows of one chunk."""
+    chunk, seen = None, None
+
+    def flush():
+        return pa.record_batch([pa.array(np.full(len(seen), chunk), pa.int64()), seen], names=["chunk", "unit"])
+
+    for b in batches:
+        keys = b.column("chunk").to_numpy()
+        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+        for i, j in zip(at, [*at[1:], len(keys)]):
+            if seen is not None and (keys[i] != chunk or len(seen) > 1_000_000):
+                yield flush()
+                seen = None
+            new = b.column("units").slice(i, j - i).flatten()
+            seen, chunk = pc.unique(new if seen is None else pa.concat_arrays([seen, pc.unique(new)])), keys[i]
+    if seen is not None:
         yield flush()
 
-    words = src.select("text").mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
-    words = stored(words.withColumn("uid", F.xxhash64("unit")), "words")
-    ids = stored(encode_units(words, path), "encoded")
-    top = words.orderBy(F.desc("n"), "uid").limit(known_units).select("uid").join(ids, "uid").toArrow().combine_chunks()
-    shared = spark.sparkContext.broadcast((top["uid"].to_numpy(), top["ids"].combine_chunks() if top.num_rows else pa.array([], pa.list_(pa.int32()))))
 
-    def rare(batches):
-        p, known = pieces(path), _Known(*shared.value)
-        for b in batches:
-            rows = []
-            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                units = list(set(p.units(t)))
-                rows += [(i, u) for u, k in zip(units, known.places(units)) if k < 0]
-            uid = np.fromiter((_uid(r[1]) for r in rows), np.uint64, len(rows)).view(np.int64)
-            yield pa.record_batch([pa.array([r[0] for r in rows], b.schema.field("id").type), pa.array(uid)], names=["id", "uid"])
-
-    extra = src.select("id", "text").mapInArrow(rare, f"id {kind}, uid bigint").distinct().join(ids, "uid")
-    extra = extra.groupBy(F.col("id").alias("_of")).agg(F.collect_list(F.struct("uid", "ids")).alias("extra"))
-    full = src.join(extra, src.id.eqNullSafe(F.col("_of")), "left").select("id", "text", "extra", *more)
-
-    def encode(batches):
-        p, known = pieces(path), _Known(*shared.value)
+def write_dictionaries(src: DataFrame, path: str) -> str:
+    """Encode the distinct words of all texts by the lattice; the folder has a file of words and ids for each chunk.
+
+    ``src`` has ``chunk`` and ``units``. A table bucketed by word holds the words
+    of every chunk, so that distinct words, their lattices and the way back to
+    the chunks need no shuffle of their own. Words of more than 62 characters
+    are merged by a heap.
+    """
+    spark = src.sparkSession
+    spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, folder = f"units_{uuid.uuid4().hex}", new_folder(spark, "dictionaries")
+    words = src.select("chunk", "units").mapInArrow(_distinct, "chunk bigint, unit string").repartition(spread, "unit")
+    words.write.bucketBy(spread, "unit").sortBy("unit").option("compression", "zstd").saveAsTable(name)
+    try:
+        held = spark.table(name)
+        short = held.where(F.length("unit") <= BITS)
+        ids = encode_units(short.select("unit").distinct(), path)
+        long = held.where(F.length("unit") > BITS).mapInArrow(_encode_long(path), "chunk bigint, unit string, ids array<int>")
+        both = short.join(ids, "unit").select("chunk", "unit", "ids").unionByName(long)
+        both.repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(folder)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    return folder
+
+
+class Dictionary:
+    """Words and ids of one chunk; the last one read stays in the worker."""
+
+    _held: tuple[str, "Dictionary"] | None = None
+
+    def __init__(self, folder: str):
+        import pyarrow.parquet as pq
+
+        where, base = open_fs(folder)
+        from pyarrow import fs
+
+        found = [f.path for f in where.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".parquet")]
+        tables = [pq.read_table(f, filesystem=where, columns=["unit", "ids"]) for f in found]
+        t = pa.concat_tables(tables).combine_chunks() if tables else pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+        self.unit = t["unit"].combine_chunks() if t.num_rows else pa.array([], pa.string())
+        ids = t["ids"].combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32()))
+        begin = ids.offsets.to_numpy().astype(np.int64)
+        self.begin, self.size, self.flat = begin[:-1], np.diff(begin), ids.values.to_numpy()
+
+    @classmethod
+    def of(cls, folder: str) -> "Dictionary":
+        if cls._held is None or cls._held[0] != folder:
+            cls._held = None
+            cls._held = (folder, cls(folder))
+        return cls._held[1]
+
+    def encode(self, units: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, where each row's end)."""
+        flat, ends = units.flatten(), np.cumsum(pc.list_value_length(units).to_numpy(zero_copy_only=False))
+        if not len(flat):
+            return np.empty(0, np.int32), np.zeros(len(units), np.int64)
+        found = pc.index_in(flat, value_set=self.unit)
+        if found.null_count:
+            raise ValueError(f"a word without ids: {flat.filter(found.is_null())[0]}")
+        k = found.to_numpy()
+        size = self.size[k]
+        upto = np.cumsum(size)
+        place = np.arange(upto[-1]) + np.repeat(self.begin[k] - (upto - size), size)
+        return self.flat[place], np.r_[0, upto][ends]
+
+
+def decode(ids: np.ndarray, ends: np.ndarray, table: pa.Array) -> pa.Array:
+    """The texts of rows of ids as bytes, with the blank that the model puts before each."""
+    held = pa.LargeListArray.from_arrays(pa.array(np.r_[0, ends], pa.int64()), table.take(pa.array(ids)))
+    return pc.binary_join(held, b"")
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", per_chunk: int = 32_768, place: str | None = None) -> DataFrame:
+    """``(id, n_tokens, ids, round_trip)``, one row per row of ``docs``, with ``place`` if it is given.
+
+    The distinct words of all texts are encoded once by the lattice. Rows are
+    numbered in chunks of ``per_chunk`` by their place in the files, and each
+    chunk has a file of its words' ids, so whole texts are never shuffled.
+    ``place`` is a column that already numbers the rows without gaps.
+    ``round_trip`` says whether decoding the ids gives the text back.
+
+    Null and empty texts have no ids (and a round trip to the empty text). Rows
+    with one id are encoded row by row. An empty table gives no rows.
+    """
+    rows = docs if place else numbered(docs, "_place")
+    src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(place or "_place").alias("place"))
+    src = src.select("id", "place", F.expr(f"cast(place div {per_chunk} as bigint)").alias("chunk"), "text", units_of(F.col("text"), pieces(path).units).alias("units"))
+    folder = write_dictionaries(src, path)
+    kind = src.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        table = pa.array(pieces(path).table, pa.binary())
         for b in batches:
-            texts, extras = b.column("text").to_pylist(), b.column("extra").to_pylist()
-            out = [_gather(known, p.units(t), e) for t, e in zip(texts, extras)]
-            n = np.fromiter(map(len, out), np.int64, len(out))
-            same = [p.decode(x.tolist()) == (t or "") for x, t in zip(out, texts)]
-            offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
-            flat = np.concatenate(out) if out else np.empty(0, np.int32)
-            cols = [b.column("id"), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), pa.array(same, pa.bool_())]
-            yield pa.record_batch([*cols, *[b.column(c) for c in more]], names=["id", "n_tokens", "ids", "round_trip", *more])
-
-    own = "".join(f", `{c}` {src.schema[c].dataType.simpleString()}" for c in more)
-    out = full.mapInArrow(encode, f"id {kind}, n_tokens bigint, ids array<int>, round_trip boolean{own}")
-    return out.withColumnsRenamed({"id": id_col} | dict(zip(more, keep)))
+            chunks = b.column("chunk").to_numpy()
+            size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+            # a piece of a batch has rows of one chunk, and about 16 MB of text
+            mark = np.r_[True, (chunks[1:] != chunks[:-1]) | (np.diff(np.cumsum(size) >> 24) > 0)] if len(chunks) else []
+            at = np.flatnonzero(mark)
+            for i, j in zip(at, [*at[1:], len(chunks)]):
+                some = b.slice(i, j - i)
+                ids, ends = Dictionary.of(f"{folder}/chunk={chunks[i]}").encode(some.column("units"))
+                n = np.diff(np.r_[0, ends])
+                text = pc.fill_null(some.column("text"), "").cast(pa.binary())
+                text = pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(b" ", text, b""))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.record_batch([some.column("id"), some.column("place"), pa.array(n, pa.int64()), lists, pc.equal(decode(ids, ends, table), text)], names=["id", "place", "n_tokens", "ids", "round_trip"])
+
+    out = src.mapInArrow(run, f"id {kind}, place bigint, n_tokens bigint, ids array<int>, round_trip boolean")
+    out = out.withColumnsRenamed({"id": id_col, "place": place or "_place"})
+    return out if place else out.drop("_place")
