@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every row with its ``position``: its place in the files that the mix has written."""
-    return encode_documents(numbered(docs, "position"), tokenizer("piece_bpe_32k.model"), keep=("position",))
+    return encode_documents(numbered(docs, "position"), tokenizer("piece_bpe_32k.model"), place="position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
