@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._common import new_folder, numbered
 from ._files import open_fs
@@ -62,8 +63,11 @@ class Pieces:
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in inside)
         stop = SPACE + alone + marks
         mark = f"|{SPACE}*[{marks}][^{SPACE}{alone}]*" if marks else ""
-        #: Consecutive parts of a text that no piece goes across.
-        self.units = f"{SPACE}*[^{stop}]+{mark}|{SPACE}+" + (f"|[{alone}]" if alone else "")
+        self._units = re.compile(f"{SPACE}*[^{stop}]+{mark}|{SPACE}+" + (f"|[{alone}]" if alone else "")).findall
+
+    def units(self, text: str | None) -> list[str]:
+        """The words of a text as the model sees them: consecutive parts that no piece goes across."""
+        return self._units(SPACE + text.replace(" ", SPACE)) if text else []
 
     def late(self) -> set[str]:
         """Pieces whose own merges don't come in rank order, or don't end in the piece.
@@ -95,13 +99,6 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def units_of(text: Column, pattern: str) -> Column:
-    """The words of a text as the model sees them; none of a null or empty one."""
-    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    found = F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
-    return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<string>"))
-
-
 def piece_table(spark: SparkSession, rows: list[tuple[str, int, int]], late: set[str] = frozenset()) -> DataFrame:
     return spark.createDataFrame([(a, i, r, a in late) for a, i, r in rows], "piece string, id int, rank int, late boolean")
 
@@ -255,30 +252,31 @@ def _encode_long(path: str):
     return run
 
 
-def _distinct(batches):
-    """Distinct words of consecutive rows of one chunk."""
-    chunk, seen = None, None
+def _distinct(path: str, most: int = 500_000):
+    """Distinct words of consecutive rows of one chunk; a word may come again after ``most`` others."""
+
+    def run(batches):
+        p, chunk, seen = pieces(path), None, set()
 
-    def flush():
-        return pa.record_batch([pa.array(np.full(len(seen), chunk), pa.int64()), seen], names=["chunk", "unit"])
+        def flush():
+            return pa.record_batch([pa.array(np.full(len(seen), chunk or 0), pa.int64()), pa.array(list(seen), pa.string())], names=["chunk", "unit"])
 
-    for b in batches:
-        keys = b.column("chunk").to_numpy()
-        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-        for i, j in zip(at, [*at[1:], len(keys)]):
-            if seen is not None and (keys[i] != chunk or len(seen) > 1_000_000):
-                yield flush()
-                seen = None
-            new = b.column("units").slice(i, j - i).flatten()
-            seen, chunk = pc.unique(new if seen is None else pa.concat_arrays([seen, pc.unique(new)])), keys[i]
-    if seen is not None:
+        for b in batches:
+            for key, text in zip(b.column("chunk").to_pylist(), b.column("text")):
+                if key != chunk or len(seen) > most:
+                    yield flush()
+                    chunk = key
+                    seen.clear()
+                seen.update(p.units(text.as_py()))
         yield flush()
 
+    return run
+
 
 def write_dictionaries(src: DataFrame, path: str) -> str:
     """Encode the distinct words of all texts by the lattice; the folder has a file of words and ids for each chunk.
 
-    ``src`` has ``chunk`` and ``units``. A table bucketed by word holds the words
+    ``src`` has ``chunk`` and ``text``. A table bucketed by word holds the words
     of every chunk, so that distinct words, their lattices and the way back to
     the chunks need no shuffle of their own. Words of more than 62 characters
     are merged by a heap.
@@ -286,14 +284,14 @@ def write_dictionaries(src: DataFrame, path: str) -> str:
     spark = src.sparkSession
     spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, folder = f"units_{uuid.uuid4().hex}", new_folder(spark, "dictionaries")
-    words = src.select("chunk", "units").mapInArrow(_distinct, "chunk bigint, unit string").repartition(spread, "unit")
-    words.write.bucketBy(spread, "unit").sortBy("unit").option("compression", "zstd").saveAsTable(name)
+    words = src.select("chunk", "text").mapInArrow(_distinct(path), "chunk bigint, unit string").repartition(spread, "unit")
+    words.write.bucketBy(spread, "unit").option("compression", "zstd").saveAsTable(name)
     try:
         held = spark.table(name)
         short = held.where(F.length("unit") <= BITS)
         ids = encode_units(short.select("unit").distinct(), path)
         long = held.where(F.length("unit") > BITS).mapInArrow(_encode_long(path), "chunk bigint, unit string, ids array<int>")
-        both = short.join(ids, "unit").select("chunk", "unit", "ids").unionByName(long)
+        both = short.join(ids.hint("shuffle_hash"), "unit").select("chunk", "unit", "ids").unionByName(long)
         both.repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(folder)
     finally:
         spark.sql(f"DROP TABLE {name}")
@@ -326,11 +324,12 @@ class Dictionary:
             cls._held = (folder, cls(folder))
         return cls._held[1]
 
-    def encode(self, units: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, where each row's end)."""
-        flat, ends = units.flatten(), np.cumsum(pc.list_value_length(units).to_numpy(zero_copy_only=False))
-        if not len(flat):
-            return np.empty(0, np.int32), np.zeros(len(units), np.int64)
+    def encode(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's end), from their words."""
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        if not len(ends) or not ends[-1]:
+            return np.empty(0, np.int32), ends
+        flat = pa.array(list(chain.from_iterable(units)), pa.string())
         found = pc.index_in(flat, value_set=self.unit)
         if found.null_count:
             raise ValueError(f"a word without ids: {flat.filter(found.is_null())[0]}")
@@ -361,21 +360,22 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     rows = docs if place else numbered(docs, "_place")
     src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(place or "_place").alias("place"))
-    src = src.select("id", "place", F.expr(f"cast(place div {per_chunk} as bigint)").alias("chunk"), "text", units_of(F.col("text"), pieces(path).units).alias("units"))
+    src = src.select("id", "place", F.expr(f"cast(place div {per_chunk} as bigint)").alias("chunk"), "text")
     folder = write_dictionaries(src, path)
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches):
-        table = pa.array(pieces(path).table, pa.binary())
+        p = pieces(path)
+        table = pa.array(p.table, pa.binary())
         for b in batches:
             chunks = b.column("chunk").to_numpy()
             size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
-            # a piece of a batch has rows of one chunk, and about 16 MB of text
-            mark = np.r_[True, (chunks[1:] != chunks[:-1]) | (np.diff(np.cumsum(size) >> 24) > 0)] if len(chunks) else []
+            # a piece of a batch has rows of one chunk, and about 4 MB of text
+            mark = np.r_[True, (chunks[1:] != chunks[:-1]) | (np.diff(np.cumsum(size) >> 22) > 0)] if len(chunks) else []
             at = np.flatnonzero(mark)
             for i, j in zip(at, [*at[1:], len(chunks)]):
                 some = b.slice(i, j - i)
-                ids, ends = Dictionary.of(f"{folder}/chunk={chunks[i]}").encode(some.column("units"))
+                ids, ends = Dictionary.of(f"{folder}/chunk={chunks[i]}").encode([p.units(t) for t in some.column("text").to_pylist()])
                 n = np.diff(np.r_[0, ends])
                 text = pc.fill_null(some.column("text"), "").cast(pa.binary())
                 text = pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(b" ", text, b""))
