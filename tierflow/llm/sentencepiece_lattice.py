@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,25 +47,38 @@ class Pieces:
             if m.is_byte(i):
                 self.table.append(bytes([int(p[3:5], 16)]))
             elif i in self.scores:
-                self.table.append(p.replace(SPACE, " ").encode())
+                p = p.replace(SPACE, " ")
+                self.table.append(p.encode())
                 self.rows.append((p, i, rank[self.scores[i]]))
             else:
                 self.table.append(b"")
-        self.longest = max(len(p) for p, _, _ in self.rows)
         pairs = {p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
-        if any(b == SPACE and a != SPACE for a, b in pairs):
-            raise ValueError("pieces go over word ends")
-        inside = {c for p in pairs for c in p}
-        before = {b for a, b in pairs if a not in (SPACE, b)}
-        marks = "".join(re.escape(c) for c in "!#$%&*+,-./:;=?@|~" if c not in before)
-        alone = "".join(re.escape(c) for c in "\n\r\t" if c not in inside)
-        stop = SPACE + alone + marks
-        mark = f"|{SPACE}*[{marks}][^{SPACE}{alone}]*" if marks else ""
-        self._units = re.compile(f"{SPACE}*[^{stop}]+{mark}|{SPACE}+" + (f"|[{alone}]" if alone else "")).findall
-
-    def units(self, text: str | None) -> list[str]:
-        """The words of a text as the model sees them: consecutive parts that no piece goes across."""
-        return self._units(SPACE + text.replace(" ", SPACE)) if text else []
+        chars = sorted({c for p in pairs for c in p})
+        kinds = len(chars) + 1
+        self._kind = np.zeros(0x110000, np.uint16)
+        self._kind[[ord(c) for c in chars]] = np.arange(1, kinds)
+        joined = np.zeros((kinds, kinds), bool)
+        for a, b in pairs:
+            joined[self._kind[ord(a)], self._kind[ord(b)]] = True
+        self._joined, self._kinds = joined.ravel(), kinds
+
+    def units(self, texts: list[str | None]) -> tuple[pa.StringArray, np.ndarray]:
+        """(words of all texts, where each text's end): a word ends where no piece holds the next two characters."""
+        parts = [" " + t.replace(SPACE, " ") if t else "" for t in texts]
+        flat, ends = "".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        if not flat:
+            return pa.array([], pa.string()), ends
+        code = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
+        kind = self._kind[code].astype(np.int32)
+        cut = np.ones(len(code) + 1, bool)
+        cut[1:-1] = ~self._joined[kind[:-1] * self._kinds + kind[1:]]
+        cut[ends] = True
+        at, data = np.flatnonzero(cut), flat.encode()
+        place = at
+        if len(data) != len(code):
+            place = np.r_[0, np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))][at]
+        words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(place.astype(np.int32)), pa.py_buffer(data))
+        return words, np.searchsorted(at, ends)
 
     def late(self) -> set[str]:
         """Pieces whose own merges don't come in rank order, or don't end in the piece.
@@ -252,23 +263,32 @@ def _encode_long(path: str):
     return run
 
 
-def _distinct(path: str, most: int = 500_000):
+def _slices(batch: pa.RecordBatch):
+    """Consecutive rows of one chunk with about 4 MB of text: (chunk, rows)."""
+    chunk = batch.column("chunk").to_numpy()
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (np.diff(np.cumsum(size) >> 22) > 0)]) if len(chunk) else []
+    for i, j in zip(at, [*at[1:], len(chunk)]):
+        yield chunk[i], batch.slice(i, j - i)
+
+
+def _distinct(path: str, most: int = 1_000_000):
     """Distinct words of consecutive rows of one chunk; a word may come again after ``most`` others."""
 
     def run(batches):
-        p, chunk, seen = pieces(path), None, set()
+        p, chunk, seen = pieces(path), None, None
 
         def flush():
-            return pa.record_batch([pa.array(np.full(len(seen), chunk or 0), pa.int64()), pa.array(list(seen), pa.string())], names=["chunk", "unit"])
+            return pa.record_batch([pa.array(np.full(len(seen), chunk), pa.int64()), seen], names=["chunk", "unit"])
 
-        for b in batches:
-            for key, text in zip(b.column("chunk").to_pylist(), b.column("text")):
-                if key != chunk or len(seen) > most:
-                    yield flush()
-                    chunk = key
-                    seen.clear()
-                seen.update(p.units(text.as_py()))
-        yield flush()
+        for key, rows in (x for b in batches for x in _slices(b)):
+            if seen is not None and (key != chunk or len(seen) > most):
+                yield flush()
+                seen = None
+            new = pc.unique(p.units(rows.column("text").to_pylist())[0])
+            seen, chunk = new if seen is None else pc.unique(pa.concat_arrays([seen, new])), key
+        if seen is not None:
+            yield flush()
 
     return run
 
@@ -284,7 +304,7 @@ def write_dictionaries(src: DataFrame, path: str) -> str:
     spark = src.sparkSession
     spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, folder = f"units_{uuid.uuid4().hex}", new_folder(spark, "dictionaries")
-    words = src.select("chunk", "text").mapInArrow(_distinct(path), "chunk bigint, unit string").repartition(spread, "unit")
+    words = src.select("chunk", "text").mapInArrow(_distinct(path), "chunk bigint, unit string").repartition(spread, "unit").distinct()
     words.write.bucketBy(spread, "unit").option("compression", "zstd").saveAsTable(name)
     try:
         held = spark.table(name)
@@ -324,15 +344,13 @@ class Dictionary:
             cls._held = (folder, cls(folder))
         return cls._held[1]
 
-    def encode(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: pa.StringArray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's end), from their words."""
-        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        if not len(ends) or not ends[-1]:
+        if not len(words):
             return np.empty(0, np.int32), ends
-        flat = pa.array(list(chain.from_iterable(units)), pa.string())
-        found = pc.index_in(flat, value_set=self.unit)
+        found = pc.index_in(words, value_set=self.unit)
         if found.null_count:
-            raise ValueError(f"a word without ids: {flat.filter(found.is_null())[0]}")
+            raise ValueError(f"a word without ids: {words.filter(found.is_null())[0]}")
         k = found.to_numpy()
         size = self.size[k]
         upto = np.cumsum(size)
@@ -368,14 +386,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         p = pieces(path)
         table = pa.array(p.table, pa.binary())
         for b in batches:
-            chunks = b.column("chunk").to_numpy()
-            size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
-            # a piece of a batch has rows of one chunk, and about 4 MB of text
-            mark = np.r_[True, (chunks[1:] != chunks[:-1]) | (np.diff(np.cumsum(size) >> 22) > 0)] if len(chunks) else []
-            at = np.flatnonzero(mark)
-            for i, j in zip(at, [*at[1:], len(chunks)]):
-                some = b.slice(i, j - i)
-                ids, ends = Dictionary.of(f"{folder}/chunk={chunks[i]}").encode([p.units(t) for t in some.column("text").to_pylist()])
+            for chunk, some in _slices(b):
+                ids, ends = Dictionary.of(f"{folder}/chunk={chunk}").encode(*p.units(some.column("text").to_pylist()))
                 n = np.diff(np.r_[0, ends])
                 text = pc.fill_null(some.column("text"), "").cast(pa.binary())
                 text = pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(b" ", text, b""))
