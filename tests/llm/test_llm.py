@@ -9,7 +9,7 @@ from tierflow.llm import mixing, queries, sharding, url_filter, warc
 from tierflow.llm._common import shingles
 from tierflow.llm._features import repeats
 from tierflow.llm.embedding_dedup import near_vectors
-from tierflow.llm.minhash_dedup import near_documents
+from tierflow.llm.minhash_dedup import _shared, near_documents
 from tierflow.llm.quality_classifier import FactorisationMachine, score_quality
 from tierflow.llm.quality_rules import judge_quality
 from tierflow.llm.sentencepiece_lattice import encode_documents, fold_viterbi, lattice, merge_long, pieces
@@ -60,7 +60,7 @@ def test_vectors_match_brute_force(spark):
 
 
 def test_documents_match_brute_force(spark, sf, odd):
-    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd.limit(9)):
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd):
         rows = docs.select("doc_id", "text").collect()
         sets = {r.doc_id: set(shingles(r.text).tolist()) for r in rows}
         links, seen = [], defaultdict(list)
@@ -70,18 +70,31 @@ def test_documents_match_brute_force(spark, sf, odd):
                     links.append((i, j))
             for h in s:
                 seen[h].append(i)
-        got = near_documents(docs).toPandas().set_index("doc_id")
+        got = near_documents(docs).toPandas()
+        assert len(got) == len(rows)
+        got = got.drop_duplicates().set_index("doc_id")
         assert got.component_id.to_dict() == components(sets, links)
         assert got.n_shingles.to_dict() == {i: len(s) for i, s in sets.items()}
+        assert (got.kept == (got.component_id == got.index)).all()
+    assert near_documents(odd.where("false")).count() == 0
 
 
 def test_a_chain_of_near_copies_stays_one_group(spark):
     words = [f"t{i}" for i in range(400)]
     docs = [(i, " ".join(words[: 200 + i])) for i in range(150)]
-    got = near_documents(spark.createDataFrame(docs, "doc_id long, text string"), node_size=16).toPandas()
+    got = near_documents(spark.createDataFrame(docs, "doc_id long, text string"), node_size=16, block=32).toPandas()
     assert set(got.component_id) == {0}
 
 
+def test_intersections_of_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.choice(300, rng.integers(1, 120))).astype(np.uint64) for _ in range(60)] + [np.arange(5, dtype=np.uint64) + 1000]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    got = _shared(sets)
+    np.fill_diagonal(got, [len(x) for x in sets])
+    assert got.tolist() == want
+
+
 def test_shards_fit_and_only_large_buckets_split(spark, odd):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', int(id % 97))").alias("text"))
     got = sharding.assign_shards(docs, limit=4096).toPandas()
@@ -277,5 +290,5 @@ def test_pairs_in_large_nodes_are_found(spark):
     sets = {n: set(shingles(t).tolist()) for n, t in docs}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     assert len(links) == 60
-    got = near_documents(spark.createDataFrame(docs, "doc_id long, text string"), node_size=4, rounds=1, likely=1.0).toPandas().set_index("doc_id")
+    got = near_documents(spark.createDataFrame(docs, "doc_id long, text string"), node_size=4, block=16, likely=1.0).toPandas().set_index("doc_id")
     assert got.component_id.to_dict() == components(sets, links)

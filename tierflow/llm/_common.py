@@ -45,6 +45,19 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` marked to be sent to all tasks if it has at most ``most`` rows; for narrow rows that are stored."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """A name for a helper column that ``df`` does not have."""
+    name, taken = f"_{name}", {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _of_files(df: DataFrame) -> bool:
     """Whether every row of ``df`` is one row of a Parquet file and no row of the files is missing."""
     plan = df._jdf.queryExecution().analyzed()

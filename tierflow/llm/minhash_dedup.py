@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import cut, mix, numbered, shingles, stored
+from ._common import bounded, mix, numbered, shingles, stored
 from .components import components
 
 _LEVELS = 4
-_BLOCK = 512  # documents of a block of a large node
-_MOST_ROUNDS = 34
 
 
 def _signatures(trees: int, size: int):
@@ -41,80 +39,136 @@ def _signatures(trees: int, size: int):
     return run
 
 
-def _compare(buffer: int, trees: int, least: float, likely: float, merge_likely: bool):
-    """Candidates of consecutive rows of one node.
+def _nodes(batches):
+    """The consecutive rows of each node: (ids, set sizes, components, signatures)."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column("node").to_numpy()
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        for i, j in zip(at, [*at[1:], len(key)]):
+            if held and key[i] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key[i]
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(t: pa.Table) -> tuple:
+    ids, n, comp = (t.column(c).to_numpy() for c in ("id", "n", "comp"))
+    return ids, n, comp, np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(len(ids), -1)
+
+
+def _equal(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many tokens of every two signatures are equal."""
+    same = np.zeros((len(one), len(two)), np.uint16)
+    for j in range(one.shape[1]):
+        same += one[:, j][:, None] == two[:, j][None, :]
+    return same
+
+
+def _like(n_one: np.ndarray, n_two: np.ndarray, percent: int) -> np.ndarray:
+    """Sets whose sizes differ by more than this can't be links."""
+    a, b = n_one[:, None], n_two[None, :]
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def _star(likely: float, percent: int):
+    """``(a, b)``: every document of a node with the first one before it that is likely a link.
 
-    Rows come sorted by node. Each document is compared with up to ``buffer``
-    documents of its node before it and with the node's first one, so nodes up
-    to that size are compared exhaustively. Estimates below ``least`` are no
-    candidates. Of the documents that are known to be in one component, or (in
-    the first round) likely so, only the best is paired.
+    The rows of a node come one after the other, sorted by id.
     """
 
     def run(batches):
-        node, sigs, ids, group, n = None, None, None, None, 0
-        for b in batches:
-            out_a, out_b = [], []
-            keys = b.column("node").to_numpy()
-            doc, known = b.column("id").to_numpy(), b.column("comp").to_numpy()
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(len(doc), trees * _LEVELS) if len(doc) else None
-            for i in range(len(doc)):
-                if keys[i] != node:
-                    node, n = keys[i], 0
-                    if i + 1 < len(doc) and keys[i + 1] != node:
-                        sigs = None  # a node of one document
-                        continue
-                    sigs, ids, group = np.empty((buffer, sig.shape[1]), "<u4"), np.empty(buffer, np.int64), np.empty(buffer, np.int64)
-                mine = known[i]
-                if n:
-                    m = min(n, buffer)
-                    est = (sigs[:m] == sig[i]).mean(axis=1)
-                    at = np.flatnonzero((est >= least) & (group[:m] != mine) & (ids[:m] != doc[i]))
-                    at = at[np.argsort(-est[at], kind="stable")]
-                    done = set()
-                    for j in at:
-                        g = group[j]
-                        if g in done or g == mine:
-                            continue
-                        out_a.append(min(doc[i], ids[j]))
-                        out_b.append(max(doc[i], ids[j]))
-                        if merge_likely and est[j] >= likely:
-                            done.add(g)
-                            if mine != g:
-                                group[:m][group[:m] == mine] = g
-                                mine = g
-                at = n if n < buffer else 1 + (n - 1) % (buffer - 1)  # the first document stays
-                sigs[at], ids[at], group[at] = sig[i], doc[i], mine
-                n += 1
-            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        for t in _nodes(batches):
+            if t.num_rows < 2:
+                continue
+            ids, n, _, sig = _columns(t)
+            ok = (_equal(sig, sig) >= likely * sig.shape[1]) & _like(n, n, percent) & np.tri(len(ids), k=-1, dtype=bool)
+            i = np.flatnonzero(ok.any(axis=1))
+            yield pa.record_batch([pa.array(ids[ok[i].argmax(axis=1)]), pa.array(ids[i])], names=["a", "b"])
+
+    return run
+
+
+def _hopeful(least: float, percent: int):
+    """``(node, id, comp)`` of the documents of a node that may be linked with one of another component there."""
+
+    def run(batches):
+        for t in _nodes(batches):
+            ids, n, comp, sig = _columns(t)
+            ok = (_equal(sig, sig) >= least * sig.shape[1]) & _like(n, n, percent) & (comp[:, None] != comp[None, :])
+            if ok.any():
+                yield t.filter(pa.array(ok.any(axis=1))).select(["node", "id", "comp"]).combine_chunks().to_batches()[0]
 
     return run
 
 
-def _cross(trees: int, least: float):
-    """All candidates of two blocks of one node (or of one block with itself) whose components differ."""
-
-    def run(t: pa.Table) -> pa.Table:
-        side, ids, comp = (t.column(c).to_numpy() for c in ("side", "id", "comp"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(len(ids), trees * _LEVELS)
-        one, two = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)  # side 0: a block with itself
-        out_a, out_b = [], []
-        for i in range(0, len(one), 256):
-            some = one[i : i + 256]
-            same = np.zeros((len(some), len(two)), np.uint16)
-            for j in range(sig.shape[1]):
-                same += sig[some, j][:, None] == sig[two, j][None, :]
-            a, b = np.nonzero((same >= least * sig.shape[1]) & (comp[some][:, None] != comp[two][None, :]) & (ids[some][:, None] != ids[two][None, :]))
-            out_a.append(np.minimum(ids[some[a]], ids[two[b]]))
-            out_b.append(np.maximum(ids[some[a]], ids[two[b]]))
-        none = [np.empty(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(none + out_a), pa.int64()), "b": pa.array(np.concatenate(none + out_b), pa.int64())})
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of some sets."""
+    m = len(sets)
+    owner, (_, at) = np.repeat(np.arange(m), [len(x) for x in sets]), np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.lexsort((owner, at))
+    owner, at = owner[order], at[order]
+    count = np.bincount(at)
+    out = np.zeros(m * m, np.int64)
+    rare = count[at] <= 16
+    o, h = owner[rare], at[rare]
+    for k in range(1, 16):  # an element of few sets: the pairs of those sets
+        i = np.flatnonzero(h[:-k] == h[k:]) if len(h) > k else []
+        if not len(i):
+            break
+        out += np.bincount(o[i] * m + o[i + k], minlength=m * m)
+    out = out.reshape(m, m)
+    out = out + out.T
+    o, h = owner[~rare], np.unique(at[~rare], return_inverse=True)[1]
+    width = max(1, (4 << 20) // m)
+    for start in range(0, int(h.max()) + 1 if len(h) else 0, width):
+        i = slice(*np.searchsorted(h, [start, start + width]))
+        x = np.zeros((m, width), np.float32)
+        x[o[i], h[i] - start] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
+
+
+def _forest(t: pa.Table, percent: int) -> tuple[list, list]:
+    """Links between the components of some rows with full sets, at most one less than there are components."""
+    ids, comp, sets = t.column("id").to_numpy(), t.column("comp").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+    n, both = np.array([len(x) for x in sets]), _shared(sets)
+    ok = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+    i, j = np.nonzero(np.triu(ok, 1))
+    top = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    a, b = [], []
+    for x, y in zip(i.tolist(), j.tolist()):
+        p, q = find(comp[x]), find(comp[y])
+        if p != q:
+            top[max(p, q)] = min(p, q)
+            a.append(ids[x]), b.append(ids[y])
+    return a, b
+
+
+def _links(percent: int):
+    """Links between the components of each node, by full sets."""
+
+    def run(batches):
+        for t in _nodes(batches):
+            a, b = _forest(t, percent)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _large_pairs(rows: DataFrame, block: int, trees: int, least: float) -> DataFrame:
-    """Candidates ``(a, b)`` of large nodes, every two documents of different components compared.
+def _large_links(rows: DataFrame, packed: DataFrame, block: int, percent: int) -> DataFrame:
+    """Links of large nodes, every two documents of different components compared by full sets.
 
     A component as large as a block has blocks of its own, which are not
     compared with each other; the others share blocks.
@@ -133,132 +187,143 @@ def _large_pairs(rows: DataFrame, block: int, trees: int, least: float) -> DataF
     y = blocks.select("node", F.col("own").alias("o2"), F.col("blk").alias("b2"))
     # of a node's blocks every two, but not two of one component
     pairs = x.join(y, "node").where("b1 <= b2 and (o1 is null or o2 is null or o1 <> o2)").withColumn("key", F.xxhash64("node", "b1", "b2"))
-    sides = pairs.select("node", "key", F.explode(F.array(
-        F.struct(F.col("b1").alias("blk"), F.when(F.col("b1") == F.col("b2"), 0).otherwise(1).alias("side")),
-        F.struct(F.when(F.col("b1") < F.col("b2"), F.col("b2")).alias("blk"), F.lit(2).alias("side")),
-    )).alias("x")).select("node", "key", "x.blk", "x.side").where("blk is not null")
-    sig = rows.select("node", "id", "sig")
-    work = placed.join(sides, ["node", "blk"]).join(sig, ["node", "id"]).select("key", "side", "id", "comp", "sig")
-    return work.groupBy("key").applyInArrow(_cross(trees, least), "a bigint, b bigint")
+    sides = pairs.select("node", "key", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("blk"))
+    work = placed.join(sides, ["node", "blk"]).join(packed, "id").select(F.col("key").alias("node"), "id", "comp", "set")
+    return work.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_links(percent), "a bigint, b bigint")
+
 
+def _pack(size: int):
+    """Each text's set as the bytes of its sorted hashes."""
 
-def _verify(size: int, percent: int):
     def run(batches):
-        last, mine = None, None
         for b in batches:
-            a, ids = b.column("a").to_numpy(), b.column("b").to_numpy()
-            ta, tb = b.column("ta"), b.column("tb")
-            ok = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, mine = a[i], shingles(ta[i].as_py(), size)
-                other = shingles(tb[i].as_py(), size)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                ok[i] = both > 0 and 100 * both >= percent * (len(mine) + len(other) - both)
-            yield pa.record_batch([pa.array(a), pa.array(ids), pa.array(ok)], names=["a", "b", "ok"])
+            yield pa.record_batch([b.column("id"), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column("text")], pa.binary())], names=["id", "set"])
 
     return run
 
 
+def _verify(percent: int):
+    def run(batches):
+        for b in batches:
+            ok = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+            yield pa.record_batch([b.column("a"), b.column("b"), pa.array(ok)], names=["a", "b", "ok"])
+
+    return run
+
+
+def _branches(reps: DataFrame, trees: int, node_size: int) -> DataFrame:
+    """``(node, id, n_node)``: the nodes of more than one document at which the trees stop.
+
+    Every tree sends a document down the branch of its least token under that
+    tree's hash; a node of more than ``node_size`` documents branches again by
+    the next hash, four levels deep.
+    """
+    token = lambda i: F.substring("sig", i * 4 + 1, 4)
+    path = lambda t, d: F.xxhash64(F.lit(t), *[token(t * _LEVELS + j) for j in range(d + 1)])
+    first = reps.select("id", F.posexplode(F.array(*[path(t, 0) for t in range(trees)])).alias("t", "node"))
+    shared = first.groupBy("node").agg(F.count("*").alias("n_node")).where("n_node > 1")
+    first = stored(first.join(shared, "node").select("node", "id", "t", "n_node"), "branches")
+    small, large = first.where(F.col("n_node") <= node_size), first.where(F.col("n_node") > node_size).select("id", "t")
+    if large.isEmpty():
+        return small.drop("t")
+    levels = range(1, _LEVELS)
+    paths = F.array(*[F.array(*[path(t, d) for d in levels]) for t in range(trees)])
+    deep = large.join(reps.select("id", paths.alias("p")), "id").select("id", "t", F.posexplode(F.get("p", F.col("t"))).alias("d", "node"))
+    deep = stored(deep, "deep")
+    shared = deep.groupBy("node").agg(F.count("*").alias("n_node")).where("n_node > 1")
+    deep = deep.join(stored(shared, "counts"), "node").groupBy("id", "t").agg(
+        F.min(F.when(F.col("n_node") <= node_size, F.struct("d", "node", "n_node"))).alias("fits"),
+        F.max(F.struct("d", "node", "n_node")).alias("last"))
+    # the first node that is small enough, else the last one if the branch goes on to the end
+    x = F.coalesce("fits", F.when(F.col("last.d") == len(levels) - 1, F.col("last"))).alias("x")
+    deep = deep.select("id", x).where("x is not null").select("x.node", "id", "x.n_node")
+    return small.select("node", "id", "n_node").unionByName(deep)
+
+
+def trees_for(recall: float, percent: int = 75) -> int:
+    """Trees with which two documents just alike enough meet in a full-depth node with a chance of ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** _LEVELS))
+
+
 def near_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     size: int = 5,
     percent: int = 75,
-    trees: int = 16,
+    recall: float = 0.997,
     node_size: int = 48,
+    block: int = 512,
     least: float = 0.5,
     likely: float = 0.8,
-    rounds: int = 6,
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
-    Every tree sends a document down the branch of its least token under that
-    tree's hash; a node of more than ``node_size`` documents branches again by
-    the next hash, four levels deep, and a small node is compared exhaustively
-    on signatures. A node that stays large is first read in the order of other
-    trees' tokens, every document against the ``node_size`` before it and the
-    node's first, for at most ``rounds`` rounds. Candidates are confirmed on full
-    shingle sets. Later rounds compare only documents whose components still
-    differ, so a group of copies costs a forest and not all its pairs. Once such
-    a round finds no new link, all documents of different components in large
-    nodes are compared, block by block, until no candidate is new.
+    Independent trees (see ``_branches``), as many as ``recall`` asks for, put
+    documents in nodes; small nodes are compared exhaustively, first on
+    signatures, then on full shingle sets. This goes in two rounds, so that a
+    group of copies costs about one pair per document and not all its pairs:
+    first every document with one that is likely a link (a large node in blocks
+    that all hold the node's first document), then all documents of a node whose
+    components are still apart; large nodes block by block. The second round
+    ships the sets to the nodes and gives back only links that join components.
+    A pair in one small node is lost only if its signatures agree in less than
+    ``least`` of their tokens.
 
     Documents with equal sets are grouped first. Null or wordless texts have an
     empty set and link with nothing; fewer words than ``size`` are one shingle.
     Rows with one id share a component. An empty table gives no rows.
     """
+    trees = trees_for(recall, percent)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = stored(src.mapInArrow(_signatures(trees, size), "id bigint, n bigint, m1 bigint, m2 bigint, sig binary"), "signatures")
-    same = sets.where("n > 0").groupBy("n", "m1", "m2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
-    reps = stored(same, "sets")
-
-    # branches: (tree, path) as one hash; only nodes that are too large go a level deeper
-    token = lambda i: F.expr(f"substring(sig, {i * 4 + 1}, 4)")
-    level = reps.select(
-        F.col("rep").alias("id"),
-        F.explode(F.array(*[
-            F.struct(F.lit(t).alias("t"), *[F.xxhash64(F.lit(t), *[token(t * _LEVELS + j) for j in range(d + 1)]).alias(f"p{d}") for d in range(_LEVELS)])
-            for t in range(trees)
-        ])).alias("x"),
-    ).select("id", "x.t", *[F.col(f"x.p{d}") for d in range(_LEVELS)])
-    level = stored(level.join(level.groupBy("p0").count().where("count > 1").select("p0", F.col("count").alias("c0")), "p0"), "branches")
-    leaves, rest = [], level.withColumnRenamed("c0", "c")
-    for d in range(_LEVELS):
-        deep = d == _LEVELS - 1
-        small = rest if deep else rest.where(F.col("c") <= node_size)
-        leaves.append(small.where("c > 1").select(F.col(f"p{d}").alias("node"), "id", "t", (F.col("c") > node_size).alias("large")))
-        if not deep:
-            rest = rest.where(F.col("c") > node_size).drop("c")
-            rest = rest.join(rest.groupBy(f"p{d + 1}").agg(F.count("*").alias("c")), f"p{d + 1}")
-    member = stored(reduce(DataFrame.unionByName, leaves), "nodes")
-
-    has_large = not member.where("large").isEmpty()
-    comp, tested, good, blocks = None, None, None, False
-    for r in range(rounds + _MOST_ROUNDS):
-        rows = member.join(reps.select(F.col("rep").alias("id"), "sig"), "id")
-        if comp is not None:
-            rows = rows.join(comp, rows.id == comp.node_id, "left").select("node", "id", "t", "large", "sig", F.coalesce("component", "id").alias("comp"))
-            # a node whose documents are all in one component has nothing left to compare
-            open_ = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-            rows = rows.join(open_, "node", "left_semi")
-        else:
-            rows = rows.withColumn("comp", F.col("id"))
-        large = rows.where("large").select("node", "id", "sig", "comp")
-        rows = rows.where("not large") if blocks else rows
-        other = F.expr(f"substring(sig, {4 * _LEVELS} * ((t + 1 + {r}) % {trees}) + 1, 4)")  # a token that the node's path does not hold
-        rows = rows.withColumn("tail", F.xxhash64("node", other))
-        rows = rows.repartition("node").sortWithinPartitions("node", "tail", "id").select("node", "id", "sig", "comp")
-        pairs = rows.mapInArrow(_compare(node_size, trees, least, likely, r == 0), "a bigint, b bigint")
-        if blocks:
-            pairs = pairs.unionByName(_large_pairs(large, _BLOCK, trees, least))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if not pairs.count():
-            if blocks or not has_large:
-                break
-            blocks = True
-            continue
-        both = pairs.join(src.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        both = both.join(src.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        found = stored(both.mapInArrow(_verify(size, percent), "a bigint, b bigint, ok boolean"), "verified")
-        links = found.where("ok").select("a", "b")
-        good = links if good is None else good.unionByName(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if links.isEmpty():
-            blocks = blocks or (r > 0 and has_large)
-        else:
-            comp = cut(components(good, "a", "b").withColumnRenamed("node", "node_id"))
-        blocks = blocks or (has_large and r + 1 >= rounds)
-    else:
-        raise RuntimeError(f"near-duplicates still had new candidates after {rounds + _MOST_ROUNDS} rounds")
-    by_set = reps.select("n", "m1", "m2", "rep")
-    if comp is not None:
-        by_set = by_set.join(comp, by_set.rep == comp.node_id, "left").select("n", "m1", "m2", F.coalesce("component", "rep").alias("rep"))
-    out = sets.drop("sig").join(by_set, ["n", "m1", "m2"], "left")
+    reps = stored(sets.where("n > 0").groupBy("n", "m1", "m2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "sets")
+    member = stored(_branches(reps, trees, node_size), "nodes")
+    sig = reps.select("id", "n", "sig")
+
+    def packed(ids: DataFrame) -> DataFrame:
+        """``(id, set)``; each text is cut into shingles once."""
+        need = bounded(stored(ids.distinct(), "needed"))
+        return stored(src.join(need, "id", "left_semi").mapInArrow(_pack(size), "id bigint, set binary").dropDuplicates(["id"]), "packed")
+
+    large = member.where(F.col("n_node") > node_size)
+    rows = member.where(F.col("n_node") <= node_size).select("node", "id")
+    has_large = not large.isEmpty()
+    if has_large:
+        first = large.groupBy("node").agg(F.min("id").alias("id"), F.max("n_node").alias("m"))
+        led = first.select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / block) - 1)).alias("blk"))
+        own = large.select("node", "id", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("n_node") / block)).alias("blk"))
+        rows = rows.unionByName(own.unionByName(led).distinct().select(F.xxhash64("node", "blk").alias("node"), "id"))
+    rows = rows.join(sig, "id").select("node", "id", "n", F.col("id").alias("comp"), "sig").repartition("node").sortWithinPartitions("node", "id")
+    # one link a document: the first of those that it may have
+    pairs = stored(rows.mapInArrow(_star(likely, percent), "a bigint, b bigint").groupBy("b").agg(F.min("a").alias("a")), "pairs")
+    sets_of = packed(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    both = pairs.join(sets_of.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    both = both.join(sets_of.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    links = stored(both.mapInArrow(_verify(percent), "a bigint, b bigint, ok boolean").where("ok").select("a", "b"), "links")
+    up = links.select(F.col("b").alias("of"), F.col("a").alias("component"))
+    for _ in range(2):  # links of links: rows of one label are of one component, which is all that the next round needs
+        top = up.select(F.col("of").alias("mid"), F.col("component").alias("top"))
+        up = stored(up.join(top, F.col("component") == F.col("mid"), "left").select("of", F.coalesce("top", "component").alias("component")), "labels")
+
+    rows = member.join(up, member.id == up.of, "left").select("node", "id", "n_node", F.coalesce("component", "id").alias("comp"))
+    # a node whose documents are all in one component has nothing left to compare
+    open_ = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
+    rows = stored(rows.join(open_, "node", "left_semi"), "open")
+    small = rows.where(F.col("n_node") <= node_size).join(sig, "id").select("node", "id", "n", "comp", "sig")
+    small = small.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_hopeful(least, percent), "node bigint, id bigint, comp bigint")
+    small, large = stored(small, "hopeful"), rows.where(F.col("n_node") > node_size).select("node", "id", "comp")
+    sets_of = packed(small.select("id").unionByName(large.select("id")))
+    more = small.join(sets_of, "id").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_links(percent), "a bigint, b bigint")
+    if has_large:
+        more = more.unionByName(_large_links(large, sets_of, block, percent))
+    comp = components(links.unionByName(stored(more, "more")), "a", "b").select(F.col("node").alias("of"), "component")
+    of = reps.join(comp, reps.id == comp.of, "left").select("n", "m1", "m2", F.coalesce("component", "id").alias("rep"))
+    out = sets.drop("sig").join(of, ["n", "m1", "m2"], "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id") == F.col(id_col))
 
@@ -270,10 +335,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     component the row with the least id is kept, null ids last. A row without
     words links with nothing and is kept; such rows repeated whole are kept once.
     """
-    rows = numbered(docs, "_row")
-    of = near_documents(rows, "_row", **how).select("_row", "n_shingles", "component_id")
-    of = stored(of.join(rows.select("_row", F.col(id_col).alias("_id")), "_row"), "components")
-    best = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    kept = of.where("n_shingles > 0").groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias("_row"))
-    empty = rows.join(of.where("n_shingles = 0").select("_row"), "_row", "left_semi").drop("_row")
-    return rows.join(kept, "_row", "left_semi").drop("_row").unionByName(empty.dropDuplicates())
+    row, own = new_name(docs, "row"), F.col(id_col)
+    rows = numbered(docs, row)
+    of = near_documents(rows, row, **how).select(F.col(row).alias("_at"), "n_shingles", "component_id")
+    of = stored(of.join(rows.select(F.col(row).alias("_at"), own.alias("_id")), "_at"), "components")
+    least = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_at").alias("at"))).alias("best")
+    best = of.where("n_shingles > 0").groupBy("component_id").agg(least).select("component_id", F.col("best.at").alias("_first"))
+    gone = of.where("n_shingles > 0").join(best, "component_id").where("_at <> _first").select("_at")
+    bare = rows.join(bounded(stored(of.where("n_shingles = 0").select("_at"), "bare")), F.col(row) == F.col("_at"), "left_semi")
+    again = bare.groupBy(*[F.col(f"`{c}`") for c in docs.columns]).agg(F.min(row).alias("_first"), F.collect_set(row).alias("_all"))
+    again = again.select(F.explode(F.array_except("_all", F.array("_first"))).alias("_at"))
+    gone = bounded(stored(gone.unionByName(again), "gone"))
+    return rows.join(gone, F.col(row) == F.col("_at"), "left_anti").drop(row)
