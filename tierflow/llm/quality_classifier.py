@@ -36,20 +36,23 @@ class FactorisationMachine:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.w0 + x @ self.w + 0.5 * ((x @ self.v) ** 2 - (x * x) @ (self.v * self.v)).sum(1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.03, decay: float = 1e-4) -> "FactorisationMachine":
-        """Full-batch Adam on the log loss."""
-        weight = np.where(y == 1, 1.0, 1.0).astype(np.float32) / max(1, len(y))
-        xx, state = x * x, [[0.0, 0.0] for _ in range(3)]
-        for step in range(1, steps + 1):
-            xv = x @ self.v
-            z = self.w0 + x @ self.w + 0.5 * (xv**2 - xx @ (self.v * self.v)).sum(1)
-            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight).astype(np.float32)
-            grads = [g.sum(), x.T @ g + decay * self.w, x.T @ (g[:, None] * xv) - self.v * (xx.T @ g)[:, None] + decay * self.v]
-            new = []
-            for s, p, d in zip(state, (self.w0, self.w, self.v), grads):
-                s[0], s[1] = 0.9 * s[0] + 0.1 * d, 0.999 * s[1] + 0.001 * d * d
-                new.append(p - rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-8))
-            self.w0, self.w, self.v = new
+    def fit(self, rows, y: np.ndarray, steps: int = 480, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 2) -> "FactorisationMachine":
+        """Adam on the log loss, about ``steps`` batches; ``rows(i)`` gives the dense rows of numbers ``i``, so only a batch is dense."""
+        rng, state, step = np.random.default_rng(seed), [[0.0, 0.0] for _ in range(3)], 0
+        for _ in range(-(-steps * batch // len(y)) if len(y) > batch else steps):
+            order = rng.permutation(len(y))
+            for at in range(0, len(y), batch):
+                some, step = order[at : at + batch], step + 1
+                x = rows(some)
+                xx, xv = x * x, x @ self.v
+                z = self.w0 + x @ self.w + 0.5 * (xv**2 - xx @ (self.v * self.v)).sum(1)
+                g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)).astype(np.float32)
+                grads = [g.sum(), x.T @ g + decay * self.w, x.T @ (g[:, None] * xv) - self.v * (xx.T @ g)[:, None] + decay * self.v]
+                new = []
+                for s, p, d in zip(state, (self.w0, self.w, self.v), grads):
+                    s[0], s[1] = 0.9 * s[0] + 0.1 * d, 0.999 * s[1] + 0.001 * d * d
+                    new.append(p - rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-8))
+                self.w0, self.w, self.v = new
         self.w, self.v = self.w.astype(np.float32), self.v.astype(np.float32)
         return self
 
@@ -72,21 +75,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "d
         for b in batches:
             got = [_row(t) for t in b.column("_t").to_pylist()]
             yield pa.record_batch([
-                b.column("_id"), b.column("_q").cast(pa.int64()), pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())),
-                pa.array([g[1].tolist() for g in got], pa.list_(pa.float64())), pa.array([g[2] for g in got], pa.list_(pa.float64())),
+                b.column("_id"), b.column("_q").cast(pa.int64()), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())),
+                pa.array([g[1].astype(np.float32) for g in got], pa.list_(pa.float32())), pa.array([g[2] for g in got], pa.list_(pa.float32())),
             ], names=["id", "q", "i", "v", "s"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    got = rows.select("_id", "_q", "_t").mapInArrow(features, f"id {kind}, q bigint, i array<bigint>, v array<double>, s array<double>").toPandas().sort_values("id")
-    if got.empty:
+    got = rows.select("_id", "_q", "_t").mapInArrow(features, f"id {kind}, q bigint, i array<int>, v array<float>, s array<float>").toArrow()
+    if not got.num_rows:
         return None
-    s = np.array(got["s"].tolist())
+    got = got.sort_by("id").combine_chunks()  # rows of unequal length stay flat
+    column, value, s = (got[c].combine_chunks() for c in "ivs")
+    y = got["q"].to_numpy().astype(np.float32)
+    begin, column, value = column.offsets.to_numpy(), column.values.to_numpy(), value.values.to_numpy()
+    s = s.flatten().to_numpy().astype(np.float64).reshape(len(y), -1)
     centre = (s.mean(0), s.std(0) + 1e-6)
-    x = np.zeros((len(got), WORDS + len(NAMES)), np.float32)
-    for r, (i, v) in enumerate(zip(got["i"], got["v"])):
-        x[r, np.asarray(i, np.int64)] = v
-    x[:, WORDS:] = _structure(s, centre)
-    return FactorisationMachine(x.shape[1]).fit(x, got["q"].to_numpy().astype(np.float32)), centre
+    s = _structure(s, centre).astype(np.float32)
+
+    def dense(some: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(some), WORDS + len(NAMES)), np.float32)
+        for r, k in enumerate(some):
+            i = slice(begin[k], begin[k + 1])
+            x[r, column[i]] = value[i]
+        x[:, WORDS:] = s[some]
+        return x
+
+    return FactorisationMachine(WORDS + len(NAMES)).fit(dense, y), centre
 
 
 def _structure(s: np.ndarray, centre: tuple) -> np.ndarray:
