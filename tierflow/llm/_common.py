@@ -45,6 +45,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(files: DataFrame, key: str) -> DataFrame:
+    """Rows that stand for a file each, spread over about as many tasks, which their small size would not make."""
+    most = 4 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(max(1, min(files.count(), most)), key)
+
+
 def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df`` marked to be sent to all tasks if it has at most ``most`` rows; for narrow rows that are stored."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -74,12 +80,13 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     """
     if not _of_files(df):
         df = stored(df, "rows")
-    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    files = stored(rows.groupBy("_file").count(), "places")
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    base = files.select(F.col("_file").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    rows = rows.join(F.broadcast(base), F.col("_file") == F.col("_of"))
-    return rows.withColumn(name, F.col("_base") + F.col("_at")).drop("_file", "_at", "_of", "_base")
+    file, at, of, base = (new_name(df, x) for x in ("file", "at", "of", "base"))
+    rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    files = stored(rows.groupBy(F.col(file).alias("file")).agg(F.count("*").alias("n")), "places")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = files.select(F.col("file").alias(of), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    rows = rows.join(F.broadcast(files), F.col(file) == F.col(of))
+    return rows.withColumn(name, F.col(base) + F.col(at)).drop(file, at, of, base)
 
 
 def lower_words(text: str | None) -> list[bytes]:

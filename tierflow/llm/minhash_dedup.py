@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import bounded, mix, numbered, shingles, stored
+from ._common import bounded, mix, new_name, numbered, shingles, stored
 from .components import components
 
 _LEVELS = 4
