@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import cut, stored
+from ._common import bounded, cut, numbered, stored
 from .components import components
 
 _EDGES = "a bigint, b bigint, sim double"
@@ -24,6 +25,15 @@ def _unit(col: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _by_length(batches: Iterator[pa.RecordBatch], vec: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has vectors of one length."""
+    for b in batches:
+        if b.num_rows:
+            length = pc.list_value_length(b.column(vec)).to_numpy(zero_copy_only=False)
+            for n in np.unique(length):
+                yield b if (length == n).all() else b.filter(pa.array(length == n))
+
+
 def _runs(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[tuple[pa.Table, bool]]:
     """Consecutive rows of one key, in pieces of at most ``most`` rows; True with a key's first piece."""
     held: list[pa.RecordBatch] = []
@@ -67,9 +77,7 @@ def _start(nodes: DataFrame, tables: int, k: int, floor: float, seed: int, most:
     """First lists: exhaustive comparison inside cells of random hyperplanes, several times over."""
 
     def cells(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _by_length(batches, "vec"):
             x = _unit(b.column("vec"))
             part, bits = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "bits"))
             most_bits, mask = int(bits.max()), (np.int64(1) << bits) - 1
@@ -147,7 +155,7 @@ def _saturated(nodes: DataFrame, lists: DataFrame, full: DataFrame, threshold: f
     """Whole lists of the vectors whose list holds links only.
 
     Every group of such vectors gets a pivot; with the pivot's widest member at
-    angle r, a link of any member lies within r + acos(threshold) of the pivot,
+    angle r (found first), a link of any member lies within r + acos(threshold) of the pivot,
     so only those vectors are compared, block by block, with the group.
     Rows: kind n (a: vector, b: how many rows it links with), e (an edge of a
     spanning forest), u (a link a-b whose a is not saturated).
@@ -158,40 +166,43 @@ def _saturated(nodes: DataFrame, lists: DataFrame, full: DataFrame, threshold: f
     comp = components(inner, "a", "b")
     of = cut(full.join(comp, full.rid == comp.node, "left").select("rid", F.coalesce("component", "rid").alias("pivot")))
     vec = nodes.schema["vec"].dataType.simpleString()
-    pivots = cut(of.select("pivot").distinct().join(nodes, F.col("pivot") == F.col("rid")).select("pivot", "part", "vec"))
-    n_blocks = max(1, math.ceil(pivots.count() / pivots_at_once))
     member = cut(nodes.join(of, "rid", "left").select("rid", "part", "vec", "mult", "pivot"))
-    reach = math.acos(threshold)
+    pivots = of.select("pivot").distinct().join(nodes, F.col("pivot") == F.col("rid")).select("pivot", "part", F.col("vec").alias("centre"))
+
+    def own_angle(batches):
+        for b in _by_length(batches, "vec"):
+            cos = (_unit(b.column("vec")) * _unit(b.column("centre"))).sum(axis=1)
+            yield pa.record_batch([b.column("pivot"), pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["pivot", "angle"])
+
+    own = member.where("pivot is not null").select("pivot", "vec").join(pivots, "pivot")
+    own = own.select("pivot", "vec", "centre").mapInArrow(own_angle, "pivot bigint, angle double")
+    radius = own.groupBy("pivot").agg(F.max("angle").alias("r"), F.count("*").alias("nq"))
+    pivots = cut(pivots.join(radius, "pivot"))
+    n_blocks = max(1, math.ceil(pivots.count() / pivots_at_once))
+    reach = math.acos(threshold) + 1e-6
     near = None
     for i in range(n_blocks):  # each block of pivots is bounded
         some = pivots.where(F.pmod(F.xxhash64("pivot"), F.lit(n_blocks)) == i).toPandas()
         if some.empty:
             continue
-        by_part = {p: (g["pivot"].to_numpy(), _unit(pa.array([np.asarray(v) for v in g["vec"]]))) for p, g in some.groupby("part")}
+        by_part = {p: (g["pivot"].to_numpy(), _unit(pa.array([np.asarray(v) for v in g["centre"]])), g["r"].to_numpy() + reach, g["nq"].to_numpy()) for p, g in some.groupby("part")}
         shared = spark.sparkContext.broadcast(by_part)
 
         def angles(batches, shared=shared):
-            for b in batches:
+            for b in _by_length(batches, "vec"):
                 part, pivot = b.column("part").to_numpy(), b.column("pivot").to_numpy(zero_copy_only=False)
                 for p in np.unique(part):
                     if p not in shared.value:
                         continue
                     at = np.flatnonzero(part == p)
-                    ids, y = shared.value[p]
+                    ids, y, far, nq = shared.value[p]
                     angle = np.arccos(np.clip(_unit(b.column("vec").take(pa.array(at))) @ y.T, -1, 1))
-                    own = pivot[at][:, None] == ids[None, :]
-                    i, j = np.nonzero(own | (angle <= math.pi / 2))
-                    yield pa.record_batch([pa.array(ids[j]), b.column("rid").take(pa.array(at[i])), pa.array(angle[i, j]), pa.array(own[i, j])], names=["pivot", "rid", "angle", "own"])
+                    i, j = np.nonzero((angle <= far[None, :]) | (pivot[at][:, None] == ids[None, :]))
+                    yield pa.record_batch([pa.array(ids[j]), b.column("rid").take(pa.array(at[i])), pa.array(nq[j])], names=["pivot", "rid", "nq"])
 
-        got = member.select("rid", "part", "vec", "pivot").mapInArrow(angles, "pivot bigint, rid bigint, angle double, own boolean")
+        got = member.select("rid", "part", "vec", "pivot").mapInArrow(angles, "pivot bigint, rid bigint, nq bigint")
         near = got if near is None else near.unionByName(got)
-    near = cut(near)
-    radius = near.where("own").groupBy("pivot").agg(F.max("angle").alias("r"), F.count("*").alias("nq"))
-    cand = near.join(radius, "pivot").where(F.col("angle") <= F.col("r") + reach + 1e-6)
-    # a radius so wide that the hemisphere kept above is not enough: all vectors of the part are candidates
-    wide = radius.where(F.col("r") + reach > math.pi / 2).join(pivots.select("pivot", "part"), "pivot")
-    cand = cand.join(wide.select("pivot"), "pivot", "left_anti").select("pivot", "rid", "nq")
-    cand = cut(cand.unionByName(wide.join(nodes.select("rid", "part"), "part").select("pivot", "rid", "nq")))
+    cand = cut(near)
     size = cand.groupBy("pivot").agg(F.count("*").alias("nc"), F.first("nq").alias("nq"))
     size = size.select("pivot", F.ceil(F.col("nq") / block).cast("int").alias("qs"), F.ceil(F.col("nc") / block).cast("int").alias("cs"))
     rows = cand.select("pivot", "rid").join(size, "pivot").join(member.withColumnRenamed("pivot", "own"), "rid")
@@ -276,7 +287,7 @@ def audit(nodes: DataFrame, links: DataFrame, full: DataFrame, threshold: float,
     shared = nodes.sparkSession.sparkContext.broadcast(by_part)
 
     def count(batches):
-        for b in batches:
+        for b in _by_length(batches, "vec"):
             part, mult, rid = (b.column(c).to_numpy() for c in ("part", "mult", "rid"))
             for p in np.unique(part):
                 if p in shared.value:
@@ -329,8 +340,9 @@ def near_vectors(
     to be cheaper that way get up to four times as many tries before it.
     Lists leave out neighbours below ``floor``, which lead to no link.
 
-    Null vectors, zero vectors, null or non-finite components, a null group and
-    vectors of another length link with nothing: n_links 0, their own component.
+    Null vectors, zero vectors, null or non-finite components and a null group
+    link with nothing: n_links 0, their own component. Vectors of one group link
+    only with those of their own length.
     Equal vectors are compared once and count as links of each other; rows with
     one id are rows of their own in the counts. An empty table gives no rows.
     """
@@ -340,7 +352,10 @@ def near_vectors(
     rows = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     keyed = rows.withColumn("_k1", F.when(F.col("_ok"), F.xxhash64("_g", "_v"))).withColumn("_k2", F.when(F.col("_ok"), F.xxhash64(F.lit(1), "_g", "_v")))
     reps = keyed.where("_ok").groupBy("_k1", "_k2").agg(F.min("_id").alias("rid"), F.count("*").alias("mult"), F.first("_g").alias("_g"), F.first("_v").alias("vec"))
-    reps = reps.withColumn("part", F.pmod(F.xxhash64("_g", F.size("vec")), F.lit(1 << 30)))
+    # groups and lengths are numbered, so that two never share a number
+    reps = stored(reps.withColumn("_l", F.size("vec")), "distinct")
+    groups = stored(numbered(stored(reps.select("_g", "_l").distinct(), "groups"), "part").withColumnsRenamed({"_g": "_og", "_l": "_ol"}), "parts")
+    reps = reps.join(bounded(groups), (F.col("_g") == F.col("_og")) & (F.col("_l") == F.col("_ol")))
     nodes = stored(reps.select("_k1", "_k2", "rid", "mult", "part", "vec"), "vectors")
     sizes = nodes.groupBy("part").agg(F.count("*").alias("size"))
     sizes = stored(sizes.withColumn("bits", F.least(F.lit(_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / cell)))).cast("int")), "sizes")
