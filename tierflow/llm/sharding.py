@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ._common import cut, new_folder, numbered, stored
+from ._common import bounded, cut, new_folder, new_name, numbered, stored
 
 BITS = 60
 
@@ -31,15 +31,27 @@ def assign_shards(df: DataFrame, key_col: str = "doc_id", size_col: Column | Non
     single row over the limit has a shard of its own. Null keys are one key, null
     texts have no bytes; an empty table gives no rows.
     """
-    return _assigned(numbered(df, "_row"), key_col, size_col, limit, step).drop("_row")
+    row = new_name(df, "row")
+    rows, levels, pieces = _directory(numbered(df, row), row, key_col, size_col, limit, step)
+    done = [rows.withColumn("cell", F.shiftright("h", BITS - deep)).join(leaf, "cell").select("key", "n_bytes", "depth", "shard", "shard_bytes", "shard_rows") for deep, leaf in levels]
+    if pieces is not None:
+        done.append(pieces.select("key", "n_bytes", "depth", "shard", "shard_bytes", "shard_rows"))
+    out = reduce(DataFrame.unionByName, done)
+    return out.select(F.col("key").alias(key_col), "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
+
 
+def _directory(df: DataFrame, row_col: str, key_col: str, size_col: Column | None, limit: int, step: int = 3) -> tuple:
+    """(rows without their text, levels, pieces) of numbered rows.
 
-def _assigned(df: DataFrame, key_col: str, size_col: Column | None, limit: int, step: int = 3) -> DataFrame:
-    """``assign_shards`` of rows that have a ``_row``."""
+    A level is a number of bits and a table of the cells of so many bits that lie
+    in a bucket that fits. ``pieces`` has the rows, as ``_row``, of keys that are
+    alone over the limit, or is None.
+    """
     size = F.octet_length(F.col("text")) if size_col is None else size_col
-    rows = stored(df.select("_row", F.col(key_col).alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes")).withColumn("h", _hash(F.col("key"))), "sizes")
+    rows = stored(df.select(F.col(row_col).alias("_row"), F.col(key_col).alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes")).withColumn("h", _hash(F.col("key"))), "sizes")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    done, open_, depth, more = [], rows, 0, math.ceil(math.log2(max(1.0, total / limit))) + 2
+    levels, open_, depth, more = [], rows, 0, math.ceil(math.log2(max(1.0, total / limit))) + 2
+    bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(p), depth, '0')"))
     while depth < BITS:
         deep, more = min(depth + more, BITS), step
         cells = cut(open_.withColumn("cell", F.shiftright("h", BITS - deep)).groupBy("cell").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")))
@@ -49,33 +61,48 @@ def _assigned(df: DataFrame, key_col: str, size_col: Column | None, limit: int,
         split = sums.where("not fits").select((F.col("depth") + 1).alias("depth"), F.col("p").alias("half"))
         first = sums.where(F.col("fits") & (F.col("depth") == depth))
         fits = sums.where("fits").withColumn("half", F.shiftright("p", 1)).join(split, ["depth", "half"], "left_semi").drop("half").unionByName(first)
-        leaf = cut(above.select("cell", "depth", "p").join(fits.drop("fits"), ["depth", "p"]))  # one bucket a cell
-        at = open_.withColumn("cell", F.shiftright("h", BITS - deep))
-        done.append(at.join(leaf, "cell").select("_row", "key", "n_bytes", "depth", "p", F.lit("").alias("piece"), "shard_bytes", "shard_rows"))
+        leaf = above.select("cell", "depth", "p").join(fits.drop("fits"), ["depth", "p"])  # one bucket a cell
+        leaf = stored(leaf.select("cell", "depth", bits.alias("shard"), "shard_bytes", "shard_rows"), "directory")
+        levels.append((deep, leaf))
         large = cut(cells.join(leaf.select("cell"), "cell", "left_anti").select("cell"))
         if large.isEmpty():
-            break
+            return rows, levels, None
+        at = open_.withColumn("cell", F.shiftright("h", BITS - deep))
         open_, depth = at.join(large, "cell", "left_semi").select("_row", "key", "n_bytes", "h"), deep
-    else:  # one key over the limit: pieces by ranges of rows; rows of more than half the limit stay alone
-        half = max(1, limit // 2)
-        w = Window.partitionBy("h", "origin").orderBy("n_bytes", "_row")
-        run = F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        piece = open_.withColumn("origin", F.expr("_row div 65536")).withColumn("q", F.floor(F.coalesce(run, F.lit(0)) / half).cast("string"))
-        piece = piece.withColumn("q", F.when(F.col("n_bytes") > half, F.concat(F.lit("r"), "_row")).otherwise(F.col("q")))
-        piece = piece.withColumn("piece", F.concat(F.lit("+"), "origin", F.lit("."), "q"))
-        piece = piece.select("_row", "key", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("p"), "piece")
-        total = piece.groupBy("p", "piece").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-        done.append(piece.join(total, ["p", "piece"]).select("_row", "key", "n_bytes", "depth", "p", "piece", "shard_bytes", "shard_rows"))
-    out = reduce(DataFrame.unionByName, done)
-    bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(p), depth, '0')"))
-    return out.select("_row", F.col("key").alias(key_col), "n_bytes", F.concat(bits, "piece").alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
+    # one key over the limit: pieces by ranges of rows; rows of more than half the limit stay alone
+    half = max(1, limit // 2)
+    w = Window.partitionBy("h", "origin").orderBy("n_bytes", "_row")
+    run = F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    piece = open_.withColumn("origin", F.expr("_row div 65536")).withColumn("q", F.floor(F.coalesce(run, F.lit(0)) / half).cast("string"))
+    piece = piece.withColumn("q", F.when(F.col("n_bytes") > half, F.concat(F.lit("r"), "_row")).otherwise(F.col("q")))
+    piece = piece.withColumn("shard", F.concat(F.expr(f"lpad(bin(h), {BITS}, '0')"), F.lit("+"), "origin", F.lit("."), "q"))
+    piece = stored(piece.select("_row", "key", "n_bytes", F.lit(BITS).alias("depth"), "shard"), "pieces")
+    sums = piece.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    return rows, levels, piece.join(sums, "shard")
 
 
 def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", size_col: Column | None = None, limit: int = 256 << 10) -> None:
-    """Write ``df`` with one folder ``_shard=s<shard>`` and one file per shard; every row goes to its own shard."""
-    rows = numbered(df, "_row")
-    of = _assigned(rows, key_col, size_col, limit).select("_row", F.concat(F.lit("s"), "shard").alias("_shard"))
-    rows.join(of, "_row").drop("_row").repartition("_shard").write.partitionBy("_shard").parquet(path)
+    """Write ``df`` with one folder ``_shard=s<shard>`` and one file per shard; every row goes to its own shard.
+
+    Rows look their shard up in the directory, so they are shuffled once, to be
+    written. Only rows of a key that is alone over the limit meet their piece by
+    a join.
+    """
+    row, h = new_name(df, "row"), new_name(df, "hash")
+    rows = numbered(df, row)
+    _, levels, pieces = _directory(rows, row, key_col, size_col, limit)
+    found = rows.withColumn(h, _hash(F.col(key_col)))
+    names = []
+    for i, (deep, leaf) in enumerate(levels):
+        names.append(new_name(df, f"shard_{i}"))
+        leaf = leaf.select(F.col("cell").alias("_cell"), F.col("shard").alias(names[-1]))
+        found = found.join(bounded(leaf), F.shiftright(h, BITS - deep) == F.col("_cell"), "left").drop("_cell")
+    of = F.coalesce(*names)
+    out = found.where(of.isNotNull()).select(*[F.col(f"`{c}`") for c in df.columns], F.concat(F.lit("s"), of).alias("_shard"))
+    if pieces is not None:
+        rest = found.where(of.isNull()).join(pieces.select(F.col("_row").alias("_of"), "shard"), F.col(row) == F.col("_of"))
+        out = out.unionByName(rest.select(*[F.col(f"`{c}`") for c in df.columns], F.concat(F.lit("s"), "shard").alias("_shard")))
+    out.repartition("_shard").write.partitionBy("_shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
