@@ -14,10 +14,14 @@ from .token_files import token_digest
 
 
 def tokenizer(name: str) -> str:
-    """Place of a public vocabulary file; the folder is a parameter of the environment."""
+    """Place of a public vocabulary file; another folder of them is a parameter of the environment."""
     import os
 
-    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ descriptor byte (checksums present) and the magic number.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -22,7 +23,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ._common import new_folder, stored
+from ._common import dealt, new_folder, stored
 from ._files import Whole, open_fs
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -86,6 +87,16 @@ class FrameReader:
         return np.frombuffer(self.frame(i), _U32)
 
 
+#: The normalizer, splits and model for which texts may be cut at white space.
+_CHUNKED = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "BPE", "</w>", None,
+]
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -108,6 +119,9 @@ class CachedEncoder:
 
         self.tok, self.most = Tokenizer.from_file(path), most
         self.model, self.letters = self.tok.model, _byte_letters()
+        conf = json.loads(self.tok.to_str())
+        #: Other tokenizers may merge over white space or see chunks otherwise: whole texts go through them.
+        self.whole = [conf["normalizer"], conf["pre_tokenizer"], conf["model"]["type"], conf["model"].get("end_of_word_suffix"), conf["model"].get("dropout")] != _CHUNKED
         self.simple = re.compile("([A-Za-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+)([.,!?;:|#*$%&]*)").fullmatch
         self.odd = re.compile("[\x1c-\x1f]").search
         self._clear()
@@ -140,7 +154,7 @@ class CachedEncoder:
             self.flat += ids
 
     def ids(self, text: str | None) -> np.ndarray:
-        if text and self.odd(text):  # white space to Python, not to the tokenizer
+        if text and (self.whole or self.odd(text)):  # white space to Python, not to the tokenizer
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, _U32)
         chunks = (text or "").split()
         if not chunks:
@@ -221,8 +235,7 @@ def read_tokens(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
                         pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([zlib.crc32(d) for d in data], pa.int64()),
                     ], names=["file", "frame", "doc", "n_tokens", "ids_crc32"])
 
-    names = files.select("file").distinct()
-    return names.repartition("file").mapInArrow(run, "file string, frame bigint, doc bigint, n_tokens bigint, ids_crc32 bigint")
+    return dealt(files.select("file").distinct(), "file").mapInArrow(run, "file string, frame bigint, doc bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", **how) -> DataFrame:
