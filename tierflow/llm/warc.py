@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import new_folder, stored
+from ._common import dealt, new_folder, stored
 from ._files import Whole, open_fs
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL name space
@@ -210,7 +210,7 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame, payloads: bo
         if origin is not None:
             yield _batch([finish()], _READ_SCHEMA)
 
-    found = files.select("file").distinct().repartition("file").mapInArrow(scan, _RECORD)
+    found = dealt(files.select("file").distinct(), "file").mapInArrow(scan, _RECORD)
     one = found.where("origin is null").mapInArrow(whole, _READ)
     many = found.where("origin is not null").repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(joined, _READ)
     return one.unionByName(many)
