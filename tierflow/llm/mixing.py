@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import cut, stored
+from ._common import cut, new_name, stored
 
 MAX_SOURCES = 4096
 
@@ -98,9 +98,10 @@ def mix_sources(
 
 def mixed(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``df``, in the order of the mix: partitions and the rows in them are sorted by position."""
-    at = mix_sources(df, id_col, **how).select(F.col(id_col).alias("_id"), F.col("position").alias("_position"))
-    both = df.join(at, df[id_col].eqNullSafe(F.col("_id")))
-    return both.repartitionByRange("_position").sortWithinPartitions("_position").drop("_id", "_position")
+    of, place = new_name(df, "of"), new_name(df, "place")
+    at = mix_sources(df, id_col, **how).select(F.col(id_col).alias(of), F.col("position").alias(place))
+    both = df.join(at, df[id_col].eqNullSafe(F.col(of)))
+    return both.repartitionByRange(place).sortWithinPartitions(place).drop(of, place)
 
 
 ORACLE = """
