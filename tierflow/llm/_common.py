@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -89,6 +90,14 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, F.col(base) + F.col(at)).drop(file, at, of, base)
 
 
+def pieces_of(batches, rows: int = 512):
+    """Record batches in pieces of at most ``rows`` rows; what Arrow has freed goes back to the system at the end."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z (bytes methods see ASCII only)."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import bounded, mix, new_name, numbered, shingles, stored
+from ._common import bounded, mix, new_name, numbered, pieces_of, shingles, stored
 from .components import components
 
 _LEVELS = 4
@@ -21,7 +21,7 @@ def _signatures(trees: int, size: int):
     odd = seeds | np.uint64(1)
 
     def run(batches):
-        for b in batches:
+        for b in pieces_of(batches):
             ids, n, m1, m2, sig = b.column("id"), [], [], [], []
             for text in b.column("text").to_pylist():
                 h = shingles(text, size)
@@ -196,7 +196,7 @@ def _pack(size: int):
     """Each text's set as the bytes of its sorted hashes."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces_of(batches):
             yield pa.record_batch([b.column("id"), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column("text")], pa.binary())], names=["id", "set"])
 
     return run
@@ -204,7 +204,7 @@ def _pack(size: int):
 
 def _verify(percent: int):
     def run(batches):
-        for b in batches:
+        for b in pieces_of(batches):
             ok = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._common import pieces_of
 from ._features import NAMES, base, statistics
 
 WORDS = 1 << 12
@@ -72,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "d
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(picked, "_id")
 
     def features(batches):
-        for b in batches:
+        for b in pieces_of(batches):
             got = [_row(t) for t in b.column("_t").to_pylist()]
             yield pa.record_batch([
                 b.column("_id"), b.column("_q").cast(pa.int64()), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())),
@@ -129,7 +130,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **how))
 
     def run(batches):
-        for b in batches:
+        for b in pieces_of(batches):
             yield b.filter(pa.array([_score(shared.value, t) >= cut for t in b.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -147,7 +148,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     src = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in pieces_of(batches):
             score = np.fromiter((_score(shared.value, t) for t in b.column("text").to_pylist()), float, b.num_rows)
             yield pa.record_batch([b.column("id"), b.column("held_out"), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 

@@ -76,7 +76,8 @@ class Pieces:
         at, data = np.flatnonzero(cut), flat.encode()
         place = at
         if len(data) != len(code):
-            place = np.r_[0, np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))][at]
+            wide = 1 + (code >= 0x80).view(np.uint8) + (code >= 0x800).view(np.uint8) + (code >= 0x10000).view(np.uint8)
+            place = np.r_[np.int32(0), np.cumsum(wide, dtype=np.int32)][at]
         words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(place.astype(np.int32)), pa.py_buffer(data))
         return words, np.searchsorted(at, ends)
 
@@ -264,10 +265,10 @@ def _encode_long(path: str):
 
 
 def _slices(batch: pa.RecordBatch):
-    """Consecutive rows of one chunk with about 4 MB of text: (chunk, rows)."""
+    """Consecutive rows of one chunk with about 2 MB of text: (chunk, rows)."""
     chunk = batch.column("chunk").to_numpy()
     size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    at = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (np.diff(np.cumsum(size) >> 22) > 0)]) if len(chunk) else []
+    at = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (np.diff(np.cumsum(size) >> 21) > 0)]) if len(chunk) else []
     for i, j in zip(at, [*at[1:], len(chunk)]):
         yield chunk[i], batch.slice(i, j - i)
 
@@ -276,19 +277,23 @@ def _distinct(path: str, most: int = 1_000_000):
     """Distinct words of consecutive rows of one chunk; a word may come again after ``most`` others."""
 
     def run(batches):
-        p, chunk, seen = pieces(path), None, None
+        p, chunk, seen = pieces(path), None, []
 
         def flush():
-            return pa.record_batch([pa.array(np.full(len(seen), chunk), pa.int64()), seen], names=["chunk", "unit"])
+            words = pc.unique(pa.concat_arrays(seen))
+            return pa.record_batch([pa.array(np.full(len(words), chunk), pa.int64()), words], names=["chunk", "unit"])
 
         for key, rows in (x for b in batches for x in _slices(b)):
-            if seen is not None and (key != chunk or len(seen) > most):
+            if seen and (key != chunk or len(seen[0]) > most):
                 yield flush()
-                seen = None
-            new = pc.unique(p.units(rows.column("text").to_pylist())[0])
-            seen, chunk = new if seen is None else pc.unique(pa.concat_arrays([seen, new])), key
-        if seen is not None:
+                seen = []
+            chunk = key
+            seen.append(pc.unique(p.units(rows.column("text").to_pylist())[0]))
+            if sum(map(len, seen[1:])) > len(seen[0]):
+                seen = [pc.unique(pa.concat_arrays(seen))]
+        if seen:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -319,7 +324,7 @@ def write_dictionaries(src: DataFrame, path: str) -> str:
 
 
 class Dictionary:
-    """Words and ids of one chunk; the last one read stays in the worker."""
+    """Words and ids of one chunk; the last one read stays until the task ends."""
 
     _held: tuple[str, "Dictionary"] | None = None
 
@@ -393,6 +398,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 text = pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(b" ", text, b""))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.record_batch([some.column("id"), some.column("place"), pa.array(n, pa.int64()), lists, pc.equal(decode(ids, ends, table), text)], names=["id", "place", "n_tokens", "ids", "round_trip"])
+        Dictionary._held = None
+        pa.default_memory_pool().release_unused()
 
     out = src.mapInArrow(run, f"id {kind}, place bigint, n_tokens bigint, ids array<int>, round_trip boolean")
     out = out.withColumnsRenamed({"id": id_col, "place": place or "_place"})
