@@ -1,6 +1,8 @@
 import gzip
 import os
 import struct
+import subprocess
+import sys
 import tempfile
 
 import duckdb
@@ -9,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierflow.functions import names, tags, text
-from tierflow.operators import catalog, index_gzip, multipart, placement, policy
+from tierflow.operators import catalog, index_gzip, metrics, multipart, placement, policy
 from tierflow.plans import fixtures as fx, queries as core
-from tierflow.plans.pipeline import Pipeline, chunk_step
+from tierflow.plans.pipeline import Pipeline, chunk_step, register
 from tierflow.sources import readers
 from tierflow.streaming import state
 
@@ -142,6 +144,8 @@ def test_state_of_streams(spark, scope, want):
     stream = spark.readStream.schema(schema).parquet(f"{d}/in")
     state.run_available(state.previous_values(stream, scope), f"{d}/out", f"{d}/check")
     assert [r.previous for r in spark.read.parquet(f"{d}/out").orderBy("seq").collect()] == want
+    held = state.read_state(spark, f"{d}/check").select("stream", "k", "v").collect()
+    assert sorted(map(tuple, held)) == ([("a", "A", "2"), ("b", "A", "3")] if scope == "shared" else [("a", "A", "1"), ("a", "A", "2"), ("b", "A", "3")])
 
 
 def test_stream_equals_batch_and_replay(spark, sf):
@@ -162,3 +166,62 @@ def test_stream_equals_batch_and_replay(spark, sf):
     state.run_stream(src(), process, f"{d}/out", f"{d}/check")
     batch = process(spark.read.parquet(f"{sf}/documents.parquet"))
     assert rows(spark.read.parquet(f"{d}/out").select("doc_id", "words").orderBy("doc_id")) == rows(batch.orderBy("doc_id"))
+
+
+def test_records_are_counted_in_every_mode(spark):
+    d = tempfile.mkdtemp(prefix="spark-")
+    lines = [f"@r{i}\nACGT\n+\nFFFF\n" for i in range(1000)]
+    parts = [gzip.compress("".join(lines[i : i + 300]).encode()) for i in range(0, 1000, 300)]
+    for folder, name, data in (("plain", "a.txt", "".join(lines).encode()), ("gzip", "a.txt.gz", b"".join(parts)), ("indexed", "a.gz", b"".join(parts))):
+        os.makedirs(f"{d}/{folder}")
+        with open(f"{d}/{folder}/{name}", "wb") as f:
+            f.write(data)
+    starts = [sum(map(len, parts[:i])) for i in range(4)]
+    index = spark.createDataFrame([(f"{d}/indexed/a.gz", ",".join(map(str, starts)))], "key string, index string")
+    for mode in ("plain", "gzip"):
+        assert [r.records for r in index_gzip.count_records(spark, f"{d}/{mode}", mode).collect()] == [1000]
+    got = index_gzip.count_records(spark, f"{d}/indexed", "indexed", index_gzip.plan_ranges(index, 3)).collect()
+    assert [r.records for r in got] == [1000]
+    with pytest.raises(ValueError):
+        index_gzip.count_records(spark, d, "other")
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(None if i % 3 == 0 else "a", i * 7 % 1000, i % 5) for i in range(1000)]
+    got = metrics.running_sum(spark.createDataFrame(rows, "g string, o long, v long"), ["g"], ["o"], F.col("v"), "s", width=64).collect()
+    assert len(got) == 1000
+    for g in (None, "a"):
+        total = 0
+        for r in sorted((r for r in got if r.g == g), key=lambda r: r.o):
+            total += r.v
+            assert r.s == total
+
+
+def test_first_registration_of_a_step_counts():
+    first = register("test-first", put=lambda df: df)
+    assert register("test-first", put=lambda df: None) is first
+
+
+def test_approximate_percentiles(spark):
+    ops = spark.range(10_001).select(F.lit("op").alias("op"), F.col("id").cast("double").alias("latency_s"))
+    r = metrics.approx_latency_summary(ops, ["op"]).first()
+    assert abs(r.p50 - 5000) <= 2 and abs(r.p99 - 9900) <= 2 and r.max == 10_000
+
+
+def test_entry_without_the_training_data_part():
+    """With its folders gone the other queries are still there, and the pipeline is not."""
+    code = """
+import sys
+
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "tierflow.llm" or name.startswith("tierflow.llm."):
+            raise ModuleNotFoundError(name=name)
+
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+print(len(e.queries()), "pipeline" in e.queries(), any(n.startswith("op1_") for n in e.queries()), set(e.oracle_sql()) <= set(e.queries()))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True)
+    assert out.stdout.split() == [str(len(core.QUERIES)), "False", "False", "True"], out.stderr

@@ -73,6 +73,42 @@ def plan_ranges(index: DataFrame, k: int, key: str = "key") -> DataFrame:
     return r.withColumn("end", F.lead("start").over(Window.partitionBy(key).orderBy("range")))
 
 
+def count_records(spark: SparkSession, path: str, mode: str = "plain", ranges: DataFrame | None = None, lines: int = 4) -> DataFrame:
+    """``(path, records)`` of files of records of ``lines`` lines: plain, gzip, or indexed gzip by ``ranges``.
+
+    Plain files are split at lines by Spark, gzip files are read one a task.
+    ``ranges`` are rows ``(key, range, start, end)`` with a file's path as key;
+    every range is read and decoded on its own, without the rest of the file.
+    """
+    if mode not in ("plain", "gzip", "indexed"):
+        raise ValueError(f"no such mode: {mode}")
+    if mode != "indexed":
+        rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"))
+        return rows.groupBy("path").agg(F.floor(F.count("*") / lines).alias("records"))
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            found = []
+            for key, start, end in zip(*(b.column(c).to_pylist() for c in ("key", "start", "end"))):
+                where, name = fs.FileSystem.from_uri(key if "://" in key or key.startswith("/") else key.replace("file:", "file://", 1))
+                with where.open_input_file(name) as f:
+                    f.seek(start)
+                    found.append(gzip.decompress(f.read(None if end is None else end - start)).count(b"\n"))
+            yield pa.record_batch([b.column("key"), pa.array(found, pa.int64())], names=["path", "n"])
+
+    part = ranges.repartition("key", "range").select("key", "start", "end")
+    return part.mapInArrow(run, "path string, n bigint").groupBy("path").agg(F.floor(F.sum("n") / lines).alias("records"))
+
+
+def count_lines(members: DataFrame, key: str = "key", lines: int = 4) -> DataFrame:
+    """``(key, records)`` from members that are rows: each is decoded on its own."""
+    n = F.length(F.regexp_replace(F.col("_t"), "[^\n]", ""))
+    text = gunzip_chunks(members.select(key, "member"), "member").select(key, F.col("member").cast("string").alias("_t"))
+    return text.groupBy(key).agg(F.floor(F.sum(n) / lines).alias("records"))
+
+
 def scan_indexed_gzip(files: DataFrame, ranges: DataFrame, key: str = "key") -> DataFrame:
     """``(key, range, lines)``: each range of ``content`` decoded on its own, all members of it."""
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.policy import applies, resolve_policy, steps
 
@@ -28,9 +29,79 @@ REGISTRY: dict[str, Step] = {}
 
 
 def register(name: str, put: Transform = same, get: Transform = same) -> Step:
-    """A step by name; the last registration of a name counts."""
-    REGISTRY[name] = Step(name, put, get)
-    return REGISTRY[name]
+    """A step by name; the first registration of a name counts."""
+    return REGISTRY.setdefault(name, Step(name, put, get))
+
+
+def source_step(name: str, serve: Callable[[DataFrame], Column]) -> Step:
+    """A step that says for each read which target serves it; null leaves what was decided before."""
+    def get(df: DataFrame) -> DataFrame:
+        before = F.col("served_by") if "served_by" in df.columns else F.lit(None).cast("string")
+        return df.withColumn("served_by", F.coalesce(serve(df), before))
+
+    return register(name, get=get)
+
+
+def with_context(chunks: DataFrame, pol: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds ``context`` to named chunks: what a step may know of a chunk, as one struct.
+
+    Policy and tier, the URIs of stream and partition, and the policy's targets in
+    their order as ``(id, path)``; all but the URIs are null without a policy.
+    """
+    paths = pol.select(F.col("id").alias("_policy"), F.posexplode("storage").alias("_pos", "_target"))
+    paths = paths.join(targets.select(F.col("id").alias("_target"), "path"), "_target")
+    listed = F.array_sort(F.collect_list(F.struct("_pos", "_target", "path")))
+    paths = paths.groupBy("_policy").agg(F.transform(listed, lambda x: F.struct(x["_target"].alias("id"), x["path"].alias("path"))).alias("_targets"))
+    rows = resolve_policy(chunks, pol).join(paths, F.col("policy_id") == F.col("_policy"), "left")
+    context = F.struct("policy_id", "policy_tier", "stream_uri", "partition_uri", F.col("_targets").alias("targets"))
+    return rows.withColumn("context", context).drop("_policy", "_targets")
+
+
+def ordered_apply(df: DataFrame, by: list[str], order: list[str], start, step: Callable, schema: str) -> DataFrame:
+    """The requests of a partition strictly one after the other, partitions side by side.
+
+    ``step(state, row)`` gives the next state and a row of ``schema``; every
+    partition begins with ``start``. Rows stream through, none are gathered.
+    """
+    import pyarrow as pa
+
+    names, kinds = list(df.columns), df.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out_schema, last, state = to_arrow_schema(kinds), object(), None
+        for b in batches:
+            out = []
+            for values in zip(*(b.column(c).to_pylist() for c in names)):
+                row = dict(zip(names, values))
+                key = tuple(row[c] for c in by)
+                if key != last:
+                    last, state = key, start
+                state, made = step(state, row)
+                out.append(made)
+            cols = list(zip(*out)) or [[] for _ in out_schema]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def score(df: DataFrame, loader: Callable[[], Callable], column: str, name: str = "score", kind: str = "double") -> DataFrame:
+    """Adds what a model makes of a column, batch by batch; ``loader`` gives the model, once per task."""
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = loader()
+        for b in batches:
+            yield pd.Series(model(b))
+
+    return df.withColumn(name, run(column))
+
+
+def update_cache(cache: DataFrame, chunks: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
+    """Copies of the chunks written last, by key: a rewrite replaces the copy."""
+    from ..operators.catalog import latest
+
+    return latest(cache.unionByName(chunks.select(*cache.columns)), [key], order)
 
 
 def chunk_step(name: str, put: Callable[[bytes], bytes] | None = None, get: Callable[[bytes], bytes] | None = None, content: str = "content") -> Step:

@@ -101,11 +101,12 @@ def c10_c11_tags(spark, sf):
     return t.select("doc_id", *[tags.get_tag(F.col("t"), k).alias(k) for k in ("lang", "kept", "source")])
 
 
-@query("c12_c13_applied", "SELECT * FROM (VALUES ('p1', 'EDGE:detect', 'detect'), ('p2', '', ''), ('p3', 'EDGE:pack', 'pack'), ('p4', '', ''), ('p5', '', '')) t(policy_id, tag, ids), (SELECT count(*) AS documents FROM documents)")
+@query("c12_c13_applied", _with("SELECT doc_id, CASE policy_id WHEN 'p1' THEN 'EDGE:detect' WHEN 'p3' THEN 'EDGE:pack' ELSE '' END AS tag, CASE policy_id WHEN 'p1' THEN 'detect' WHEN 'p3' THEN 'pack' ELSE '' END AS ids FROM resolved WHERE policy_id IS NOT NULL", NAMED, fx.STEPS_SQL, RESOLVED))
 def c12_c13_applied(spark, sf):
-    p = fx.sample_policies(spark).select(F.col("id").alias("policy_id"), tags.encode_applied(F.col("steps"), "EDGE").alias("tag"))
-    p = p.withColumn("ids", F.array_join(tags.decode_applied(F.col("tag"), "edge"), ","))
-    return p.crossJoin(fx.table(spark, sf, "documents").agg(F.count("*").alias("documents")))  # one row
+    p = fx.sample_policies(spark).select(F.col("id").alias("policy_id"), "steps")
+    rows = _resolved(spark, sf).select("doc_id", "policy_id").join(p, "policy_id")
+    rows = rows.select("doc_id", tags.encode_applied(F.col("steps"), "EDGE").alias("tag"))
+    return rows.withColumn("ids", F.array_join(tags.decode_applied(F.col("tag"), "edge"), ","))
 
 
 @query("c14_args", "SELECT event_id, event_type AS kind, props AS value FROM events")
@@ -176,12 +177,16 @@ def d6_conditional(spark, sf):
     return catalog.conditional(o, req).select("key", "status")
 
 
-@query("d7_d8_valid_policies", "SELECT * FROM (VALUES ('p1', true, 'detect'), ('p1', true, 'pack'), ('p2', true, 'route'), ('p3', false, 'pack'), ('p3', false, 'score'), ('p4', false, 'index'), ('p5', true, 'score')) t(policy_id, valid, function), (SELECT count(*) AS documents FROM documents)")
+@query("d7_d8_valid_policies", "SELECT 'c' || c_custkey AS policy_id, c_custkey % 5 > 0 AND c_custkey % 7 > 0 AND c_custkey % 11 > 0 AS valid, CASE c_custkey % 3 WHEN 0 THEN 'f' || c_custkey % 4 END AS function FROM customer")
 def d7_d8_valid_policies(spark, sf):
-    p = fx.sample_policies(spark)
-    bad = policy.check_refs(p, spark.createDataFrame([("count",)], "id string"))
-    v = policy.validate(p).select(F.col("id").alias("policy_id"), "valid")
-    return bad.join(v, "policy_id").crossJoin(fx.table(spark, sf, "documents").agg(F.count("*").alias("documents")))  # one row
+    """A policy per customer: every fifth without a scope, every seventh without steps, every eleventh without a system; a third with a step of an unknown function."""
+    k = F.col("c_custkey")
+    step = F.struct(F.when(k % 3 == 0, F.concat(F.lit("f"), (k % 4).cast("string"))).otherwise("count").alias("id"))
+    p = fx.table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), k.cast("string")).alias("id"), F.when(k % 11 > 0, "KAFKA").otherwise(" ").alias("system"), F.when(k % 5 > 0, "scope").alias("scope"),
+        F.lit("stream").alias("stream"), F.when(k % 7 > 0, F.array(step)).otherwise(F.slice(F.array(step), 1, 0)).alias("steps"), F.array(step).alias("named"))
+    bad = policy.check_refs(p.select("id", F.col("named").alias("steps")), spark.createDataFrame([("count",)], "id string"))
+    return policy.validate(p).select(F.col("id").alias("policy_id"), "valid").join(bad, "policy_id", "left")
 
 
 @query("e1_policy_resolution", _with("SELECT doc_id, policy_id, policy_tier FROM resolved", NAMED, fx.STEPS_SQL, RESOLVED))
@@ -450,21 +455,21 @@ def i3_uploads(spark, sf):
     return multipart.uploads(e)
 
 
-@query("a2_lines", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, regexp_replace(p[i], '\\s+$', '') AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), (SELECT unnest(range(1, 2000)) AS i) WHERE i < len(p)")
+@query("a2_lines", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, regexp_replace(p[i], '\\s+$', '') AS value FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))")
 def a2_lines(spark, sf):
     return readers.read_lines(fx.table(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
-@query("a3_blocks", "SELECT doc_id, CAST(i AS INTEGER) AS pos, md5(substr(m, CAST(i * 5 + 1 AS INTEGER), 5)) AS digest FROM (SELECT doc_id, md5(text) AS m FROM documents), (SELECT unnest(range(0, 6)) AS i)")
+@query("a3_blocks", "SELECT doc_id, CAST(i AS INTEGER) AS pos, md5(b[i * 512 + 1 : i * 512 + 512]) AS digest FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) // 512)) AS i FROM (SELECT doc_id, encode(text) AS b FROM documents))")
 def a3_blocks(spark, sf):
-    d = fx.table(spark, sf, "documents").select("doc_id", F.encode(F.md5("text"), "utf-8").alias("content"))
-    return readers.read_blocks(d, 5).select("doc_id", "pos", F.md5("value").alias("digest"))
+    d = fx.table(spark, sf, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    return readers.read_blocks(d, 512).select("doc_id", "pos", F.md5("value").alias("digest"))
 
 
-@query("a10_byte_range", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(m, 3, 6) WHEN 1 THEN substr(m, 11) ELSE substr(m, 28) END AS part FROM (SELECT doc_id, md5(text) AS m FROM documents)")
+@query("a10_byte_range", "SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN b[3 : 8] WHEN 1 THEN b[11 : octet_length(b)] ELSE b[greatest(1, octet_length(b) - 499) : octet_length(b)] END) AS digest FROM (SELECT doc_id, encode(text) AS b FROM documents)")
 def a10_byte_range(spark, sf):
-    spec = F.element_at(F.array(F.lit("bytes=2-7"), F.lit("bytes=10-"), F.lit("bytes=-5")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return fx.table(spark, sf, "documents").select("doc_id", text.byte_range(F.encode(F.md5("text"), "utf-8"), spec).cast("string").alias("part"))
+    spec = F.element_at(F.array(F.lit("bytes=2-7"), F.lit("bytes=10-"), F.lit("bytes=-500")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return fx.table(spark, sf, "documents").select("doc_id", F.md5(text.byte_range(F.encode("text", "utf-8"), spec)).alias("digest"))
 
 
 @query("a12_metadata", "SELECT 'policy' AS kind, CAST(event_id AS VARCHAR) AS id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_type IN ('click')")
@@ -483,19 +488,17 @@ def b3_publish(spark, sf):
 
 @query("j4_plan_ranges", "WITH o AS (SELECT source AS key, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS BIGINT) AS start FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CAST(start AS BIGINT)) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM o), r AS (SELECT key, pos // CAST(ceil(n / 4.0) AS BIGINT) AS range, min(start) AS start, count(*) AS members FROM n GROUP BY 1, 2) SELECT *, lead(start) OVER (PARTITION BY key ORDER BY range) AS end FROM r")
 def j4_plan_ranges(spark, sf):
-    from pyspark.sql import Window
-
     from ..operators import index_gzip
 
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    m = fx.table(spark, sf, "documents").select(F.col("source").alias("key"), F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("start"))
+    d = fx.table(spark, sf, "documents").select("doc_id", "n_chars", F.col("source").alias("key"))
+    m = metrics.running_sum(d, ["key"], ["doc_id"], F.col("n_chars"), "end").select("key", (F.col("end") - F.col("n_chars")).alias("start"))
     return index_gzip.plan_ranges(index_gzip.offsets(m), 4)
 
 
-@query("k2_normalise", "SELECT vec_id, list_transform(embedding, lambda x, i: (CAST(x AS DOUBLE) / 255.0 - CASE i % 3 WHEN 1 THEN 0.485 WHEN 2 THEN 0.456 ELSE 0.406 END) / CASE i % 3 WHEN 1 THEN 0.229 WHEN 2 THEN 0.224 ELSE 0.225 END)[1:3] AS head FROM embeddings")
+@query("k2_normalise", "SELECT vec_id, list_transform(embedding, lambda x, i: (CAST(x AS DOUBLE) / 255.0 - CASE i % 3 WHEN 1 THEN 0.485 WHEN 2 THEN 0.456 ELSE 0.406 END) / CASE i % 3 WHEN 1 THEN 0.229 WHEN 2 THEN 0.224 ELSE 0.225 END) AS value FROM embeddings")
 def k2_normalise(spark, sf):
     n = text.normalise(F.col("embedding"), [0.485, 0.456, 0.406], [0.229, 0.224, 0.225])
-    return fx.table(spark, sf, "embeddings").select("vec_id", F.slice(n, 1, 3).alias("head"))
+    return fx.table(spark, sf, "embeddings").select("vec_id", n.alias("value"))
 
 
 # The tool labels of the classifier, in the order of its outputs.
@@ -526,28 +529,97 @@ def l10_backlog(spark, sf):
     return metrics.backlog(p, F.lit(1709251200))
 
 
-@query("c19_j1_index_gzip")
+@query("c19_j1_index_gzip", """WITH l AS (SELECT source AS key, doc_id, i, regexp_replace(p[i], '\\s+$', '') AS value FROM (SELECT source, doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS p FROM documents))),
+n AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY doc_id, i) - 1) // 200 AS block FROM l)
+SELECT key, CAST(block AS BIGINT) AS block, md5(string_agg(value || chr(10), '' ORDER BY doc_id, i)) AS digest FROM n GROUP BY 1, 2""")
 def c19_j1_index_gzip(spark, sf):
-    """Documents' lines of every source as indexed gzip, 200 lines a member."""
+    """Documents' lines of every source as indexed gzip, 200 lines a member, and what is in each member."""
+    from ..operators import index_gzip
+
+    m = index_gzip.gunzip_chunks(index_gzip.index_gzip(_lines(spark, sf), 200), "member")
+    return m.select("key", "block", F.md5("member").alias("digest"))
+
+
+def _lines(spark, sf):
+    lines = readers.read_lines(fx.table(spark, sf, "documents").select(F.col("source").alias("key"), "doc_id", "text"), "text", keep_partial=True)
+    return metrics.running_sum(lines, ["key"], ["doc_id", "pos"], F.lit(1), "n").select("key", (F.col("n") - 1).alias("pos"), F.concat("value", F.lit("\n")).alias("value"))
+
+
+@query("g3_count_records", "SELECT source AS key, CAST(count(*) AS BIGINT) AS records FROM documents GROUP BY 1")
+def g3_count_records(spark, sf):
+    """Records of four lines, made of the documents, in indexed gzip of 100 records a member, and counted there."""
     from ..operators import index_gzip
 
-    lines = readers.read_lines(fx.table(spark, sf, "documents").select("source", "doc_id", "text"), "text", keep_partial=True)
-    from pyspark.sql import Window
+    d = fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("key"), F.translate(F.md5("text"), "0123456789abcdef", "ACGTACGTACGTACGT").alias("s"))
+    d = metrics.running_sum(d, ["key"], ["doc_id"], F.lit(1), "pos")
+    d = d.select("key", (F.col("pos") - 1).alias("pos"), F.concat(F.lit("@r"), "doc_id", F.lit("\n"), "s", F.lit("\n+\n"), "s", F.lit("\n")).alias("value"))
+    return index_gzip.count_lines(index_gzip.index_gzip(d, 100))
+
+
+@query("h2_ordered_apply", "SELECT event_id, user_id, CAST(count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS clicks FROM events")
+def h2_ordered_apply(spark, sf):
+    from .pipeline import ordered_apply
+
+    def step(clicks, row):
+        clicks += row["event_type"] == "click"
+        return clicks, (row["event_id"], row["user_id"], clicks)
+
+    e = fx.table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return ordered_apply(e, ["user_id"], ["event_id"], 0, step, "event_id bigint, user_id bigint, clicks bigint")
+
 
-    w = Window.partitionBy("source").orderBy("doc_id", "pos")
-    numbered = lines.select(F.col("source").alias("key"), (F.row_number().over(w) - 1).alias("pos"), F.concat("value", F.lit("\n")).alias("value"))
-    m = index_gzip.index_gzip(numbered, 200)
-    return m.select("key", "block", (F.octet_length("member") > 0).alias("stored"))
+@query("k1_score", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * ((i - 1) % 7 - 3))), 6) + 0.0 AS score FROM embeddings")
+def k1_score(spark, sf):
+    """A fixed linear model over every vector, loaded once a task."""
+    from .pipeline import score
 
+    def loader():
+        import numpy as np
 
-ORACLES["c19_j1_index_gzip"] = "SELECT key, range AS block, true AS stored FROM (SELECT source AS key, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n FROM documents GROUP BY 1), (SELECT unnest(range(0, 100000)) AS range) WHERE range * 200 < n"
+        weights = np.arange(64) % 7 - 3.0
+        return lambda vectors: [float(np.asarray(v, float) @ weights[: len(v)]) for v in vectors]
 
+    out = score(fx.table(spark, sf, "embeddings").select("vec_id", "embedding"), loader, "embedding")
+    return out.select("vec_id", (F.round("score", 6) + 0.0).alias("score"))
 
-@query("j6_run_policies", _with("SELECT doc_id, policy_id, CASE policy_id WHEN 'p1' THEN 'count,detect' WHEN 'p2' THEN 'route' WHEN 'p3' THEN 'pack' END AS ran FROM resolved", NAMED, fx.STEPS_SQL, RESOLVED))
+
+@query("k8_cached_copies", "SELECT user_id AS key, max(event_id) AS seq, arg_max(props, event_id) AS content FROM events GROUP BY 1")
+def k8_cached_copies(spark, sf):
+    from .pipeline import update_cache
+
+    e = fx.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("props").alias("content"))
+    return update_cache(e.where("seq % 3 = 0"), e.where("seq % 3 > 0"))
+
+
+@query("m3_source_function", f"WITH {LOC} SELECT c_custkey AS uri, CASE WHEN c_mktsegment = 'BUILDING' THEN 'replica' WHEN c_custkey % 4 = 0 THEN NULL ELSE coalesce(target_id, 'default') END AS served_by FROM customer LEFT JOIN loc ON uri = c_custkey")
+def m3_source_function(spark, sf):
+    """Reads served as usual, but for one segment by a function of the user's."""
+    from .pipeline import source_step
+
+    r = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("uri"), "c_mktsegment")
+    r = routing.resolve_read(r, r.where("uri % 4 = 0"), _locations(spark, sf))
+    step = source_step("replica", lambda df: F.when(F.col("c_mktsegment") == "BUILDING", "replica"))
+    return step.get(r).select("uri", "served_by")
+
+
+@query("m5_step_context", _with("SELECT doc_id, policy_id, p_scope || '/' || p_stream || '/' || p_partition AS partition_uri, CASE policy_id WHEN 'p1' THEN 't0=s3a://hot,t1=s3a://warm' WHEN 'p2' THEN 't1=s3a://warm' WHEN 'p3' THEN 't0=s3a://hot,t1=s3a://warm,t2=s3a://cold' WHEN 'p4' THEN 't2=s3a://cold' WHEN 'p5' THEN 't0=s3a://hot' END AS targets FROM resolved", NAMED, fx.STEPS_SQL, RESOLVED))
+def m5_step_context(spark, sf):
+    from .pipeline import with_context
+
+    c = with_context(_named(spark, sf), fx.sample_policies(spark), fx.targets(spark)).select("doc_id", "context.*")
+    return c.select("doc_id", "policy_id", "partition_uri", F.array_join(F.transform("targets", lambda t: F.concat(t["id"], F.lit("="), t["path"])), ",").alias("targets"))
+
+
+@query("j6_run_policies", _with(f"SELECT doc_id, policy_id, CASE policy_id WHEN 'p1' THEN {WORDS.replace('text', 'content')} END AS words, CASE policy_id WHEN 'p1' THEN {PII} END AS pii, CASE policy_id WHEN 'p2' THEN CASE WHEN {PII} THEN 't0' ELSE 't1' END END AS target_id, CASE policy_id WHEN 'p3' THEN md5(content) END AS digest FROM resolved", NAMED, fx.STEPS_SQL, RESOLVED))
 def j6_run_policies(spark, sf):
+    """Every chunk through the steps of its policy: words counted, personal data found, routed, packed (and unpacked for the digest)."""
+    from ..operators import index_gzip
     from .pipeline import register, run_policies
 
-    for n in ("count", "detect", "route", "pack", "index", "score"):
-        register(n, put=lambda d, n=n: d.withColumn("ran", F.concat_ws(",", "ran", F.lit(n))) if "ran" in d.columns else d.withColumn("ran", F.lit(n)))
-    out = run_policies(_named(spark, sf), fx.sample_policies(spark), "EDGE")
-    return out.select("doc_id", "policy_id", "ran")
+    register("count", lambda d: d.withColumn("words", text.words(F.col("content"))))
+    register("detect", lambda d: d.withColumn("pii", text.any_pii(F.col("content"))))
+    register("route", lambda d: routing.route_pii(d, "content", F.array(F.lit("t0"), F.lit("t1"))))
+    register("pack", lambda d: index_gzip.gzip_chunks(d.withColumn("packed", F.encode("content", "utf-8")), "packed"))
+    register("index"), register("score")
+    out = index_gzip.gunzip_chunks(run_policies(_named(spark, sf), fx.sample_policies(spark), "EDGE"), "packed")
+    return out.select("doc_id", "policy_id", F.col("words").cast("long").alias("words"), "pii", "target_id", F.md5("packed").alias("digest"))

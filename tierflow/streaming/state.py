@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PUT = "scope string, stream string, partition string, k string, v string, previous string, seq long"
 
@@ -41,6 +41,12 @@ def previous_values(stream: DataFrame, scope: str = "partitioned") -> DataFrame:
     return stream.groupBy(*keys).transformWithStateInPandas(Puts(), PUT, "Append", "None")
 
 
+def read_state(spark: SparkSession, checkpoint: str, var: str = "values", operator: int = 0) -> DataFrame:
+    """``(scope, stream[, partition], k, v)``: what a stopped stream's state holds, read from its checkpoint."""
+    rows = spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", var).load()
+    return rows.select("key.*", F.col("user_map_key.k").alias("k"), F.col("user_map_value.v").alias("v"))
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what has arrived and stop."""
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
