@@ -341,6 +341,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     of = stored(of.join(rows.select(F.col(row).alias("_at"), own.alias("_id")), "_at"), "components")
     least = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_at").alias("at"))).alias("best")
     best = of.where("n_shingles > 0").groupBy("component_id").agg(least).select("component_id", F.col("best.at").alias("_first"))
+    best = stored(best, "best")  # so that Spark may split a large component in the join
     gone = of.where("n_shingles > 0").join(best, "component_id").where("_at <> _first").select("_at")
     bare = rows.join(bounded(stored(of.where("n_shingles = 0").select("_at"), "bare")), F.col(row) == F.col("_at"), "left_semi")
     again = bare.groupBy(*[F.col(f"`{c}`") for c in docs.columns]).agg(F.min(row).alias("_first"), F.collect_set(row).alias("_all"))
