@@ -36,7 +36,7 @@ def _slots(shares: DataFrame) -> DataFrame:
     """
     one = shares.agg(F.array_sort(F.collect_list(F.struct("i", "k", "d", "source"))).alias("s")).where(F.size("s") > 0)
     return one.select(F.col("s"), F.expr("""
-        aggregate(sequence(0, s[0].d - 1),
+        aggregate(sequence(0, get(s, 0).d - 1),
           named_struct('done', transform(s, x -> 0), 'plan', cast(array() as array<struct<slot:int,i:int,j:int>>)),
           (a, t) -> transform(array(array_min(transform(s, x ->
               if((a.done[x.i] * x.d) div x.k <= t, named_struct('due', ((a.done[x.i] + 1) * x.d + x.k - 1) div x.k, 'i', x.i), null)))),
