@@ -33,7 +33,15 @@ class Rule:
 
 #: Rules of the registered query, then what is blocked where none of them fits.
 RULES = [Rule("allow", "org", "/*"), Rule("block", "example.org", "/es/*"), Rule("block", "example.org", "/en/1*"), Rule("allow", "com", "/fr/*"), Rule("block", "com", "/de/*")]
-BLOCKED = [Rule("block", "*adult*", "*", False), Rule("block", "*casino*", "*", False), Rule("block", "*porn*", "*", False)]
+#: Words that mark a host, by kind of site; a parameter like the rules.
+BLOCKED_WORDS = {
+    "adult": ["adult", "porn", "xxx", "escort", "camgirl", "hentai", "nsfw", "erotic"],
+    "gambling": ["casino", "jackpot", "roulette", "sportsbet", "blackjack", "lottery"],
+    "piracy": ["torrent", "warez", "keygen", "freemovies", "crackedapk"],
+    "malware": ["phishing", "malware", "botnet", "cryptojack", "adware"],
+    "spam": ["linkfarm", "replicawatch", "cheappills", "payday-loan", "seo-backlink", "essaymill"],
+}
+BLOCKED = [Rule("block", f"*{w}*", "*", False) for words in BLOCKED_WORDS.values() for w in words]
 
 
 class ShiftAnd:
@@ -141,6 +149,6 @@ r AS (
   END AS rule FROM p)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN host LIKE '%adult%' OR host LIKE '%casino%' OR host LIKE '%porn%' THEN 'block' ELSE 'allow' END AS verdict
+            WHEN BLOCKED_HOST THEN 'block' ELSE 'allow' END AS verdict
 FROM r
-"""
+""".replace("BLOCKED_HOST", " OR ".join(f"host LIKE '%{w}%'" for words in BLOCKED_WORDS.values() for w in words))
