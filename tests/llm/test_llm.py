@@ -292,3 +292,78 @@ def test_pairs_in_large_nodes_are_found(spark):
     assert len(links) == 60
     got = near_documents(spark.createDataFrame(docs, "doc_id long, text string"), node_size=4, block=16, likely=1.0).toPandas().set_index("doc_id")
     assert got.component_id.to_dict() == components(sets, links)
+
+
+def test_rules_match_brute_force(spark, sf, odd):
+    import re
+
+    for docs, labels in ((spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")), (odd, spark.createDataFrame([], "doc_id long, quality int"))):
+        want = []
+        for r in docs.collect():
+            text = r.text or ""
+            w, lines = re.findall("[^\x20\x09-\x0D]+", text), text.split("\n")
+            windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+            count = {x: windows.count(x) for x in set(windows)} if len(w) < 3000 else {x: 2 for x in ()}
+            if len(w) >= 3000:
+                for x in windows:
+                    count[x] = count.get(x, 0) + 1
+            hit = {j for i, x in enumerate(windows) if count[x] > 1 for j in (i, i + 1, i + 2)}
+            dup = sum(bool(re.search("[^\x20\x09-\x0D]", x)) and x in set(lines[:i]) for i, x in enumerate(lines)) if len(lines) < 3000 else 0
+            want.append((r.doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)))
+        got = [tuple(r) for r in judge_quality(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()]
+        assert sorted(got) == sorted(want)
+        assert judge_quality(docs, labels).where("base_failed and kept").count() == 0
+
+
+def test_isolation_depths_match_a_walk():
+    from tierflow.llm.quality_rules import IsolationForest
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(300, 5)), np.full((1, 5), 9.0), np.zeros((2, 5))])
+    f = IsolationForest(x[:300], trees=20, sample=64)
+    for row, score in zip(x[::10], f.score(x[::10])):
+        total = 0.0
+        for t in range(20):
+            node = 1
+            while node < 1 << f.depth and np.isfinite(f.split[t, node]):
+                node = 2 * node + (row[f.column[t, node]] >= f.split[t, node])
+            total += f.length[t, node]
+        assert abs(score - 2 ** -(total / 20 / f.norm)) < 1e-9
+    assert f.score(x[300:301])[0] > np.quantile(f.score(x[:300]), 0.99)
+
+
+def test_scores_match_explicit_pairs(spark, sf):
+    from tierflow.llm import quality_classifier as q
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m, centre = q.fit(docs, labels)
+    for text in ("", "one two two three", "Some SHOUTED words!! and 12 numbers\nand lines"):
+        i, v, s = q._row(text)
+        at, x = np.r_[i, np.arange(q.WORDS, len(m.w))], np.r_[v, q._structure(np.array(s), centre)]
+        raw = m.w0 + sum(m.w[a] * b for a, b in zip(at, x)) + sum((m.v[at[j]] @ m.v[at[k]]) * x[j] * x[k] for j in range(len(at)) for k in range(j))
+        assert abs(q._score((m, centre), text) - 1 / (1 + np.exp(-raw))) < 1e-4
+    got = score_quality(docs.withColumn("score", F.lit(1)).withColumn("held_out", F.lit("x")), labels).collect()
+    want = {r.doc_id: r.h for r in docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("h")).collect()}
+    assert all(r.held_out == want[r.doc_id] and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got) and len(got) == len(want)
+
+
+def test_urls_long_repeated_and_none(spark):
+    long = "http://a.org/" + "x" * 20_000
+    rows = [(1, long, "r"), (1, long, "r"), (2, "http://big-casino.net/", "r"), (3, "http://example.org/en/1", "r"), (4, "http://example.org/es/en/1", "r")]
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string").withColumn("host", F.lit(0))
+    got = sorted((r.page_id, r.rule or "", r.verdict) for r in url_filter.judge_urls(df).collect())
+    assert got == [(1, "org/", "allow"), (1, "org/", "allow"), (2, "", "block"), (3, "example.org/en/1", "block"), (4, "example.org/es/", "block")]
+    assert url_filter.judge_urls(df.where("false")).count() == 0
+
+
+def test_clashing_columns_and_lengths(spark, odd):
+    extra = odd.select("*", *[F.lit(1).alias(c) for c in ("_row", "_at", "_of", "_id", "_file", "_position", "component", "shard", "refers_to", "place", "chunk", "unit", "ids")])
+    assert near_documents(extra).count() == 10 and sharding.sharded(extra).count() == 10 and mixing.mixed(extra).columns == extra.columns
+    assert encode_documents(extra, MODEL).count() == 10 and token_digest(extra, TOKENS).count() == 10
+    pages = extra.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), *[c for c in extra.columns if c not in ("doc_id", "source", "text")])
+    assert warc.archive_digest(pages).count() == 10
+    two = [(1, [1.0, 0.0], 64691), (2, [1.0, 0.0], 100720), (3, [1.0, 0.0, 0.0], 64691), (4, [1.0, 0.01], 64691), (4, [1.0, 0.01], 64691)]
+    got = near_vectors(spark.createDataFrame(two, "vec_id long, embedding array<double>, label long").withColumn("part", F.lit(1)))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(1, 2, 1), (2, 0, 2), (3, 0, 3), (4, 2, 1), (4, 2, 1)]
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>, label long")
+    assert near_vectors(none).count() == 0 and sharding.sharded(odd.where("false")).count() == 0 and mixing.mix_sources(odd.where("false")).count() == 0
