@@ -260,6 +260,30 @@ def test_null_and_repeated_ids_have_archives(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_archives_of_other_writers_are_read(spark, tmp_path):
+    import base64
+    import hashlib
+
+    one, two, three = b"<p>one</p>", b"<p>two</p>" * 90, b"plain"
+    b32 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    parts = [http + two[:300], two[300:]]
+    data = [
+        ([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:a>")], b"software: x\r\n"),
+        ([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:b>"), ("WARC-Payload-Digest", b32(b""))], b"GET / HTTP/1.1\r\n\r\n"),
+        ([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:c>"), ("WARC-Payload-Digest", b32(one))], http + one),
+        ([("WARC-Type", "continuation"), ("WARC-Record-ID", "<urn:e>"), ("WARC-Segment-Origin-ID", "<urn:d>"), ("WARC-Segment-Number", "2"), ("WARC-Segment-Total-Length", str(sum(map(len, parts))))], parts[1]),
+        ([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:d>"), ("WARC-Segment-Number", "1"), ("WARC-Payload-Digest", b32(two))], parts[0]),
+        ([("WARC-Type", "resource"), ("WARC-Record-ID", "<urn:f>")], three),
+        ([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:g>"), ("WARC-Payload-Digest", b32(one))], http),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(warc._record(h, b) for h, b in data))
+    got = warc.read_archives(spark, f"file://{tmp_path}", spark.createDataFrame([("x.warc.gz",)], "file string")).collect()
+    want = [("response", one), ("response", two), ("resource", three), ("revisit", None)]
+    assert sorted((r.kind, bytes(r.payload or b"")) for r in got) == sorted((k, p or b"") for k, p in want)
+    assert {r.digest for r in got} == {hashlib.sha1(p).hexdigest() for p in (one, two, three)} and all(r.page_id is None for r in got)
+
+
 def test_written_shards_stay_within_the_limit(spark, tmp_path):
     sizes = [900, *[3000] * 7, *[1] * 40, *[1500, 2047, 2049] * 20, 9000]
     rows = [(7, "y" * n) for n in sizes] + [(None, "n" * 3000)] * 5 + [(i, "z" * 500) for i in range(100, 160)]

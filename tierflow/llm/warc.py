@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -17,6 +18,7 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL nam
 _RECORD = "page_id bigint, kind string, refers bigint, digest string, origin string, segment int, total bigint, block binary"
 _FIELDS = ["page_id", "kind", "refers", "digest", "origin", "segment", "total", "block"]
 _READ = "page_id bigint, kind string, refers bigint, digest string, payload_bytes bigint, payload binary"
+_PAGES = {"response", "resource", "revisit", "continuation"}  # the types of records that hold pages
 
 
 def _name(page: int, digest: str) -> str:
@@ -144,25 +146,39 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def _payload(block: bytes) -> bytes:
+    """What follows the HTTP head; a block without one is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return block
     head, _, body = block.partition(b"\r\n\r\n")
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
+def hex_digest(label: str) -> str | None:
+    """The SHA-1 of a digest header in hex; other writers give it in base32. Null for none and for other algorithms."""
+    kind, _, value = label.partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
 def read_archives(spark: SparkSession, path: str, files: DataFrame, payloads: bool = True) -> DataFrame:
     """The pages of archives: ``(page_id, kind, refers, digest, payload_bytes, payload)``.
 
     A record in one piece is decoded where it is read. Segments, from whatever
     file, meet by their origin's identifier in the order of their numbers; gaps,
     repeats and a wrong total length raise an error, as does a payload whose
-    SHA-1 is not the record's. ``payload`` is null if not asked for.
+    SHA-1 is not the record's. ``payload`` is null if not asked for. Archives of
+    other writers are read too: records that hold no page (information, requests,
+    metadata) are left out, digests may be in base32 or missing, pages have no id.
     """
     def row(page, kind, refers, digest, block):
         if kind == "revisit":
             return page, kind, refers, digest, None, None
         data = _payload(block)
-        if hashlib.sha1(data).hexdigest() != digest:
+        found = hashlib.sha1(data).hexdigest()
+        if digest is not None and found != digest:
             raise ValueError(f"page {page}: wrong digest")
-        return page, kind, refers, digest, len(data), data if payloads else None
+        return page, kind, refers, found, len(data), data if payloads else None
 
     def scan(batches):
         for b in batches:
@@ -172,10 +188,12 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame, payloads: bo
                     rows, size = [], 0
                     for m in members(stream):
                         f, block = parse(m)
+                        if f["warc-type"] not in _PAGES:
+                            continue
                         origin = f.get("warc-segment-origin-id") or (f["warc-record-id"] if "warc-segment-number" in f else None)
                         total = f.get("warc-segment-total-length")
                         refers, page = f.get("refers-to-page-id"), f.get("page-id")
-                        rows.append((page and int(page), f["warc-type"], refers and int(refers), f.get("warc-payload-digest", "").removeprefix("sha1:"), origin, int(f.get("warc-segment-number", 0)), total and int(total), block))
+                        rows.append((page and int(page), f["warc-type"], refers and int(refers), hex_digest(f.get("warc-payload-digest", "")), origin, int(f.get("warc-segment-number", 0)), total and int(total), block))
                         size += len(block)
                         if size > 4 << 20:
                             yield _batch(rows, _RECORD_SCHEMA)
