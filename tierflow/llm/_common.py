@@ -86,7 +86,7 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     files = stored(rows.groupBy(F.col(file).alias("file")).agg(F.count("*").alias("n")), "places")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = files.select(F.col("file").alias(of), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
-    rows = rows.join(F.broadcast(files), F.col(file) == F.col(of))
+    rows = rows.join(bounded(files), F.col(file) == F.col(of))
     return rows.withColumn(name, F.col(base) + F.col(at)).drop(file, at, of, base)
 
 

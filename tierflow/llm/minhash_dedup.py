@@ -344,7 +344,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     best = stored(best, "best")  # so that Spark may split a large component in the join
     gone = of.where("n_shingles > 0").join(best, "component_id").where("_at <> _first").select("_at")
     bare = rows.join(bounded(stored(of.where("n_shingles = 0").select("_at"), "bare")), F.col(row) == F.col("_at"), "left_semi")
-    again = bare.groupBy(*[F.col(f"`{c}`") for c in docs.columns]).agg(F.min(row).alias("_first"), F.collect_set(row).alias("_all"))
-    again = again.select(F.explode(F.array_except("_all", F.array("_first"))).alias("_at"))
+    first = stored(bare.groupBy(*[F.col(f"`{c}`") for c in docs.columns]).agg(F.min(row).alias("_first")).select("_first"), "first")
+    again = bare.select(F.col(row).alias("_at")).join(first, F.col("_at") == F.col("_first"), "left_anti")
     gone = bounded(stored(gone.unionByName(again), "gone"))
     return rows.join(gone, F.col(row) == F.col("_at"), "left_anti").drop(row)
