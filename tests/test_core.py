@@ -7,6 +7,7 @@ import tempfile
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def test_readers(spark):
     frames = struct.pack("<iq", 3, 7) + b"abc" + struct.pack("<iq", 0, 8) + struct.pack("<iq", 9, 9) + b"cut"
     assert [(r[2], bytes(r[3])) for r in rows(readers.read_frames(chunk(frames)))] == [(7, b"abc"), (8, b"")]
     assert [bytes(r[2]) for r in rows(readers.split_markers(chunk(b"x\xff\xd8a\xff\xd9y\xff\xd8b")))] == [b"\xff\xd8a\xff\xd9"]
-    js = b"12345678" + b'{"id":1,"s":"}{\\""}' + b"abcdefgh" + b'{"id":2}' + b'zzz{"id":'
+    js = b"12345678" + b'{"id":1,"s":"}{\\""}' + b"abc\xff" + b'{"id":broken' + b'{"id":2}' + b'zzz{"id":'
     assert [r[2] for r in rows(readers.read_prefixed_json(chunk(js)))] == ['{"id":1,"s":"}{\\""}', '{"id":2}']
     fq = b"junk\n@r1\nACGT\n+\n@@@@\n@r2\nAC\n+x\nII\n@r3\n"
     assert [r[2:] for r in rows(readers.read_fastq(chunk(fq)))] == [("r1", "ACGT", "", "@@@@"), ("r2", "AC", "x", "II")]
@@ -91,13 +92,28 @@ def _zigzag(n):
             return out
 
 
-@pytest.mark.parametrize("codec", [0, 1])
+def _snappy(b):
+    return pa.compress(b, codec="snappy", asbytes=True)
+
+
+def _packed(codec):
+    def run(b):
+        out = pa.BufferOutputStream()
+        with pa.CompressedOutputStream(out, codec) as f:
+            f.write(b)
+        return out.getvalue().to_pybytes()
+
+    return run
+
+
+@pytest.mark.parametrize("codec", [0, 1, 2, 3, 4, "framed"])
 def test_log_segments(spark, codec):
     body = b""
     for i, (k, v) in enumerate([(b"k", b"v0"), (None, None), (None, b"v2")]):
         r = b"\0" + _zigzag(i * 5) + _zigzag(i) + (_zigzag(-1) if k is None else _zigzag(len(k)) + k) + (_zigzag(-1) if v is None else _zigzag(len(v)) + v) + _zigzag(0)
         body += _zigzag(len(r)) + r
-    body = gzip.compress(body) if codec else body
+    body = {0: bytes, 1: gzip.compress, 2: _snappy, 3: _packed("lz4"), 4: _packed("zstd"), "framed": lambda b: b"\x82SNAPPY\0" + bytes(8) + b"".join(struct.pack(">i", len(x)) + x for x in map(_snappy, (b[:9], b[9:])))}[codec](body)
+    codec = 2 if codec == "framed" else codec
     batch = struct.pack(">qiibihiqqqhii", 100, 49 + len(body), 0, 2, 0, codec, 2, 1000, 1010, -1, -1, -1, 3) + body
     df = spark.createDataFrame([("c", bytearray(batch + batch[:30]))], "key string, content binary")
     got = [(r.offset, r.ts, r.value and bytes(r.value)) for r in readers.read_kafka_log(df).collect()]
@@ -197,6 +213,37 @@ def test_running_sums_over_ranges(spark):
             assert r.s == total
 
 
+def test_ranges_of_lines_leave_the_session_alone(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("".join(f"line {i}\n" for i in range(300_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = readers.scan_ranges(spark, f"{tmp_path}/x.txt", 1)
+    assert got.count() == 300_000 and got.rdd.getNumPartitions() >= 3
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before and spark.sql("select 1").first()[0] == 1
+
+
+def test_metadata_by_kind(spark):
+    kv = [
+        ("policy:p", '{"id":"p","system":"KAFKA","scope":"s","stream":"t","pipeline":[{"id":"count","region":"EDGE","arguments":["n=1"]}],"storage":["t0"]}'),
+        ("fn:count", '{"id":"count","executeOn":"ALL","hardware":"NONE","dataRouting":true}'), ("fn:bad", "{"), ("worker:w", '{"endpoint":"e","region":"EDGE"}'), ("target:t0", '{"other":1}'), ("x", "{}"), (None, None),
+    ]
+    t = catalog.metadata_tables(spark.createDataFrame(kv, "key string, value string"), {"function": "fn"})
+    p = t["policy"].first()
+    assert (p.key_id, p.system, p.pipeline[0].id, p.pipeline[0].arguments, p.storage) == ("p", "KAFKA", "count", ["n=1"], ["t0"])
+    assert [(r.key_id, r.executeOn, r.dataRouting, r.transformsContent) for r in t["function"].collect()] == [("count", "ALL", True, None)]
+    assert [(r.endpoint, r.region, r.hardware) for r in t["worker"].collect()] == [("e", "EDGE", None)] and t["target"].count() == 0
+    w = policy.validate_workers(t["worker"]).first()
+    f = spark.createDataFrame([("f", "ALL", "NONE"), (" ", "ALL", "NONE"), ("f", None, "NONE")], "id string, execute_on string, hardware string")
+    assert not w.valid and [r.valid for r in policy.validate_functions(f).collect()] == [True, False, False]
+
+
+def test_policy_of_a_tag(spark):
+    df = spark.createDataFrame([(None, "edge:count, CLOUD:pack"), ("p", "edge:count"), (None, ""), (None, None)], "policy_id string, tag string").withColumns({c: F.lit("x") for c in ("system", "scope", "stream")})
+    got = [r.fallback for r in policy.with_fallback_policy(df, F.col("tag")).collect()]
+    assert got[1:] == [None] * 3 and got[0].id == "mock" and [(s.pos, s.id, s.region, s.arguments) for s in got[0].steps] == [(0, "count", "EDGE", []), (1, "pack", "CLOUD", [])]
+    made = policy.with_fallback_policy(df, F.col("tag")).where("fallback is not null").select("fallback.*")
+    assert [(r.id, r.turn) for r in policy.steps(made, "EDGE").collect()] == [("count", 1)]
+
+
 def test_first_registration_of_a_step_counts():
     first = register("test-first", put=lambda df: df)
     assert register("test-first", put=lambda df: None) is first

@@ -63,11 +63,19 @@ def delete_objects(objs: DataFrame, keys: DataFrame) -> DataFrame:
     return objs.join(keys.select("key").distinct(), "key", "left_anti")
 
 
+def _aliases(aliases: DataFrame) -> DataFrame:
+    once = aliases.withColumn("_n", F.count("*").over(Window.partitionBy("backend")))
+    return once.select("alias", F.when(F.col("_n") > 1, F.raise_error(F.lit("a backend has two aliases")).cast("string")).otherwise(F.col("backend")).alias("backend"))
+
+
 def apply_alias(df: DataFrame, aliases: DataFrame) -> DataFrame:
     """Containers by their backend's name; a backend with two aliases raises an error."""
-    once = aliases.withColumn("_n", F.count("*").over(Window.partitionBy("backend")))
-    once = once.select("alias", F.when(F.col("_n") > 1, F.raise_error(F.lit("a backend has two aliases")).cast("string")).otherwise(F.col("backend")).alias("backend"))
-    return df.join(_small(once), df.container == F.col("alias"), "left").withColumn("container", F.coalesce("backend", "container")).drop("alias", "backend")
+    return df.join(_small(_aliases(aliases)), df.container == F.col("alias"), "left").withColumn("container", F.coalesce("backend", "container")).drop("alias", "backend")
+
+
+def show_alias(df: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The inverse, for listings: backends by their alias."""
+    return df.join(_small(_aliases(aliases)), df.container == F.col("backend"), "left").withColumn("container", F.coalesce("alias", "container")).drop("alias", "backend")
 
 
 def set_tier(df: DataFrame, tier: Column) -> DataFrame:
@@ -84,6 +92,11 @@ def list_encrypted(objs: DataFrame) -> DataFrame:
     return objs.select(F.when(enc, F.expr(f"substring(key, 1, length(key) - {len(SUFFIX)})")).otherwise(F.col("key")).alias("key"), F.when(enc, logical_size(F.col("length"), F.col("parts"))).otherwise(F.col("length")).alias("length"))
 
 
+def list_encrypted_page(objs: DataFrame, prefix: str = "", delimiter: str | None = None, marker: str | None = None, max_keys: int = MAX_KEYS) -> DataFrame:
+    """A page of ``list_objects`` by the names and sizes of the content; markers are such names too."""
+    return list_objects(list_encrypted(objs), prefix, delimiter, marker, max_keys)
+
+
 def encryption_key(password: str, salt: bytes) -> bytes:
     """128-bit key, derived once on the driver."""
     import hashlib
@@ -109,15 +122,36 @@ def bucket_report(objs: DataFrame) -> DataFrame:
     return objs.withColumn("system", s).where(data).groupBy("system").agg(F.count("*").alias("objects"), F.sum("length").alias("bytes"))
 
 
-def read_metadata(kv: DataFrame) -> DataFrame:
-    """Kind, id and JSON of documents under keys ``kind:id``; rows of no kind or broken JSON are left out.
+_FUNCTION = "id string, executeOn string, hardware string, partitionLocality boolean, transformsContent boolean, dataRouting boolean"
+#: Kinds of documents and their fields; credentials of targets are not read.
+METADATA = {
+    "policy": "id string, system string, scope string, stream string, pipeline array<struct<id:string,region:string,arguments:array<string>>>, storage array<string>",
+    "function": _FUNCTION,
+    "worker": "endpoint string, region string, hardware string",
+    "target": "id string, endpoint string, container string",
+}
 
-    Fixed values: the four prefixes of the store.
-    """
-    kinds = ["policy", "streamletdescriptor", "swarmletdescriptor", "s3config"]
+
+def read_metadata(kv: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Kind, id and JSON of documents under keys ``kind:id``; rows of no kind or broken JSON are left out."""
     kind = F.substring_index("key", ":", 1)
     doc = F.from_json("value", "map<string,string>")
-    return kv.where(F.contains("key", F.lit(":")) & kind.isin(kinds)).select(kind.alias("kind"), F.regexp_replace("key", "^[^:]*:", "").alias("id"), doc.alias("doc")).where(F.size("doc") > 0)
+    return kv.where(F.contains("key", F.lit(":")) & kind.isin(list(kinds or METADATA))).select(kind.alias("kind"), F.regexp_replace("key", "^[^:]*:", "").alias("id"), doc.alias("doc")).where(F.size("doc") > 0)
+
+
+def metadata_tables(kv: DataFrame, prefixes: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """A table of each kind in ``METADATA``, of ``key_id`` and the fields, from the documents ``(key, value)``.
+
+    ``prefixes`` gives the store's own prefix of a kind, else it is the kind's
+    name. Rows of broken JSON, or with none of the fields, are left out.
+    """
+    out = {}
+    for kind, fields in METADATA.items():
+        mark = (prefixes or {}).get(kind, kind) + ":"
+        rows = kv.where(F.col("key").startswith(mark)).select(F.substring("key", len(mark) + 1, 1 << 20).alias("key_id"), F.from_json("value", fields).alias("d"))
+        rows = rows.select("key_id", "d.*")
+        out[kind] = rows.where(F.coalesce(*[F.col(c).cast("string") for c in rows.columns[1:]]).isNotNull())
+    return out
 
 
 def apply_changes(table: DataFrame, feed: DataFrame, honour_deletes: bool = False) -> DataFrame:

@@ -14,7 +14,8 @@ def assemble(parts: DataFrame, text: bool = False) -> DataFrame:
     last = latest(parts, ["upload", "part"], "seq")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x.content)
     size = F.length("content") if text else F.octet_length("content")
-    whole = F.array_join(ordered, "") if text else F.aggregate(ordered, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
+    # bytes are joined as hex, once, for a fold would copy what it has for every part
+    whole = F.array_join(ordered, "") if text else F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x)), ""))
     return last.groupBy("upload").agg(F.count("*").alias("parts"), F.sum(size).cast("long").alias("size"), whole.alias("content"))
 
 

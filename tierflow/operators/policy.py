@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 STEP = "struct<pos:int,id:string,execute_on:string,hardware:string,local:boolean,transforms:boolean,routes:boolean,region:string,arguments:array<string>>"
@@ -82,10 +84,23 @@ def policy_targets(pol: DataFrame, targets: DataFrame) -> DataFrame:
     return t.join(_small(targets.withColumnRenamed("id", "target_id")), "target_id").select("policy_id", "pos", "target_id", "path")
 
 
+def _full(*columns: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.coalesce(F.trim(c) != "", F.lit(False)) for c in columns])
+
+
+def validate_functions(functions: DataFrame) -> DataFrame:
+    """Adds ``valid`` to descriptors of functions: id, execute_on and hardware present."""
+    return functions.withColumn("valid", _full("id", "execute_on", "hardware"))
+
+
+def validate_workers(workers: DataFrame) -> DataFrame:
+    """Adds ``valid`` to workers: endpoint, region and hardware present."""
+    return workers.withColumn("valid", _full("endpoint", "region", "hardware"))
+
+
 def validate(pol: DataFrame, reserved: str = "mock") -> DataFrame:
     """Adds ``valid``: system, scope, stream and steps present, id not reserved."""
-    full = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
-    return pol.withColumn("valid", full("id") & (F.col("id") != reserved) & full("system") & full("scope") & full("stream") & (F.size(F.coalesce("steps", F.array())) > 0))
+    return pol.withColumn("valid", _full("id", "system", "scope", "stream") & (F.col("id") != reserved) & (F.size(F.coalesce("steps", F.array())) > 0))
 
 
 def check_refs(pol: DataFrame, functions: DataFrame) -> DataFrame:
@@ -97,3 +112,17 @@ def check_refs(pol: DataFrame, functions: DataFrame) -> DataFrame:
 def fallback_policy(df: DataFrame, tag: Column) -> DataFrame:
     """Objects without a policy but with a tag of applied transforms get one from the tag."""
     return df.withColumn("policy_source", F.when(F.col("policy_id").isNotNull(), "policy").when(F.coalesce(tag, F.lit("")) != "", "tag").otherwise("none"))
+
+
+def with_fallback_policy(df: DataFrame, tag: Column) -> DataFrame:
+    """Adds ``fallback``, the policy of an object that has none but a tag of applied steps: ``REGION:id`` by commas.
+
+    Its steps are the tag's, in their order, for all operations, without hardware,
+    routing or targets; its id is ``reserved`` of ``validate``. Null for other objects.
+    """
+    parts = F.transform(F.split(tag, ","), lambda x: F.trim(x))
+    step = lambda x, i: F.struct(
+        i.alias("pos"), F.substring_index(x, ":", -1).alias("id"), F.lit("ALL").alias("execute_on"), F.lit("NONE").alias("hardware"), F.lit(False).alias("local"),
+        F.lit(True).alias("transforms"), F.lit(False).alias("routes"), F.upper(F.substring_index(x, ":", 1)).alias("region"), F.slice(F.array(x), 1, 0).alias("arguments"))
+    made = F.struct(F.lit("mock").alias("id"), "system", "scope", "stream", F.transform(parts, step).alias("steps"))
+    return df.withColumn("fallback", F.when(F.col("policy_id").isNull() & (F.coalesce(tag, F.lit("")) != ""), made))

@@ -134,6 +134,19 @@ def c18_h6_encrypted_listing(spark, sf):
     return catalog.list_encrypted(fx.table(spark, sf, "documents").select(k.alias("key"), F.col("n_chars").alias("length"), F.lit(2).alias("parts")))
 
 
+@query("c16_show_alias", "SELECT doc_id, CASE source WHEN 'src1' THEN 'first' WHEN 'src2' THEN 'second' ELSE source END AS container FROM documents")
+def c16_show_alias(spark, sf):
+    a = spark.createDataFrame([("first", "src1"), ("second", "src2")], "alias string, backend string")
+    return catalog.show_alias(fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("container")), a)
+
+
+@query("h6_encrypted_page", "WITH k AS (SELECT source || '/' || doc_id AS name, CAST(n_chars - CASE WHEN doc_id % 2 = 0 THEN 128 ELSE 0 END AS BIGINT) AS length FROM documents) SELECT name, false AS is_prefix, length, (SELECT count(*) FROM k WHERE name > 'src1/2') > 40 AS truncated FROM k WHERE name > 'src1/2' ORDER BY name LIMIT 40")
+def h6_encrypted_page(spark, sf):
+    k = F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 2 == 0, catalog.SUFFIX).otherwise(""))
+    objs = fx.table(spark, sf, "documents").select(k.alias("key"), F.col("n_chars").alias("length"), F.lit(2).alias("parts"))
+    return catalog.list_encrypted_page(objs, marker="src1/2", max_keys=40)  # a page of a listing is the feature
+
+
 @query("d1_pii", "SELECT doc_id, " + ", ".join(f"coalesce(regexp_matches(text, '{p}'), false) AS {k}" for k, p in text.PII.items()) + " FROM documents")
 def d1_pii(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", *[c.alias(k) for k, c in text.pii(F.col("text")).items()])
@@ -216,7 +229,7 @@ def e3_tiered_read(spark, sf):
 @query("e4_policy_targets", _with("SELECT doc_id, policy_id, CAST(pos AS INTEGER) AS pos, target_id, path FROM resolved JOIN (VALUES ('p1',0,'t0'),('p1',1,'t1'),('p2',0,'t1'),('p3',0,'t0'),('p3',1,'t1'),('p3',2,'t2'),('p4',0,'t2'),('p5',0,'t0')) s(policy_id, pos, target_id) USING (policy_id) JOIN (VALUES ('t0','s3a://hot'),('t1','s3a://warm'),('t2','s3a://cold')) t(target_id, path) USING (target_id)", NAMED, fx.STEPS_SQL, RESOLVED))
 def e4_policy_targets(spark, sf):
     t = policy.policy_targets(fx.sample_policies(spark), fx.targets(spark))
-    return _resolved(spark, sf).select("doc_id", "policy_id").join(F.broadcast(t), "policy_id")  # targets of configured policies
+    return _resolved(spark, sf).select("doc_id", "policy_id").join(policy._small(t), "policy_id")
 
 
 def _ring_sql(key: str) -> str:
@@ -255,6 +268,14 @@ def e8_fallback_policy(spark, sf):
     return policy.fallback_policy(_resolved(spark, sf), F.when(F.col("doc_id") % 3 == 0, "EDGE:pack")).select("doc_id", "policy_source")
 
 
+@query("e8_policy_of_tag", _with("SELECT doc_id, len(s) AS n_steps, s[1] AS first_step, CASE WHEN s IS NOT NULL THEN 'EDGE' END AS region FROM (SELECT doc_id, CASE WHEN policy_id IS NULL AND doc_id % 3 = 0 THEN ['pack', lang] END AS s FROM resolved JOIN documents USING (doc_id))", NAMED, fx.STEPS_SQL, RESOLVED))
+def e8_policy_of_tag(spark, sf):
+    r = _resolved(spark, sf).join(fx.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    tag = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("edge:pack,edge:"), "lang"))
+    s = F.col("fallback.steps")
+    return policy.with_fallback_policy(r, tag).select("doc_id", F.when(s.isNotNull(), F.size(s)).cast("long").alias("n_steps"), F.get(s, 0)["id"].alias("first_step"), F.get(s, 0)["region"].alias("region"))
+
+
 @query("e9_copy", "SELECT 'k' || CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey ELSE o_orderkey + 1000000 END AS key, CASE WHEN o_orderkey % 7 = 0 THEN 'NO_SOURCE' WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 THEN 'SELF_COPY' ELSE 'COPIED' END AS status, CASE WHEN o_orderkey % 7 = 0 OR (o_orderkey % 5 = 0 AND o_orderkey % 2 = 0) THEN NULL WHEN o_orderkey % 2 = 1 THEN 'new' ELSE o_orderpriority END AS meta FROM orders")
 def e9_copy(spark, sf):
     o = fx.table(spark, sf, "orders")
@@ -275,7 +296,7 @@ def e10_delete(spark, sf):
  FROM resolved JOIN steps USING (policy_id) WHERE region = 'EDGE'""", NAMED, fx.STEPS_SQL, RESOLVED))
 def f1_f2_steps(spark, sf):
     s = policy.steps(fx.sample_policies(spark), "EDGE", "GET").withColumn("applies", policy.applies("GET"))
-    return _resolved(spark, sf).select("doc_id", "policy_id").join(F.broadcast(s), "policy_id").select("doc_id", F.col("id").alias("step"), "turn", "applies")
+    return _resolved(spark, sf).select("doc_id", "policy_id").join(policy._small(s), "policy_id").select("doc_id", F.col("id").alias("step"), "turn", "applies")
 
 
 FLAGS = """flags AS (SELECT policy_id, arg_min(CASE WHEN region='EDGE' THEN hardware END, pos) FILTER (region='EDGE' AND hardware<>'NONE') AS special_hardware,
@@ -287,7 +308,7 @@ FLAGS = """flags AS (SELECT policy_id, arg_min(CASE WHEN region='EDGE' THEN hard
 @query("f3_f4_policy_flags", _with("SELECT doc_id, special_hardware, can_execute, can_execute AND some_step AS any_step, has_router, router_id, has_local, next_region FROM resolved JOIN flags USING (policy_id)", NAMED, fx.STEPS_SQL, RESOLVED, FLAGS))
 def f3_f4_policy_flags(spark, sf):
     f = policy.policy_flags(fx.sample_policies(spark), "EDGE", "GPU", "PUT")
-    return _resolved(spark, sf).select("doc_id", "policy_id").join(F.broadcast(f), "policy_id").drop("policy_id")
+    return _resolved(spark, sf).select("doc_id", "policy_id").join(policy._small(f), "policy_id").drop("policy_id")
 
 
 @query("f5_route_plan", _with(f"""SELECT doc_id, CASE policy_id WHEN 'p1' THEN CASE WHEN o.owner <> 'node-a' THEN 'REROUTE' ELSE 'INTER_REGION' END WHEN 'p3' THEN 'NO_SUITABLE_WORKER' WHEN 'p5' THEN 'INTER_REGION' ELSE 'STORE' END AS decision,
@@ -301,7 +322,7 @@ def f5_route_plan(spark, sf):
 @query("f6_step_args", _with("SELECT doc_id, CASE policy_id WHEN 'p4' THEN 'n=100| Mode = Fast |flag' END AS args FROM resolved WHERE policy_id IS NOT NULL", NAMED, fx.STEPS_SQL, RESOLVED))
 def f6_step_args(spark, sf):
     a = policy.step_args(fx.sample_policies(spark), "dex")
-    return _resolved(spark, sf).select("doc_id", "policy_id").join(F.broadcast(a), "policy_id").select("doc_id", F.array_join("arguments", "|").alias("args"))
+    return _resolved(spark, sf).select("doc_id", "policy_id").join(policy._small(a), "policy_id").select("doc_id", F.array_join("arguments", "|").alias("args"))
 
 
 @query("f7_shards", "SELECT doc_id, 'shard-' || list_max(list_transform(range(0, 8), lambda i: struct_pack(h := md5(doc_id || '#' || i), i := i))).i AS shard FROM documents")

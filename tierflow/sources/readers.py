@@ -83,16 +83,18 @@ def split_markers(data: bytes, start: bytes = b"\xff\xd8", end: bytes = b"\xff\x
 
 @reader("json string")
 def read_prefixed_json(data: bytes, mark: bytes = b'{"id') -> Iterator[tuple]:
-    """Objects that begin with ``mark``, each behind a prefix of any bytes; ends are found by the JSON grammar."""
-    at, decode = 0, json.JSONDecoder()
-    while (i := data.find(mark, at)) >= 0:
-        text = data[i:].decode("utf-8", "surrogateescape")
+    """Objects that begin with ``mark``, each behind a prefix of any bytes; ends are found by the JSON grammar.
+
+    Bytes that are no UTF-8 become U+FFFD; an object that is broken or cut off is left out.
+    """
+    text, sign, at, decode = data.decode("utf-8", "replace"), mark.decode(), 0, json.JSONDecoder()
+    while (i := text.find(sign, at)) >= 0:
         try:
-            end = decode.raw_decode(text)[1]
+            at = decode.raw_decode(text, i)[1]
         except ValueError:
-            return
-        yield (text[:end],)
-        at = i + len(text[:end].encode("utf-8", "surrogateescape"))
+            at = i + len(sign)
+        else:
+            yield (text[i:at],)
 
 
 def _varint(b: bytes, at: int) -> tuple[int, int]:
@@ -105,9 +107,45 @@ def _varint(b: bytes, at: int) -> tuple[int, int]:
             return (value >> 1) ^ -(value & 1), at
 
 
+def _snappy(data: bytes) -> bytes:
+    """One raw block, or the public framing of several with their sizes ahead."""
+    def block(b: bytes) -> bytes:
+        size = shift = at = 0
+        while True:  # the size of the content comes first
+            size |= (b[at] & 127) << shift
+            if b[at] < 128:
+                return pa.decompress(b, size, codec="snappy", asbytes=True)
+            at, shift = at + 1, shift + 7
+
+    if not data.startswith(b"\x82SNAPPY\0"):
+        return block(data)
+    out, at = [], 16
+    while at < len(data):
+        size = struct.unpack_from(">i", data, at)[0]
+        out.append(block(data[at + 4 : at + 4 + size]))
+        at += 4 + size
+    return b"".join(out)
+
+
+def _unpacked(codec: int, body: bytes) -> bytes:
+    """The records of a batch by the codec's number in its attributes."""
+    if codec == 1:
+        return gzip.decompress(body)
+    if codec == 2:
+        return _snappy(body)
+    if codec in (3, 4):
+        return pa.input_stream(pa.py_buffer(body), compression={3: "lz4", 4: "zstd"}[codec]).read()
+    if codec:
+        raise ValueError(f"a batch has the unknown codec {codec}")
+    return body
+
+
 @reader("offset long, ts long, key_bytes binary, value binary")
 def read_kafka_log(data: bytes, values_only: bool = False) -> Iterator[tuple]:
-    """Records of a log segment's batches (public layout, version 2; plain, gzip or zstd). A broken batch ends the chunk."""
+    """Records of a log segment's batches (public layout, version 2; plain, gzip, snappy, lz4 or zstd).
+
+    A broken batch ends the chunk; a codec beyond those raises an error.
+    """
     at = 0
     while at + 61 <= len(data):
         base, size = struct.unpack_from(">qi", data, at)
@@ -117,15 +155,7 @@ def read_kafka_log(data: bytes, values_only: bool = False) -> Iterator[tuple]:
         attributes, _, first = struct.unpack_from(">hiq", data, at + 21)
         count = struct.unpack_from(">i", data, at + 57)[0]
         try:
-            body = data[at + 61 : end]
-            if attributes & 7 == 1:
-                body = gzip.decompress(body)
-            elif attributes & 7 == 4:
-                import zstandard
-
-                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
-            elif attributes & 7:
-                return
+            body = _unpacked(attributes & 7, data[at + 61 : end])
             rows, i = [], 0
             for _ in range(count):
                 _, i = _varint(body, i)
@@ -168,6 +198,10 @@ def number_records(records: DataFrame, key: str = "key") -> DataFrame:
 
 
 def scan_ranges(spark: SparkSession, path: str, mb: int) -> DataFrame:
-    """Lines of plain files, split into byte ranges of ``mb`` megabytes; lines at a cut are read once."""
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(mb << 20))
-    return spark.read.text(path)
+    """Lines of plain files, split into byte ranges of ``mb`` megabytes; lines at a cut are read once.
+
+    The size of ranges is a setting of a session, so the scan has a session of its own.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(mb << 20))
+    return own.read.text(path)
