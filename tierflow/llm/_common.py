@@ -82,7 +82,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     if not _of_files(df):
         df = stored(df, "rows")
     file, at, of, base = (new_name(df, x) for x in ("file", "at", "of", "base"))
-    rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    meta = df.metadataColumn("_metadata")  # also where df has a column of that name
+    rows = df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(at))
     files = stored(rows.groupBy(F.col(file).alias("file")).agg(F.count("*").alias("n")), "places")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = files.select(F.col("file").alias(of), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))

@@ -10,6 +10,7 @@ from .minhash_dedup import near_documents
 from .quality_classifier import score_quality
 from .quality_rules import judge_quality
 from .sentencepiece_lattice import encode_documents
+from .suffix_dedup import remove_repeats
 from .token_files import token_digest
 
 
@@ -68,9 +69,13 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nn_descent, op2_chosen_path, op3_extendible_hashing, op4_seekable_tokens, op5_warc_segments,
-    op6_pfair_mixing, op7_sentencepiece_lattice, op8_isolation_forest, op9_url_filter, op10_factorisation_machine,
+    op6_pfair_mixing, op7_sentencepiece_lattice, op8_isolation_forest, op9_url_filter, op10_factorisation_machine, op12_bucket_refinement,
 )}
 ORACLES = {
     "op3_extendible_hashing": sharding.ORACLE, "op5_warc_segments": warc.ORACLE,
