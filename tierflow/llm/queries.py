@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing, sharding, url_filter, warc
 from .embedding_dedup import near_vectors
 from .minhash_dedup import near_documents
+from .periodic_runs import runs_of_words
 from .quality_classifier import score_quality
 from .quality_rules import judge_quality
 from .sentencepiece_lattice import encode_documents
@@ -69,13 +70,18 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_internal_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_of_words(_table(spark, sf_dir, "documents"), rewrite=True)
+
+
 def op12_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_nn_descent, op2_chosen_path, op3_extendible_hashing, op4_seekable_tokens, op5_warc_segments,
-    op6_pfair_mixing, op7_sentencepiece_lattice, op8_isolation_forest, op9_url_filter, op10_factorisation_machine, op12_bucket_refinement,
+    op6_pfair_mixing, op7_sentencepiece_lattice, op8_isolation_forest, op9_url_filter, op10_factorisation_machine,
+    op11_internal_matching, op12_bucket_refinement,
 )}
 ORACLES = {
     "op3_extendible_hashing": sharding.ORACLE, "op5_warc_segments": warc.ORACLE,
