@@ -11,6 +11,7 @@ from .periodic_runs import runs_of_words
 from .quality_classifier import score_quality
 from .quality_rules import judge_quality
 from .sentencepiece_lattice import encode_documents
+from .spelling_variants import group_variants
 from .suffix_dedup import remove_repeats
 from .token_files import token_digest
 
@@ -78,10 +79,14 @@ def op12_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op13_dense_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(_table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nn_descent, op2_chosen_path, op3_extendible_hashing, op4_seekable_tokens, op5_warc_segments,
     op6_pfair_mixing, op7_sentencepiece_lattice, op8_isolation_forest, op9_url_filter, op10_factorisation_machine,
-    op11_internal_matching, op12_bucket_refinement,
+    op11_internal_matching, op12_bucket_refinement, op13_dense_tiling,
 )}
 ORACLES = {
     "op3_extendible_hashing": sharding.ORACLE, "op5_warc_segments": warc.ORACLE,
