@@ -391,3 +391,19 @@ def test_clashing_columns_and_lengths(spark, odd):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(1, 2, 1), (2, 0, 2), (3, 0, 3), (4, 2, 1), (4, 2, 1)]
     none = spark.createDataFrame([], "vec_id long, embedding array<double>, label long")
     assert near_vectors(none).count() == 0 and sharding.sharded(odd.where("false")).count() == 0 and mixing.mix_sources(odd.where("false")).count() == 0
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (None, [1.0, 0.02]), (None, None), (None, [-1.0, 0.1]), (None, [-1.0, 0.11]), (7, [-1.0, -1.0]), (7, [-1.0, -1.0])]
+    rows += [(None if i % 5 == 0 else int(rng.integers(10, 60)), rng.normal(size=2).tolist()) for i in range(150)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = near_vectors(df.select("*", F.lit(1).alias("rid"), F.lit(1).alias("_metadata"), F.lit(1).alias("least"))).collect()
+    x = np.array([v or [0.0, 0.0] for _, v in rows])
+    x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+    link = x @ x.T >= 0.93
+    np.fill_diagonal(link, False)
+    of = components(range(len(rows)), zip(*np.nonzero(link)))
+    ids = {c: min((rows[i][0] for i in of if of[i] == c and rows[i][0] is not None), default=None) for c in set(of.values())}
+    want = [(rows[i][0], int(link[i].sum()), ids[of[i]], ids[of[i]] == rows[i][0]) for i in range(len(rows))]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

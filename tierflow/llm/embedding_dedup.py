@@ -343,20 +343,25 @@ def near_vectors(
     Null vectors, zero vectors, null or non-finite components and a null group
     link with nothing: n_links 0, their own component. Vectors of one group link
     only with those of their own length.
-    Equal vectors are compared once and count as links of each other; rows with
-    one id are rows of their own in the counts. An empty table gives no rows.
+    Equal vectors are compared once and count as links of each other. Rows with
+    one id are vectors of their own: each counts its own links and may be in
+    another component. The component of a row is the least id of all rows
+    that its vector reaches, null where none of them has an id; such rows are
+    kept, all others if the component is their id. An empty table gives no rows.
     """
     d = F.col("_v")
     rows = df.select(F.col(id_col).alias("_id"), F.col(group_col).alias("_g"), F.col(vec_col).alias("_v"))
     ok = d.isNotNull() & F.col("_g").isNotNull() & ~F.exists(d, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(d, lambda x: x != 0)
     rows = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     keyed = rows.withColumn("_k1", F.when(F.col("_ok"), F.xxhash64("_g", "_v"))).withColumn("_k2", F.when(F.col("_ok"), F.xxhash64(F.lit(1), "_g", "_v")))
-    reps = keyed.where("_ok").groupBy("_k1", "_k2").agg(F.min("_id").alias("rid"), F.count("*").alias("mult"), F.first("_g").alias("_g"), F.first("_v").alias("vec"))
+    reps = keyed.where("_ok").groupBy("_k1", "_k2").agg(F.min("_id").alias("least"), F.count("*").alias("mult"), F.first("_g").alias("_g"), F.first("_v").alias("vec"))
     # groups and lengths are numbered, so that two never share a number
     reps = stored(reps.withColumn("_l", F.size("vec")), "distinct")
     groups = stored(numbered(stored(reps.select("_g", "_l").distinct(), "groups"), "part").withColumnsRenamed({"_g": "_og", "_l": "_ol"}), "parts")
     reps = reps.join(bounded(groups), (F.col("_g") == F.col("_og")) & (F.col("_l") == F.col("_ol")))
-    nodes = stored(reps.select("_k1", "_k2", "rid", "mult", "part", "vec"), "vectors")
+    # every distinct vector has a number; ids come back at the end
+    named = stored(numbered(stored(reps.select("_k1", "_k2", "least", "mult", "part", "vec"), "vectors"), "rid"), "numbered")
+    nodes = named.select("rid", "mult", "part", "vec")
     sizes = nodes.groupBy("part").agg(F.count("*").alias("size"))
     sizes = stored(sizes.withColumn("bits", F.least(F.lit(_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / cell)))).cast("int")), "sizes")
     nodes = nodes.join(sizes, "part")
@@ -394,8 +399,12 @@ def near_vectors(
         loose = loose.unionByName(all_.where("kind = 'e'").select("a", "b"))
         n = n.join(part.select("rid"), "rid", "left_anti").unionByName(all_.where("kind = 'n'").groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("n")))
     comp = components(loose, "a", "b")
-    of = nodes.select("_k1", "_k2", "rid", "mult").join(n, "rid", "left").join(comp, F.col("rid") == F.col("node"), "left")
-    of = of.select("_k1", "_k2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("_n"), F.coalesce("component", "rid").alias("_c"))
+    of = named.select("_k1", "_k2", "rid", "mult", "least").join(n, "rid", "left").join(comp, F.col("rid") == F.col("node"), "left")
+    links = (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("_n")
+    of = stored(of.select("_k1", "_k2", "least", links, F.coalesce("component", "rid").alias("_c")), "counted")
+    first = stored(of.groupBy("_c").agg(F.min("least").alias("_first")), "first")
+    of = stored(of.join(first, "_c").select("_k1", "_k2", "_n", "_first", F.lit(True).alias("_in")), "of")
     out = keyed.select("_id", "_k1", "_k2").join(of, ["_k1", "_k2"], "left")
-    out = out.select(F.col("_id").alias(id_col), F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_c", "_id").alias("component_id"))
-    return out.withColumn("kept", F.col("component_id") == F.col(id_col))
+    component = F.when(F.col("_in"), F.col("_first")).otherwise(F.col("_id"))
+    out = out.select(F.col("_id").alias(id_col), F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col(id_col)))
