@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import bounded, mix, new_folder, numbered, pieces_of, stored
+from ._common import mix, new_folder, numbered, pieces_of, stored
 from ._files import open_fs
 
 _CHUNK = 15  # rows of 2^15 places share a side file
@@ -208,22 +208,22 @@ def repeated_spans(rows: DataFrame, length: int = 200, gram: int = 32) -> DataFr
     classes = stored(classes.select("g", "c1", "c2", "n", "first.rid", "first.at"), "classes")
     start, offset, count = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255) + 1
     twice = stored(classes.where("n > 1").select("c1", "c2"), "twice")
-    whole = found.select("rid", "at", "c1", "c2").join(bounded(twice), ["c1", "c2"])
+    whole = found.select("rid", "at", "c1", "c2").join(twice, ["c1", "c2"])
     spans = [stored(whole.select("rid", start.alias("start"), (start + count - 1 + length).alias("end")), "whole")]
     many = stored(classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "many")
-    state = classes.join(bounded(many), "g", "left_semi").select(
+    state = classes.join(many, "g", "left_semi").select(
         "rid", (start + offset).alias("p"), (offset - count + 1).alias("a"), offset.alias("b"), (F.col("n") > 1).alias("done"))
     for level in _LEVELS:
         named = rows.select("rid", "text").mapInArrow(_names(_beside(state, "open"), length, gram, level), "rid bigint, p bigint, a bigint, b bigint, done boolean, name bigint, u1 bigint, u2 bigint")
         named = stored(named, "named")
         one = (F.min("u1") == F.max("u1")) & (F.min("u2") == F.max("u2"))
         groups = stored(named.groupBy("name").agg(F.count("*").alias("n"), one.alias("one")).where("n > 1").select("name", "one"), "groups")
-        live = stored(named.join(bounded(groups), "name"), "live")
+        live = stored(named.join(groups, "name"), "live")
         span = lambda df: df.where("not done").select("rid", (F.col("p") - F.col("b")).alias("start"), (F.col("p") - F.col("a") + length).alias("end"))
         spans.append(span(live.where("one")))
         rest = live.where("not one")
         same = stored(rest.groupBy("name", "u1", "u2").agg(F.count("*").alias("m"), F.min(F.struct("rid", "p", "a")).alias("first")).where("m > 1"), "same")
-        rest = rest.join(bounded(same), ["name", "u1", "u2"], "left")
+        rest = rest.join(same, ["name", "u1", "u2"], "left")
         rest = stored(rest.select("rid", "p", "a", "b", "done", F.coalesce("m", F.lit(1)).alias("m"), (F.col("m").isNull() | (F.col("first") == F.struct("rid", "p", "a"))).alias("goes")), "rest")
         spans.append(span(rest.where("m > 1")))
         state = rest.where("goes").select("rid", "p", "a", "b", (F.col("done") | (F.col("m") > 1)).alias("done"))
