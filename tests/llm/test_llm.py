@@ -9,7 +9,7 @@ from tierflow.llm import mixing, queries, sharding, url_filter, warc
 from tierflow.llm._common import shingles
 from tierflow.llm._features import repeats
 from tierflow.llm.embedding_dedup import near_vectors
-from tierflow.llm.minhash_dedup import _shared, near_documents
+from tierflow.llm.minhash_dedup import _shared, keep_one, near_documents
 from tierflow.llm.quality_classifier import FactorisationMachine, score_quality
 from tierflow.llm.quality_rules import judge_quality
 from tierflow.llm.sentencepiece_lattice import encode_documents, fold_viterbi, lattice, merge_long, pieces
@@ -407,3 +407,23 @@ def test_vectors_with_null_and_repeated_ids(spark):
     ids = {c: min((rows[i][0] for i in of if of[i] == c and rows[i][0] is not None), default=None) for c in set(of.values())}
     want = [(rows[i][0], int(link[i].sum()), ids[of[i]], ids[of[i]] == rows[i][0]) for i in range(len(rows))]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_documents_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    base = [[f"b{k}_{j}" for j in range(40)] for k in range(12)]
+    rows = [(1, " ".join(base[0])), (1, " ".join(base[1])), (3, " ".join([*base[1], "one"])), (None, " ".join([*base[2], "two"])), (None, " ".join(base[2])), (None, "alone " * 9), (None, None), (4, ""), (4, " ".join(base[0])), (5, "a b")]
+    for _ in range(60):
+        w = list(base[rng.integers(12)])
+        w[int(rng.integers(2, 38))] = "x"
+        rows.append((None if rng.integers(4) == 0 else int(rng.integers(1, 30)), " ".join(w[: int(rng.integers(30, 41))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(shingles(t).tolist()) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    of = components(range(len(rows)), links)
+    ids = {c: min((rows[i][0] for i in of if of[i] == c and rows[i][0] is not None), default=None) for c in set(of.values())}
+    want = [(rows[i][0], len(sets[i]), ids[of[i]], ids[of[i]] == rows[i][0]) for i in range(len(rows))]
+    got = near_documents(docs.select("*", F.lit(1).alias("n"), F.lit(1).alias("_metadata"), F.lit(1).alias("component_id"))).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    kept = [tuple(r) for r in keep_one(docs).collect()]
+    assert all(sum(rows[i] in kept for i in of if of[i] == c) >= 1 for c in set(of.values())) and len(kept) == len(set(of.values()))

@@ -226,7 +226,7 @@ def _branches(reps: DataFrame, trees: int, node_size: int) -> DataFrame:
     path = lambda t, d: F.xxhash64(F.lit(t), *[token(t * _LEVELS + j) for j in range(d + 1)])
     first = reps.select("id", F.posexplode(F.array(*[path(t, 0) for t in range(trees)])).alias("t", "node"))
     shared = first.groupBy("node").agg(F.count("*").alias("n_node")).where("n_node > 1")
-    first = stored(first.join(shared, "node").select("node", "id", "t", "n_node"), "branches")
+    first = stored(first.join(stored(shared, "shared"), "node").select("node", "id", "t", "n_node"), "branches")
     small, large = first.where(F.col("n_node") <= node_size), first.where(F.col("n_node") > node_size).select("id", "t")
     if large.isEmpty():
         return small.drop("t")
@@ -249,10 +249,8 @@ def trees_for(recall: float, percent: int = 75) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** _LEVELS))
 
 
-def near_documents(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+def near_rows(
+    src: DataFrame,
     size: int = 5,
     percent: int = 75,
     recall: float = 0.997,
@@ -261,7 +259,7 @@ def near_documents(
     least: float = 0.5,
     likely: float = 0.8,
 ) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)``, one row per row of ``docs``.
+    """``(id, n, component)`` of texts ``(id, text)`` whose ids are all different: set size, least id reachable.
 
     Independent trees (see ``_branches``), as many as ``recall`` asks for, put
     documents in nodes; small nodes are compared exhaustively, first on
@@ -272,14 +270,9 @@ def near_documents(
     components are still apart; large nodes block by block. The second round
     ships the sets to the nodes and gives back only links that join components.
     A pair in one small node is lost only if its signatures agree in less than
-    ``least`` of their tokens.
-
-    Documents with equal sets are grouped first. Null or wordless texts have an
-    empty set and link with nothing; fewer words than ``size`` are one shingle.
-    Rows with one id share a component. An empty table gives no rows.
+    ``least`` of their tokens. Documents with equal sets are grouped first.
     """
     trees = trees_for(recall, percent)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = stored(src.mapInArrow(_signatures(trees, size), "id bigint, n bigint, m1 bigint, m2 bigint, sig binary"), "signatures")
     reps = stored(sets.where("n > 0").groupBy("n", "m1", "m2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "sets")
     member = stored(_branches(reps, trees, node_size), "nodes")
@@ -288,7 +281,7 @@ def near_documents(
     def packed(ids: DataFrame) -> DataFrame:
         """``(id, set)``; each text is cut into shingles once."""
         need = bounded(stored(ids.distinct(), "needed"))
-        return stored(src.join(need, "id", "left_semi").mapInArrow(_pack(size), "id bigint, set binary").dropDuplicates(["id"]), "packed")
+        return stored(src.join(need, "id", "left_semi").mapInArrow(_pack(size), "id bigint, set binary"), "packed")
 
     large = member.where(F.col("n_node") > node_size)
     rows = member.where(F.col("n_node") <= node_size).select("node", "id")
@@ -323,12 +316,30 @@ def near_documents(
         more = more.unionByName(_large_links(large, sets_of, block, percent))
     comp = components(links.unionByName(stored(more, "more")), "a", "b").select(F.col("node").alias("of"), "component")
     of = reps.join(comp, reps.id == comp.of, "left").select("n", "m1", "m2", F.coalesce("component", "id").alias("rep"))
-    out = sets.drop("sig").join(of, ["n", "m1", "m2"], "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("component_id") == F.col(id_col))
+    out = sets.drop("sig").join(stored(of, "groups"), ["n", "m1", "m2"], "left")
+    return out.select("id", "n", F.coalesce("rep", "id").alias("component"))
+
+
+def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``(id, n_shingles, component_id, kept)``, one row per row of ``docs``; ``how`` is that of ``near_rows``.
+
+    Rows are compared by themselves, whatever their ids: rows of one id may be in
+    different components. The component of a row is the least id of all rows that it
+    reaches, null where none of them has an id; such rows are kept, all others if
+    the component is their id. Null or wordless texts have an empty set and link
+    with nothing; fewer words than ``size`` are one shingle. An empty table gives no rows.
+    """
+    row = new_name(docs, "row")
+    rows = numbered(docs, row)
+    of = near_rows(rows.select(F.col(row).alias("id"), F.col(text_col).alias("text")), **how)
+    ids = rows.select(F.col(row).alias("_at"), F.col(id_col).alias("_id"))
+    of = stored(of.join(ids, F.col("id") == F.col("_at")).select("_id", "n", "component"), "components")
+    first = stored(of.groupBy("component").agg(F.min("_id").alias("_first")), "first")  # so that Spark may split a large component in the join
+    out = of.join(first, "component").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_first").alias("component_id"))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col(id_col)))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of every component of ``near_documents``, with its own columns.
 
     Rows are compared by themselves, also where ids repeat or are null: of a
@@ -337,7 +348,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """
     row, own = new_name(docs, "row"), F.col(id_col)
     rows = numbered(docs, row)
-    of = near_documents(rows, row, **how).select(F.col(row).alias("_at"), "n_shingles", "component_id")
+    of = near_rows(rows.select(F.col(row).alias("id"), F.col(text_col).alias("text")), **how)
+    of = of.select(F.col("id").alias("_at"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     of = stored(of.join(rows.select(F.col(row).alias("_at"), own.alias("_id")), "_at"), "components")
     least = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_at").alias("at"))).alias("best")
     best = of.where("n_shingles > 0").groupBy("component_id").agg(least).select("component_id", F.col("best.at").alias("_first"))
