@@ -64,27 +64,28 @@ class FactorisationMachine:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text"):
     """(machine, centre) learnt from at most ``sample`` labelled rows outside the held-out fold.
 
-    Rows are picked by a hash of the id; only their features reach the driver.
+    Rows are picked by hashes of id and text; only their features reach the driver.
     Labels, language, source and id are no features.
     """
     label = labels.where(F.col("quality").isNotNull() & ~held_out(F.col(id_col)))
     label = label.groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_q"))
     picked = label.orderBy(F.xxhash64("_id", F.lit(9)), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(picked, "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(picked, "_id").withColumn("_h", F.xxhash64("_t", F.lit(9)))
 
     def features(batches):
         for b in pieces_of(batches):
             got = [_row(t) for t in b.column("_t").to_pylist()]
             yield pa.record_batch([
-                b.column("_id"), b.column("_q").cast(pa.int64()), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())),
+                b.column("_id"), b.column("_q").cast(pa.int64()), b.column("_h"), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())),
                 pa.array([g[1].astype(np.float32) for g in got], pa.list_(pa.float32())), pa.array([g[2] for g in got], pa.list_(pa.float32())),
-            ], names=["id", "q", "i", "v", "s"])
+            ], names=["id", "q", "h", "i", "v", "s"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    got = rows.select("_id", "_q", "_t").mapInArrow(features, f"id {kind}, q bigint, i array<int>, v array<float>, s array<float>").toArrow()
+    got = rows.select("_id", "_q", "_h", "_t").mapInArrow(features, f"id {kind}, q bigint, h bigint, i array<int>, v array<float>, s array<float>")
+    got = got.orderBy(F.xxhash64("id", F.lit(9)), "id", "h").limit(sample).toArrow()  # an id may have any number of rows
     if not got.num_rows:
         return None
-    got = got.sort_by("id").combine_chunks()  # rows of unequal length stay flat
+    got = got.sort_by([("id", "ascending"), ("h", "ascending")]).combine_chunks()  # rows of unequal length stay flat
     column, value, s = (got[c].combine_chunks() for c in "ivs")
     y = got["q"].to_numpy().astype(np.float32)
     begin, column, value = column.offsets.to_numpy(), column.values.to_numpy(), value.values.to_numpy()
