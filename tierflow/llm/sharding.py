@@ -84,31 +84,33 @@ def _directory(df: DataFrame, row_col: str, key_col: str, size_col: Column | Non
 def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", size_col: Column | None = None, limit: int = 256 << 10) -> None:
     """Write ``df`` with one folder ``_shard=s<shard>`` and one file per shard; every row goes to its own shard.
 
+    Where ``df`` has a column ``_shard`` the folders' name ends with more underscores.
     Rows look their shard up in the directory, so they are shuffled once, to be
     written. Only rows of a key that is alone over the limit meet their piece by
     a join.
     """
-    row, h = new_name(df, "row"), new_name(df, "hash")
+    row, h, cell, shard = (new_name(df, x) for x in ("row", "hash", "cell", "shard"))
     rows = numbered(df, row)
     _, levels, pieces = _directory(rows, row, key_col, size_col, limit)
     found = rows.withColumn(h, _hash(F.col(key_col)))
     names = []
     for i, (deep, leaf) in enumerate(levels):
         names.append(new_name(df, f"shard_{i}"))
-        leaf = leaf.select(F.col("cell").alias("_cell"), F.col("shard").alias(names[-1]))
-        found = found.join(bounded(leaf), F.shiftright(h, BITS - deep) == F.col("_cell"), "left").drop("_cell")
+        leaf = leaf.select(F.col("cell").alias(cell), F.col("shard").alias(names[-1]))
+        found = found.join(bounded(leaf), F.shiftright(h, BITS - deep) == F.col(cell), "left").drop(cell)
     of = F.coalesce(*names)
-    out = found.where(of.isNotNull()).select(*[F.col(f"`{c}`") for c in df.columns], F.concat(F.lit("s"), of).alias("_shard"))
+    out = found.where(of.isNotNull()).select(*[F.col(f"`{c}`") for c in df.columns], F.concat(F.lit("s"), of).alias(shard))
     if pieces is not None:
-        rest = found.where(of.isNull()).join(pieces.select(F.col("_row").alias("_of"), "shard"), F.col(row) == F.col("_of"))
-        out = out.unionByName(rest.select(*[F.col(f"`{c}`") for c in df.columns], F.concat(F.lit("s"), "shard").alias("_shard")))
-    out.repartition("_shard").write.partitionBy("_shard").parquet(path)
+        rest = found.where(of.isNull()).join(pieces.select(F.col("_row").alias(cell), F.col("shard").alias(shard)), F.col(row) == F.col(cell))
+        out = out.unionByName(rest.select(*[F.col(f"`{c}`") for c in df.columns], F.concat(F.lit("s"), F.col(shard)).alias(shard)))
+    out.repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The rows of written shards, with the column ``_shard``."""
-    found = spark.read.schema(StructType([*schema, StructField("_shard", StringType())])).parquet(path)
-    return found.withColumn("_shard", F.substring("_shard", 2, 1 << 30))
+    """The rows of written shards, with one more column, ``_shard`` (``_shard_`` where they have one)."""
+    shard = new_name(spark.createDataFrame([], schema), "shard")
+    found = spark.read.schema(StructType([*schema, StructField(shard, StringType())])).parquet(path)
+    return found.withColumn(shard, F.substring(shard, 2, 1 << 30))
 
 
 def sharded(df: DataFrame, key_col: str = "doc_id", size_col: Column | None = None, limit: int = 256 << 10) -> DataFrame:
@@ -117,7 +119,7 @@ def sharded(df: DataFrame, key_col: str = "doc_id", size_col: Column | None = No
     write_shards(df, path, key_col, size_col, limit)
     size = F.octet_length(F.col("text")) if size_col is None else size_col
     rows = read_shards(df.sparkSession, path, df.schema)
-    rows = rows.select(F.col(key_col).alias("_key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes"), F.col("_shard").alias("shard"))
+    rows = rows.select(F.col(key_col).alias("_key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes"), F.col(rows.columns[-1]).alias("shard"))
     rows = stored(rows, "written")
     sums = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
     depth = F.length(F.substring_index("shard", "+", 1)).cast("int")
