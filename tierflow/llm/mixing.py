@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._common import cut, new_name, stored
+from ._common import cut, new_name, numbered, stored
 
 MAX_SOURCES = 4096
 
@@ -97,11 +97,16 @@ def mix_sources(
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``df``, in the order of the mix: partitions and the rows in them are sorted by position."""
-    of, place = new_name(df, "of"), new_name(df, "place")
-    at = mix_sources(df, id_col, **how).select(F.col(id_col).alias(of), F.col("position").alias(place))
-    both = df.join(at, df[id_col].eqNullSafe(F.col(of)))
-    return both.repartitionByRange(place).sortWithinPartitions(place).drop(of, place)
+    """The rows of ``df``, in the order of the mix: partitions and the rows in them are sorted by position.
+
+    Rows of one id follow each other in the order of the files, and may be spread
+    over several partitions. Null ids are one id, null texts and sources are kept.
+    """
+    of, place, row = (new_name(df, x) for x in ("of", "place", "row"))
+    at = stored(mix_sources(df, id_col, **how).select(F.col(id_col).alias(of), F.col("position").alias(place)), "places")
+    rows = numbered(df, row)
+    both = rows.join(at, rows[id_col].eqNullSafe(F.col(of)))  # Spark may split a hot id
+    return both.repartitionByRange(place, row).sortWithinPartitions(place, row).drop(of, place, row)
 
 
 ORACLE = """
