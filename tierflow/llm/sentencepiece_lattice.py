@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import new_folder, numbered
+from ._common import new_folder, new_name, numbered
 from ._files import open_fs
 
 SPACE = "▁"
@@ -301,7 +301,7 @@ def _distinct(path: str, most: int = 1_000_000):
 def write_dictionaries(src: DataFrame, path: str) -> str:
     """Encode the distinct words of all texts by the lattice; the folder has a file of words and ids for each chunk.
 
-    ``src`` has ``chunk`` and ``text``. A table bucketed by word holds the words
+    ``src`` has ``chunk`` and ``text``. A table bucketed by word, in the shared folder, holds the words
     of every chunk, so that distinct words, their lattices and the way back to
     the chunks need no shuffle of their own. Words of more than 62 characters
     are merged by a heap.
@@ -310,7 +310,7 @@ def write_dictionaries(src: DataFrame, path: str) -> str:
     spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, folder = f"units_{uuid.uuid4().hex}", new_folder(spark, "dictionaries")
     words = src.select("chunk", "text").mapInArrow(_distinct(path), "chunk bigint, unit string").repartition(spread, "unit").distinct()
-    words.write.bucketBy(spread, "unit").option("compression", "zstd").saveAsTable(name)
+    words.write.bucketBy(spread, "unit").option("compression", "zstd").option("path", new_folder(spark, "units")).saveAsTable(name)
     try:
         held = spark.table(name)
         short = held.where(F.length("unit") <= BITS)
@@ -381,8 +381,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     Null and empty texts have no ids (and a round trip to the empty text). Rows
     with one id are encoded row by row. An empty table gives no rows.
     """
-    rows = docs if place else numbered(docs, "_place")
-    src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(place or "_place").alias("place"))
+    at = place or new_name(docs, "place")
+    rows = docs if place else numbered(docs, at)
+    src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(at).alias("place"))
     src = src.select("id", "place", F.expr(f"cast(place div {per_chunk} as bigint)").alias("chunk"), "text")
     folder = write_dictionaries(src, path)
     kind = src.schema["id"].dataType.simpleString()
