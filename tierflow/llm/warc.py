@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import dealt, new_folder, stored
+from ._common import bounded, dealt, new_folder, new_name, numbered, stored
 from ._files import Whole, open_fs
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL name space
@@ -99,12 +99,21 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, body[: int(fields["content-length"])]
 
 
-def find_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = 1000) -> DataFrame:
-    """``(id, sha, refers_to)`` of pages whose payload of at least ``least`` bytes a page with a larger id has too."""
+def find_revisits(pages: DataFrame, row_col: str, id_col: str = "page_id", payload_col: str = "html", least: int = 1000) -> DataFrame:
+    """``(row, refers_to, own)`` of the numbered pages that are revisits or need a name of their own.
+
+    A revisit has a payload of at least ``least`` bytes that a page with a larger
+    id has too. A name of its own needs a page without an id, and one of
+    several with the same id and payload. Only digests are shuffled.
+    """
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8")
-    narrow = pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_sha"), F.octet_length(payload).alias("_n")).where(F.col("_n") >= least)
-    first = narrow.groupBy("_sha").agg(F.max("_id").alias("_first"), F.count("*").alias("_c")).where("_c > 1")
-    return narrow.join(first, "_sha").where("_id < _first").groupBy(F.col("_id").alias(id_col), F.col("_sha").alias("sha")).agg(F.max("_first").alias("refers_to"))
+    narrow = stored(pages.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n")), "digests")
+    first = narrow.where(F.col("n") >= least).groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    again = narrow.where("id is not null").groupBy("id", "sha").agg(F.count("*").alias("c")).where("c > 1")
+    # stored, so that Spark may split a hot payload in the joins
+    of = narrow.join(stored(first.select("sha", "first"), "first"), "sha", "left").join(stored(again.select("id", "sha", F.lit(True).alias("twice")), "again"), ["id", "sha"], "left")
+    refers = F.when(F.col("id") < F.col("first"), F.col("first"))
+    return of.select("row", refers.alias("refers_to"), (F.col("id").isNull() | F.col("twice").isNotNull()).alias("own")).where("refers_to is not null or own")
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = 16 << 10, per_file: int = 4096) -> DataFrame:
@@ -117,12 +126,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """
     from pyspark import TaskContext
 
-    src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8").alias("payload"))
-    src = src.withColumn("_sha", F.sha1("payload"))
-    of = find_revisits(pages, id_col, payload_col).select(F.col(id_col).cast("long").alias("_of"), F.col("sha").alias("_of_sha"), "refers_to")
-    src = src.join(of, (F.col("id") == F.col("_of")) & (F.col("_sha") == F.col("_of_sha")), "left").drop("_of", "_of_sha")
-    again = src.where("id is not null").groupBy(F.col("id").alias("_of"), F.col("_sha").alias("_of_sha")).agg(F.count("*").alias("_c")).where("_c > 1")
-    src = src.join(again, (F.col("id") == F.col("_of")) & (F.col("_sha") == F.col("_of_sha")), "left").select("id", "url", "payload", "refers_to", (F.col("id").isNull() | F.col("_c").isNotNull()).alias("own"))
+    row = new_name(pages, "row")
+    rows = numbered(pages, row)
+    of = stored(find_revisits(rows, row, id_col, payload_col), "revisits")
+    payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8").alias("payload")
+    src = rows.select(F.col(row).alias("_row"), F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload)
+    src = src.join(bounded(of), F.col("_row") == F.col("row"), "left").select("id", "url", "payload", "refers_to", F.coalesce("own", F.lit(False)).alias("own"))
 
     def run(batches):
         part, out, n, number, done = TaskContext.get().partitionId(), None, 0, 0, []
@@ -254,7 +263,7 @@ def archive_digest(pages: DataFrame, id_col: str = "page_id", **how) -> DataFram
     files = stored(write_archives(pages, path, id_col, **how), "files")
     back = stored(read_archives(spark, path, files, payloads=False).drop("payload"), "pages")
     size = back.where("kind = 'response'").groupBy(F.col("page_id").alias("refers"), F.col("digest")).agg(F.max("payload_bytes").alias("b"))
-    again = back.where("kind = 'revisit'").drop("payload_bytes").join(size, ["refers", "digest"], "left").withColumnRenamed("b", "payload_bytes")
+    again = back.where("kind = 'revisit'").drop("payload_bytes").join(stored(size, "lengths"), ["refers", "digest"], "left").withColumnRenamed("b", "payload_bytes")
     both = back.where("kind = 'response'").unionByName(again)
     return both.select(F.col("page_id").alias(id_col), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
 
