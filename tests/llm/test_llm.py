@@ -5,16 +5,21 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tierflow.llm import mixing, queries, sharding, url_filter, warc
+from tierflow.llm import mixing, quality_classifier, quality_rules, queries, sharding, url_filter, warc
 from tierflow.llm._common import shingles
 from tierflow.llm._features import repeats
 from tierflow.llm.embedding_dedup import near_vectors
 from tierflow.llm.minhash_dedup import _shared, keep_one, near_documents
-from tierflow.llm.quality_classifier import FactorisationMachine, score_quality
-from tierflow.llm.quality_rules import judge_quality
+from tierflow.llm.quality_classifier import FactorisationMachine, keep_quality, score_quality
+from tierflow.llm.quality_rules import judge_quality, keep_judged
 from tierflow.llm.sentencepiece_lattice import encode_documents, fold_viterbi, lattice, merge_long, pieces
 from tierflow.llm.token_files import CachedEncoder, token_digest
 
+#: Names of columns that the operators use themselves.
+HELPERS = (
+    "_metadata", "_shard", "_cell", "_row", "_at", "_of", "_id", "_file", "_base", "_hash", "_shard_0", "_place", "_position", "_key", "_t", "_h", "_q", "_g", "_v",
+    "component", "shard", "refers_to", "own", "place", "chunk", "unit", "ids", "row", "rid", "text_", "n", "sha", "payload", "position", "slot", "block", "word", "start", "score",
+)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, id string"
 MODEL, TOKENS = queries.tokenizer("piece_bpe_32k.model"), queries.tokenizer("word_bpe_49k.json")
 
@@ -381,11 +386,14 @@ def test_urls_long_repeated_and_none(spark):
 
 
 def test_clashing_columns_and_lengths(spark, odd):
-    extra = odd.select("*", *[F.lit(1).alias(c) for c in ("_row", "_at", "_of", "_id", "_file", "_position", "component", "shard", "refers_to", "place", "chunk", "unit", "ids")])
+    extra = odd.select("*", *[F.lit(1).alias(c) for c in HELPERS])
     assert near_documents(extra).count() == 10 and sharding.sharded(extra).count() == 10 and mixing.mixed(extra).columns == extra.columns
     assert encode_documents(extra, MODEL).count() == 10 and token_digest(extra, TOKENS).count() == 10
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert judge_quality(extra, none).count() == 10 and score_quality(extra, none).count() == 10 and mixing.mix_sources(extra).count() == 9
+    assert keep_one(extra).columns == extra.columns and keep_judged(extra, none).columns == extra.columns and keep_quality(extra, none).columns == extra.columns
     pages = extra.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), *[c for c in extra.columns if c not in ("doc_id", "source", "text")])
-    assert warc.archive_digest(pages).count() == 10
+    assert warc.archive_digest(pages).count() == 10 and url_filter.judge_urls(pages).count() == 10
     two = [(1, [1.0, 0.0], 64691), (2, [1.0, 0.0], 100720), (3, [1.0, 0.0, 0.0], 64691), (4, [1.0, 0.01], 64691), (4, [1.0, 0.01], 64691)]
     got = near_vectors(spark.createDataFrame(two, "vec_id long, embedding array<double>, label long").withColumn("part", F.lit(1)))
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(1, 2, 1), (2, 0, 2), (3, 0, 3), (4, 2, 1), (4, 2, 1)]
@@ -427,3 +435,27 @@ def test_documents_with_null_and_repeated_ids(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     kept = [tuple(r) for r in keep_one(docs).collect()]
     assert all(sum(rows[i] in kept for i in of if of[i] == c) >= 1 for c in set(of.values())) and len(kept) == len(set(of.values()))
+
+
+def test_labelled_rows_are_bounded(spark, sf, monkeypatch):
+    """One labelled id may have any number of rows."""
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.range(900).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit(text), "id").alias("text")))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("doc_id <> 1").select("doc_id", "quality").unionByName(spark.sql("select 1L doc_id, 1 quality"))
+    seen = []
+    fit, forest = FactorisationMachine.fit, quality_rules.IsolationForest
+    monkeypatch.setattr(FactorisationMachine, "fit", lambda m, dense, y: seen.append(len(y)) or fit(m, dense, y))
+    monkeypatch.setattr(quality_rules, "IsolationForest", lambda x, *a: seen.append(2 * len(x)) or forest(x, *a))
+    quality_classifier.fit(docs, labels, sample=60)
+    quality_rules.fit(docs, labels, sample=60)
+    assert len(seen) == 2 and all(0 < n <= 61 for n in seen)
+
+
+def test_mix_of_repeated_ids(spark, odd):
+    rows = [(7, "h" * 50, f"{i}", "hot") for i in range(400)] + [(None, "n", f"n{i}", None) for i in range(30)] + [(i, "x" * 40, "", "s1") for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string, source string").repartition(6)
+    place = {r.doc_id: r.position for r in mixing.mix_sources(docs, block_bytes=1000).collect()}
+    got = mixing.mixed(docs, block_bytes=1000).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.tag, r.source) for r in got))) == sorted(map(str, rows))
+    assert [place[r.doc_id] for r in got] == sorted(place[r.doc_id] for r in got)
+    assert len({r.part for r in got if r.doc_id == 7}) > 1

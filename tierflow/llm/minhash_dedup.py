@@ -346,17 +346,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     component the row with the least id is kept, null ids last. A row without
     words links with nothing and is kept; such rows repeated whole are kept once.
     """
-    row, own = new_name(docs, "row"), F.col(id_col)
+    row, at, first = (new_name(docs, x) for x in ("row", "at", "first"))
     rows = numbered(docs, row)
     of = near_rows(rows.select(F.col(row).alias("id"), F.col(text_col).alias("text")), **how)
-    of = of.select(F.col("id").alias("_at"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    of = stored(of.join(rows.select(F.col(row).alias("_at"), own.alias("_id")), "_at"), "components")
-    least = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_at").alias("at"))).alias("best")
-    best = of.where("n_shingles > 0").groupBy("component_id").agg(least).select("component_id", F.col("best.at").alias("_first"))
+    of = of.select(F.col("id").alias(at), "n", "component")
+    of = stored(of.join(rows.select(F.col(row).alias("_row"), F.col(id_col).alias("_id")), F.col(at) == F.col("_row")).drop("_row"), "components")
+    least = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col(at).alias("at"))).alias("best")
+    best = of.where("n > 0").groupBy("component").agg(least).select("component", F.col("best.at").alias("best"))
     best = stored(best, "best")  # so that Spark may split a large component in the join
-    gone = of.where("n_shingles > 0").join(best, "component_id").where("_at <> _first").select("_at")
-    bare = rows.join(bounded(stored(of.where("n_shingles = 0").select("_at"), "bare")), F.col(row) == F.col("_at"), "left_semi")
-    first = stored(bare.groupBy(*[F.col(f"`{c}`") for c in docs.columns]).agg(F.min(row).alias("_first")).select("_first"), "first")
-    again = bare.select(F.col(row).alias("_at")).join(first, F.col("_at") == F.col("_first"), "left_anti")
+    gone = of.where("n > 0").join(best, "component").where(F.col(at) != F.col("best")).select(at)
+    bare = rows.join(bounded(stored(of.where("n = 0").select(at), "bare")), F.col(row) == F.col(at), "left_semi")
+    once = stored(bare.groupBy(*[F.col(f"`{c}`") for c in docs.columns]).agg(F.min(row).alias(first)).select(first), "first")
+    again = bare.select(F.col(row).alias(at)).join(once, F.col(at) == F.col(first), "left_anti")
     gone = bounded(stored(gone.unionByName(again), "gone"))
-    return rows.join(gone, F.col(row) == F.col("_at"), "left_anti").drop(row)
+    return rows.join(gone, F.col(row) == F.col(at), "left_anti").drop(row)
