@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..sources.files import kept, new_folder
+from .metrics import running_sum
 from .policy import _small
 
 
@@ -59,8 +61,11 @@ def index_gzip(records: DataFrame, n: int = 100_000, key: str = "key") -> DataFr
             yield row()
 
     members = src.repartition("key", "block").sortWithinPartitions("key", "block", "pos").select("key", "block", "value").mapInArrow(run, f"key {kind}, block bigint, member binary, size bigint")
-    w = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return members.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0))).select(F.col("key").alias(key), "block", "start", "member")
+    members = kept(members, new_folder(records.sparkSession, "members"))
+    starts = running_sum(members.select("key", "block", "size"), ["key"], ["block"], F.col("size"), "end")  # sizes only: a key may have any number of members
+    starts = starts.select(F.col("key").alias("_key"), F.col("block").alias("_block"), (F.col("end") - F.col("size")).alias("start"))
+    out = members.join(starts, F.col("key").eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")))
+    return out.select(F.col("key").alias(key), "block", "start", "member")
 
 
 def offsets(members: DataFrame, key: str = "key") -> DataFrame:

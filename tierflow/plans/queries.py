@@ -507,13 +507,69 @@ def b3_publish(spark, sf):
     return publish(fx.table(spark, sf, "documents").select("doc_id", "n_chars", F.concat("source", F.lit("-"), "lang").alias("topic")))
 
 
-@query("j4_plan_ranges", "WITH o AS (SELECT source AS key, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS BIGINT) AS start FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CAST(start AS BIGINT)) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM o), r AS (SELECT key, pos // CAST(ceil(n / 4.0) AS BIGINT) AS range, min(start) AS start, count(*) AS members FROM n GROUP BY 1, 2) SELECT *, lead(start) OVER (PARTITION BY key ORDER BY range) AS end FROM r")
+@query("j4_plan_ranges", """WITH o AS (SELECT source AS key, doc_id, CAST(sum(octet_length(encode(coalesce(text, '')))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(coalesce(text, ''))) AS BIGINT) AS start FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM o), r AS (SELECT key, pos // CAST(ceil(n / 4.0) AS BIGINT) AS range, min(start) AS start, count(*) AS members FROM n GROUP BY 1, 2)
+SELECT *, lead(start) OVER (PARTITION BY key ORDER BY range) AS end FROM r""")
 def j4_plan_ranges(spark, sf):
-    from ..operators import index_gzip
+    """At most four ranges of each source, whose members are the documents' bytes one after the other."""
+    from ..sources.indexed_gzip import ranges_of
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    d = fx.table(spark, sf, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("block"), size.alias("size"), F.lit(1).alias("records"))
+    m = metrics.running_sum(d, ["key"], ["block"], F.col("size"), "end")
+    return ranges_of(m.select("key", "block", "records", (F.col("end") - F.col("size")).alias("start")), 4)
+
+
+_RECORDS_SQL = """d AS (SELECT source AS key, doc_id, replace(coalesce(text, ''), chr(10), ' ') AS s FROM documents),
+f AS (SELECT key, doc_id, s, CAST(row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS BIGINT) AS pos FROM d)"""
+
+
+def _fastq_store(spark, sf, n):
+    """A store with an object per source; a record of four lines is a whole document, its quality a line that starts with @."""
+    from ..sources.files import new_folder
+    from ..sources.indexed_gzip import write_indexed
+
+    d = fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("key"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("s"))
+    d = metrics.running_sum(d, ["key"], ["doc_id"], F.lit(1), "n")
+    record = F.concat(F.lit("@r"), "doc_id", F.lit("\n"), "s", F.lit("\n+\n@"), "s", F.lit("\n"))
+    path = new_folder(spark, "objects")
+    return path, write_indexed(d.select("key", F.lit(1).alias("kind"), (F.col("n") - 1).alias("pos"), record.alias("value")), path, n)
+
 
-    d = fx.table(spark, sf, "documents").select("doc_id", "n_chars", F.col("source").alias("key"))
-    m = metrics.running_sum(d, ["key"], ["doc_id"], F.col("n_chars"), "end").select("key", (F.col("end") - F.col("n_chars")).alias("start"))
-    return index_gzip.plan_ranges(index_gzip.offsets(m), 4)
+@query("a9_scan_indexed", f"WITH {_RECORDS_SQL} SELECT key, pos, '@r' || doc_id AS header, md5(s) AS digest, CAST(octet_length(encode(s)) + 1 AS BIGINT) AS quality_bytes FROM f")
+def a9_scan_indexed(spark, sf):
+    """Documents as records in objects of indexed gzip, 50 a member, written and read back range by range."""
+    from ..sources.indexed_gzip import scan_indexed
+
+    path, _ = _fastq_store(spark, sf, 50)
+    line = F.split(F.decode("value", "utf-8"), "\n")
+    out = scan_indexed(spark, path, "fastq", range_bytes=256 << 10).select("key", "pos", line.alias("line"))
+    return out.select("key", "pos", F.get("line", 0).alias("header"), F.md5(F.get("line", 1)).alias("digest"), F.octet_length(F.get("line", 3)).cast("long").alias("quality_bytes"))
+
+
+_OBJECTS_SQL = """d AS (SELECT source || '/' || (doc_id // 64) AS key, doc_id, lpad(CAST(doc_id AS VARCHAR), 8, '0') || '{"id":' || doc_id || ',"text":"' || regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', '_', 'g') || '"}' AS record FROM documents),
+c AS (SELECT key, 'head' || string_agg(record, '' ORDER BY doc_id) || 'tail' AS content, count(*) AS n FROM d GROUP BY key)"""
+
+
+@query("j2_index_json", f"WITH {_OBJECTS_SQL} SELECT key, CAST(n AS BIGINT) AS records, CAST((n + 9) // 10 AS BIGINT) AS indexed, CAST((n + 9) // 10 + 2 AS BIGINT) AS members, md5(content) AS digest FROM c")
+def j2_index_json(spark, sf):
+    """Chunks of prefixed JSON as indexed gzip, ten records a member, the index as a tag; and what restores from it."""
+    from ..sources.files import new_folder
+    from ..sources.indexed_gzip import INDEX_TAG, index_tags, restored, write_indexed
+
+    text_ = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 .,]", "_")
+    record = F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit('{"id":'), "doc_id", F.lit(',"text":"'), text_, F.lit('"}'))
+    d = fx.table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.expr("doc_id div 64")).alias("key"), "doc_id", record.alias("record"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "record"))), lambda x: x["record"]), "")
+    chunks = d.groupBy("key").agg(F.concat(F.lit("head"), joined, F.lit("tail")).alias("content"))
+    path = new_folder(spark, "objects")
+    pieces = readers.cut_json(chunks).select("key", "kind", F.col("number").alias("pos"), "value")
+    members = write_indexed(pieces, path, 10)
+    sums = members.groupBy("key").agg(F.sum("records").alias("records"), F.count("*").alias("members"))
+    tags_ = index_tags(members).select("key", F.size(F.split(F.element_at("tags", INDEX_TAG), ",")).cast("long").alias("indexed"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.hex("content").alias("content")))), lambda x: x["content"]), "")
+    whole = restored(spark, path).groupBy("key").agg(F.md5(F.unhex(parts)).alias("digest"))
+    return sums.join(tags_, "key").join(whole, "key").select("key", "records", "indexed", "members", "digest")
 
 
 @query("k2_normalise", "SELECT vec_id, list_transform(embedding, lambda x, i: (CAST(x AS DOUBLE) / 255.0 - CASE i % 3 WHEN 1 THEN 0.485 WHEN 2 THEN 0.456 ELSE 0.406 END) / CASE i % 3 WHEN 1 THEN 0.229 WHEN 2 THEN 0.224 ELSE 0.225 END) AS value FROM embeddings")
@@ -568,13 +624,11 @@ def _lines(spark, sf):
 
 @query("g3_count_records", "SELECT source AS key, CAST(count(*) AS BIGINT) AS records FROM documents GROUP BY 1")
 def g3_count_records(spark, sf):
-    """Records of four lines, made of the documents, in indexed gzip of 100 records a member, and counted there."""
-    from ..operators import index_gzip
+    """Documents as records of four lines in indexed gzip, 100 a member, counted range by range."""
+    from ..sources.indexed_gzip import scan_indexed
 
-    d = fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("key"), F.translate(F.md5("text"), "0123456789abcdef", "ACGTACGTACGTACGT").alias("s"))
-    d = metrics.running_sum(d, ["key"], ["doc_id"], F.lit(1), "pos")
-    d = d.select("key", (F.col("pos") - 1).alias("pos"), F.concat(F.lit("@r"), "doc_id", F.lit("\n"), "s", F.lit("\n+\n"), "s", F.lit("\n")).alias("value"))
-    return index_gzip.count_lines(index_gzip.index_gzip(d, 100))
+    path, _ = _fastq_store(spark, sf, 100)
+    return scan_indexed(spark, path, "line").groupBy("key").agg(F.floor(F.count("*") / 4).alias("records"))
 
 
 @query("h2_ordered_apply", "SELECT event_id, user_id, CAST(count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS clicks FROM events")

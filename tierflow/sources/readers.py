@@ -81,20 +81,71 @@ def split_markers(data: bytes, start: bytes = b"\xff\xd8", end: bytes = b"\xff\x
         yield (data[i:at],)
 
 
-@reader("json string")
-def read_prefixed_json(data: bytes, mark: bytes = b'{"id') -> Iterator[tuple]:
-    """Objects that begin with ``mark``, each behind a prefix of any bytes; ends are found by the JSON grammar.
+def json_spans(data: bytes, mark: bytes = b'{"id') -> Iterator[tuple[int, int]]:
+    """Where the objects that begin with ``mark`` start and end in bytes; ends are found by the JSON grammar.
 
-    Bytes that are no UTF-8 become U+FFFD; an object that is broken or cut off is left out.
+    An object that is broken or cut off is left out.
     """
-    text, sign, at, decode = data.decode("utf-8", "replace"), mark.decode(), 0, json.JSONDecoder()
+    # a character a byte, so that places in the text are places in the bytes
+    text, sign, at, decode = data.decode("latin-1"), mark.decode(), 0, json.JSONDecoder(strict=False)
     while (i := text.find(sign, at)) >= 0:
         try:
             at = decode.raw_decode(text, i)[1]
         except ValueError:
             at = i + len(sign)
         else:
-            yield (text[i:at],)
+            yield i, at
+
+
+@reader("json string")
+def read_prefixed_json(data: bytes, mark: bytes = b'{"id') -> Iterator[tuple]:
+    """Objects that begin with ``mark``, each behind a prefix of any bytes (see ``json_spans``).
+
+    Bytes that are no UTF-8 become U+FFFD.
+    """
+    for i, j in json_spans(data, mark):
+        yield (data[i:j].decode("utf-8", "replace"),)
+
+
+def fastq_pieces(data: bytes) -> Iterator[tuple]:
+    """``(kind, pos, value)`` of all bytes of a chunk: those ahead of the first record, the records of four lines, the rest."""
+    lines = data.split(b"\n")
+    lines = [x + b"\n" for x in lines[:-1]] + [lines[-1]] * bool(lines[-1])
+    i = 0
+    while i + 3 < len(lines) and not (lines[i].startswith(b"@") and lines[i + 2].startswith(b"+")):
+        i += 1
+    i = i if i + 3 < len(lines) else len(lines)
+    if i:
+        yield 0, 0, b"".join(lines[:i])
+    pos = 0
+    while i + 3 < len(lines) and lines[i].startswith(b"@") and lines[i + 2].startswith(b"+"):
+        yield 1, pos, b"".join(lines[i : i + 4])
+        i, pos = i + 4, pos + 1
+    if i < len(lines):
+        yield 2, 0, b"".join(lines[i:])
+
+
+def json_pieces(data: bytes, prefix: int = 8) -> Iterator[tuple]:
+    """``(kind, pos, value)`` of all bytes of a chunk of JSON objects behind ``prefix`` bytes each.
+
+    What precedes the first prefix, and what follows the last object, are pieces
+    without a record; bytes between objects beyond a prefix go with the next record.
+    """
+    at = 0
+    for pos, (i, j) in enumerate(json_spans(data)):
+        if pos == 0:
+            at = max(0, i - prefix)
+            if at:
+                yield 0, 0, data[:at]
+        yield 1, pos, data[at:j]
+        at = j
+    if at < len(data):
+        yield 2, 0, data[at:]
+
+
+#: Whole chunks cut into pieces of which no byte is missing.
+cut_fastq = reader("kind int, number long, value binary")(fastq_pieces)
+cut_json = reader("kind int, number long, value binary")(json_pieces)
 
 
 def _varint(b: bytes, at: int) -> tuple[int, int]:
