@@ -698,3 +698,30 @@ def j6_run_policies(spark, sf):
     register("index"), register("score")
     out = index_gzip.gunzip_chunks(run_policies(_named(spark, sf), fx.sample_policies(spark), "EDGE"), "packed")
     return out.select("doc_id", "policy_id", F.col("words").cast("long").alias("words"), "pii", "target_id", F.md5("packed").alias("digest"))
+
+
+@query("l1_l2_state", """SELECT event_id, CAST(row_number() OVER s AS BIGINT) AS shared_n, lag(user_id) OVER s AS shared_last, CAST(row_number() OVER p AS BIGINT) AS own_n
+FROM events WINDOW s AS (PARTITION BY user_id % 10, event_type ORDER BY event_id), p AS (PARTITION BY user_id, event_type ORDER BY event_id)""")
+def l1_l2_state(spark, sf):
+    """A user's function over a stream of events, once with the state of its stream and once with that of its partition."""
+    from ..sources.files import new_folder
+    from ..streaming.state import run_available
+    from ..streaming.stateful import state_session, stateful
+
+    path, own = new_folder(spark, "stream"), state_session(spark)
+    e = fx.table(spark, sf, "events").select(F.lit("events").alias("scope"), (F.col("user_id") % 10).cast("string").alias("stream"), F.col("user_id").cast("string").alias("partition"), F.col("event_type").alias("k"), F.col("event_id").alias("seq"))
+    e.write.parquet(f"{path}/in")
+
+    def count(state, r):
+        last = state["last"].put(r.k, int(r.partition))
+        state["n"].put(r.k, state["n"].get(r.k, 0) + 1)
+        yield r.seq, state["n"].get(r.k), last
+
+    def run(scope):
+        stream = own.readStream.schema(e.schema).parquet(f"{path}/in")
+        run_available(stateful(stream, count, "event_id long, n long, last long", {"n": "long", "last": "long"}, scope), f"{path}/{scope}", f"{path}/{scope}-checkpoint")
+        return spark.read.schema("event_id long, n long, last long").parquet(f"{path}/{scope}")
+
+    shared, mine = run("shared"), run("partitioned")
+    shared = shared.select("event_id", F.col("n").alias("shared_n"), F.col("last").alias("shared_last"))
+    return shared.join(mine.select("event_id", F.col("n").alias("own_n")), "event_id")

@@ -65,37 +65,7 @@ def run_stream(chunks: DataFrame, process: Callable[[DataFrame], DataFrame], pat
     chunks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def write_behind(chunks: DataFrame, store: Callable[[DataFrame, int], None], pending: str, checkpoint: str, now: Callable[[], float]) -> None:
-    """Store each batch with what is still pending; what ``store`` refuses stays pending with its attempts.
-
-    ``store`` raises to refuse a batch. Pending rows live in numbered folders, one per batch.
-    """
-    spark = chunks.sparkSession
-
-    def each(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("attempts", F.lit(0)).withColumn("first_try", F.lit(now()))
-        if number:
-            try:
-                rows = spark.read.parquet(f"{pending}/batch={number - 1}").unionByName(rows)
-            except Exception as e:  # the first batch left none
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        try:
-            store(rows, number)
-            left = rows.where("false")
-        except OSError:
-            left = rows.withColumn("attempts", F.col("attempts") + 1)
-        left.write.mode("overwrite").parquet(f"{pending}/batch={number}")
-
-    chunks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def word_counts(stream: DataFrame, by: list[str], text: str = "content") -> DataFrame:
     from ..operators.metrics import word_count
 
     return word_count(stream, by, text)
-
-
-def live_nodes(beats: DataFrame, timeout_s: int) -> DataFrame:
-    """Last heartbeat of each node, in windows that a watermark closes after the timeout."""
-    return beats.withWatermark("ts", f"{timeout_s} seconds").groupBy(F.session_window("ts", f"{timeout_s} seconds"), "node").agg(F.max("ts").alias("last_seen"))
