@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.files import Whole, kept, locate
 from .catalog import latest
+from .metrics import running_sum
 
 MIN_PART, MAX_PARTS = 5 << 20, 10_000
 
@@ -19,6 +25,105 @@ def assemble(parts: DataFrame, text: bool = False) -> DataFrame:
     return last.groupBy("upload").agg(F.count("*").alias("parts"), F.sum(size).cast("long").alias("size"), whole.alias("content"))
 
 
+_EXTENTS = "upload {kind}, part long, file string, at long, size long"
+
+
+def assemble_files(parts: DataFrame, path: str, file_bytes: int = 256 << 20) -> DataFrame:
+    """Write the parts of uploads ``(upload, part, seq, content)`` in their order to files, and return the manifest.
+
+    A part sent again replaces the first. Parts are dealt to tasks by ranges of upload and part, so a large
+    upload is written by several tasks, each of which holds one part at a time and
+    begins a new file after ``file_bytes``. A file appears whole or not at all; the
+    manifest names the files of the tasks that counted.
+
+    ``(upload, part, file, at, start, size)``: a part's place in its file, and where it begins in the upload.
+    """
+    last = latest(parts, ["upload", "part"], "seq").select("upload", F.col("part").cast("long").alias("part"), F.col("content").cast("binary").alias("content"))
+    kind = last.schema["upload"].dataType.simpleString()
+
+    def write(batches):
+        out, name = None, ""
+        for b in batches:
+            at = []
+            for content in b.column("content"):
+                if out is not None and out.size >= file_bytes:
+                    out.close()
+                    out = None
+                if out is None:
+                    name = f"{uuid.uuid4().hex}.part"
+                    out = Whole(f"{path}/{name}")
+                data = content.as_py() or b""
+                at.append((name, out.write(data), len(data)))
+            files, places, sizes = zip(*at) if at else ((), (), ())
+            yield pa.record_batch([b.column("upload"), b.column("part"), pa.array(files, pa.string()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], names=["upload", "part", "file", "at", "size"])
+        if out is not None:
+            out.close()
+
+    ranged = last.repartitionByRange("upload", "part").sortWithinPartitions("upload", "part")
+    found = kept(ranged.mapInArrow(write, _EXTENTS.format(kind=kind)), f"{path}/written")
+    placed = running_sum(found, ["upload"], ["part"], F.col("size"), "end")
+    return kept(placed.select("upload", "part", "file", "at", (F.col("end") - F.col("size")).alias("start"), "size"), f"{path}/manifest")
+
+
+def read_uploads(manifest: DataFrame, path: str) -> DataFrame:
+    """``(upload, part, start, content)``: the parts of assembled uploads, each read from its place alone."""
+    kind = manifest.schema["upload"].dataType.simpleString()
+
+    def read(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                file, at, size = (b.column(c)[i].as_py() for c in ("file", "at", "size"))
+                where, base = locate(path)
+                with where.open_input_file(f"{base}/{file}") as f:
+                    f.seek(at)
+                    data = f.read(size)
+                yield pa.record_batch([b.column("upload").slice(i, 1), b.column("part").slice(i, 1), b.column("start").slice(i, 1), pa.array([data], pa.binary())], names=["upload", "part", "start", "content"])
+
+    return manifest.mapInArrow(read, f"upload {kind}, part long, start long, content binary")
+
+
+def upload_digests(manifest: DataFrame, path: str, piece: int = 4 << 20) -> DataFrame:
+    """``(upload, parts, size, md5, sha256)`` of assembled uploads, from their files.
+
+    A digest needs the bytes in order, so an upload is read by one task, ``piece``
+    bytes at a time; only extents are shuffled.
+    """
+    kind = manifest.schema["upload"].dataType.simpleString()
+
+    def run(batches):
+        held, out, key_type = None, [], None
+
+        def given():
+            cols = list(zip(*out)) or [[]] * 5
+            out.clear()
+            return pa.record_batch([pa.array(cols[0], key_type), *[pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.string(), pa.string()))]], names=["upload", "parts", "size", "md5", "sha256"])
+
+        for b in batches:
+            key_type = b.schema.field("upload").type
+            for upload, file, at, size in zip(*(b.column(c).to_pylist() for c in ("upload", "file", "at", "size"))):
+                if held is None or held[0] != upload:
+                    if held:
+                        out.append((*held[:3], held[3].hexdigest(), held[4].hexdigest()))
+                    held = [upload, 0, 0, hashlib.md5(), hashlib.sha256()]
+                held[1], held[2] = held[1] + 1, held[2] + size
+                where, base = locate(path)
+                with where.open_input_file(f"{base}/{file}") as f:
+                    f.seek(at)
+                    while size:
+                        data = f.read(min(size, piece))
+                        if not data:
+                            raise OSError(f"{file} is cut off")
+                        size -= len(data)
+                        held[3].update(data), held[4].update(data)
+            yield given()
+        if held:
+            out.append((*held[:3], held[3].hexdigest(), held[4].hexdigest()))
+            yield given()
+
+    rows = manifest.select("upload", "start", "part", "file", "at", "size").repartition("upload").sortWithinPartitions("upload", "start", "part")
+    return rows.mapInArrow(run, f"upload {kind}, parts long, size long, md5 string, sha256 string")
+
+
 def validate_parts(sent: DataFrame, wanted: DataFrame, least: int = MIN_PART) -> DataFrame:
     """Adds ``status`` to the parts of a completion: INVALID_PART, ENTITY_TOO_SMALL (any but the last) or OK."""
     j = wanted.join(sent.select("upload", "part", F.col("etag").alias("have"), "size"), ["upload", "part"], "left")

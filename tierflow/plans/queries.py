@@ -725,3 +725,38 @@ def l1_l2_state(spark, sf):
     shared, mine = run("shared"), run("partitioned")
     shared = shared.select("event_id", F.col("n").alias("shared_n"), F.col("last").alias("shared_last"))
     return shared.join(mine.select("event_id", F.col("n").alias("own_n")), "event_id")
+
+
+@query("m4_slices", """SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, md5(regexp_replace(p[i], '\\s+$', '')) AS digest FROM (
+ SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))""")
+def m4_slices(spark, sf):
+    """Terminated lines of documents that come in slices of 700 bytes, cut wherever that falls, decoded slice by slice."""
+    from ..sources.slices import Lines, read_apart, sliced
+
+    d = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.encode("text", "utf-8").alias("content"))
+    return read_apart(sliced(d, 700), Lines()).select(F.col("key").alias("doc_id"), "pos", F.md5("value").alias("digest"))
+
+
+@query("a7_fastq_ranges", f"WITH {_RECORDS_SQL}, g AS (SELECT doc_id, s, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS id FROM f) SELECT id, 'r' || doc_id AS header, md5(s) AS sequence, md5('@' || s) AS quality FROM g")
+def a7_fastq_ranges(spark, sf):
+    """Documents as FASTQ files, read in ranges of 64 KiB that find their first record themselves, and numbered over all files."""
+    from ..sources.fastq import read_fastq_files
+    from ..sources.files import new_folder
+
+    d = fx.table(spark, sf, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("s"))
+    path = new_folder(spark, "fastq")
+    record = F.concat(F.lit("@r"), "doc_id", F.lit("\n"), "s", F.lit("\n+\n@"), "s")
+    d.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(record.alias("value")).write.text(path)
+    out = read_fastq_files(spark, path, 64 << 10)
+    return out.select("id", "header", F.md5("sequence").alias("sequence"), F.md5("quality").alias("quality"))
+
+
+@query("i1_assemble_files", "SELECT conv_id AS upload, CAST(count(*) AS BIGINT) AS parts, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS size, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS md5, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS sha256 FROM conversations GROUP BY 1")
+def i1_assemble_files(spark, sf):
+    """Turns as parts of an upload, sent twice in part, written to files by a manifest and read back from them."""
+    from ..sources.files import new_folder
+
+    p = fx.table(spark, sf, "conversations").select(F.col("conv_id").alias("upload"), F.col("turn").alias("part"), F.lit(2).alias("seq"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    first = p.where("part % 3 = 0").select("upload", "part", F.lit(1).alias("seq"), F.unhex(F.lit("00")).alias("content"))
+    path = new_folder(spark, "uploads")
+    return multipart.upload_digests(multipart.assemble_files(p.unionByName(first), path), path)

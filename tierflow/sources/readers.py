@@ -54,7 +54,7 @@ def reader(schema: str) -> Callable:
 
             return src.mapInArrow(run, out)
 
-        read.__doc__ = f.__doc__
+        read.__doc__, read.__wrapped__ = f.__doc__, f
         return read
 
     return wrap
