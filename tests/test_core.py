@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierflow.functions import names, tags, text
+from tierflow.functions.checksums import crc32c
 from tierflow.operators import catalog, index_gzip, metrics, multipart, placement, policy
 from tierflow.plans import fixtures as fx, queries as core
 from tierflow.plans.pipeline import Pipeline, chunk_step, register
@@ -106,6 +107,47 @@ def _packed(codec):
     return run
 
 
+def _batch(body, base, count, attributes=0, producer=-1):
+    rest = struct.pack(">hiqqqhii", attributes, count - 1, 1000, 1010, producer, -1, -1, count) + body
+    return struct.pack(">qiibI", base, 9 + len(rest), 0, 2, crc32c(rest)) + rest
+
+
+def _body(*pairs):
+    out = b""
+    for i, (k, v) in enumerate(pairs):
+        r = b"\0" + _zigzag(0) + _zigzag(i) + _zigzag(len(k)) + k + _zigzag(len(v)) + v + _zigzag(0)
+        out += _zigzag(len(r)) + r
+    return out
+
+
+def test_checksums():
+    assert crc32c(b"123456789") == 0xE3069283 and crc32c(b"") == 0 and crc32c(bytes(32)) == 0x8A9136AA
+    data = bytes(range(256)) * 400
+    register = 0xFFFFFFFF
+    for x in data:
+        register ^= x
+        for _ in range(8):
+            register = register >> 1 ^ (0x82F63B78 if register & 1 else 0)
+    assert crc32c(data) == register ^ 0xFFFFFFFF
+
+
+def test_broken_and_aborted_batches():
+    one, two, three = (_batch(_body((b"k", b"v%d" % i), (b"k", b"w%d" % i)), 10 * i, 2, 16, 7 + i % 2) for i in range(3))
+    read = lambda data, **how: [(r[0], r[3]) for r in readers.read_kafka_log.__wrapped__(data, **how)]
+    whole = [(0, b"v0"), (1, b"w0"), (10, b"v1"), (11, b"w1"), (20, b"v2"), (21, b"w2")]
+    assert read(one + two + three) == whole
+    for at in range(len(one) + 17, len(one) + len(two)):  # any flipped bit of the second batch from its checksum on
+        flipped = bytearray(one + two + three)
+        flipped[at] ^= 1 << at % 8
+        assert read(bytes(flipped)) == whole[:2]
+    marker = lambda base, kind, producer: _batch(_body((struct.pack(">hh", 0, kind), b"\0" * 6)), base, 1, 48, producer)
+    log = one + two + marker(15, 0, 7) + three + marker(25, 1, 8) + marker(26, 1, 7)
+    assert read(log) == whole and read(log, committed_only=True) == whole[2:]
+    assert [r[0] for r in read(log, control=True)] == [0, 1, 10, 11, 15, 20, 21, 25, 26]
+    late = one + marker(5, 1, 7) + three + marker(25, 0, 7)
+    assert read(late, committed_only=True) == whole[:2]
+
+
 @pytest.mark.parametrize("codec", [0, 1, 2, 3, 4, "framed"])
 def test_log_segments(spark, codec):
     body = b""
@@ -114,7 +156,7 @@ def test_log_segments(spark, codec):
         body += _zigzag(len(r)) + r
     body = {0: bytes, 1: gzip.compress, 2: _snappy, 3: _packed("lz4"), 4: _packed("zstd"), "framed": lambda b: b"\x82SNAPPY\0" + bytes(8) + b"".join(struct.pack(">i", len(x)) + x for x in map(_snappy, (b[:9], b[9:])))}[codec](body)
     codec = 2 if codec == "framed" else codec
-    batch = struct.pack(">qiibihiqqqhii", 100, 49 + len(body), 0, 2, 0, codec, 2, 1000, 1010, -1, -1, -1, 3) + body
+    batch = _batch(body, 100, 3, codec)
     df = spark.createDataFrame([("c", bytearray(batch + batch[:30]))], "key string, content binary")
     got = [(r.offset, r.ts, r.value and bytes(r.value)) for r in readers.read_kafka_log(df).collect()]
     assert got == [(100, 1000, b"v0"), (101, 1005, None), (102, 1010, b"v2")]

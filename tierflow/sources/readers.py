@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.checksums import crc32c
+
 
 def scan_chunks(spark: SparkSession, root: str, glob: str = "*.log") -> DataFrame:
     """Files as rows; ``content`` is read only where a query uses it."""
@@ -191,42 +193,70 @@ def _unpacked(codec: int, body: bytes) -> bytes:
     return body
 
 
+def _records(body: bytes, count: int, base: int, first: int) -> list[tuple]:
+    """``(offset, time, key, value)`` of the records of a batch."""
+    rows, i = [], 0
+    for _ in range(count):
+        _, i = _varint(body, i)
+        i += 1
+        dt, i = _varint(body, i)
+        do, i = _varint(body, i)
+        parts = []
+        for _ in range(2):
+            n, i = _varint(body, i)
+            if i + max(n, 0) > len(body):
+                raise IndexError("a record goes beyond its batch")
+            parts.append(None if n < 0 else body[i : i + n])
+            i += max(n, 0)
+        headers, i = _varint(body, i)
+        for _ in range(2 * headers):
+            n, i = _varint(body, i)
+            i += max(n, 0)
+        rows.append((base + do, first + dt, *parts))
+    return rows
+
+
+#: Bits of a batch's attributes, and the type of an abort marker.
+_TRANSACTIONAL, _CONTROL, _ABORT = 16, 32, b"\0\0"
+
+
 @reader("offset long, ts long, key_bytes binary, value binary")
-def read_kafka_log(data: bytes, values_only: bool = False) -> Iterator[tuple]:
+def read_kafka_log(data: bytes, values_only: bool = False, control: bool = False, committed_only: bool = False) -> Iterator[tuple]:
     """Records of a log segment's batches (public layout, version 2; plain, gzip, snappy, lz4 or zstd).
 
-    A broken batch ends the chunk; a codec beyond those raises an error.
+    A batch whose checksum (CRC-32C) or layout is wrong ends the chunk, and the rows before it
+    stay; an unknown codec raises an error. The markers that end transactions are
+    records only with ``control``. With ``committed_only`` the records of a transaction
+    whose abort marker is in the chunk are left out.
     """
-    at = 0
+    at, held = 0, []  # (producer, rows): in the order of the batches
+    markers: list[tuple[int, int, bool]] = []  # (producer, batches before, whether it aborts them)
     while at + 61 <= len(data):
         base, size = struct.unpack_from(">qi", data, at)
         end = at + 12 + size
-        if size < 49 or end > len(data) or data[at + 16] != 2:
-            return
+        if size < 49 or end > len(data) or data[at + 16] != 2 or crc32c(data[at + 21 : end]) != struct.unpack_from(">I", data, at + 17)[0]:
+            break
         attributes, _, first = struct.unpack_from(">hiq", data, at + 21)
-        count = struct.unpack_from(">i", data, at + 57)[0]
+        producer, count = struct.unpack_from(">q", data, at + 43)[0], struct.unpack_from(">i", data, at + 57)[0]
         try:
-            body = _unpacked(attributes & 7, data[at + 61 : end])
-            rows, i = [], 0
-            for _ in range(count):
-                _, i = _varint(body, i)
-                i += 1
-                dt, i = _varint(body, i)
-                do, i = _varint(body, i)
-                parts = []
-                for _ in range(2):
-                    n, i = _varint(body, i)
-                    parts.append(None if n < 0 else body[i : i + n])
-                    i += max(n, 0)
-                headers, i = _varint(body, i)
-                for _ in range(2 * headers):
-                    n, i = _varint(body, i)
-                    i += max(n, 0)
-                rows.append((base + do, first + dt, *parts))
+            rows = _records(_unpacked(attributes & 7, data[at + 61 : end]), count, base, first)
         except (IndexError, OSError, struct.error):
-            return
-        yield from (r for r in rows if not values_only or r[3] is not None)
+            break
+        if attributes & _CONTROL:
+            kind = rows[0][2] if rows else None  # version and type, two bytes each
+            markers.append((producer, len(held), kind is not None and kind[2:4] == _ABORT))
+            held.append((None, rows if control else []))
+        else:
+            held.append((producer if attributes & _TRANSACTIONAL else None, rows))
         at = end
+    void, since = set(), {}
+    for producer, before, aborts in markers if committed_only else ():
+        if aborts:
+            void |= {i for i in range(since.get(producer, 0), before) if held[i][0] == producer}
+        since[producer] = before
+    for i, (_, rows) in enumerate(held):
+        if i not in void:
+            yield from (r for r in rows if not values_only or r[3] is not None)
 
 
 @reader("header string, sequence string, optional_header string, quality string")
