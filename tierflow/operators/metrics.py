@@ -56,6 +56,27 @@ def approx_latency_summary(ops: DataFrame, by: list[str], value: str = "latency_
     return out.select("*", *[F.col("_p")[i].alias(n) for i, n in enumerate(["p50", "p90", "p95", "p99"])]).drop("_p")
 
 
+def latency_sketch(ops: DataFrame, by: list[str], value: str = "latency_s", k: int = 800) -> DataFrame:
+    """``(by, n, min, max, total, sketch)``: a quantile sketch (KLL) of each group, of a size that only ``k`` decides.
+
+    Sketches of parts of the rows can be stored and added up (``merged_sketches``).
+    The rank of a quantile is off by about 3 / ``k`` of the rows at most.
+    """
+    v = F.col(value).cast("double")
+    return ops.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("total"), F.kll_sketch_agg_double(v, k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of batches added up by group; the same columns."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_summary(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """As ``latency_summary``, from sketches; groups without values have nulls."""
+    q = [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100).cast("double"))).alias(f"p{p}") for p in (50, 90, 95, 99)]
+    return sketches.select(*by, "n", "min", "max", (F.col("total") / F.col("n")).alias("avg"), *q)
+
+
 def latency_summary(ops: DataFrame, by: list[str], value: str = "latency_s") -> DataFrame:
     p = [F.percentile(F.col(value), q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)]
     return ops.groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"), *p)
@@ -88,8 +109,8 @@ def previous_value(df: DataFrame, state: list[str], key: str, value: str, order:
 
 
 def every_kth(df: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") % k == 0).drop("_n")
+    """Each k-th row of a group in the order of a whole number."""
+    return running_sum(df, by, [order], F.lit(1), "_n").where(F.col("_n") % k == 0).drop("_n")
 
 
 def screen(df: DataFrame, motif: str, by: list[str], order: str, text: str = "sequence") -> DataFrame:

@@ -8,8 +8,10 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.policy import applies, resolve_policy, steps
+from ..sources.files import new_folder
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -134,24 +136,42 @@ class Pipeline:
 def run_policies(chunks: DataFrame, pol: DataFrame, region: str, op: str = "PUT") -> DataFrame:
     """Each chunk through the steps of its policy; chunks without one pass.
 
-    Policies with equal steps share a branch, so the plan has one branch per distinct
-    pipeline. Steps of other regions or operations never enter the plan.
+    Pipelines are a tree of steps, so those that begin alike share their first steps.
+    Where the tree branches, the chunks so far are stored once, a folder per branch, and each
+    branch reads its own: the chunks are scanned once, and a shared step runs
+    once, whatever the number of pipelines. A step keeps the column ``policy_id``. Steps of other
+    regions or operations never enter the plan.
     """
-    resolved = resolve_policy(chunks, pol)
     rows = steps(pol, region, op).where(applies(op)).select("policy_id", "turn", "id").collect()  # policies are configuration
     by_policy: dict[str, list[tuple[int, str]]] = {}
     for r in rows:
         by_policy.setdefault(r.policy_id, []).append((r.turn, r.id))
-    branches: dict[tuple[str, ...], list[str]] = {}
-    for p, s in by_policy.items():
-        branches.setdefault(tuple(i for _, i in sorted(s)), []).append(p)
-    known = [p for ps in branches.values() for p in ps]
-    parts = [resolved.where(F.col("policy_id").isNull() | ~F.col("policy_id").isin(known)) if known else resolved]
-    for names, ps in branches.items():
-        part = resolved.where(F.col("policy_id").isin(ps))
-        line = [REGISTRY[n] for n in names]
-        parts.append(reduce(lambda d, s: s.put(d) if op == "PUT" else s.get(d), line, part))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    lines = {p: tuple(i for _, i in sorted(s)) for p, s in by_policy.items()}
+
+    def walk(df: DataFrame, depth: int, policies: list[str]) -> list[DataFrame]:
+        branches: dict[str | None, list[str]] = {}  # by next step; None: done, or without a policy
+        for p in policies:
+            branches.setdefault(lines[p][depth] if depth < len(lines[p]) else None, []).append(p)
+        if depth == 0:
+            branches.setdefault(None, [])
+        if len(branches) == 1:
+            stored = {next(iter(branches)): df}
+        else:
+            number = reduce(lambda c, b: c.when(F.col("policy_id").isin(b[1]), b[0]), ((i, ps) for i, (s, ps) in enumerate(branches.items()) if s is not None), F.when(F.lit(False), -1)).otherwise(-1)
+            path = new_folder(df.sparkSession, "branches")
+            df.withColumn("_branch", number).write.partitionBy("_branch").parquet(path)
+            back = df.sparkSession.read.schema(StructType([*df.schema, StructField("_branch", IntegerType())])).parquet(path)
+            stored = {s: back.where(F.col("_branch") == (-1 if s is None else i)).drop("_branch") for i, s in enumerate(branches)}
+        out = []
+        for name, part in stored.items():
+            if name is None:
+                out.append(part)
+            else:
+                step = REGISTRY[name]
+                out += walk(step.put(part) if op == "PUT" else step.get(part), depth + 1, branches[name])
+        return out
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), walk(resolve_policy(chunks, pol), 0, list(lines)))
 
 
 def write_chunks(df: DataFrame, path: str) -> None:

@@ -76,9 +76,12 @@ def c5_forward_url(spark, sf):
     return fx.chunks(spark, sf).select("doc_id", names.forward_url(F.lit("edge-a:80"), F.col("container"), F.col("key")).alias("url"))
 
 
-@query("c6_digests", "SELECT doc_id, sha1(text) AS sha1, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
+@query("c6_digests", "SELECT doc_id, sha1(t) AS sha1, md5(t) AS md5, sha256(t) AS sha256, doc_id % 3 > 0 AS matches FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def c6_digests(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.sha1("text").alias("sha1"), F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
+    """Digests, and whether the content is what an MD5 in base64 claims; every third claim is of other content."""
+    t = F.coalesce("text", F.lit(""))
+    claim = F.base64(F.unhex(F.md5(F.when(F.col("doc_id") % 3 > 0, t).otherwise(F.concat(t, F.lit("!"))))))
+    return fx.table(spark, sf, "documents").select("doc_id", F.sha1(t).alias("sha1"), F.md5(t).alias("md5"), F.sha2(t, 256).alias("sha256"), text.content_matches(t.cast("binary"), claim).alias("matches"))
 
 
 @query("c7_tai_to_unix", "SELECT event_id, CAST(epoch_us(ts) * 1000 - 37000000000 AS BIGINT) AS unix_ns FROM events")
@@ -157,14 +160,11 @@ def d2_pii_sliced(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", text.any_pii_sliced(F.col("text"), 512).alias("pii"))
 
 
-READS = "SELECT doc_id, source AS chunk, translate(md5(CAST(doc_id AS VARCHAR)),'0123456789abcdef','ACGTACGTACGTACGT') AS sequence FROM documents"
-
-
-@query("d3_screen", f"SELECT doc_id, chunk, row_number() OVER (PARTITION BY chunk ORDER BY doc_id) - 1 AS id FROM ({READS}) WHERE NOT contains(sequence, 'ACT')")
+@query("d3_screen", "SELECT doc_id, source AS chunk, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS id FROM documents WHERE NOT contains(text, 'tion')")
 def d3_screen(spark, sf):
-    s = F.translate(F.md5(F.col("doc_id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
-    r = fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("chunk"), s.alias("sequence"))
-    return metrics.screen(r, "ACT", ["chunk"], "doc_id").select("doc_id", "chunk", F.col("id").cast("long").alias("id"))
+    r = fx.table(spark, sf, "documents").select("doc_id", F.col("source").alias("chunk"), F.col("text").alias("sequence"))
+    return metrics.screen(r, "tion", ["chunk"], "doc_id").select("doc_id", "chunk", F.col("id").cast("long").alias("id"))
+
 
 
 HASH = "CAST(('0x' || substr(md5('7/' || {}), 1, 8)) AS BIGINT)"
@@ -364,9 +364,11 @@ def g1_word_count(spark, sf):
     return metrics.word_count(fx.table(spark, sf, "documents"), ["source"], "text")
 
 
-@query("g2_byte_count", "SELECT source, count(*) AS chunks, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+@query("g2_byte_count", "SELECT source, count(*) AS chunks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def g2_byte_count(spark, sf):
-    return metrics.byte_count(fx.table(spark, sf, "documents"), ["source"], "n_chars")
+    d = fx.table(spark, sf, "documents").select("source", F.octet_length("text").cast("long").alias("length"))
+    return metrics.byte_count(d, ["source"])
+
 
 
 DET = "det AS (SELECT vec_id // 10 AS chunk, vec_id // 2 AS frame, CASE label WHEN 0 THEN 'person' WHEN 1 THEN 'worker' ELSE 'thing' END AS class FROM embeddings)"
@@ -500,11 +502,11 @@ def a12_metadata(spark, sf):
     return catalog.read_metadata(kv).select("kind", "id", F.col("doc")["k"].alias("k"))
 
 
-@query("b3_publish", "SELECT source || '-' || lang AS topic, '{\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || '}' AS value FROM documents")
+@query("b3_publish", "SELECT source || '-' || lang AS topic, to_json({'doc_id': doc_id, 'text': coalesce(text, ''), 'lang': lang, 'source': source, 'n_chars': n_chars})::VARCHAR AS value FROM documents")
 def b3_publish(spark, sf):
     from .pipeline import publish
 
-    return publish(fx.table(spark, sf, "documents").select("doc_id", "n_chars", F.concat("source", F.lit("-"), "lang").alias("topic")))
+    return publish(fx.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars", F.concat("source", F.lit("-"), "lang").alias("topic")))
 
 
 @query("j4_plan_ranges", """WITH o AS (SELECT source AS key, doc_id, CAST(sum(octet_length(encode(coalesce(text, '')))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(coalesce(text, ''))) AS BIGINT) AS start FROM documents),
@@ -645,19 +647,23 @@ def h2_ordered_apply(spark, sf):
 
 @query("k1_score", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * ((i - 1) % 7 - 3))), 6) + 0.0 AS score FROM embeddings")
 def k1_score(spark, sf):
-    """A fixed linear model over every vector, loaded once a task."""
+    """A fixed linear model over every vector, loaded once a task, a matrix product a batch."""
     from .pipeline import score
 
     def loader():
         import numpy as np
 
-        weights = np.arange(64) % 7 - 3.0
-        return lambda vectors: [float(np.asarray(v, float) @ weights[: len(v)]) for v in vectors]
+        def model(vectors):
+            x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.empty((0, 1))
+            return x @ (np.arange(x.shape[1]) % 7 - 3.0)
+
+        return model
 
     out = score(fx.table(spark, sf, "embeddings").select("vec_id", "embedding"), loader, "embedding")
     return out.select("vec_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
+
 @query("k8_cached_copies", "SELECT user_id AS key, max(event_id) AS seq, arg_max(props, event_id) AS content FROM events GROUP BY 1")
 def k8_cached_copies(spark, sf):
     from .pipeline import update_cache
@@ -760,3 +766,28 @@ def i1_assemble_files(spark, sf):
     first = p.where("part % 3 = 0").select("upload", "part", F.lit(1).alias("seq"), F.unhex(F.lit("00")).alias("content"))
     path = new_folder(spark, "uploads")
     return multipart.upload_digests(multipart.assemble_files(p.unionByName(first), path), path)
+
+
+@query("c18_encrypt", "SELECT doc_id, source || '/' || doc_id || '.s3enc' AS stored_as, source || '/' || doc_id AS key, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest, octet_length(encode(coalesce(text, ''))) > 0 AS hidden FROM documents")
+def c18_encrypt(spark, sf):
+    """Documents encrypted and decrypted again; what was stored in between is other bytes under another name."""
+    d = fx.table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id").alias("key"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    secret = catalog.encryption_key("a password", b"a salt of 16 byte")
+    e = catalog.encrypt(d.withColumn("plain", F.md5("content")).withColumn("size", F.octet_length("content").cast("long")), secret)
+    e = e.withColumn("stored_as", F.col("key")).withColumn("hidden", (F.md5("content") != F.col("plain")) & (F.col("size") > 0))
+    return catalog.decrypt(e, secret).select("doc_id", "stored_as", "key", "size", F.md5("content").alias("digest"), "hidden")
+
+
+@query("g9_latency_sketch", f"WITH {OPS} SELECT op, count(*) AS n, min(latency_s) AS min, max(latency_s) AS max, avg(latency_s) AS avg, true AS p50, true AS p90, true AS p95, true AS p99 FROM ops GROUP BY 1")
+def g9_latency_sketch(spark, sf):
+    """Sketches of each hour, stored and added up; whether their percentiles' ranks are within a hundredth of what is asked."""
+    from ..sources.files import kept, new_folder
+
+    ops = _ops(spark, sf)
+    hourly = kept(metrics.latency_sketch(ops.withColumn("hour", F.date_trunc("hour", "ts")), ["op", "hour"]), new_folder(spark, "sketches"))
+    s = metrics.sketch_summary(metrics.merged_sketches(hourly, ["op"]), ["op"])
+    quantiles = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    j = ops.select("op", "latency_s").join(F.broadcast(s), "op")  # a row an operation
+    ranks = j.groupBy("op").agg(*[F.avg((F.col("latency_s") <= F.col(p)).cast("double")).alias(f"hi_{p}") for p in quantiles], *[F.avg((F.col("latency_s") < F.col(p)).cast("double")).alias(f"lo_{p}") for p in quantiles])
+    near = [((F.col(f"lo_{p}") <= q + 0.01) & (F.col(f"hi_{p}") >= q - 0.01)).alias(p) for p, q in quantiles.items()]
+    return s.select("op", "n", "min", "max", "avg").join(ranks, "op").select("op", "n", "min", "max", "avg", *near)
