@@ -68,7 +68,15 @@ class ShiftAnd:
                     step[some if c == ord("?") else [c], w] |= b
             self.final.append(bit(at))
             at += 1
-        self.step, self.loop = step, loop
+        self.step, self.loop, self.few = step, loop, 8
+        whole = lambda masks: [int.from_bytes(m.tobytes(), "little") for m in masks.astype("<u8")]
+        self.whole_step, self.whole_loop = whole(step), whole(loop)
+
+    def _rest(self, state: np.ndarray, text: bytes) -> np.ndarray:
+        s, step, loop = int.from_bytes(state.astype("<u8").tobytes(), "little"), self.whole_step, self.whole_loop
+        for c in text:
+            s = (s << 1) & step[c] | s & loop[c]
+        return np.frombuffer(s.to_bytes(8 * self.words, "little"), "<u8")
 
     def match(self, texts: list[bytes]) -> np.ndarray:
         """Texts x globs. All globs advance together, one byte of every text at a time."""
@@ -81,6 +89,10 @@ class ShiftAnd:
         state = np.tile(self.start, (n, 1))
         for p in range(int(size[0]) if n else 0):
             m = int(np.searchsorted(-size, -p, side="left"))  # texts longer than p
+            if m <= self.few:  # few long ones: each alone from here on, its masks as whole numbers
+                for i in range(m):
+                    state[i] = self._rest(state[i], data[at[i] + p : at[i] + size[i]].tobytes())
+                break
             c, s = data[at[:m] + p], state[:m]
             moved = s << np.uint64(1)
             if self.words > 1:
@@ -92,6 +104,14 @@ class ShiftAnd:
         return out
 
 
+def rules_of(table: DataFrame, most: int = 10_000) -> list[Rule]:
+    """Rules from a table of ``verdict, host, path, subdomains``; every task carries them all, so there may be ``most`` at most."""
+    rows = table.select("verdict", "host", "path", "subdomains").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return [Rule(*r) for r in rows]
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
     return F.translate(F.coalesce(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1), F.lit("")), _UP, _LOW)
@@ -107,7 +127,9 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
     The canonical URL is host and path. Of the rules that fit, the longest
     decides (the earlier of equals). Where none fits, rule is null and a rule of
     ``otherwise`` decides, or else ``default``. A null url or one without
-    ``://`` has an empty host and path and fits no rule with a host.
+    ``://`` has an empty host and path and fits no rule with a host. Urls of any
+    length are judged whole; repeated rows are judged row by row; an empty table
+    gives no rows. ``rules`` and ``otherwise`` can be tables of the user's (see ``rules_of``).
     """
     ranked = sorted(rules, key=lambda r: -len(r.name.encode()))
     every = [*ranked, *otherwise]
