@@ -208,6 +208,24 @@ def test_globs_match_regular_expressions():
             assert hit[i, j] == bool(re.fullmatch(part(h, "[^/]") + part(p, "."), t, re.S)), (t, h, p)
 
 
+def test_long_texts_step_alone():
+    rng = np.random.default_rng(6)
+    automaton = url_filter.ShiftAnd([("*a?b", "/x*y*"), ("q" * 70 + "*", "/*z"), ("*", "*ab")])
+    texts = [bytes(rng.choice(list(b"abxyz/q"), int(n)).tolist()) for n in rng.integers(0, 60, 200)] + [b"aab/x" + bytes(rng.choice(list(b"xyz"), 3000).tolist()) + b"y", b"q" * 75 + b"/" + b"w" * 5000 + b"z", b"k" * 9000 + b"ab"]
+    mixed = automaton.match(texts)
+    automaton.few = 0
+    assert (mixed == automaton.match(texts)).all() and mixed[-3:].any(axis=1).all()
+
+
+def test_rules_from_a_table(spark):
+    table = spark.createDataFrame([("block", "b.com", "/x*", True), ("allow", "b.com", "/", False)], "verdict string, host string, path string, subdomains boolean")
+    df = spark.createDataFrame([(1, "http://a.b.com/xy"), (2, "http://b.com/"), (3, "http://a.b.com/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(df, rules=url_filter.rules_of(table), otherwise=[], default="none").collect()}
+    assert got == {1: ("b.com/x", "block"), 2: ("b.com/", "allow"), 3: (None, "none")}
+    with pytest.raises(ValueError):
+        url_filter.rules_of(table, most=1)
+
+
 def test_urls_with_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "no host"), (3, "http://WWW.Example.org/es/x?y"), (4, "a://h.com#f"), (5, "http://b.com/de/")], "page_id long, url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}

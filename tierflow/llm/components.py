@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import cut
+from ._common import cut, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,10 +27,11 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v", rounds: int = 4
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are stored before their joins, so that Spark may split a hub's edges there
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large.where("u > v").distinct(), "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low, "u").select("u", "v", "m")
         e = cut(
             small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
