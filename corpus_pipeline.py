@@ -20,18 +20,22 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier takes for good, each judged by itself; without labels all of them."""
     return keep_quality(docs, _labels(spark, sf_dir))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and are no anomaly, each judged by itself; null and short texts go."""
     return keep_judged(docs, _labels(spark, sf_dir))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the least id; rows are compared by themselves, whatever their ids."""
     return keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of the mix; rows of one id follow each other, a null source is a source."""
     return mixed(docs)
 
 
@@ -49,7 +53,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read by the next."""
+    """All stages over ``documents``, each written as Parquet and read by the next.
+
+    Rows with null ids, and rows that share one, are rows of their own in every
+    stage; columns of any name pass. An empty table, or one whose rows all go, gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
