@@ -66,3 +66,19 @@ def test_rows_are_judged_by_themselves(spark, sf):
     assert sorted(((r.doc_id, r.text) for r in some.collect()), key=key) == sorted(zip(ids, good), key=key)
     empty = spark.createDataFrame([(1, None), (1, None), (None, " "), (None, " "), (None, "")], "doc_id long, text string")
     assert sorted(map(str, map(tuple, corpus_pipeline.dedup(spark, empty, sf).collect()))) == ["(1, None)", "(None, ' ')", "(None, '')"]
+
+
+def test_no_rows_and_odd_rows_go_through_all_stages(spark, sf, tmp_path):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    good = docs.join(labels.where("quality = 1"), "doc_id", "left_semi").where("length(text) > 500").limit(8).collect()
+    rows = [(None if i < 3 else 7, *r[1:], "m", i) for i, r in enumerate(good)] + [(None, None, None, None, None, "m", 99), (7, "", "en", None, 0, "m", 98)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _metadata string, row int"
+    (tmp_path / "odd").mkdir()
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/odd/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert 0 < len(got) <= 8 and all(r.round_trip for r in got) and {r.doc_id for r in got} <= {None, 7}
+    assert sorted(r.position for r in got) == list(range(len(got)))
