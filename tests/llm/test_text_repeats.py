@@ -81,3 +81,18 @@ def test_equal_windows_have_equal_anchors(size):
                 windows += 1
     assert all(len(x) == 1 for x in seen.values())
     assert size > 6000 or windows == sum(max(0, n - 99) for n in np.diff(bounds))
+
+
+def test_several_files_in_one_task(spark, tmp_path):
+    texts = _made(np.random.default_rng(4))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(30).write.parquet(f"{tmp_path}/docs")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        assert docs.rdd.getNumPartitions() == 1
+        _same(remove_repeats(docs), range(len(texts)), _removed(texts, 200))
+    finally:
+        for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
+            spark.conf.set(k, held[k]) if k in held else spark.conf.unset(k)

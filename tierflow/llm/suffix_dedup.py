@@ -143,6 +143,15 @@ class Side:
         return {c: np.concatenate([t[c].to_numpy() for t in out]) for c in out[0].column_names} if out else {}
 
 
+def _in_order(batches):
+    """Record batches of rows that follow each other in their numbers; a task may read several files, in any order."""
+    for b in pieces_of(batches):
+        rids = b.column("rid").to_numpy()
+        at = np.flatnonzero(np.r_[True, rids[1:] != rids[:-1] + 1]) if len(rids) else []
+        for i, j in zip(at, [*at[1:], len(rids)]):
+            yield b.slice(i, j - i)
+
+
 def _beside(rows: DataFrame, tag: str) -> str:
     """A folder with a side file of ``rows`` (by ``rid``) for each chunk, which passes over the texts look up."""
     folder = new_folder(rows.sparkSession, tag)
@@ -160,9 +169,9 @@ def _names(folder: str, length: int, gram: int, level: int):
     """
 
     def run(batches):
-        for batch in pieces_of(batches):
+        for batch in _in_order(batches):
             rids, text = batch.column("rid").to_numpy(), batch.column("text")
-            side = Side.rows(folder, rids) if len(rids) else {}
+            side = Side.rows(folder, rids)
             if not side:
                 continue
             at, out, held, data = np.searchsorted(rids, side["rid"]), [], -1, b""
@@ -255,9 +264,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     folder = _beside(repeated_spans(rows, length, gram), "spans")
 
     def run(batches):
-        for batch in pieces_of(batches):
+        for batch in _in_order(batches):
             rids = batch.column("rid").to_numpy()
-            side = Side.rows(folder, rids) if len(rids) else {}
+            side = Side.rows(folder, rids)
             data, bounds = flat(batch.column("text"))
             raw, out = memoryview(data), []
             lo = np.searchsorted(side["rid"], rids) if side else np.zeros(len(rids), int)
