@@ -317,7 +317,8 @@ def write_dictionaries(src: DataFrame, path: str) -> str:
         ids = encode_units(short.select("unit").distinct(), path)
         long = held.where(F.length("unit") > BITS).mapInArrow(_encode_long(path), "chunk bigint, unit string, ids array<int>")
         both = short.join(ids.hint("shuffle_hash"), "unit").select("chunk", "unit", "ids").unionByName(long)
-        both.repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(folder)
+        # a chunk's words are spread over several tasks and files
+        both.repartition("chunk", F.pmod(F.xxhash64("unit"), F.lit(8))).write.partitionBy("chunk").option("compression", "zstd").parquet(folder)
     finally:
         spark.sql(f"DROP TABLE {name}")
     return folder
