@@ -477,3 +477,13 @@ def test_mix_of_repeated_ids(spark, odd):
     assert sorted(map(str, ((r.doc_id, r.text, r.tag, r.source) for r in got))) == sorted(map(str, rows))
     assert [place[r.doc_id] for r in got] == sorted(place[r.doc_id] for r in got)
     assert len({r.part for r in got if r.doc_id == 7}) > 1
+
+
+def test_threshold_costs_least():
+    rng = np.random.default_rng(2)
+    for care in (1.0, 10.0):
+        for _ in range(20):
+            good = rng.random(60) < 0.7
+            scores = np.round(np.where(good, rng.normal(0, 1, 60), rng.normal(1.5, 1, 60)), 1)
+            cost = lambda t: care * (scores[good] > t).mean() + (scores[~good] <= t).mean()
+            assert cost(quality_rules._threshold(scores, good, care)) <= min(cost(t) for t in np.linspace(-5, 6, 2000)) + 1e-9

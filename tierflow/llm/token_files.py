@@ -242,7 +242,9 @@ def token_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", **how)
     """``(id, start, n_tokens, ids_crc32)`` of every document, from files written and read back.
 
     ``start`` counts the ids of all documents before it: sums per file, then
-    running sums over files and within each file.
+    running sums over files and within each file. Rows are documents of their own,
+    also where ids repeat or are null (those come first); null texts are empty, and
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
     path = new_folder(spark, "tokens")

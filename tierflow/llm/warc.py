@@ -256,7 +256,8 @@ def archive_digest(pages: DataFrame, id_col: str = "page_id", **how) -> DataFram
     """``(id, payload_bytes, payload_digest, record_type, refers_to)`` of every row, from archives written and read back.
 
     A revisit's length is that of the record it refers to. Rows that repeat a
-    page id and payload are responses alike if theirs is the largest id.
+    page id and payload are responses alike if theirs is the largest id. Null
+    payloads are empty, pages without an id are responses; an empty table gives no rows.
     """
     spark = pages.sparkSession
     path = new_folder(spark, "archives")
