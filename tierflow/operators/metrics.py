@@ -99,9 +99,13 @@ def count_hits(det: DataFrame, labels: list[str]) -> DataFrame:
     return frame.groupBy("chunk").agg(F.count_if("hit").cast("string").alias("inference_result"))
 
 
+#: Fixed value: the text of a frame's note.
+NOTE = "timestamp=%d,objects=%d,humans=%d"
+
+
 def detection_notes(det: DataFrame, labels: list[str]) -> DataFrame:
     g = det.groupBy("chunk", "frame").agg(F.count("*").alias("n"), F.count_if(F.col("class").isin(labels)).alias("h"))
-    return g.select("chunk", F.concat(F.lit("detection_"), F.col("frame").cast("string")).alias("tag"), F.format_string("timestamp=%d,objects=%d,humans=%d", "frame", "n", "h").alias("note"))
+    return g.select("chunk", F.concat(F.lit("detection_"), F.col("frame").cast("string")).alias("tag"), F.format_string(NOTE, "frame", "n", "h").alias("note"))
 
 
 def previous_value(df: DataFrame, state: list[str], key: str, value: str, order: str) -> DataFrame:
