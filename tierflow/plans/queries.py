@@ -791,3 +791,29 @@ def g9_latency_sketch(spark, sf):
     ranks = j.groupBy("op").agg(*[F.avg((F.col("latency_s") <= F.col(p)).cast("double")).alias(f"hi_{p}") for p in quantiles], *[F.avg((F.col("latency_s") < F.col(p)).cast("double")).alias(f"lo_{p}") for p in quantiles])
     near = [((F.col(f"lo_{p}") <= q + 0.01) & (F.col(f"hi_{p}") >= q - 0.01)).alias(p) for p, q in quantiles.items()]
     return s.select("op", "n", "min", "max", "avg").join(ranks, "op").select("op", "n", "min", "max", "avg", *near)
+
+
+@query("b4_write_behind", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS attempts, md5(coalesce(text, '')) AS digest FROM documents")
+def b4_write_behind(spark, sf):
+    """Documents stored one by one in a store that refuses every seventh at first; what is stored in the end, and after how many tries."""
+    from ..sources.files import Whole, kept, locate, new_folder
+    from ..streaming.stateful import TRIES, run_until_stored, state_session, write_behind
+
+    path, own = new_folder(spark, "behind"), state_session(spark)
+    d = fx.table(spark, sf, "documents").select(F.col("source").alias("partition"), F.col("doc_id").cast("string").alias("uri"), F.col("doc_id").alias("seq"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    total = kept(d, f"{path}/in").count()
+
+    def store(partition, uri, content):
+        where, base = locate(f"{path}/store")
+        if int(uri) % 7 == 0 and where.get_file_info(f"{base}/{uri}.seen").type.name == "NotFound":
+            Whole(f"{path}/store/{uri}.seen").close()
+            raise OSError("busy")
+        out = Whole(f"{path}/store/{uri}.chunk")
+        out.write(content)
+        out.close()
+
+    tries = write_behind(own.readStream.schema(d.schema).parquet(f"{path}/in"), store, retry_ms=1000)
+    run_until_stored(tries, f"{path}/tries", f"{path}/checkpoint", total)
+    files = readers.scan_chunks(spark, f"{path}/store", "*.chunk").select(F.regexp_extract("key", r"(\d+)\.chunk$", 1).cast("long").alias("doc_id"), F.md5("content").alias("digest"))
+    done = spark.read.schema(TRIES).parquet(f"{path}/tries").where("stored").groupBy(F.col("uri").cast("long").alias("of")).agg(F.max("attempts").alias("attempts"))
+    return files.join(done, F.col("doc_id") == F.col("of")).select("doc_id", "attempts", "digest")

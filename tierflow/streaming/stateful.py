@@ -205,6 +205,26 @@ def write_behind(chunks: DataFrame, store: Callable[[str, str, bytes], None], re
     return chunks.groupBy("partition").transformWithStateInPandas(Queue(), out, "Append", "ProcessingTime")
 
 
+def run_until_stored(tries: DataFrame, path: str, checkpoint: str, total: int, every_ms: int = 500, limit_s: int = 600) -> None:
+    """Run ``write_behind`` until ``total`` chunks are stored; ``path`` gets every try."""
+    import time
+
+    spark, end = tries.sparkSession, time.time() + limit_s
+    q = tries.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{every_ms} milliseconds").start()
+    try:
+        while q.isActive and q.lastProgress is None:
+            time.sleep(0.2)
+        schema = _parse_datatype_string(TRIES)
+        while spark.read.schema(schema).parquet(path).where("stored").count() < total:
+            if q.exception():
+                raise q.exception()
+            if time.time() > end:
+                raise TimeoutError(f"not all chunks are stored after {limit_s} s")
+            time.sleep(0.5)
+    finally:
+        q.stop()
+
+
 def waiting(spark, checkpoint: str) -> DataFrame:
     """``(partition, uri, attempts, first_try, due)``: what a stopped ``write_behind`` has yet to store."""
     rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
