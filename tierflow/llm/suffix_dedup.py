@@ -168,6 +168,14 @@ def _names(folder: str, length: int, gram: int, level: int):
     part would share, ``u1`` and ``u2`` for all that the present ones cover.
     """
 
+    def named(rows):
+        rid, p, x, y, done, name, union = zip(*rows) if rows else ((),) * 7
+        union = np.frombuffer(b"".join(union), "<i8").reshape(-1, 2)
+        return pa.record_batch([
+            pa.array(rid, pa.int64()), pa.array(p, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(done, pa.bool_()),
+            pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(union[:, 0].copy()), pa.array(union[:, 1].copy()),
+        ], names=["rid", "p", "a", "b", "done", "name", "u1", "u2"])
+
     def run(batches):
         for batch in _in_order(batches):
             rids, text = batch.column("rid").to_numpy(), batch.column("text")
@@ -184,12 +192,10 @@ def _names(folder: str, length: int, gram: int, level: int):
                     name = xxhash.xxh3_64_intdigest(data[p - low : p + length - high], (level << 16) + j)
                     union = xxhash.xxh3_128_digest(data[p - y : p + length - x], (x << 16) + y)
                     out.append((rid, p, x, y, done, name, union))
-            rid, p, x, y, done, name, union = zip(*out)
-            union = np.frombuffer(b"".join(union), "<i8").reshape(-1, 2)
-            yield pa.record_batch([
-                pa.array(rid, pa.int64()), pa.array(p, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(done, pa.bool_()),
-                pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(union[:, 0].copy()), pa.array(union[:, 1].copy()),
-            ], names=["rid", "p", "a", "b", "done", "name", "u1", "u2"])
+                if len(out) > 100_000:  # a very long text may have any number
+                    yield named(out)
+                    out = []
+            yield named(out)
         Side._held = None
 
     return run
