@@ -51,7 +51,7 @@ def test_members_start_with_records_and_restore(spark, tmp_path):
         tag = index_tags(members).where(F.col("key") == key).first().tags[INDEX_TAG]
         assert tag == ",".join(map(str, starts))
     assert [r.records for r in m if r.key == "a/x"] == [0, *[10] * 13, 7, 0]
-    back = restored(spark, path).orderBy("key", "part").collect()
+    back = restored(spark, path).orderBy("key", "part", "block").collect()
     assert {k: b"".join(bytes(r.content) for r in back if r.key == k) for k in content} == content
     got = ranges_of(members, 4).orderBy("key", "range").collect()
     assert [(r.key, r.range, r.members) for r in got] == [("a/x", 0, 4), ("a/x", 1, 4), ("a/x", 2, 4), ("a/x", 3, 2), ("b", 0, 1), ("b", 1, 1), ("b", 2, 1), ("b", 3, 1)]

@@ -569,7 +569,7 @@ def j2_index_json(spark, sf):
     members = write_indexed(pieces, path, 10)
     sums = members.groupBy("key").agg(F.sum("records").alias("records"), F.count("*").alias("members"))
     tags_ = index_tags(members).select("key", F.size(F.split(F.element_at("tags", INDEX_TAG), ",")).cast("long").alias("indexed"))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.hex("content").alias("content")))), lambda x: x["content"]), "")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "block", F.hex("content").alias("content")))), lambda x: x["content"]), "")  # a chunk of 64 documents
     whole = restored(spark, path).groupBy("key").agg(F.md5(F.unhex(parts)).alias("digest"))
     return sums.join(tags_, "key").join(whole, "key").select("key", "records", "indexed", "members", "digest")
 

@@ -252,8 +252,6 @@ def scan_indexed(spark: SparkSession, path: str, split: str = "member", range_by
 
 
 def restored(spark: SparkSession, path: str) -> DataFrame:
-    """``(key, part, content)``: the bytes of every part of the objects, in pieces that are as large as a part."""
-    rows = scan_indexed(spark, path)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", F.hex("value").alias("value")))), lambda x: x["value"]), "")
+    """``(key, part, block, content)``: the bytes of every member, which in the order of part and block are the object; none are joined."""
     part = F.regexp_extract("file", r"/(\d+)\.gz$", 1).cast("long")
-    return rows.groupBy("key", part.alias("part")).agg(F.unhex(joined).alias("content"))
+    return scan_indexed(spark, path).select("key", part.alias("part"), "block", F.col("value").alias("content"))
