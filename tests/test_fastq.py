@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tierflow.sources.fastq import Fastq, first_record, read_fastq_files, records
+from tierflow.sources.files import together
 
 
 def fastq(rng, n):
@@ -49,3 +50,19 @@ def test_files_in_ranges(spark, tmp_path):
     parts = spark.read.format("fastq_ranges").option("path", f"{tmp_path}").option("rangebytes", 500).load()
     assert parts.rdd.getNumPartitions() == sum(-(-len(text(x)) // 500) for x in (one, two))
     assert read_fastq_files(spark, f"file://{tmp_path}/b.fastq").count() == 300
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_sequences_that_begin_like_other_lines(spark, tmp_path, end):
+    """A range that begins ahead of such a record was left out whole."""
+    rows = [(f"r{i}", "@+xA"[i % 4] * (i % 9) + "\r" * (end == "\n" and i % 5 == 0), "", "@+"[i % 2] * (1 + i % 7)) for i in range(300)]
+    (tmp_path / "a.fastq").write_bytes(text(rows, end))
+    (tmp_path / "b.fastq").write_bytes(b"head\n" + text(rows[7:], end))
+    for size in (1, 60, 10**6)[end == "\r\n" :]:
+        got = read_fastq_files(spark, f"file://{tmp_path}", size).orderBy("id").collect()
+        assert [(r.id, r.header, r.sequence, r.optional_header, r.quality) for r in got] == [(i, *r) for i, r in enumerate(rows + rows[7:])]
+
+
+def test_many_small_ranges_share_a_task():
+    assert together(list(range(5)), [1] * 5, most=3, few=5) == [[0], [1], [2], [3], [4]]
+    assert together(list(range(6)), [1, 1, 1, 9, 2, 1], most=3, few=5) == [[0, 1, 2], [3], [4, 5]]

@@ -31,6 +31,20 @@ def locate(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 
+def together(ranges: list, sizes: list[int], most: int = 4 << 20, few: int = 1000) -> list[list]:
+    """Ranges for each task: one of them, but of more than ``few`` as many neighbours as stay within ``most`` bytes."""
+    if len(ranges) <= few:
+        return [[r] for r in ranges]
+    out, held = [], most
+    for r, size in zip(ranges, sizes):
+        if held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += size
+    return out
+
+
 class Whole:
     """A file that appears whole or not at all: written under another name, then renamed.
 
