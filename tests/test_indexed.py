@@ -2,10 +2,12 @@ import gzip
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, StringContains
 
+from tierflow.operators import index_gzip
 from tierflow.sources import readers
 from tierflow.sources.indexed_gzip import INDEX_TAG, _Reader, index_tags, ranges_of, restored, scan_indexed, write_indexed
 
@@ -84,3 +86,21 @@ def test_filters_taken_over():
     rest = StringContains(("file",), "x")
     assert list(r.pushFilters([EqualTo(("key",), "a"), In(("key",), ("a", "b")), GreaterThan(("pos",), 4), LessThanOrEqual(("pos",), 9), rest])) == [rest]
     assert (r.keys, r.low, r.high) == ({"a"}, 5, 9)
+
+
+def test_many_small_objects_share_tasks(spark, tmp_path):
+    """Each of the files of many small objects took a task of its own."""
+    pieces = spark.range(1100).selectExpr("cast(id as string) as key", "1 as kind", "0L as pos", "encode(concat('@r', id, '\n\n+\n@\n'), 'utf-8') as value")
+    path = f"file://{tmp_path}/small"
+    assert write_indexed(pieces, path).agg(F.count("*"), F.sum("records"), F.max("start")).first()[:] == (1100, 1100, 0)
+    got = scan_indexed(spark, path, "fastq")
+    assert got.rdd.getNumPartitions() < 10
+    assert sorted(bytes(r.value) for r in got.where("pos = 0").collect()) == sorted(f"@r{i}\n\n+\n@\n".encode() for i in range(1100))
+
+
+def test_unpacked_members_are_given_on_in_pieces():
+    """All members of a batch were unpacked before the first was given on."""
+    values = [None if i == 3 else gzip.compress(bytes([i]) * 1000) for i in range(20)]
+    got = list(index_gzip._udf(gzip.decompress, 2500).func(iter([pd.Series(values[:15]), pd.Series([], dtype=object), pd.Series(values[15:])])))
+    assert max(map(len, got)) <= 4 and len(got) > 5
+    assert [x for s in got for x in s] == [None if v is None else gzip.decompress(v) for v in values]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from ..operators.metrics import running_sum
-from .files import Whole, kept, locate
+from .files import Whole, kept, locate, together
 from .readers import json_spans
 
 #: What a piece is of its object: bytes ahead of the first record, a record, bytes after the last.
@@ -31,7 +31,7 @@ def _files(path: str, level: int):
     """Writes the part files; rows of one part come together, in the order of their places."""
 
     def run(batches):
-        last, out, pack, state, rows = None, None, None, None, []
+        last, out, pack, state, rows, begun = None, None, None, None, [], 0
         names = ["key", "file", "part", "block", "at", "size", "records", "raw"]
 
         def end_member():
@@ -46,7 +46,7 @@ def _files(path: str, level: int):
             end_member()
             if out is not None:
                 out.close()
-                mine = np.array([r[3:7] for r in rows if r[1] == state[0]], "<i8")
+                mine = np.array([r[3:7] for r in rows[begun:]], "<i8")
                 side = Whole(f"{path}/data/{state[0]}.idx")
                 side.write(mine.tobytes())
                 side.close()
@@ -60,8 +60,9 @@ def _files(path: str, level: int):
             for key, part, block, value, kind in zip(*(b.column(c).to_pylist() for c in ("key", "part", "block", "value", "kind"))):
                 if last is None or (key, part) != last[:2]:
                     end_part()
-                    if last is not None:
+                    if len(rows) > 4096:
                         yield given()
+                    begun = len(rows)
                     file = f"{hashlib.md5(str(key).encode()).hexdigest()}/{part:015d}.gz"
                     out = Whole(f"{path}/data/{file}")
                 if last is None or (key, part, block) != last:
@@ -140,7 +141,7 @@ SPLITS = {"member": lambda d: [d], "line": lambda d: _lines(d, 1), "fastq": lamb
 
 
 @dataclass
-class _Range(InputPartition):
+class _Range:
     key: str
     file: str
     first: int
@@ -148,6 +149,11 @@ class _Range(InputPartition):
     of: int
 
 
+@dataclass
+class _Ranges(InputPartition):
+    ranges: list[_Range]
+
+
 @dataclass
 class _Reader(DataSourceReader):
     path: str
@@ -185,16 +191,27 @@ class _Reader(DataSourceReader):
             some &= (ds.field("first") + ds.field("records") > self.low) & (ds.field("records") > 0)
         if self.high is not None:
             some &= ds.field("first") <= self.high
-        out = []
+        out, sizes = [], []
         for r in ds.dataset(base, filesystem=where, format="parquet").to_table(filter=some, columns=["key", "file", "first", "size"]).to_pylist():
             n = max(1, -(-r["size"] // self.size))
             out += [_Range(r["key"], r["file"], r["first"], i, n) for i in range(n)]
-        return out or [_Range("", "", 0, 0, 0)]
+            sizes += [-(-r["size"] // n)] * n
+        return [_Ranges(rs) for rs in together(out, sizes, min(self.size, 1 << 20))] or [_Ranges([])]
 
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        if not part.of:
-            return
+    def read(self, part: _Ranges) -> Iterator[pa.RecordBatch]:
         where, base = locate(f"{self.path}/data")
+        rows, held = [], 0
+        for r in part.ranges:
+            for key, file, block, pos, value in self.of_range(where, base, r):
+                rows.append((key, file, block, pos, value))
+                held += len(value)
+                if len(rows) == 4096 or held > 8 << 20:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def of_range(self, where, base: str, part: _Range) -> Iterator[tuple]:
         with where.open_input_file(f"{base}/{part.file}.idx") as f:
             block, at, size, records = np.frombuffer(f.read(), "<i8").reshape(-1, 4).T
         first = part.first + np.cumsum(records) - records
@@ -214,18 +231,21 @@ class _Reader(DataSourceReader):
                     pos = range(int(first[i]), int(first[i]) + len(values))
                 else:
                     continue
-                hit = [k for k, p in enumerate(pos) if (self.low is None or p >= self.low) and (self.high is None or (p is not None and p <= self.high))]
-                yield pa.record_batch([
-                    pa.array([part.key] * len(hit), pa.string()), pa.array([part.file] * len(hit), pa.string()), pa.array([int(block[i])] * len(hit), pa.int64()),
-                    pa.array([pos[k] for k in hit], pa.int64()), pa.array([values[k] for k in hit], pa.binary()),
-                ], names=["key", "file", "block", "pos", "value"])
+                for p, value in zip(pos, values):
+                    if (self.low is None or p >= self.low) and (self.high is None or (p is not None and p <= self.high)):
+                        yield part.key, part.file, int(block[i]), p, value
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"key": pa.string(), "file": pa.string(), "block": pa.int64(), "pos": pa.int64(), "value": pa.binary()}
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
 
 
 class IndexedGzip(DataSource):
     """``format("indexed_gzip")``: the records of a store, one input partition for each range of members.
 
     Options: ``path``; ``split``, what a row is (``member``, ``line``, ``fastq``, ``json``); ``rangebytes``,
-    compressed bytes of a range. Filters on ``key`` and ``pos`` decide which part
+    compressed bytes of a range; of very many small ranges neighbours share a task. Filters on ``key`` and ``pos`` decide which part
     files and members are read at all. Rows: ``key, file, block, pos, value``; ``pos`` counts an object's
     records, and is null for members without records, which only ``member`` gives.
     """
