@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import zlib
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -14,10 +16,22 @@ from .metrics import running_sum
 from .policy import _small
 
 
-def _udf(f):
+def _udf(f, most: int = 8 << 20):
+    """``f`` of every value; results are given on after ``most`` bytes, so that a batch of any size takes little memory."""
+
     @pandas_udf("binary")
-    def run(s):
-        return s.map(lambda b: None if b is None else f(bytes(b)))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            made, held = [], 0
+            for b in s:
+                made.append(None if b is None else f(bytes(b)))
+                held += len(made[-1] or b"")
+                if held > most:
+                    yield pd.Series(made, dtype=object)
+                    made, held = [], 0
+            if made:
+                yield pd.Series(made, dtype=object)
+        pa.default_memory_pool().release_unused()
 
     return run
 
