@@ -1,6 +1,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tierflow.sources import readers
@@ -67,3 +68,26 @@ def test_leftovers_go_from_slice_to_slice(spark):
 def test_sliced(spark):
     df = spark.createDataFrame([("a", b"0123456789"), ("b", b""), ("c", None), ("d", b"0123")], "key string, content binary")
     assert sorted((r.key, r.slice, bytes(r.content)) for r in sliced(df, 4).collect()) == [("a", 0, b"0123"), ("a", 1, b"4567"), ("a", 2, b"89"), ("d", 0, b"0123")]
+
+
+def test_short_slices_share_batches(spark, monkeypatch):
+    """Every slice made a batch of its own in two passes."""
+    made, batch = spark.sparkContext.accumulator(0), pa.record_batch
+    data = b"".join(b"line %d\n" % i for i in range(3000))
+    rows = sliced(spark.createDataFrame([("k", data)], "key string, content binary"), 20).coalesce(1)
+    counted = lambda *a, **k: made.add(1) or batch(*a, **k)
+
+    class Counting(Lines):
+        def exits(self, *a):
+            pa.record_batch = counted
+            return super().exits(*a)
+
+        def cut(self, *a):
+            pa.record_batch = counted
+            return super().cut(*a)
+
+    try:
+        assert read_apart(rows, Counting()).count() == 3000
+    finally:
+        pa.record_batch = batch
+    assert 0 < made.value < 300

@@ -18,6 +18,8 @@ from pyspark.sql.types import _parse_datatype_string
 from ..operators.metrics import running_sum
 from .files import kept, new_folder
 
+_HELD = 8 << 20  # bytes of rows that a task gathers before it gives them on
+
 #: Of a slice: (bytes of a record in it, whether the record begins here, whether it ends here).
 Fragment = tuple[bytes, bool, bool]
 
@@ -192,10 +194,16 @@ def read_apart(slices: DataFrame, form: Format) -> DataFrame:
 
     def moves(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                data, ahead = b.column("content")[i].as_py(), b.column("ahead")[i].as_py()
-                pairs = np.array(form.exits(data, ahead or b"", b.column("left")[i].as_py()), "<i8").reshape(-1, 2)
-                yield pa.record_batch([b.column("key").slice(i, 1), b.column("slice").slice(i, 1), pa.array([len(data)], pa.int64()), pa.array([pairs.tobytes()], pa.binary())], names=["key", "slice", "size", "moves"])
+            at, size, did, held = 0, [], [], 0
+            for i, (data, ahead, left) in enumerate(zip(*(b.column(c) for c in ("content", "ahead", "left")))):
+                data = data.as_py()
+                size.append(len(data))
+                did.append(np.array(form.exits(data, ahead.as_py() or b"", left.as_py()), "<i8").tobytes())
+                held += len(did[-1])
+                if held > _HELD or i + 1 == b.num_rows:
+                    n = len(size)
+                    yield pa.record_batch([b.column("key").slice(at, n), b.column("slice").slice(at, n), pa.array(size, pa.int64()), pa.array(did, pa.binary())], names=["key", "slice", "size", "moves"])
+                    at, size, did, held = at + n, [], [], 0
 
     def enter(batches):
         last, state = object(), form.start
@@ -215,16 +223,17 @@ def read_apart(slices: DataFrame, form: Format) -> DataFrame:
 
     def fragments(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                data, ahead, left, state = (b.column(c)[i].as_py() for c in ("content", "ahead", "left", "state"))
-                out = list(form.cut(data, ahead or b"", left, state))
-                n = len(out)
-                piece, begins, ends = zip(*out) if out else ((), (), ())
-                ends_before = np.r_[0, np.cumsum(ends)[:-1]].astype(np.int64) if out else np.empty(0, np.int64)
-                yield pa.record_batch([
-                    pa.array([b.column("key")[i].as_py()] * n, b.schema.field("key").type), pa.array([b.column("slice")[i].as_py()] * n, pa.int64()), pa.array(ends_before),
-                    pa.array(piece, pa.binary()), pa.array(begins, pa.bool_()), pa.array(ends, pa.bool_()),
-                ], names=["key", "slice", "n", "piece", "begins", "ends"])
+            out, held = [], 0
+            for i, (data, ahead, left, state) in enumerate(zip(*(b.column(c) for c in ("content", "ahead", "left", "state")))):
+                n = 0
+                for piece, begins, ends in form.cut(data.as_py(), ahead.as_py() or b"", left.as_py(), state.as_py()):
+                    out.append((i, n, piece, begins, ends))
+                    n, held = n + ends, held + len(piece) + 64
+                if out and (held > _HELD or i + 1 == b.num_rows):
+                    of, *cols = zip(*out)
+                    some = b.select(["key", "slice"]).take(pa.array(of, pa.int64()))
+                    yield pa.record_batch([*some.columns, *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.bool_(), pa.bool_()))]], names=["key", "slice", "n", "piece", "begins", "ends"])
+                    out, held = [], 0
 
     did = rows.mapInArrow(moves, f"key {kind}, slice long, size long, moves binary")
     states = did.repartition("key").sortWithinPartitions("key", "slice").mapInArrow(enter, f"key {kind}, slice long, state long")
