@@ -1,6 +1,8 @@
 import os
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +163,27 @@ def test_refused_chunks_are_retried_alone(own, tmp_path):
     assert [r.attempts for r in tries] == list(range(1, len(tries) + 1)) and [r.stored for r in tries] == [False] * (len(tries) - 1) + [True]
     assert len({r.first_try for r in tries}) == 1 and all(b.at - a.at >= 1000 for a, b in zip(tries, tries[1:]))
     assert st.waiting(own, f"{tmp_path}/ck").count() == 0
+
+
+def test_rows_are_sorted_in_bounded_memory(monkeypatch):
+    """All rows of a key were held at once; now runs of them wait in files, and no more than a few are read ahead."""
+    rng, files = np.random.default_rng(4), []
+    make = st.tempfile.TemporaryFile
+    monkeypatch.setattr(st.tempfile, "TemporaryFile", lambda: files.append(make()) or files[-1])
+    seq = rng.permutation(5000) // 2
+    rows = [(None if s % 50 == 7 else int(s), None if s % 3 else f"v{s}", i) for i, s in enumerate(seq.tolist())]
+    batches = [pd.DataFrame(rows[i : i + 300], columns=["seq", "a b", "n"]) for i in range(0, 5000, 300)]
+    want = [r for _, r in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0]))]
+    assert list(map(tuple, st._rows(iter(batches), "seq", most=40_000, step=100))) == want and len(files) > 3 and all(f.closed for f in files)
+    assert list(map(tuple, st._rows(iter(batches), "seq"))) == want and list(map(tuple, st._rows(iter(batches), None))) == rows
+
+
+def test_a_field_holds_few_keys_at_once():
+    class Held(dict):
+        containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__
+
+    f = st.Field(Held())
+    for i in range(50):
+        assert f.put(f"k{i % 25}", i) == (None if i < 25 else i - 25)
+        f.save(9)
+        assert len(f._now) <= 9

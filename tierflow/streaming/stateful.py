@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -11,11 +14,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+_STEP = 10_000  # rows given on at once, and keys of a field held at once
+
+
 class Field:
     """One field of a function's state: a map that stays from row to row and from run to run.
 
     A null value is no value: to put it removes the key. A null key holds nothing.
-    Within a micro-batch values are read once and written once.
+    Within a micro-batch values are read once and written once, as long as they are few.
     """
 
     def __init__(self, held):
@@ -48,7 +54,10 @@ class Field:
         self._now, self._new = {}, set()
         self._held.clear()
 
-    def save(self) -> None:
+    def save(self, beyond: int = -1) -> None:
+        """Writes what is new and forgets what was read, if that is more than ``beyond`` keys."""
+        if len(self._now) <= beyond:
+            return
         for key in self._new:
             if self._now[key] is not None:
                 self._held.updateValue((key,), (self._now[key],))
@@ -65,12 +74,51 @@ def state_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def _rows(batches: Iterable[pd.DataFrame], order: str | None) -> Iterator[Any]:
-    """The rows of a micro-batch, nulls as None; sorted by ``order`` if there is one, else as they come."""
-    whole = [pd.concat(list(batches)).sort_values(order, kind="stable")] if order else batches
-    for b in whole:
-        clean = b.astype(object).where(b.notna(), None)
-        yield from clean.itertuples(index=False)
+def _clean(b: pd.DataFrame) -> Iterator[Any]:
+    return b.astype(object).where(b.notna(), None).itertuples(index=False)
+
+
+def _rows(batches: Iterable[pd.DataFrame], order: str | None, most: int = 16 << 20, step: int = 1000) -> Iterator[Any]:
+    """The rows of a micro-batch, nulls as None; sorted by ``order`` if there is one (nulls last), else as they come.
+
+    Rows to be sorted are held for about ``most`` bytes; sorted runs beyond that wait
+    in a temporary file each, of which ``step`` rows are held, and are merged.
+    """
+    if not order:
+        for b in batches:
+            yield from _clean(b)
+        return
+    held, size, runs = [], 0, []
+
+    def run() -> pd.DataFrame:
+        return pd.concat(held).sort_values(order, kind="stable")
+
+    def read(file, rows) -> Iterator[Any]:
+        file.seek(0)
+        for _ in range(0, rows, step):
+            yield from _clean(pickle.load(file))
+
+    def place(row) -> tuple:
+        value = row[at]
+        return (True, 0) if value is None else (False, value)
+
+    try:
+        for b in batches:
+            at = b.columns.get_loc(order)
+            held.append(b)
+            size += int(b.memory_usage(deep=True).sum())
+            if size > most:
+                whole, file = run(), tempfile.TemporaryFile()
+                runs.append((file, len(whole)))
+                for i in range(0, len(whole), step):
+                    pickle.dump(whole.iloc[i : i + step], file)
+                held, size = [], 0
+        last = (_clean(w[i : i + step]) for w in ([run()] if held else []) for i in range(0, len(w), step))
+        last = (row for rows in last for row in rows)
+        yield from heapq.merge(*(read(*r) for r in runs), last, key=place) if runs else last
+    finally:
+        for file, _ in runs:
+            file.close()
 
 
 def _frame(rows: list[tuple], schema: StructType) -> pd.DataFrame:
@@ -94,7 +142,7 @@ def stateful(
     string keys for each of ``fields`` (name to type). State is one per scope and stream
     (``shared``) or per partition as well (``partitioned``); it lies in the query's
     checkpoint, so a stopped stream goes on with it. The rows of a micro-batch are taken in
-    the order of ``order``, which gathers a key's rows of the batch; without it they
+    the order of ``order``, for which a key's rows of the batch are sorted in runs on disk; without it they
     pass as they come. Null parts of a key are a key of their own.
     """
     out = _parse_datatype_string(schema)
@@ -104,7 +152,14 @@ def stateful(
             self.state = {name: Field(handle.getMapState(name, "k string", f"v {kind}")) for name, kind in fields.items()}
 
         def handleInputRows(self, key, rows, timerValues):
-            made = [r for row in _rows(rows, order) for r in fn(self.state, row)]
+            made = []
+            for row in _rows(rows, order):
+                made += fn(self.state, row)
+                if len(made) >= _STEP:
+                    yield _frame(made, out)
+                    made = []
+                for f in self.state.values():
+                    f.save(_STEP)
             for f in self.state.values():
                 f.save()
             yield _frame(made, out)
@@ -191,8 +246,13 @@ def write_behind(chunks: DataFrame, store: Callable[[str, str, bytes], None], re
             return partition, uri, attempts, first, now, True
 
         def handleInputRows(self, key, rows, timerValues):
-            now = timerValues.getCurrentProcessingTimeInMs()
-            yield _frame([self.attempt(key[0], r.uri, r.content, 1, now, r.seq, now) for r in _rows(rows, "seq")], out)
+            now, made = timerValues.getCurrentProcessingTimeInMs(), []
+            for r in _rows(rows, "seq"):
+                made.append(self.attempt(key[0], r.uri, r.content, 1, now, r.seq, now))
+                if len(made) == _STEP:
+                    yield _frame(made, out)
+                    made = []
+            yield _frame(made, out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             now = timerValues.getCurrentProcessingTimeInMs()
