@@ -98,7 +98,7 @@ def test_many_small_objects_share_tasks(spark, tmp_path):
     assert sorted(bytes(r.value) for r in got.where("pos = 0").collect()) == sorted(f"@r{i}\n\n+\n@\n".encode() for i in range(1100))
 
 
-def test_unpacked_members_are_given_on_in_pieces():
+def test_unpacked_members_are_given_on_in_pieces(spark):
     """All members of a batch were unpacked before the first was given on."""
     values = [None if i == 3 else gzip.compress(bytes([i]) * 1000) for i in range(20)]
     got = list(index_gzip._udf(gzip.decompress, 2500).func(iter([pd.Series(values[:15]), pd.Series([], dtype=object), pd.Series(values[15:])])))
