@@ -487,3 +487,20 @@ def test_threshold_costs_least():
             scores = np.round(np.where(good, rng.normal(0, 1, 60), rng.normal(1.5, 1, 60)), 1)
             cost = lambda t: care * (scores[good] > t).mean() + (scores[~good] <= t).mean()
             assert cost(quality_rules._threshold(scores, good, care)) <= min(cost(t) for t in np.linspace(-5, 6, 2000)) + 1e-9
+
+
+def test_thresholds_count_all_labelled_rows(spark, sf, monkeypatch):
+    """The threshold came from the same few rows as the forest."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    seen, threshold = [], quality_rules._threshold
+    monkeypatch.setattr(quality_rules, "_threshold", lambda cells, good, bad, care: seen.append((good.sum(), bad.sum())) or threshold(cells, good, bad, care))
+    quality_rules.fit(docs, labels, sample=20)
+    known = judge_quality(docs, labels).where("not base_failed").join(labels.where("quality is not null"), "doc_id")
+    assert seen[0] == (known.where("quality = 1").count() - 10, known.where("quality = 0").count())
+
+
+def test_threshold_by_counts():
+    cells = np.array([10, 20, 21, 40])
+    at = lambda good, bad: quality_rules._threshold(cells, np.array(good), np.array(bad), 10.0) * 65536
+    assert abs(at([5, 5, 0, 0], [0, 0, 3, 9]) - 21) < 1e-6 and abs(at([5, 5, 1, 0], [0, 0, 0, 9]) - 31) < 1e-6
+    assert abs(at([5, 5, 5, 5], [1, 0, 0, 0]) - 41) < 1e-6 and abs(at([1, 1, 1, 1], [0, 0, 0, 0]) - 44) < 1e-6

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import pieces_of
+from ._common import bounded, pieces_of, stored
 from ._features import NAMES, base, statistics
 
 _STATS = ", ".join(f"s{i} double" for i in range(len(NAMES)))
@@ -60,31 +60,41 @@ class IsolationForest:
         return 2.0 ** -(total / len(self.split) / max(self.norm, 1e-9))
 
 
-def _threshold(scores: np.ndarray, good: np.ndarray, care: float) -> float:
+def _forest_of(figures: dict) -> IsolationForest:
+    forest = object.__new__(IsolationForest)
+    forest.__dict__.update(figures)
+    return forest
+
+
+_CELLS = 1 << 16  # places that a threshold may have
+
+
+def _threshold(cells: np.ndarray, good: np.ndarray, bad: np.ndarray, care: float) -> float:
     """Where the share of bad rows below plus ``care`` times that of good rows above is least.
 
-    Of equal places the middle is taken; without bad rows, a little above the highest good score.
+    Good and bad rows are counted in ``cells`` of 1 / 65536 of the score, which are sorted. Of equal places the
+    middle is taken; without bad rows, a little above the highest good score.
     """
-    a, b = np.sort(scores[good]), np.sort(scores[~good])
-    if not len(b):
-        return float(a[-1] + 0.1 * (a[-1] - a[0]))
-    at = np.unique(scores)
-    cost = care * (1 - np.searchsorted(a, at, "right") / len(a)) + np.searchsorted(b, at, "right") / len(b)
+    if not bad.any():
+        return float((cells[-1] + 1 + 0.1 * (cells[-1] - cells[0])) / _CELLS)
+    cost = care * (1 - np.cumsum(good) / max(1, good.sum())) + np.cumsum(bad) / bad.sum()
     best = int(cost.argmin())
-    return float((at[best] + at[min(best + 1, len(at) - 1)]) / 2)
+    upto = cells[best + 1] if best + 1 < len(cells) else cells[best] + 1
+    return float(np.nextafter((cells[best] + 1 + upto) / 2 / _CELLS, 0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, sample: int = 6000, trees: int = 100, care: float = 10.0, id_col: str = "doc_id", text_col: str = "text"):
-    """(forest, centre, threshold) from at most ``sample`` labelled rows, picked by hashes of id and text.
+def fit(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, sample: int = 51_200, trees: int = 100, care: float = 10.0, id_col: str = "doc_id", text_col: str = "text"):
+    """(forest, centre, threshold) from all labelled rows.
 
-    Rows that fail the base rule take no part. The forest is grown on half of the
-    rows labelled good; the threshold is set on the others and the bad ones, where
+    Rows that fail the base rule take no part. The centre is that of all rows labelled good. Each tree
+    isolates the rows of a draw of its own, as the method has it; the draws are from half of the good
+    rows, ``sample`` / 2 at most (by default as many as all trees draw), picked by hashes of id and text.
+    The threshold is set on all other good rows and all bad ones, where
     losing a good row counts ``care`` times as much as keeping a bad one. With fewer
-    than 8 good rows nothing is anomalous. Only the rows' statistics reach the driver.
+    than 8 good rows nothing is anomalous. Only the drawn rows' statistics, sums and counts reach the driver.
     """
-    label = labels.where("quality is not null").groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_q"))
-    picked = label.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(picked, "_id").withColumn("_h", F.xxhash64("_t", F.lit(5)))
+    label = stored(labels.where("quality is not null").groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_q")), "labels")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(bounded(label), "_id").withColumn("_h", F.xxhash64("_t", F.lit(5)))
 
     def stats(batches):
         for b in pieces_of(batches):
@@ -96,16 +106,31 @@ def fit(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_perc
 
     id_kind, q_kind = (rows.schema[c].dataType.simpleString() for c in ("_id", "_q"))
     got = rows.select("_id", "_q", "_h", "_t").mapInArrow(stats, f"id {id_kind}, q {q_kind}, h bigint, {_STATS}")
-    # an id may have any number of rows, so the rows are bounded too
-    got = got.orderBy(F.xxhash64("id", F.lit(5)), "id", "h").limit(sample).toArrow().to_pandas().sort_values(["id", "h"])
-    x, good = got[[f"s{i}" for i in range(len(NAMES))]].to_numpy(), got["q"].to_numpy() == 1
-    if good.sum() < 8:
+    columns = [f"s{i}" for i in range(len(NAMES))]
+    got = stored(got.select((F.col("q") == 1).alias("good"), F.xxhash64("id", "h", F.lit(5)).alias("place"), *columns), "statistics")
+    good = got.where("good")
+    n, *sums = good.agg(F.count("*"), *[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
+    if n < 8:
+        return None
+    # rounded, as the order of a sum is left to chance
+    centre = tuple(np.array([float(f"{v:.9g}") for v in part]) + e for part, e in ((sums[: len(columns)], 0), (sums[len(columns) :], 1e-9)))
+    # an id may have any number of rows, so the rows are bounded
+    drawn = good.orderBy("place", *columns).limit(max(1, min(n, sample) // 2)).toArrow().to_pandas().sort_values(["place", *columns])
+    forest = IsolationForest(_spread(drawn[columns].to_numpy(), centre), trees)
+    last = int(drawn["place"].iloc[-1])
+    shared = docs.sparkSession.sparkContext.broadcast((vars(forest), centre))
+
+    def score(batches):
+        forest, centre = _forest_of(shared.value[0]), shared.value[1]
+        for b in pieces_of(batches):
+            cell = np.floor(forest.score(_spread(np.column_stack([b.column(c).to_numpy() for c in columns]), centre)) * _CELLS).astype(np.int64)
+            yield pa.record_batch([b.column("good"), pa.array(cell)], names=["good", "cell"])
+
+    scored = got.where(~F.col("good") | (F.col("place") > last)).mapInArrow(score, "good boolean, cell bigint")
+    count = scored.groupBy("cell").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toPandas().sort_values("cell")
+    if not len(count):
         return None
-    half = np.flatnonzero(good)[::2]
-    centre = (x[half].mean(0), x[half].std(0) + 1e-9)
-    forest = IsolationForest(_spread(x, centre)[half], trees)
-    rest = np.setdiff1d(np.arange(len(x)), half)
-    return forest, centre, _threshold(forest.score(_spread(x[rest], centre)), good[rest], care)
+    return forest, centre, _threshold(*(count[c].to_numpy() for c in ("cell", "good", "bad")), care)
 
 
 def fails(n_words, n_repeat_words, min_words: int, max_repeat_percent: int):
