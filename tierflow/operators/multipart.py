@@ -124,18 +124,33 @@ def upload_digests(manifest: DataFrame, path: str, piece: int = 4 << 20) -> Data
     return rows.mapInArrow(run, f"upload {kind}, parts long, size long, md5 string, sha256 string")
 
 
-def validate_parts(sent: DataFrame, wanted: DataFrame, least: int = MIN_PART) -> DataFrame:
-    """Adds ``status`` to the parts of a completion: INVALID_PART, ENTITY_TOO_SMALL (any but the last) or OK."""
-    j = wanted.join(sent.select("upload", "part", F.col("etag").alias("have"), "size"), ["upload", "part"], "left")
+def tasks_for(*tables: DataFrame, rows: int = 1_000_000) -> int:
+    """In how many tasks rows are best dealt so that each holds about ``rows`` of the largest table, however large it is."""
+    least = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, *(-(-t.count() // rows) for t in tables))
+
+
+def validate_parts(sent: DataFrame, wanted: DataFrame, least: int = MIN_PART, task_rows: int = 1_000_000) -> DataFrame:
+    """Adds ``status`` to the parts of a completion: INVALID_PART, ENTITY_TOO_SMALL (any but the last) or OK.
+
+    The number of tasks grows with the parts, ``task_rows`` for each.
+    """
+    n = tasks_for(sent, wanted, rows=task_rows)
     last = F.max("part").over(Window.partitionBy("upload"))
-    status = F.when(F.col("have").isNull() | (F.col("have") != F.col("etag")) | (F.col("part") > MAX_PARTS), "INVALID_PART").when((F.col("size") < least) & (F.col("part") < last), "ENTITY_TOO_SMALL").otherwise("OK")
+    want = wanted.repartition(n, "upload").withColumn("_last", last).repartition(n, "upload", "part")
+    have = sent.select("upload", "part", F.col("etag").alias("have"), "size").repartition(n, "upload", "part")
+    j = want.join(have, ["upload", "part"], "left")
+    status = F.when(F.col("have").isNull() | (F.col("have") != F.col("etag")) | (F.col("part") > MAX_PARTS), "INVALID_PART").when((F.col("size") < least) & (F.col("part") < F.col("_last")), "ENTITY_TOO_SMALL").otherwise("OK")
     return j.select("upload", "part", status.alias("status"))
 
 
-def uploads(events: DataFrame) -> DataFrame:
-    """State of each upload from ``(upload, seq, op, part, size)``: ABORTED and OPEN ones emit no size."""
-    e = events.groupBy("upload").agg(
-        F.max_by("op", "seq").alias("last"), F.bool_or(F.col("op") == "abort").alias("aborted"), F.bool_or(F.col("op") == "complete").alias("completed"),
+def uploads(events: DataFrame, task_rows: int = 1_000_000) -> DataFrame:
+    """State of each upload from ``(upload, seq, op, part, size)``: ABORTED and OPEN ones emit no size.
+
+    Events are dealt by upload to tasks of about ``task_rows``, whose number grows with them.
+    """
+    e = events.repartition(tasks_for(events, rows=task_rows), "upload").groupBy("upload").agg(
+        F.bool_or(F.col("op") == "abort").alias("aborted"), F.bool_or(F.col("op") == "complete").alias("completed"),
         F.count_distinct(F.when(F.col("op") == "part", F.col("part"))).alias("parts"), F.sum(F.when(F.col("op") == "part", F.col("size"))).alias("bytes"))
     state = F.when(F.col("aborted"), "ABORTED").when(F.col("completed"), "COMPLETED").otherwise("OPEN")
     return e.select("upload", state.alias("state"), "parts", F.when(state == "COMPLETED", F.col("bytes")).alias("bytes"))
