@@ -464,7 +464,8 @@ def i1_assemble(spark, sf):
 
 @query("i2_validate_parts", "SELECT l_orderkey AS upload, l_linenumber AS part, CASE WHEN l_returnflag = 'R' THEN 'INVALID_PART' WHEN l_quantity < 10 AND l_linenumber < max(l_linenumber) OVER (PARTITION BY l_orderkey) THEN 'ENTITY_TOO_SMALL' ELSE 'OK' END AS status FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)")
 def i2_validate_parts(spark, sf):
-    li = fx.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_quantity").alias("l_quantity"))
+    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    li = li.repartition(multipart.tasks_for(li), "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_quantity").alias("l_quantity"))
     sent = li.select(F.col("l_orderkey").alias("upload"), F.col("l_linenumber").alias("part"), F.lit("e").alias("etag"), F.col("l_quantity").alias("size"))
     want = li.select(F.col("l_orderkey").alias("upload"), F.col("l_linenumber").alias("part"), F.when(F.col("l_returnflag") == "R", "x").otherwise("e").alias("etag"))
     return multipart.validate_parts(sent, want, 10)
@@ -812,7 +813,7 @@ def b4_write_behind(spark, sf):
         out.write(content)
         out.close()
 
-    tries = write_behind(own.readStream.schema(d.schema).parquet(f"{path}/in"), store, retry_ms=1000)
+    tries = write_behind(own.readStream.schema(d.schema).parquet(f"{path}/in"), store, retry_ms=1000, lanes=8)
     run_until_stored(tries, f"{path}/tries", f"{path}/checkpoint", total)
     files = readers.scan_chunks(spark, f"{path}/store", "*.chunk").select(F.regexp_extract("key", r"(\d+)\.chunk$", 1).cast("long").alias("doc_id"), F.md5("content").alias("digest"))
     done = spark.read.schema(TRIES).parquet(f"{path}/tries").where("stored").groupBy(F.col("uri").cast("long").alias("of")).agg(F.max("attempts").alias("attempts"))
