@@ -187,3 +187,23 @@ def test_a_field_holds_few_keys_at_once():
         assert f.put(f"k{i % 25}", i) == (None if i < 25 else i - 25)
         f.save(9)
         assert len(f._now) <= 9
+
+
+def test_lanes_share_a_partition(own, tmp_path):
+    """A partition's chunks were stored by one task, whatever their number."""
+    kind = "partition string, uri string, seq long, content binary"
+    own.createDataFrame([("p", str(i), i, b"x") for i in range(40)], kind).write.parquet(f"{tmp_path}/in")
+    os.mkdir(f"{tmp_path}/box")
+
+    def store(partition, uri, content):
+        open(f"{tmp_path}/box/{uri}", "wb").close()
+        if uri == "7" and not os.path.exists(f"{tmp_path}/seen"):
+            open(f"{tmp_path}/seen", "w").close()
+            raise OSError("busy")
+
+    tries = st.write_behind(own.readStream.schema(kind).parquet(f"{tmp_path}/in"), store, 500, lanes=8)
+    st.run_until_stored(tries, f"{tmp_path}/out", f"{tmp_path}/ck", 40)
+    done = own.read.parquet(f"{tmp_path}/out").where("stored").collect()
+    assert sorted((r.partition, int(r.uri), r.attempts) for r in done) == [("p", i, 2 if i == 7 else 1) for i in range(40)]
+    lanes = own.read.format("statestore").option("path", f"{tmp_path}/ck").option("stateVarName", "waiting").load()
+    assert "lane" in lanes.schema["key"].dataType.names and st.waiting(own, f"{tmp_path}/ck").count() == 0

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -216,7 +216,7 @@ def liveness(beats: DataFrame, timeout_ms: int) -> DataFrame:
 TRIES = "partition string, uri string, attempts int, first_try long, at long, stored boolean"
 
 
-def write_behind(chunks: DataFrame, store: Callable[[str, str, bytes], None], retry_ms: int = 5000) -> DataFrame:
+def write_behind(chunks: DataFrame, store: Callable[[str, str, bytes], None], retry_ms: int = 5000, lanes: int = 1) -> DataFrame:
     """Store chunks ``(partition, uri, seq, content)`` one by one and say what came of every try.
 
     ``store(partition, uri, content)`` raises OSError to refuse a chunk. A refused
@@ -226,6 +226,8 @@ def write_behind(chunks: DataFrame, store: Callable[[str, str, bytes], None], re
     touched, and none waits for another. A newer chunk of the same uri replaces
     one that waits. After a stop the stream goes on with what waits; a chunk may be stored
     twice if a run ends amid a batch, so ``store`` overwrites.
+
+    Chunks of a partition are stored by one task; ``lanes`` deals them by uri to so many, each with an order of its own.
     """
     out = _parse_datatype_string(TRIES)
 
@@ -262,7 +264,10 @@ def write_behind(chunks: DataFrame, store: Callable[[str, str, bytes], None], re
         def close(self) -> None:
             pass
 
-    return chunks.groupBy("partition").transformWithStateInPandas(Queue(), out, "Append", "ProcessingTime")
+    by = ["partition"]
+    if lanes > 1:
+        chunks, by = chunks.withColumn("lane", F.pmod(F.xxhash64("uri"), F.lit(lanes))), ["partition", "lane"]
+    return chunks.groupBy(*by).transformWithStateInPandas(Queue(), out, "Append", "ProcessingTime")
 
 
 def run_until_stored(tries: DataFrame, path: str, checkpoint: str, total: int, every_ms: int = 500, limit_s: int = 600) -> None:
