@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import new_folder, new_name, numbered
+from ._common import new_folder, new_name, numbered, stored
 from ._files import open_fs
 
 SPACE = "▁"
@@ -264,11 +264,11 @@ def _encode_long(path: str):
     return run
 
 
-def _slices(batch: pa.RecordBatch):
-    """Consecutive rows of one chunk with about 2 MB of text: (chunk, rows)."""
+def _slices(batch: pa.RecordBatch, bits: int = 19):
+    """Consecutive rows of one chunk with about 2 ** ``bits`` bytes of text: (chunk, rows)."""
     chunk = batch.column("chunk").to_numpy()
     size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    at = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (np.diff(np.cumsum(size) >> 21) > 0)]) if len(chunk) else []
+    at = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (np.diff(np.cumsum(size) >> bits) > 0)]) if len(chunk) else []
     for i, j in zip(at, [*at[1:], len(chunk)]):
         yield chunk[i], batch.slice(i, j - i)
 
@@ -316,6 +316,7 @@ def write_dictionaries(src: DataFrame, path: str) -> str:
         short = held.where(F.length("unit") <= BITS)
         ids = encode_units(short.select("unit").distinct(), path)
         long = held.where(F.length("unit") > BITS).mapInArrow(_encode_long(path), "chunk bigint, unit string, ids array<int>")
+        long = stored(long, "long")  # else their stage starts Python workers of its own
         both = short.join(ids.hint("shuffle_hash"), "unit").select("chunk", "unit", "ids").unionByName(long)
         # a chunk's words are spread over several tasks and files
         both.repartition("chunk", F.pmod(F.xxhash64("unit"), F.lit(8))).write.partitionBy("chunk").option("compression", "zstd").parquet(folder)
@@ -336,7 +337,7 @@ class Dictionary:
         from pyarrow import fs
 
         found = [f.path for f in where.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".parquet")]
-        tables = [pq.read_table(f, filesystem=where, columns=["unit", "ids"]) for f in found]
+        tables = [pq.read_table(f, filesystem=where, columns=["unit", "ids"], use_threads=False, pre_buffer=False) for f in found]
         t = pa.concat_tables(tables).combine_chunks() if tables else pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
         self.unit = t["unit"].combine_chunks() if t.num_rows else pa.array([], pa.string())
         ids = t["ids"].combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32()))
@@ -350,14 +351,20 @@ class Dictionary:
             cls._held = (folder, cls(folder))
         return cls._held[1]
 
-    def encode(self, words: pa.StringArray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text's end), from their words."""
-        if not len(words):
+    def places(self, words: list[pa.StringArray]) -> list[np.ndarray]:
+        """Where each word is; the table of hashes is one of the distinct words given, not of all that are held."""
+        coded = pa.concat_arrays(words).dictionary_encode()
+        found = pc.index_in(self.unit, value_set=coded.dictionary)
+        place = np.full(len(coded.dictionary), -1, np.int64)
+        place[found.drop_null().to_numpy()] = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        if (place < 0).any():
+            raise ValueError(f"a word without ids: {coded.dictionary[int(place.argmin())]}")
+        return np.split(place[coded.indices.to_numpy()], np.cumsum([len(w) for w in words[:-1]]))
+
+    def encode(self, k: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's end), from the places of their words."""
+        if not len(k):
             return np.empty(0, np.int32), ends
-        found = pc.index_in(words, value_set=self.unit)
-        if found.null_count:
-            raise ValueError(f"a word without ids: {words.filter(found.is_null())[0]}")
-        k = found.to_numpy()
         size = self.size[k]
         upto = np.cumsum(size)
         place = np.arange(upto[-1]) + np.repeat(self.begin[k] - (upto - size), size)
@@ -392,9 +399,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches):
         p = pieces(path)
         table = pa.array(p.table, pa.binary())
-        for b in batches:
-            for chunk, some in _slices(b):
-                ids, ends = Dictionary.of(f"{folder}/chunk={chunk}").encode(*p.units(some.column("text").to_pylist()))
+        # words of 2 MB of text are looked up together; what else it takes to encode them is made for 512 KB at a time
+        for chunk, rows in (x for b in batches for x in _slices(b, 21)):
+            parts = [some for _, some in _slices(rows)]
+            known, units = Dictionary.of(f"{folder}/chunk={chunk}"), [p.units(some.column("text").to_pylist()) for some in parts]
+            for some, (_, ends), k in zip(parts, units, known.places([words for words, _ in units])):
+                ids, ends = known.encode(k, ends)
                 n = np.diff(np.r_[0, ends])
                 text = pc.fill_null(some.column("text"), "").cast(pa.binary())
                 text = pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(b" ", text, b""))
