@@ -207,3 +207,24 @@ def test_lanes_share_a_partition(own, tmp_path):
     assert sorted((r.partition, int(r.uri), r.attempts) for r in done) == [("p", i, 2 if i == 7 else 1) for i in range(40)]
     lanes = own.read.format("statestore").option("path", f"{tmp_path}/ck").option("stateVarName", "waiting").load()
     assert "lane" in lanes.schema["key"].dataType.names and st.waiting(own, f"{tmp_path}/ck").count() == 0
+
+
+def test_a_batch_that_runs_again_repeats_its_tries(own, tmp_path):
+    """The store remembered what it had refused, so a task that ran again stored it at its first try."""
+    kind = "partition string, uri string, seq long, content binary"
+
+    def store(partition, uri, content, attempt):
+        if uri == "7" and not os.path.exists(f"{tmp_path}/lost"):
+            open(f"{tmp_path}/lost", "w").close()
+            raise RuntimeError("the task is lost")
+        if int(uri) % 3 == 0 and attempt == 1:
+            raise OSError("busy")
+
+    own.createDataFrame([("p", str(i), i, b"x") for i in range(8)], kind).write.parquet(f"{tmp_path}/in")
+    tries = st.write_behind(own.readStream.schema(kind).parquet(f"{tmp_path}/in"), store, 500, lanes=2, numbered=True)
+    with pytest.raises(Exception, match="the task is lost"):
+        st.run_until_stored(tries, f"{tmp_path}/out", f"{tmp_path}/ck", 8)
+    st.run_until_stored(tries, f"{tmp_path}/out", f"{tmp_path}/ck", 8)
+    got = {(r.uri, r.attempts, r.stored) for r in own.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(str(i), 1, i % 3 > 0) for i in range(8)} | {(str(i), 2, True) for i in (0, 3, 6)}
+    assert own.conf.get("spark.sql.streaming.stateStore.checkpointFormatVersion") == "2" and st.waiting(own, f"{tmp_path}/ck").count() == 0

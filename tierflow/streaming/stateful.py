@@ -67,9 +67,14 @@ class Field:
 
 
 def state_session(spark: SparkSession) -> SparkSession:
-    """A session of its own with the state store that functions with state need."""
-    own = spark.newSession()
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """A session of its own with the state store that functions with state need.
+
+    A task may run twice, and both runs write state; the state that stays is that of the run whose rows count
+    (format 2).
+    """
+    own, store = spark.newSession(), "spark.sql.streaming.stateStore"
+    own.conf.set(f"{store}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set(f"{store}.checkpointFormatVersion", "2")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     return own
 
@@ -216,7 +221,7 @@ def liveness(beats: DataFrame, timeout_ms: int) -> DataFrame:
 TRIES = "partition string, uri string, attempts int, first_try long, at long, stored boolean"
 
 
-def write_behind(chunks: DataFrame, store: Callable[[str, str, bytes], None], retry_ms: int = 5000, lanes: int = 1) -> DataFrame:
+def write_behind(chunks: DataFrame, store: Callable[..., None], retry_ms: int = 5000, lanes: int = 1, numbered: bool = False) -> DataFrame:
     """Store chunks ``(partition, uri, seq, content)`` one by one and say what came of every try.
 
     ``store(partition, uri, content)`` raises OSError to refuse a chunk. A refused
@@ -228,6 +233,8 @@ def write_behind(chunks: DataFrame, store: Callable[[str, str, bytes], None], re
     twice if a run ends amid a batch, so ``store`` overwrites.
 
     Chunks of a partition are stored by one task; ``lanes`` deals them by uri to so many, each with an order of its own.
+    A task that is lost runs again and repeats its tries with the same numbers; ``numbered`` gives ``store`` that number
+    (from 1) as a fourth argument, so that it can answer a repeated try as it did at first.
     """
     out = _parse_datatype_string(TRIES)
 
@@ -238,7 +245,7 @@ def write_behind(chunks: DataFrame, store: Callable[[str, str, bytes], None], re
 
         def attempt(self, partition, uri, content, attempts, first, seq, now) -> tuple:
             try:
-                store(partition, uri, bytes(content or b""))
+                store(partition, uri, bytes(content or b""), *[attempts] * numbered)
             except OSError:
                 self.waiting.updateValue((uri,), (content, attempts, first, now + retry_ms, seq))
                 self.handle.registerTimer(now + retry_ms)
