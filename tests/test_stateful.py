@@ -228,3 +228,41 @@ def test_a_batch_that_runs_again_repeats_its_tries(own, tmp_path):
     got = {(r.uri, r.attempts, r.stored) for r in own.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(str(i), 1, i % 3 > 0) for i in range(8)} | {(str(i), 2, True) for i in (0, 3, 6)}
     assert own.conf.get("spark.sql.streaming.stateStore.checkpointFormatVersion") == "2" and st.waiting(own, f"{tmp_path}/ck").count() == 0
+
+
+def test_stored_chunks_are_read_by_name(spark, sf, tmp_path, monkeypatch):
+    """The driver listed a file for every document; now tasks open files by name, a few MB at a time."""
+    from tierflow.plans import queries as q
+    from tierflow.sources.files import read_named
+
+    for i in range(5):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]) * i)
+    rows = spark.createDataFrame([(i, f"{i}.bin") for i in range(7)], "id long, name string").coalesce(1)
+    got = read_named(rows, f"file://{tmp_path}", most=3).collect()
+    assert [(r.id, r.name, bytes(r.content)) for r in got] == [(i, f"{i}.bin", bytes([i]) * i) for i in range(5)]
+    assert read_named(rows.where("id > 4"), f"file://{tmp_path}").count() == 0
+
+    def listed(*_):
+        raise AssertionError("a folder was listed")
+
+    monkeypatch.setattr(q.readers, "scan_chunks", listed)
+    out = {r.doc_id: (r.attempts, r.digest) for r in q.QUERIES["b4_write_behind"](spark, sf).collect()}
+    want = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "if(doc_id % 7 = 0, 2, 1) AS n", "md5(encode(coalesce(text, ''), 'utf-8')) AS d").collect()
+    assert out == {r.doc_id: (r.n, r.d) for r in want}
+
+
+def test_only_a_standstill_ends_a_run(monkeypatch):
+    """The limit was for the whole run, which takes longer the more there is to store."""
+    from unittest.mock import MagicMock
+
+    clock = [0]
+    monkeypatch.setattr(time, "time", lambda: clock[0])
+    monkeypatch.setattr(time, "sleep", lambda s: clock.__setitem__(0, clock[0] + 400))
+    tries = MagicMock()
+    tries.writeStream.format().option().option().trigger().start().exception.return_value = None
+    count = tries.sparkSession.read.schema().parquet().where().count
+    count.side_effect = [1, 2, 3, 4]
+    st.run_until_stored(tries, "", "", 4)
+    count.side_effect = [1, 2, 2, 2, 2]
+    with pytest.raises(TimeoutError, match="2 chunks are not stored"):
+        st.run_until_stored(tries, "", "", 4)

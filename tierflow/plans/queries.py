@@ -797,22 +797,25 @@ def g9_latency_sketch(spark, sf):
 @query("b4_write_behind", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS attempts, md5(coalesce(text, '')) AS digest FROM documents")
 def b4_write_behind(spark, sf):
     """Documents stored one by one in a store that refuses every seventh at first; what is stored in the end, and after how many tries."""
-    from ..sources.files import Whole, kept, new_folder
+    from ..sources.files import Whole, kept, new_folder, read_named
     from ..streaming.stateful import TRIES, run_until_stored, state_session, write_behind
 
     path, own = new_folder(spark, "behind"), state_session(spark)
     d = fx.table(spark, sf, "documents").select(F.col("source").alias("partition"), F.col("doc_id").cast("string").alias("uri"), F.col("doc_id").alias("seq"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
     total = kept(d, f"{path}/in").count()
+    shares = -(-total // 20_000)  # lanes and tasks grow with the documents
 
     def store(partition, uri, content, attempt):
         if int(uri) % 7 == 0 and attempt == 1:
             raise OSError("busy")
-        out = Whole(f"{path}/store/{uri}.chunk")
+        out = Whole(f"{path}/store/{int(uri) % 1000}/{uri}.chunk")
         out.write(content)
         out.close()
 
-    tries = write_behind(own.readStream.schema(d.schema).parquet(f"{path}/in"), store, retry_ms=1000, lanes=8, numbered=True)
+    tries = write_behind(own.readStream.schema(d.schema).parquet(f"{path}/in"), store, retry_ms=1000, lanes=max(8, shares), numbered=True)
     run_until_stored(tries, f"{path}/tries", f"{path}/checkpoint", total)
-    files = readers.scan_chunks(spark, f"{path}/store", "*.chunk").select(F.regexp_extract("key", r"(\d+)\.chunk$", 1).cast("long").alias("doc_id"), F.md5("content").alias("digest"))
-    done = spark.read.schema(TRIES).parquet(f"{path}/tries").where("stored").groupBy(F.col("uri").cast("long").alias("of")).agg(F.max("attempts").alias("attempts"))
-    return files.join(done, F.col("doc_id") == F.col("of")).select("doc_id", "attempts", "digest")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shares)
+    done = spark.read.schema(TRIES).parquet(f"{path}/tries").where("stored").repartition(tasks, "uri").groupBy("uri").agg(F.max("attempts").alias("attempts"))
+    doc_id = F.col("uri").cast("long")
+    files = read_named(done.select(doc_id.alias("doc_id"), "attempts", F.concat(F.pmod(doc_id, F.lit(1000)), F.lit("/"), "uri", F.lit(".chunk")).alias("name")), f"{path}/store")
+    return files.select("doc_id", "attempts", F.md5("content").alias("digest"))

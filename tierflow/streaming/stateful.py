@@ -70,11 +70,12 @@ def state_session(spark: SparkSession) -> SparkSession:
     """A session of its own with the state store that functions with state need.
 
     A task may run twice, and both runs write state; the state that stays is that of the run whose rows count
-    (format 2).
+    (format 2). The stores of an executor share a bound of memory.
     """
     own, store = spark.newSession(), "spark.sql.streaming.stateStore"
     own.conf.set(f"{store}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set(f"{store}.checkpointFormatVersion", "2")
+    own.conf.set(f"{store}.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     return own
 
@@ -265,8 +266,14 @@ def write_behind(chunks: DataFrame, store: Callable[..., None], retry_ms: int =
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             now = timerValues.getCurrentProcessingTimeInMs()
-            due = sorted((v[2], v[4], k[0], v) for k, v in self.waiting.iterator() if v[3] <= now)
-            yield _frame([self.attempt(key[0], uri, v[0], v[1] + 1, first, seq, now) for first, seq, uri, v in due], out)
+            due, made = sorted((v[2], v[4] is None, v[4] or 0, k[0]) for k, v in self.waiting.iterator() if v[3] <= now), []
+            for *_, uri in due:  # contents are read one by one
+                content, attempts, first, _, seq = self.waiting.getValue((uri,))
+                made.append(self.attempt(key[0], uri, content, attempts + 1, first, seq, now))
+                if len(made) == _STEP:
+                    yield _frame(made, out)
+                    made = []
+            yield _frame(made, out)
 
         def close(self) -> None:
             pass
@@ -278,20 +285,28 @@ def write_behind(chunks: DataFrame, store: Callable[..., None], retry_ms: int =
 
 
 def run_until_stored(tries: DataFrame, path: str, checkpoint: str, total: int, every_ms: int = 500, limit_s: int = 600) -> None:
-    """Run ``write_behind`` until ``total`` chunks are stored; ``path`` gets every try."""
+    """Run ``write_behind`` until ``total`` chunks are stored; ``path`` gets every try.
+
+    It gives up when, after the first batch, nothing new has been stored for ``limit_s`` seconds.
+    """
     import time
 
-    spark, end = tries.sparkSession, time.time() + limit_s
+    spark, most = tries.sparkSession, -1
     q = tries.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{every_ms} milliseconds").start()
     try:
         while q.isActive and q.lastProgress is None:
             time.sleep(0.2)
         schema = _parse_datatype_string(TRIES)
-        while spark.read.schema(schema).parquet(path).where("stored").count() < total:
+        while True:
             if q.exception():
                 raise q.exception()
+            stored = spark.read.schema(schema).parquet(path).where("stored").count()
+            if stored >= total:
+                return
+            if stored > most:
+                most, end = stored, time.time() + limit_s
             if time.time() > end:
-                raise TimeoutError(f"not all chunks are stored after {limit_s} s")
+                raise TimeoutError(f"{total - stored} chunks are not stored, and none was for {limit_s} s")
             time.sleep(0.5)
     finally:
         q.stop()
